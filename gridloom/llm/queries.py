@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, minhash, mixing, packing, quality, tokenbin, topk
+from . import ann, langid, line_dedup, minhash, mixing, packing, quality, tokenbin, topk
 from .common import read_table
 
 
@@ -117,6 +117,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.rate(docs, quality.train(docs)).select("doc_id", "score", "kept")
@@ -134,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_nearest": op6_nearest,
     "op7_quality": op7_quality,
     "op8_token_binary": op8_token_binary,
     "op9_minhash": op9_minhash,
