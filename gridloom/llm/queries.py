@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, line_dedup, minhash, mixing, packing, quality, tokenbin, topk
+from . import ann, langid, line_dedup, minhash, mixing, packing, quality, secret_scan, tokenbin, topk
 from .common import read_table
 
 
@@ -97,6 +97,11 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.node = d.do
 """
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "place", secret_scan.masked(F.col("value")).alias("value_sha256"), "probability", "is_secret")
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(read_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256.0)
 
@@ -137,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
+    "op4_secret_scan": op4_secret_scan,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_nearest": op6_nearest,
     "op7_quality": op7_quality,
