@@ -45,7 +45,9 @@ def nearest_vectors(left: DataFrame, right: DataFrame, k: int, sample: str = "sa
 
     kinds = dict(left.dtypes)
     cols = [*key, "i", "j", "id", "v"]
-    pairs = a.select(*cols).groupBy(*key, "i", "j").cogroup(b.select(*cols).groupBy(*key, "i", "j")).applyInPandas(run, f"`{sample}` {kinds[sample]}, src {kinds[spot]}, dst {kinds[spot]}, dist double")
+    # New names for the columns of one side, as both may come from one table.
+    a, b = a.select(*cols).toDF(*cols), b.select(*cols).toDF(*cols)
+    pairs = a.groupBy(*key, "i", "j").cogroup(b.groupBy(*key, "i", "j")).applyInPandas(run, f"`{sample}` {kinds[sample]}, src {kinds[spot]}, dst {kinds[spot]}, dist double")
     rank = F.row_number().over(W.partitionBy(sample, "src").orderBy("dist", "dst"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 

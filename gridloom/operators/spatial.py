@@ -96,8 +96,9 @@ def permuted_morans(edges: DataFrame, values: DataFrame, value: str, permutation
     """
     cols = [sample, spot, value] + ([group] if group else [])
     blocks = [F.explode(F.sequence(F.lit(0), F.lit(permutations // block))).alias("block")]
-    left = values.select(*cols, *blocks)
-    right = edges.select(sample, "src", "dst", *blocks)
+    # New names for the columns of both sides, as they may come from one table.
+    left = values.select(*cols, *blocks).toDF(*cols, "block")
+    right = edges.select(sample, "src", "dst", *blocks).toDF(sample, "src", "dst", "block")
 
     def run(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         v = v.sort_values(spot).reset_index(drop=True)
