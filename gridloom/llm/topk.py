@@ -22,6 +22,8 @@ from .common import staged
 
 #: Points of a leaf, which are scored at once.
 LEAF = 64
+#: Queries of a leaf: fewer, as a group's worst score and radius prune for all of it.
+QUERY_LEAF = 16
 
 
 class CoverTree:
@@ -213,7 +215,7 @@ def top_inner_products(
         """Queries (with the k-th score that they have so far) against one block."""
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, x = CoverTree(_vectors(left["v"])), CoverTree(_vectors(right["v"]))
+        q, x = CoverTree(_vectors(left["v"]), QUERY_LEAF), CoverTree(_vectors(right["v"]))
         best = Best(len(left), k)
         floor = left["floor"].to_numpy(float)
         # What is known to be reached elsewhere prunes here; candidates at the floor itself still count.

@@ -1,0 +1,273 @@
+"""Near duplicates, exact and approximate search, quality, secrets and the pipeline against plain Python."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from gridloom.llm import ann, minhash, quality, secret_scan, topk
+from gridloom.llm.components import components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+
+
+def groups_by_hand(rows, k, num, den):
+    def shingles(t):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
+        k_ = min(k, len(words))
+        return {tuple(words[i : i + k_]) for i in range(len(words) - k_ + 1)} if words else set()
+
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), doc), doc)
+    return {doc: (len(sets[i]), least[root(i)]) for i, (doc, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize(("k", "num"), [(3, 85), (5, 80)])
+def test_near_duplicates(spark, k, num):
+    rng = random.Random(k)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randrange(20, 120))]
+        for _ in range(rng.choice([1, 1, 3, 14])):
+            own = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            rows.append(" ".join(own))
+    rows += ["", " \t\n", "one", "ONE", "one two", "One  two", rows[0], rows[0].upper()]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    out = minhash.near_duplicates(docs(spark, rows), k=k, num=num).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == groups_by_hand(rows, k, num, 100)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out) and len(out) == len(rows)
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """A group of many near copies that goes to several blocks, and is as by hand."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            own[rng.randrange(60)] = f"e{rng.randrange(50)}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    out = minhash.near_duplicates(docs(spark, rows), k=3, num=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == groups_by_hand(rows, 3, 85, 100)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    rows = [(None, "same words in here"), (None, "same words in here"), (3, "same words in here"), (3, "same words in here"), (2, None), (9, "same words in here")]
+    frame = docs(spark, rows).withColumn("component_id", F.lit("clash"))
+    out = minhash.near_duplicates(frame).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in out) == [(-1, -1, True), (-1, -1, True), (2, 2, True), (3, 3, True), (3, 3, True), (9, 3, False)]
+    kept = minhash.near_dedup(frame)
+    assert kept.columns == frame.columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 2, 3]
+    assert minhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_circulant_signatures_estimate_similarity():
+    rng = np.random.default_rng(0)
+    every = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    for shared in (500, 1000, 1800):
+        a, b = every[:2000], every[2000 - shared : 4000 - shared]
+        same = (minhash.signature(a) == minhash.signature(b)).mean()
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        assert abs(same - true) < 0.12
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (105, 101), (7, 7), (None, 3)]
+    out = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert out == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100, 105: 100}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def vectors(spark, n, dim=8, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim)).astype(np.float32)
+    x[1::10] = x[0]  # repeated vectors tie
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    odd = [(n, None, 0), (n + 1, [1.0, None] * (dim // 2), 0), (n + 2, [float("nan")] * dim, 0), (n + 3, [float("inf")] * dim, 0), (n + 4, [0.0] * dim, 0), (n + 50 - n % 50, [0.5] * dim, 0)]
+    return spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int"), [(i, np.array(v, np.float64)) for i, v, _ in rows + odd if v and all(c is not None and np.isfinite(c) for c in v)]
+
+
+@pytest.mark.parametrize("block", [10_000, 40])
+def test_exact_top_k(spark, block):
+    frame, rows = vectors(spark, 400)
+    out = topk.top_inner_products(frame, every=50, k=5, block_rows=block).collect()
+    whole = [(i, np.floor(256 * v)) for i, v in rows]
+    want = []
+    for q, v in whole:
+        if q % 50 == 0:
+            best = sorted((-int(v @ x), i) for i, x in whole if i != q)[:5]
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, out)) == sorted(want)
+    few = spark.createDataFrame([(0, [1.0], 0), (7, [2.0], 0)], "vec_id long, embedding array<float>, label int")
+    assert list(map(tuple, topk.top_inner_products(few).collect())) == [(0, 1, 7, 256 * 512)]
+    assert topk.top_inner_products(frame.limit(0)).count() == 0
+
+
+def test_trees_prune():
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.01, (500, 4)) for c in (-10, 0, 10)])
+    q = x[::5] + 0.001
+    seen = 0
+
+    class Counting(topk.Best):
+        def add(self, rows, scores, ids):
+            nonlocal seen
+            seen += scores.size
+            super().add(rows, scores, ids)
+
+    best = Counting(len(q), 3)
+    topk.dual_search(topk.CoverTree(q, 16), np.arange(len(q)) + 10_000, topk.CoverTree(x), np.arange(len(x)), best)
+    want = np.sort(q @ x.T, axis=1)[:, ::-1][:, :3]
+    assert np.allclose(best.scores, want) and seen < q.shape[0] * x.shape[0] / 2
+
+
+def test_nearest(spark):
+    frame, rows = vectors(spark, 3000, 16)
+    rows = [(i, v) for i, v in rows if v.any()]
+    out = ann.nearest(frame, every=100, k=10, block_rows=700, query_rows=9).toPandas()
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    hit = total = 0
+    for q in ids[ids % 100 == 0]:
+        gap = np.sqrt(((x - x[ids == q]) ** 2).sum(axis=1))
+        near = sorted((g, i) for g, i in zip(gap, ids, strict=True) if i != q)[:10]
+        got = out[out["query_id"] == q].sort_values("rank")
+        assert got["rank"].tolist() == list(range(1, 11))
+        assert got["score"].tolist() == [gap[ids == i][0] for i in got["vec_id"]]
+        assert sorted(zip(got["score"], got["vec_id"], strict=True)) == list(zip(got["score"], got["vec_id"], strict=True))
+        hit, total = hit + len({i for _, i in near} & set(got["vec_id"])), total + 10
+    assert hit / total >= 0.9
+    assert ann.nearest(frame.limit(0)).count() == 0
+    few = spark.createDataFrame([(0, [1.0, 0.0], 0), (7, [2.0, 0.0], 0), (8, [1.0], 0)], "vec_id long, embedding array<float>, label int")
+    assert list(map(tuple, ann.nearest(few).collect())) == [(0, 1, 7, 1.0)]
+
+
+def test_parallel_residuals_are_smaller():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 16))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+    def parallel(book):
+        code = book.encode(x)
+        rest = ann.Codebook.pairs(x) - book.words[np.arange(8)[None], code]
+        return np.mean((rest.reshape(len(x), -1) * x).sum(axis=1) ** 2)
+
+    assert parallel(ann.Codebook.train(x, threshold=0.6)) < parallel(ann.Codebook.train(x, threshold=0.0))
+
+
+def test_quality(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["an", "er", "th", "on", "re"]) for _ in range(rng.randrange(1, 5)))
+    good = lambda: " ".join(word() + rng.choice(["", "", "", ",", "."]) for _ in range(rng.randrange(30, 200)))
+    bad = [lambda: " ".join(f"{word()}{rng.choice(['***', '&&&'])}" for _ in range(60)), lambda: " ".join(f"{word().upper()}!!" for _ in range(60)), lambda: " ".join(w for w in [word() for _ in range(8)] for _ in range(12)), lambda: " | ".join(word() * 2 for _ in range(60))]
+    rows = [(i, good() if i % 5 else rng.choice(bad)()) for i in range(500)]
+    frame = docs(spark, [*rows, (1000, None), (1001, " "), (None, good())]).withColumn("kept", F.lit("clash"))
+    model = quality.train(frame, sample=300)
+    out = quality.rate(frame, model).collect()
+    assert len(out) == 503 and all(0 <= r.score <= 1 for r in out)
+    assert np.mean([r.kept == bool(r.doc_id % 5) for r in out if r.doc_id is not None and r.doc_id < 1000]) > 0.97
+    assert all(r.kept for r in out if r.doc_id is not None and r.doc_id < 1000 and r.doc_id % 5)
+    assert not any(r.kept for r in out if r.doc_id in (1000, 1001))
+    nothing = quality.train(frame.limit(0))
+    assert quality.rate(frame.limit(0), nothing).count() == 0
+
+
+def test_accuracies_are_estimated():
+    """Three voters of known accuracy: estimates come near, though no truth is told."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(20_000) < 0.8
+    right = [(0.9, 0.95), (0.85, 0.9), (0.95, 0.8)]
+    counts = {}
+    for t in truth:
+        v = "".join(("1" if rng.random() < g else "0") if t else ("0" if rng.random() < b else "1") for g, b in right)
+        counts[v + "-" * (len(quality.LABELLERS) - 3)] = counts.get(v + "-" * (len(quality.LABELLERS) - 3), 0) + 1
+    _, said = quality.estimate(counts)
+    for s, (g, b) in zip(said[:3], right, strict=True):
+        assert abs(s["good"] - g) < 0.03 and abs(s["bad"] - b) < 0.06
+
+
+def test_secret_scan(spark):
+    rng = random.Random(8)
+    hex_ = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows, secret = [], {}
+    for i in range(120):
+        key = hex_() if i % 3 == 0 else None
+        harmless = rng.choice(["4643485987651234", "12.134.156.178", "mail7.box@mail7.example.com"])
+        rows.append((i, f"some words here {harmless} and" + (f' token = "{key}" then' if key else " none") + " more words"))
+        if key:
+            secret[i] = key
+    frame = docs(spark, [*rows, (None, None), (500, ""), (501, 'password = "a1b2c3d4e5f6a7b8c9d0e1f2" ' + "x1 " * 20_000)]).withColumn("place", F.lit("clash"))
+    out = secret_scan.scan(frame)
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    got = out.collect()
+    found = {r.doc_id: r.value for r in got if r.is_secret and r.doc_id < 500}
+    assert found == secret
+    assert [r.value for r in got if r.doc_id == 501 and r.is_secret] == ["a1b2c3d4e5f6a7b8c9d0e1f2"]
+    assert secret_scan.scan(docs(spark, [])).count() == 0
+    assert not any(r.is_secret for r in secret_scan.scan(docs(spark, [(1, "only 12.134.156.178 here")])).collect())
+    # Labels of one's own decide.
+    labelled = spark.createDataFrame([(v, None, None, 0.0) for v in secret.values()] + [("4643485987651234", None, None, 1.0)], "value string, before string, before2 string, label double")
+    assert not any(r.is_secret for r in secret_scan.scan(frame, labelled).collect() if r.value in set(secret.values()))
+
+
+def test_pipeline(spark, tmp_path):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice(["an", "er", "th", "on", "re"]) for _ in range(rng.randrange(1, 5)))
+    line = "this line stands in many documents and goes from all"
+    rows = []
+    for i in range(60):
+        text = " ".join(word() + rng.choice(["", "", ","]) for _ in range(rng.randrange(40, 120))) + "."
+        rows.append((i, f"{text}\n{line}" if i % 4 == 0 else text))
+    rows += [(100 + i, rows[i][1]) for i in range(5)] + [(200 + i, " ".join([f"{word()}***"] * 50)) for i in range(6)] + [(300, None)]
+    frame = spark.createDataFrame([(i, t, "en", "ab"[i % 2], len(t or "")) for i, t in rows], DOCS)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "mixing", "packing"]
+    now, seen = frame, {}
+    for name, stage in corpus_pipeline.STAGES:
+        now.write.parquet(f"{tmp_path}/{name}.in")
+        now = stage(spark, spark.read.parquet(f"{tmp_path}/{name}.in"), str(tmp_path))
+        if name != "packing":
+            assert now.columns == corpus_pipeline.COLUMNS
+        seen[name] = now.collect()
+    clean = {i for i, _ in rows if i < 105}
+    assert {r.doc_id for r in seen["quality"]} == clean
+    assert sum(line in r.text for r in seen["line_dedup"]) == 1 and {r.doc_id for r in seen["line_dedup"]} == clean
+    # A copy of a document that kept the line differs from it by that line; the group stays one.
+    assert {r.doc_id for r in seen["near_dedup"]} == set(range(60))
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    all_words = sum(size(r.text) for r in seen["near_dedup"])
+    # A budget of almost all or almost nothing of a source can be missed by less than its shortest document.
+    assert abs(sum(size(r.text) for r in seen["mixing"]) - 1.5 * all_words) <= min(size(r.text) for r in seen["near_dedup"])
+    assert {r.doc_id for r in seen["packing"]} == {r.doc_id for r in seen["mixing"]}
+    assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).head()[0] == sum(r.length for r in seen["packing"])
