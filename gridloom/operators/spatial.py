@@ -30,7 +30,9 @@ def knn(df: DataFrame, k: int = 6, sample: str = "sample_id", spot: str = "spot_
     box = own.groupBy("s").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in "xy" for f, n in ((F.min, "lo"), (F.max, "hi"))])
     span = F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y"))
     area = F.greatest((F.col("hi_x") - F.col("lo_x")) * (F.col("hi_y") - F.col("lo_y")), span * span * 1e-6)
-    box = box.select("s", "n", "lo_x", "lo_y", span.alias("span"), F.when(span > 0, F.sqrt(area * k / F.col("n"))).otherwise(1.0).alias("side"))
+    # Points on a line lie as far apart as the span allows; cells are no smaller than that asks for.
+    share = F.least(F.lit(1.0), k / F.col("n"))
+    box = box.select("s", "n", "lo_x", "lo_y", span.alias("span"), F.when(span > 0, F.greatest(F.sqrt(area * share), span * share)).otherwise(1.0).alias("side"))
     placed = own.join(box, "s").withColumn("px", (F.col("x") - F.col("lo_x")) / F.col("side")).withColumn("py", (F.col("y") - F.col("lo_y")) / F.col("side"))
     placed = placed.withColumn("cx", F.floor("px").cast("long")).withColumn("cy", F.floor("py").cast("long")).cache()
     other = placed.select(F.col("s"), F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("cx").alias("gx"), F.col("cy").alias("gy"))
