@@ -18,6 +18,13 @@ def mid_rank(value: str, keys: Sequence[str]) -> Column:
     return F.rank().over(W.partitionBy(*keys).orderBy(value)) + (F.count(F.lit(1)).over(W.partitionBy(*keys, value)) - 1) / 2
 
 
+def corr(a: str, b: str) -> Column:
+    """Pearson's r as an aggregate; null where a side has no spread, which the built-in treats as an error."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    sa, sb = (F.stddev_pop(F.when(both, F.col(c).cast("double"))) for c in (a, b))
+    return F.when((sa > 0) & (sb > 0), F.covar_pop(a, b) / (sa * sb))
+
+
 def tie_sum(value: str, keys: Sequence[str]) -> Column:
     """For each row t^2 - 1 of its t tied rows, whose sum over rows is the sum of t^3 - t over ties."""
     t = F.count(F.lit(1)).over(W.partitionBy(*keys, value)).cast("double")

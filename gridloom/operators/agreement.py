@@ -22,7 +22,7 @@ def pair_correlations(df: DataFrame, item: Sequence[str], value: str, group: str
     a = rows.withColumnRenamed(group, "a").withColumnRenamed("__v", "va")
     b = rows.withColumnRenamed(group, "b").withColumnRenamed("__v", "vb")
     both = a.join(b, [*keys, *item]).where("a < b")
-    return both.groupBy(*keys, "a", "b").agg(F.corr("va", "vb").alias("rho"), F.count("*").alias("n"))
+    return both.groupBy(*keys, "a", "b").agg(stats.corr("va", "vb").alias("rho"), F.count("*").alias("n"))
 
 
 def agreement_summary(pairs: DataFrame, keys: Sequence[str], least: float = 0.3) -> DataFrame:
@@ -33,7 +33,7 @@ def agreement_summary(pairs: DataFrame, keys: Sequence[str], least: float = 0.3)
 def rank_correlation(df: DataFrame, a: str, b: str, keys: Sequence[str]) -> DataFrame:
     """Spearman's rho of two columns within ``keys``."""
     ranked = df.withColumn("__a", stats.mid_rank(a, keys)).withColumn("__b", stats.mid_rank(b, keys))
-    return ranked.groupBy(*keys).agg(F.corr("__a", "__b").alias("rho"), F.count("*").alias("n"))
+    return ranked.groupBy(*keys).agg(stats.corr("__a", "__b").alias("rho"), F.count("*").alias("n"))
 
 
 def halves(genes: DataFrame, seed: int, gene: str = "gene", keys: Sequence[str] = ()) -> DataFrame:
@@ -78,7 +78,7 @@ def profile_pairs(profile: DataFrame, section: str, value: str = "mar", feature:
     a, b = (profile.select(*keys, feature, F.col(section).alias(x), F.col(value).alias(f"v{x}")) for x in "ab")
     both = a.join(b, [*keys, feature]).where("a < b")
     flat = (F.stddev_pop("va") < 1e-10) | (F.stddev_pop("vb") < 1e-10)
-    return both.groupBy(*keys, "a", "b").agg(F.when(flat, 0.0).otherwise(F.corr("va", "vb")).alias("r"), F.count("*").alias("n"))
+    return both.groupBy(*keys, "a", "b").agg(F.when(flat, 0.0).otherwise(stats.corr("va", "vb")).alias("r"), F.count("*").alias("n"))
 
 
 def z_profiles(profile: DataFrame, section: str, value: str = "mar", feature: str = "gene") -> DataFrame:

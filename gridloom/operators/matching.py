@@ -31,7 +31,7 @@ def nearest_vectors(left: DataFrame, right: DataFrame, k: int, sample: str = "sa
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({sample: [], "src": [], "dst": [], "dist": []})
+            return x[[sample]].head(0).assign(src=x["id"].head(0), dst=y["id"].head(0), dist=np.zeros(0))
         y = y.sort_values("id")
         vx, vy = np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy())
         gap = np.sqrt(np.maximum(0.0, 2 - 2 * (vx @ vy.T)))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import is_control_probe
+from gridloom.functions.stats import corr
 
 
 def sample_qc(expression: DataFrame, prefixes: Sequence[str], keys: Sequence[str] = ("sample_id",)) -> DataFrame:
@@ -79,7 +80,7 @@ def signature_report(signatures: DataFrame, panel: DataFrame, least: int = 2) ->
 
 def gene_pearson(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pearson's r of y and its prediction for each of ``keys``; 0 where a side has no spread."""
-    out = predictions.groupBy(*keys).agg(F.corr("y", "yhat").alias("r"), F.stddev_pop("y").alias("sy"), F.stddev_pop("yhat").alias("sp"), F.count("*").alias("n"))
+    out = predictions.groupBy(*keys).agg(corr("y", "yhat").alias("r"), F.stddev_pop("y").alias("sy"), F.stddev_pop("yhat").alias("sp"), F.count("*").alias("n"))
     flat = (F.col("sy") < 1e-10) | (F.col("sp") < 1e-10)
     return out.select(*keys, F.when(flat, 0.0).otherwise(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0))).alias("r"), "n")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import grid_cell, min_max
-from gridloom.functions.stats import mid_rank
+from gridloom.functions.stats import corr, mid_rank
 
 
 def _near_cells(side: Column, reach: Column) -> Column:
@@ -105,7 +105,7 @@ def permuted_morans(edges: DataFrame, values: DataFrame, value: str, permutation
     def run(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         v = v.sort_values(spot).reset_index(drop=True)
         if not len(v):
-            return pd.DataFrame({sample: [], "perm": [], "morans_i": []})
+            return v[[sample]].head(0).assign(perm=np.zeros(0, int), morans_i=np.zeros(0))
         at = {s: i for i, s in enumerate(v[spot])}
         src, dst = e["src"].map(at).to_numpy(int), e["dst"].map(at).to_numpy(int)
         degree = np.bincount(src, minlength=len(v))
@@ -160,12 +160,14 @@ def hulls(df: DataFrame, sample: str = "sample_id") -> DataFrame:
 
     def part(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            yield pd.concat([pd.DataFrame({"s": s, "x": h[:, 0], "y": h[:, 1]}) for s, g in b.groupby("s") for h in [_hull(g[["x", "y"]].to_numpy())]] or [b.head(0)])
+            rows = [(s, x, y) for s, g in b.groupby("s") for x, y in _hull(g[["x", "y"]].to_numpy()).tolist()]
+            yield pd.DataFrame({c: [r[i] for r in rows] for i, c in enumerate(("s", "x", "y"))})
 
     def final(g: pd.DataFrame) -> pd.DataFrame:
         h = _hull(g[["x", "y"]].to_numpy())
         n = np.roll(h, -1, axis=0)
-        return pd.DataFrame({sample: g["s"].iloc[0], "ax": h[:, 0], "ay": h[:, 1], "bx": n[:, 0], "by": n[:, 1]}) if len(h) > 2 else pd.DataFrame({sample: [], "ax": [], "ay": [], "bx": [], "by": []})
+        out = pd.DataFrame({sample: [g["s"].iloc[0]] * len(h), "ax": h[:, 0], "ay": h[:, 1], "bx": n[:, 0], "by": n[:, 1]})
+        return out if len(h) > 2 else out.head(0)  # points on a line have no hull
 
     return own.mapInPandas(part, "s string, x double, y double").groupBy("s").applyInPandas(final, f"`{sample}` string, ax double, ay double, bx double, by double")
 
@@ -206,7 +208,7 @@ def grid_rho(grid: DataFrame, section: str = "sample_id", least: int = 10) -> Da
     a, b = (grid.select(F.col(section).alias(x), "cx", "cy", F.col("mean").alias(f"v{x}")) for x in "ab")
     both = a.join(b, ["cx", "cy"]).where("a < b")
     ranked = both.withColumn("ra", mid_rank("va", ["a", "b"])).withColumn("rb", mid_rank("vb", ["a", "b"]))
-    return ranked.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("r")).withColumn("rho", F.when(F.col("n") >= least, F.col("r")).otherwise(0.0)).drop("r")
+    return ranked.groupBy("a", "b").agg(F.count("*").alias("n"), corr("ra", "rb").alias("r")).withColumn("rho", F.when(F.col("n") >= least, F.col("r")).otherwise(0.0)).drop("r")
 
 
 def grid_dice(grid: DataFrame, section: str = "sample_id", least: int = 5) -> DataFrame:

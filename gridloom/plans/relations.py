@@ -299,7 +299,7 @@ def a71_interior_comparison(spark: SparkSession, d: str) -> DataFrame:
     rows = T.sides(T.tails(D.cond(spark, d).join(inner, ["patient", "spot_id"], "left_semi"), "d_cond", ["patient"])).select("patient", "spot_id", "side")
     own = T.de_table(rows.join(V.cells(spark, d).select("spot_id", "gene", "y"), "spot_id"), ["patient"], exact=False)
     both = D.de(spark, d).select("patient", "gene", F.col("cohens_d").alias("full_d"), (F.col("fdr") < 0.5).alias("full")).join(own.select("patient", "gene", F.col("cohens_d").alias("inner_d"), (F.col("fdr") < 0.5).alias("inner")), ["patient", "gene"])
-    return both.groupBy("patient").agg(F.corr("full_d", "inner_d").alias("r"), F.count_if(F.col("full") & F.col("inner")).alias("n_both"), F.count_if(F.col("full") & ~F.col("inner")).alias("n_full_only"), F.count_if(~F.col("full") & F.col("inner")).alias("n_inner_only"))
+    return both.groupBy("patient").agg(stats.corr("full_d", "inner_d").alias("r"), F.count_if(F.col("full") & F.col("inner")).alias("n_both"), F.count_if(F.col("full") & ~F.col("inner")).alias("n_full_only"), F.count_if(~F.col("full") & F.col("inner")).alias("n_inner_only"))
 
 
 @query(with_views("scores") + ", " + edges_sql("scores", "total", "cohort, encoder", 10) + " SELECT 'spots' AS metric, cohort, CAST(count(DISTINCT spot_id) AS DOUBLE) AS value FROM scores GROUP BY ALL UNION ALL SELECT 'mean d_raw', cohort, round(avg(d_raw), 6) FROM scores GROUP BY ALL UNION ALL SELECT 'bins', cohort, CAST(count(DISTINCT bin) AS DOUBLE) FROM binned GROUP BY ALL")
