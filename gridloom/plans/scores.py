@@ -134,12 +134,12 @@ def p26_names(spark: SparkSession, d: str) -> DataFrame:
     return V.read_table(spark, d, "nation").select("n_nationkey", source.alias("source"), C.pathway_name(n).alias("display"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_discount AS p, CASE WHEN l_discount < 0.001 THEN '***' WHEN l_discount < 0.01 THEN '**' WHEN l_discount < 0.05 THEN '*' ELSE '' END AS stars, round(-log10(greatest(l_discount, 1e-300)), 6) AS height, round(-log10(1 - least(l_discount, 0.9999) + 1e-10), 6) AS repro, round(l_tax - 1.96 * l_discount, 6) AS low, round(l_tax + 1.96 * l_discount, 6) AS high, sign(l_tax - 0.02) = sign(l_discount - 0.03) AS same FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_discount AS p, CASE WHEN l_discount < 0.001 THEN '***' WHEN l_discount < 0.01 THEN '**' WHEN l_discount < 0.05 THEN '*' ELSE '' END AS stars, round(-log10(greatest(l_discount, 1e-300)), 6) AS height, round(-log10(1 - least(l_discount, 0.9999) + 1e-10), 6) + 0.0 AS repro, round(l_tax - 1.96 * l_discount, 6) AS low, round(l_tax + 1.96 * l_discount, 6) AS high, sign(l_tax - 0.02) = sign(l_discount - 0.03) AS same FROM lineitem")
 def p28_report_columns(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("l_discount")
     own = V.read_table(spark, d, "lineitem")
     ends = C.interval95(F.col("l_tax"), p)
-    return own.select("l_orderkey", "l_linenumber", p.alias("p"), C.stars(p).alias("stars"), r6(C.volcano(p), "height"), r6(C.reproducibility_height(p), "repro"), r6(ends["low"], "low"), r6(ends["high"], "high"), C.same_sign(F.col("l_tax") - 0.02, p - 0.03).alias("same"))
+    return own.select("l_orderkey", "l_linenumber", p.alias("p"), C.stars(p).alias("stars"), r6(C.volcano(p), "height"), (F.round(C.reproducibility_height(p), 6) + 0.0).alias("repro"), r6(ends["low"], "low"), r6(ends["high"], "high"), C.same_sign(F.col("l_tax") - 0.02, p - 0.03).alias("same"))
 
 
 @query(with_views("points") + """, b AS (SELECT sample_id, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM points GROUP BY ALL),
