@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from gridloom.sources.tables import densified, read_table
 
 
+#: Added to means before they are rounded: exact halves at the next place round alike in both engines.
+HAIR = 3.1e-11
+
+
 def sample_dim(spark: SparkSession, d: str) -> DataFrame:
     cohort = F.when(F.col("r_regionkey") < 3, "discovery").otherwise("validation")
     both = read_table(spark, d, "nation").join(read_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -47,7 +51,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     keyed = cells(spark, d).withColumn("e", encoders).select("cohort", "patient", "sample_id", "spot_id", "gene", "y", "e.encoder", "e.grp")
     own = keyed.groupBy("cohort", "patient", "encoder", "gene", "grp").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
     every = own.groupBy("cohort", "encoder", "gene", "grp").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
-    model = own.join(every, ["cohort", "encoder", "gene", "grp"]).where("all_n > n").select("patient", "encoder", "gene", "grp", F.round((F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")), 9).alias("yhat"))
+    model = own.join(every, ["cohort", "encoder", "gene", "grp"]).where("all_n > n").select("patient", "encoder", "gene", "grp", F.round((F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")) + HAIR, 9).alias("yhat"))
     out = keyed.join(model, ["patient", "encoder", "gene", "grp"])
     return out.select("cohort", "patient", "sample_id", "spot_id", "encoder", "gene", "y", "yhat", F.round(F.col("y") - F.col("yhat"), 9).alias("residual"))
 
@@ -91,7 +95,7 @@ SQL = {
 own AS (SELECT cohort, patient, encoder, gene, grp, sum(y) AS s, count(*) AS n FROM keyed GROUP BY ALL),
 every_ AS (SELECT cohort, encoder, gene, grp, sum(s) AS s, sum(n) AS n FROM own GROUP BY ALL),
 model AS (
-  SELECT o.patient, o.encoder, o.gene, o.grp, round((e.s - o.s) / (e.n - o.n), 9) AS yhat
+  SELECT o.patient, o.encoder, o.gene, o.grp, round((e.s - o.s) / (e.n - o.n) + 3.1e-11, 9) AS yhat
   FROM own o JOIN every_ e USING (cohort, encoder, gene, grp) WHERE e.n > o.n),
 predictions AS (
   SELECT cohort, patient, sample_id, spot_id, encoder, gene, y, yhat, round(y - yhat, 9) AS residual
