@@ -46,7 +46,7 @@ def halves(genes: DataFrame, seed: int, gene: str = "gene", keys: Sequence[str]
 def split_half(predictions: DataFrame, tracks: DataFrame, keys: Sequence[str], least: int = 10) -> DataFrame:
     """Spearman's rho over spots of the mean absolute residuals of the two gene halves."""
     own = predictions.join(F.broadcast(tracks.select("gene", "track")), "gene")  # a row for each gene of the panel
-    spots = own.groupBy(*keys, "spot_id").agg(*[F.round(F.avg(F.when(F.col("track") == t, F.abs("residual"))), 9).alias(t.lower()) for t in "AB"])
+    spots = own.groupBy(*keys, "spot_id").agg(*[F.round(F.avg(F.when(F.col("track") == t, F.abs("residual"))) + stats.HAIR, 9).alias(t.lower()) for t in "AB"])
     return rank_correlation(spots, "a", "b", keys).where(F.col("n") >= least)
 
 
@@ -57,7 +57,7 @@ def subsampled(predictions: DataFrame, genes: DataFrame, sizes: Sequence[int], s
     plan = plan.withColumn("n_genes", F.explode(F.array(*map(F.lit, sizes)))).where(F.col("__p") <= 2 * F.col("n_genes"))
     plan = plan.withColumn("track", F.when(F.col("__p") <= F.col("n_genes"), "A").otherwise("B")).drop("__p")
     own = predictions.join(F.broadcast(plan), "gene")  # splits x genes, whatever the spots
-    spots = own.groupBy(*keys, "n_genes", "split", "spot_id").agg(*[F.round(F.avg(F.when(F.col("track") == t, F.abs("residual"))), 9).alias(t.lower()) for t in "AB"])
+    spots = own.groupBy(*keys, "n_genes", "split", "spot_id").agg(*[F.round(F.avg(F.when(F.col("track") == t, F.abs("residual"))) + stats.HAIR, 9).alias(t.lower()) for t in "AB"])
     return rank_correlation(spots, "a", "b", [*keys, "n_genes", "split"]).where(F.col("n") >= least)
 
 
@@ -70,7 +70,7 @@ def distribution(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
 
 def profiles(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean absolute residual of each section and gene."""
-    return predictions.groupBy(*keys, "gene").agg(F.round(F.avg(F.abs("residual")), 9).alias("mar"))
+    return predictions.groupBy(*keys, "gene").agg(F.round(F.avg(F.abs("residual")) + stats.HAIR, 9).alias("mar"))
 
 
 def profile_pairs(profile: DataFrame, section: str, value: str = "mar", feature: str = "gene", keys: Sequence[str] = ()) -> DataFrame:

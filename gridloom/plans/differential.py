@@ -239,7 +239,7 @@ def a38_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_sql(keys: str, tracks: str) -> str:
-    return f""", tracks AS ({tracks}), sp AS (SELECT {keys}, spot_id, round(avg(abs(residual)) FILTER (track = 'A'), 9) AS a, round(avg(abs(residual)) FILTER (track = 'B'), 9) AS b FROM predictions JOIN tracks USING (gene) GROUP BY ALL),
+    return f""", tracks AS ({tracks}), sp AS (SELECT {keys}, spot_id, round(avg(abs(residual)) FILTER (track = 'A') + 3.1e-11, 9) AS a, round(avg(abs(residual)) FILTER (track = 'B') + 3.1e-11, 9) AS b FROM predictions JOIN tracks USING (gene) GROUP BY ALL),
 sr AS (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY a) + (count(*) OVER (PARTITION BY {keys}, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY {keys} ORDER BY b) + (count(*) OVER (PARTITION BY {keys}, b) - 1) / 2.0 AS rb FROM sp)"""
 
 
@@ -272,7 +272,7 @@ def a42_subsampling_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views("predictions") + split_sql("sample_id", "SELECT gene, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('|', '42', gene))) <= (SELECT count(*) FROM panel) // 2 THEN 'A' ELSE 'B' END AS track FROM panel") + " SELECT sample_id, spot_id, round(a, 6) AS a, round(b, 6) AS b FROM sp")
 def a43_tracks(spark: SparkSession, d: str) -> DataFrame:
     own = V.predictions(spark, d).join(A.halves(V.panel(spark, d), 42), "gene")
-    return own.groupBy("sample_id", "spot_id").pivot("track", ["A", "B"]).agg(F.avg(F.abs("residual"))).select("sample_id", "spot_id", r6("A", "a"), r6("B", "b"))
+    return own.groupBy("sample_id", "spot_id").pivot("track", ["A", "B"]).agg(F.round(F.avg(F.abs("residual")) + stats.HAIR, 9)).select("sample_id", "spot_id", r6("A", "a"), r6("B", "b"))
 
 
 @query(with_views("scores") + ", " + edges_sql("scores", "total", "cohort, encoder", 10) + """, c AS (SELECT *, round(d_raw - avg(d_raw) OVER (PARTITION BY cohort, encoder, bin), 9) AS d_cond FROM binned),
@@ -302,7 +302,7 @@ def a62_visible_genes(spark: SparkSession, d: str) -> DataFrame:
     return wide.crossJoin(F.broadcast(q)).select("gene", (F.col("row_min") > F.col("q75")).alias("visible"), (F.col("row_range") > F.col("q90")).alias("specific"))  # one row of thresholds
 
 
-@query(with_views("predictions") + ", g AS (SELECT cohort, gene, round(avg(abs(residual)), 9) AS m FROM predictions GROUP BY ALL), b AS (SELECT x.gene, x.m AS a, y.m AS b FROM g x JOIN g y ON x.gene = y.gene WHERE x.cohort = 'discovery' AND y.cohort = 'validation'), r AS (SELECT *, rank() OVER (ORDER BY a) AS ra, rank() OVER (ORDER BY b) AS rb FROM b) SELECT round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, CAST(count(*) AS BIGINT) AS n FROM r")
+@query(with_views("predictions") + ", g AS (SELECT cohort, gene, round(avg(abs(residual)) + 3.1e-11, 9) AS m FROM predictions GROUP BY ALL), b AS (SELECT x.gene, x.m AS a, y.m AS b FROM g x JOIN g y ON x.gene = y.gene WHERE x.cohort = 'discovery' AND y.cohort = 'validation'), r AS (SELECT *, rank() OVER (ORDER BY a) AS ra, rank() OVER (ORDER BY b) AS rb FROM b) SELECT round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, CAST(count(*) AS BIGINT) AS n FROM r")
 def a63_cohort_agreement(spark: SparkSession, d: str) -> DataFrame:
     g = A.profiles(V.predictions(spark, d), ["cohort"])
     p = A.pair_correlations(g, ["gene"], "mar", "cohort", ranks=False).select("a", "b", r6("rho", "pearson"))

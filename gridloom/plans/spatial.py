@@ -125,7 +125,7 @@ def a51_grid_dice(spark: SparkSession, d: str) -> DataFrame:
     return S.grid_dice(grid(spark, d)).select("a", "b", r6("dice"))
 
 
-_PROFILE = ", prof AS (SELECT patient, sample_id, gene, round(avg(abs(residual)), 9) AS mar FROM predictions GROUP BY ALL), pairs AS (SELECT x.sample_id AS a, y.sample_id AS b, x.patient AS pa, y.patient AS pb, corr(x.mar, y.mar) AS r FROM prof x JOIN prof y ON x.gene = y.gene AND x.sample_id < y.sample_id GROUP BY ALL)"
+_PROFILE = ", prof AS (SELECT patient, sample_id, gene, round(avg(abs(residual)) + 3.1e-11, 9) AS mar FROM predictions GROUP BY ALL), pairs AS (SELECT x.sample_id AS a, y.sample_id AS b, x.patient AS pa, y.patient AS pb, corr(x.mar, y.mar) AS r FROM prof x JOIN prof y ON x.gene = y.gene AND x.sample_id < y.sample_id GROUP BY ALL)"
 
 
 def section_profiles(spark: SparkSession, d: str) -> DataFrame:
