@@ -102,7 +102,8 @@ def test_false_discovery_rate(spark, ps):
     want = [min(1.0, *[own[j] * len(own) / (j + 1) for j in range(i, len(own))]) for i in range(len(own))]
     # Equal p share the smallest of their q.
     assert got == pytest.approx([min(w for q, w in zip(own, want, strict=True) if q == p) for p in own])
-    assert all(q >= p for p, q in zip(own, got, strict=True))
+    # p * n / n can fall one unit of the last place below p.
+    assert all(q >= p * (1 - 1e-15) for p, q in zip(own, got, strict=True))
 
 
 def test_mid_ranks(spark):
