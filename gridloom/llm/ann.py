@@ -4,7 +4,10 @@ The nearest row has the largest <q, x> - |x|^2 / 2. Half the squared norm is kep
 and the inner product is approximated: x is cut into pairs of components, each coded by
 one of 16 codewords, and both codes and codewords minimise a loss in which the residual
 parallel to x weighs more than the rest. A query scans the codes with tables of 16 sums
-for each pair, two codes a byte; the best are ranked again by exact distance.
+for each pair, two codes a byte; the best are ranked by exact distance. Each row also
+keeps how far it is from what its code stands for. By the triangle inequality no row is nearer
+than its code less that gap, so every row whose bound does not exceed the k-th exact distance
+is ranked exactly too, and none that is nearer is lost.
 """
 
 from __future__ import annotations
@@ -90,10 +93,15 @@ class Codebook:
         code = self.encode(x).astype(np.uint8)
         return code[:, ::2] | code[:, 1::2] << 4
 
+    def decode(self, packed: np.ndarray) -> np.ndarray:
+        """The vectors that packed codes stand for."""
+        code = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(packed), -1)
+        return self.words[np.arange(code.shape[1])[None], code].reshape(len(code), -1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For a query, the inner products behind each byte of two codes."""
         t = np.einsum("sd,skd->sk", self.pairs(q[None])[0], self.words)
-        return (t[1::2, :, None] + t[::2, None, :]).reshape(len(t) // 2, 256).astype(np.float32)
+        return (t[1::2, :, None] + t[::2, None, :]).reshape(len(t) // 2, 256)
 
 
 def sound(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -107,6 +115,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    apart = x - v
+    return np.sqrt((apart * apart).sum(axis=1))
+
+
 def nearest(
     vectors: DataFrame,
     every: int = 100,
@@ -119,12 +132,13 @@ def nearest(
     vector_col: str = "embedding",
     seed: int = 9,
 ) -> DataFrame:
-    """For each row whose id is divisible by ``every``, the k nearest other rows that are found, by Euclidean distance.
+    """For each row whose id is divisible by ``every``, the k nearest other rows, by Euclidean distance.
 
     Returns ``query_id``, ``rank`` from 1, ``vec_id``, ``score`` (the distance between the
-    original vectors in double precision). All rows are indexed; codewords are fitted on
-    at most about ``sample`` rows of a seeded hash. A query's ``candidates`` best rows by
-    the code tables, ties to the smaller id, are ranked exactly; all if there are fewer.
+    original vectors in double precision). All rows are indexed; the codewords of a length
+    are fitted on about ``sample`` rows of it by a seeded hash, fewer where there are many
+    lengths. In each block of rows, a query's ``candidates`` best rows by the code tables are
+    ranked exactly, and then all rows that can be as near as the k-th of them.
 
     * Vectors that are null, zero or hold a null or non-finite component take no part, nor
       do rows with a null id. Vectors are compared with those of their own length.
@@ -132,13 +146,12 @@ def nearest(
     """
     spark = vectors.sparkSession
     rows = sound(vectors, id_col, vector_col)
-    n = rows.count()
+    lengths = rows.groupBy("dim").agg(F.count("*").alias("n"))
+    n, kinds = lengths.agg(F.sum("n"), F.count("*")).head()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    share = min(1.0, sample / n)
-    some = rows.where(F.xxhash64(F.lit(seed), "vec_id", "v") / F.lit(2.0**64) + 0.5 <= share).select("dim", "v").toPandas()
-    if not len(some):
-        some = rows.limit(1).select("dim", "v").toPandas()
+    share = F.broadcast(lengths.select("dim", (max(sample // kinds, 4 * WORDS) / F.col("n")).alias("share")))
+    some = rows.join(share, "dim").where(F.xxhash64(F.lit(seed), "vec_id", "v") / F.lit(2.0**64) + 0.5 <= F.col("share")).select("dim", "v").toPandas()
     books = {int(d): Codebook.train(np.stack([np.asarray(v, float) for v in g["v"]])) for d, g in some.groupby("dim")}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +160,19 @@ def nearest(
             for d in np.unique(dims):
                 own = b.take(pa.array(np.flatnonzero(dims == d)))
                 x = matrix(own.column("v"))
-                # A length that the sample lacks is coded by one codeword: its rows tie and are taken by id.
+                # A length that the sample lacks has one code, that of 0.
                 code = books[int(d)].packed(x) if int(d) in books else np.zeros((len(x), 1), np.uint8)
-                yield pa.RecordBatch.from_arrays([own.column("vec_id"), own.column("dim"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array((x * x).sum(axis=1) / 2)], names=["vec_id", "dim", "code", "half"])
+                like = books[int(d)].decode(code) if int(d) in books else np.zeros_like(x)
+                rest = np.pad(x, ((0, 0), (0, like.shape[1] - x.shape[1]))) - like
+                with np.errstate(over="ignore"):
+                    single = x.astype(np.float32)
+                raw = single if (single == x).all() else x
+                binary = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
+                sums = [pa.array(z) for z in ((x * x).sum(axis=1) / 2, (like * like).sum(axis=1) / 2, np.sqrt((rest * rest).sum(axis=1)))]
+                yield pa.RecordBatch.from_arrays([own.column("vec_id"), own.column("dim"), binary(code), *sums, binary(raw)], names=["vec_id", "dim", "code", "half", "code_half", "gap", "x"])
 
     blocks = max(1, -(-n // block_rows))
-    coded = staged(rows.mapInArrow(index, "vec_id long, dim int, code binary, half double"), "codes")
+    coded = staged(rows.mapInArrow(index, "vec_id long, dim int, code binary, half double, code_half double, gap double, x binary"), "codes")
     held = coded.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(blocks)).cast("int"))
     parts = max(1, -(-n // every // query_rows))
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
@@ -169,40 +189,36 @@ def nearest(
             if not len(own):
                 continue
             raw = np.frombuffer(b"".join(own.column("code").to_pylist()), np.uint8).reshape(len(own), -1).T.copy()
-            ids, half = own.column("vec_id").to_numpy(), own.column("half").to_numpy().astype(np.float32)
+            x = np.stack([np.frombuffer(r, np.float64 if len(r) == 8 * d else np.float32) for r in own.column("x").to_pylist()]).astype(np.float64)
+            ids, half, code_half, gap = (own.column(c).to_numpy() for c in ("vec_id", "half", "code_half", "gap"))
             mine = asked.filter(pa.compute.equal(asked.column("dim"), int(d)))
             for q, vector in zip(mine.column("vec_id").to_pylist(), mine.column("v").to_pylist(), strict=True):
-                score = -half
+                v = np.array(vector)
+                vv, others = v @ v, ids != q
+                inner = np.zeros(len(ids))
                 if int(d) in books:
-                    for table, byte in zip(books[int(d)].tables(np.array(vector)), raw, strict=True):
-                        score = score + table[byte]
-                score[ids == q] = -np.inf
+                    for table, byte in zip(books[int(d)].tables(v), raw, strict=True):
+                        inner += table[byte]
+                score = np.where(others, inner - half, -np.inf)
                 top = min(candidates, len(score))
-                least = np.partition(score, len(score) - top)[len(score) - top]
-                best = np.flatnonzero(score > least)
-                best = np.r_[best, np.flatnonzero(score == least)[: top - len(best)]]
-                best = best[np.isfinite(score[best])]
+                first = np.argpartition(score, len(score) - top)[len(score) - top :]
+                first = np.sort(distances(x[first[others[first]]], v))
+                limit = first[k - 1] if len(first) >= k else np.inf
+                # Rounding is allowed for: a bound that is too low costs a comparison only.
+                least = np.sqrt(np.maximum(vv + 2 * (code_half - inner) - 1e-12 * (vv + 2 * code_half), 0)) - gap * (1 + 1e-12)
+                may = np.flatnonzero(others & ~(least > limit * (1 + 1e-12)))
+                dots = (x @ v)[may] if 2 * len(may) > len(x) else x[may] @ v
+                square = vv + 2 * (half[may] - dots)
+                may = may[~(square > limit * limit * (1 + 1e-12) + 1e-12 * (vv + 2 * half[may]))]
+                far = distances(x[may], v)
+                may, far = may[np.isfinite(far)], far[np.isfinite(far)]
+                best = np.lexsort((ids[may], far))[:k]
                 out_q.append(np.full(len(best), q))
-                out_x.append(ids[best])
-                out_s.append(score[best])
+                out_x.append(ids[may[best]])
+                out_s.append(far[best])
         flat = lambda xs, kind: pa.array(np.concatenate(xs) if xs else np.zeros(0), kind)
-        return pa.table({"query_id": flat(out_q, pa.int64()), "vec_id": flat(out_x, pa.int64()), "near": flat(out_s, pa.float32())})
+        return pa.table({"query_id": flat(out_q, pa.int64()), "vec_id": flat(out_x, pa.int64()), "score": flat(out_s, pa.float64())})
 
-    found = left.select("block", "part", "vec_id", "dim", "v").groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(scan, "query_id long, vec_id long, near float")
-    turn = W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    found = found.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= candidates).select("query_id", "vec_id")
-    found = staged(found.distinct(), "found")  # rows that share an id meet once; each row of the id is joined below
-    pairs = found.join(rows.select("vec_id", "v"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            score = []
-            for x, q in zip(b.column("v").to_pylist(), b.column("q").to_pylist(), strict=True):
-                gap = np.array(q) - np.array(x) if len(x) == len(q) else np.array([np.inf])
-                score.append(float(np.sqrt((gap * gap).sum())))
-            out = pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vec_id"), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
-            yield out.filter(pa.compute.is_finite(out.column("score")))
-
-    scored = pairs.select("query_id", "vec_id", "v", "q").mapInArrow(measure, "query_id long, vec_id long, score double")
+    found = left.select("block", "part", "vec_id", "dim", "v").groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(scan, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

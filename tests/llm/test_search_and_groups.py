@@ -172,6 +172,20 @@ def test_nearest(spark):
     assert list(map(tuple, ann.nearest(few).collect())) == [(0, 1, 7, 1.0)]
 
 
+def test_nearest_in_a_dense_group(spark):
+    """A third of the rows are near copies that share one code, and a rare length has more rows than the first round takes."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 16))
+    x[::3] = x[0] + rng.normal(size=(500, 16)) * 1e-3
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(10_000 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 5)))], "vec_id long, embedding array<double>")
+    out = ann.nearest(frame, every=50, k=10, candidates=20, block_rows=700, sample=300).toPandas()
+    every = [(r.vec_id, np.array(r.embedding)) for r in frame.collect()]
+    for q, v in every:
+        if q % 50 == 0:
+            near = sorted((np.sqrt(((y - v) ** 2).sum()), i) for i, y in every if i != q and len(y) == len(v))[:10]
+            assert out[out["query_id"] == q].sort_values("rank")["vec_id"].tolist() == [i for _, i in near]
+
+
 def test_parallel_residuals_are_smaller():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 16))
