@@ -4,7 +4,8 @@ Neither pre-tokenizer joins what a space or a line break divides, nor a letter a
 ASCII mark behind it. So texts are cut there, and the ids of a piece are remembered: the
 library encodes each piece once in a while instead of each time. Cutting, looking up and
 putting together work on whole batches. Texts with other white space, or with white space
-in a row where that matters, go to the library as they are. Tests hold the result against
+in a row where that matters, go to the library as they are, and so do texts with the content
+of an added token, which the library takes out before it cuts. Tests hold the result against
 one call for the whole text.
 """
 
@@ -48,16 +49,21 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> Encoder:
         if path not in _OPEN:
-            _OPEN[path] = cls(path)
+            _OPEN[path] = cls(path, literal=False)
         return _OPEN[path]
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, literal: bool = True) -> None:
+        """literal: whether added tokens in a text are text like any other; else, as is the library's default, each is one id."""
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
         self.size = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as f:
-            #: Whether white space is dropped and letters are lowered; else a space belongs to the word behind it.
-            self.word_ends = bool(json.load(f)["normalizer"])
+            said = json.load(f)
+        #: Whether white space is dropped and letters are lowered; else a space belongs to the word behind it.
+        self.word_ends = bool(said["normalizer"])
+        self.added = [] if literal else [t["content"] for t in said["added_tokens"]]
+        # Where an added token is looked for in the normalised text, no text is cut.
+        self.uncut = not literal and any(t["normalized"] for t in said["added_tokens"])
         # Stands between pieces that are encoded in one call, and always is one id of its own.
         self.bar = " 0 " if self.word_ends else "\n"
         self.bar_id = int(np.frombuffer(self._whole(self.bar), WORD)[0])
@@ -116,6 +122,8 @@ class Encoder:
         """Whether the cuts are right whatever stands around them."""
         if not text.isascii() and not self.word_ends and _OTHER_BLANKS.search(text):
             return False
+        if self.uncut or any(t in text for t in self.added):
+            return False
         return "\u0130" not in text  # it is lowered to a letter and a mark, which would join the marks behind it
 
     def _batch(self, texts: list[str]) -> list[bytes]:

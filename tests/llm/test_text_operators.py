@@ -140,6 +140,22 @@ def test_encoding_equals_one_call(path):
         assert np.frombuffer(g, "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids, ascii(t)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_added_tokens_are_as_in_the_library(spark, path):
+    """Against the library as it comes: an added token in a text is one id."""
+    whole, rng = Tokenizer.from_file(path), random.Random(6)
+    parts = [" ", "\n", "a", "The", "'s", "é", "0", "!", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|", "|>", "endoftext", "."]
+    texts = ["end <|endoftext|> of", "a<|startoftext|>b", "<|endoftext|>"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 12))) for _ in range(1000)]
+    got = Encoder.of(path).ids(texts)
+    for t, g in zip(texts, got, strict=True):
+        assert np.frombuffer(g, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, ascii(t)
+    rows = [(i, t, "a") for i, t in enumerate(texts[:20])]
+    sizes = {i: len(whole.encode(t, add_special_tokens=False).ids) + 1 for i, t, _ in rows}
+    assert {r.doc_id: r.doc_tokens for r in packing.pack(docs(spark, rows), path).select("doc_id", "doc_tokens").collect()} == sizes
+    store = tokenbin.TokenStore.write(docs(spark, rows), path)
+    assert {r.doc_id: r.n_tokens for r in store.read(docs(spark, rows).select(F.col("doc_id").alias("key"))).collect()} == sizes
+
+
 def test_packing(spark):
     rng, whole = random.Random(2), plain(BYTE)
     rows = [(i, " ".join(rng.choice(["alpha", "beta,", "ß", "gamma\n"]) for _ in range(rng.choice([3, 40, 300, 1500, 5000]))), "a") for i in range(80)] + [(None, None, None), (5, "again", "b"), (5, "again", "b")]
