@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 from .common import staged
 
 BLANK = r"[\x20\x09-\x0D]+"
-#: A candidate is the longest such run of a word, if it has a digit.
+#: Each such run of a word is a candidate.
 CORE = r"[A-Za-z0-9][A-Za-z0-9+/=_.@:\-]{11,}"
 # Names that stand before secrets, and marks between name and value.
 NAMES = ["api", "apikey", "auth", "bearer", "credential", "key", "passwd", "password", "private", "pwd", "secret", "token"]
 MARKS = ["=", ":", ":=", "=>", "==", "is"]
+ANY_NAME = "(?:" + "|".join(NAMES) + ")"
+#: A name, perhaps in quotes, and a mark at the end of what stands in front of a run in its word.
+FRONT = r"""([A-Za-z0-9_.\-]+)["'`]*(=>|:=|==|=|:)["'`(\[{]*$"""
 # Parts of paths that hold examples rather than live secrets.
 HARMLESS_PATHS = ["demo", "doc", "example", "fixture", "mock", "sample", "test"]
 
@@ -37,7 +40,7 @@ def _bare(word: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
-    """Candidates with their place (number of the word), neighbours and path."""
+    """Candidates with their place (number of the word) and part (number of the run in it), neighbours and path."""
     words = F.split(F.coalesce(F.col(text_col), F.lit("")), BLANK)
     before = lambda n: F.concat(F.array(*[F.lit("")] * n), words)
     zipped = F.arrays_zip(
@@ -47,12 +50,21 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
         F.slice(words, F.lit(2), F.size(words)).alias("after"),
         F.sequence(F.lit(0), F.size(words)).alias("place"),
     )
-    likely = F.filter(zipped, lambda x: (F.length(x["word"]) >= 12) & x["word"].rlike(CORE) & x["word"].rlike("[0-9]"))
+    likely = F.filter(zipped, lambda x: (F.length(x["word"]) >= 12) & x["word"].rlike(CORE))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.explode(likely).alias("x"))
-    core = F.regexp_extract("x.word", CORE, 0)
-    rows = rows.select("doc_id", "path", F.col("x.place").alias("place"), F.col("x.word").alias("word"), "x.before", "x.before2", "x.after", core.alias("value"))
-    return rows.where(F.col("value").rlike("[0-9]"))
+    # The runs of a word, and what stands in front of each and behind the last.
+    rows = rows.select("doc_id", "path", "x.*", F.regexp_extract_all("x.word", F.lit(CORE), F.lit(0)).alias("runs"), F.split("x.word", CORE, -1).alias("gaps"))
+    ahead = lambda n: F.concat(F.array(*[F.lit("")] * n), F.col("runs"))
+    parts = F.arrays_zip(F.col("runs").alias("value"), F.col("gaps").alias("gap"), F.slice("gaps", F.lit(2), F.size("gaps")).alias("behind"), ahead(1).alias("run"), ahead(2).alias("run2"))
+    rows = rows.select("doc_id", "path", "place", "before", "before2", "after", F.posexplode(parts).alias("part", "y")).where("y.value is not null")
+    front = F.concat("y.run", "y.gap")
+    name, mark = F.regexp_extract(front, FRONT, 1), F.regexp_extract(front, FRONT, 2)
+    # The neighbours inside the word come first: a name and its mark, or else the runs in front.
+    inner, first = name != "", F.col("part") == 0
+    before = F.when(inner, mark).when(first, F.col("before")).otherwise(F.col("y.run"))
+    before2 = F.when(inner, name).when(first, F.col("before2")).when(F.col("part") == 1, F.col("before")).otherwise(F.col("y.run2"))
+    return rows.select("doc_id", "path", "place", "part", front.alias("front"), F.concat("y.gap", "y.behind").alias("around"), before.alias("before"), before2.alias("before2"), "after", "y.value")
 
 
 def dictionary(docs: DataFrame, text_col: str, least: int) -> DataFrame:
@@ -69,7 +81,7 @@ def described(found: DataFrame, known: DataFrame) -> DataFrame:
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     longest = lambda pattern: F.coalesce(F.array_max(F.transform(F.regexp_extract_all(v, F.lit(pattern), F.lit(0)), lambda x: F.length(x))), F.lit(0)) / n
     named = F.array_contains(F.array(*map(F.lit, NAMES)), _bare(F.col("before"))) | F.array_contains(F.array(*map(F.lit, NAMES)), _bare(F.col("before2")))
-    inside = F.lower("word").rlike(r"(" + "|".join(NAMES) + r")[\"']?[:=]")
+    inside = F.lower("value").rlike(ANY_NAME + "[:=]") | F.lower("front").rlike(ANY_NAME + r"""["'`]*(=>|:=|==|=|:)["'`(\[{]*$""")
     path = F.lower("path")
     columns = {
         "length": n,
@@ -88,7 +100,7 @@ def described(found: DataFrame, known: DataFrame) -> DataFrame:
         "covered": F.coalesce("known", F.lit(0)) / n,
         "named": (named | inside).cast("double"),
         "marked": (F.col("before").isin(MARKS) | F.col("before").rlike("[:=]$") | inside).cast("double"),
-        "quoted": F.col("word").rlike("^\\S*[\"'`]").cast("double"),
+        "quoted": F.col("around").rlike("[\"'`]").cast("double"),
         "address": v.rlike(r"@|://|^[0-9.:]+$").cast("double"),
         "path_harmless": reduce(lambda a, b: a | b, [path.contains(x) for x in HARMLESS_PATHS]).cast("double"),
         "path_depth": F.regexp_count(path, F.lit("/")).cast("double"),
@@ -97,11 +109,14 @@ def described(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def format_labels(found: DataFrame) -> DataFrame:
-    """Findings labelled by format, for use where nobody has labelled any: 1 for long mixed strings that a name and a mark precede, 0 for numbers, network and mail addresses, none for the rest."""
+    """Findings labelled by format, for use where nobody has labelled any: 1 for long mixed strings that a name and a mark precede, 0 for numbers, network and mail addresses and plain words, none for the rest."""
     v = F.col("value")
+    own = F.regexp_replace(v, r"^[A-Za-z0-9_.\-]*(?i:" + ANY_NAME + ")[:=]+", "")  # the value without a name in the same run
     named = F.array_contains(F.array(*map(F.lit, NAMES)), _bare(F.col("before2"))) & F.col("before").isin(MARKS)
-    yes = named & (F.length(v) >= 20) & v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.contains("@")
-    no = v.rlike(r"^[0-9.:\-]+$") | v.rlike(r"^[^@]+@[^@]+\.[a-z]+$") | v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}")
+    mixed = own.rlike("[A-Za-z]") & (own.rlike("[0-9]") | own.rlike("^.+[A-Z]"))
+    yes = (named | (own != v)) & (F.length(own) >= 20) & mixed & ~v.contains("@")
+    plain = v.rlike(r"^[A-Z]?[a-z]+([\-./_][A-Z]?[a-z]+)*[\-.:]*$")
+    no = v.rlike(r"^[0-9.:\-]+$") | v.rlike(r"^[^@]+@[^@]+\.[a-z]+$") | v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}") | plain
     label = F.when(yes, 1.0).when(no & ~named, 0.0)
     return found.select("value", "before", "before2", label.alias("label")).where("label is not null")
 
@@ -119,11 +134,11 @@ def scan(
 ) -> DataFrame:
     """Candidates of all documents with the forest's verdict.
 
-    Returns ``doc_id``, ``place`` (the number of the word, from 0), ``value``, ``probability``
-    and ``is_secret``. ``labelled`` has ``value``, ``before``, ``before2`` (the two words in
+    Returns ``doc_id``, ``place`` (the number of the word, from 0), ``part`` (the number of the
+    run in the word, from 0), ``value``, ``probability`` and ``is_secret``. ``labelled`` has ``value``, ``before``, ``before2`` (the two words in
     front, null where unknown) and ``label`` 1.0 or 0.0; without it labels come from formats.
     The forest is trained on about ``sample`` labelled findings, by hash, counted apart for
-    each label; the dictionary counts all documents.
+    each label, and on as many without a digit; the dictionary counts all documents.
 
     * A null or empty text has no candidates. A null id stays null; repeated rows are
       scanned one by one. A null path is an empty path.
@@ -134,13 +149,15 @@ def scan(
     full = staged(described(found, dictionary(docs, text_col, dictionary_least)), "described")
     said = (format_labels(found) if labelled is None else labelled.select("value", "before", "before2", F.col("label").cast("double"))).distinct()
     said = said.groupBy("value", "before", "before2").agg(F.max("label").alias("label"))
-    kinds = {r["label"]: r["n"] for r in said.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    out = ["doc_id", "place", "value"]
+    digit = F.col("value").rlike("[0-9]")
+    cells = {(r["label"], r["digit"]): r["n"] for r in said.groupBy("label", digit.alias("digit")).agg(F.count("*").alias("n")).collect()}
+    kinds = {k: sum(n for (x, _), n in cells.items() if x == k) for k, _ in cells}
+    out = ["doc_id", "place", "part", "value"]
     if len(kinds) < 2:
         sure = F.lit(float(next(iter(kinds), 0.0)))
         return full.select(*out, sure.alias("probability"), (sure >= threshold).alias("is_secret"))
     where = F.xxhash64(F.lit(seed), "value", "before", "before2") / F.lit(2.0**64) + 0.5
-    few = reduce(lambda a, b: a | b, [(F.col("label") == k) & (where < min(1.0, sample / 2 / n)) for k, n in kinds.items()])
+    few = reduce(lambda a, b: a | b, [(F.col("label") == k) & (digit == d) & (where < min(1.0, sample / 2 / n)) for (k, d), n in cells.items()])
     # One described candidate for each labelled finding: equal neighbours give equal features.
     one = full.groupBy("value", "before", "before2").agg(*[F.first(f).alias(f) for f in FEATURES])
     known = one.alias("o").join(said.where(few).alias("s"), (F.col("o.value") == F.col("s.value")) & F.col("o.before").eqNullSafe(F.coalesce("s.before", "o.before")) & F.col("o.before2").eqNullSafe(F.coalesce("s.before2", "o.before2")))
