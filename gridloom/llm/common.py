@@ -15,15 +15,27 @@ NULL_ID = -(2**63)
 def work_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's shared folder, ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, one machine) a temporary folder takes its place.
+    In local mode a temporary folder takes the place of an absent setting; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def few_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches of at most ``rows`` rows between Spark and Python, where the session leaves the number at Spark's default.
+
+    Rows here are whole texts, and each task holds a batch several times over.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def staged(df: DataFrame, name: str = "part") -> DataFrame:
     """Write a frame to the shared folder and read it again.
 

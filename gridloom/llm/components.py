@@ -32,3 +32,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = staged(labels.join(to.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
     names = labels.groupBy("label").agg(F.min("node").alias("component"))
     return staged(labels.join(names, "label").select("node", "component"), "components")
+
+
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (``node``, ``component``) after more links (a, b): only what the links join moves."""
+    links = staged(links.select("a", "b"), "more")
+    if links.isEmpty():
+        return found
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}"))
+    among = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("in_a", "a").alias("a"), F.coalesce("in_b", "b").alias("b"))
+    moved = components(among).toDF("component", "to")
+    fresh = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(found, "node", "left_anti").withColumn("component", F.col("node"))
+    every = found.unionByName(fresh)
+    return staged(every.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components")

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key
+from .common import few_rows, id_key
 from .linear import machine, ngram_counts, scaled, sigmoid
 
 # Families of languages by ISO 639-1 code; another language is a family of its own.
@@ -90,8 +90,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     """Fit a model on rows with a language and a letter: at most ``per_language`` of each language, chosen by a seeded hash of id and text.
 
     The rows of a language are counted over all rows; features of the chosen ones come to
-    the driver, ``2 * 2**BITS`` numbers for each at most.
+    the driver, ``2 * 2**BITS`` numbers for each at most. Rows without language, text or
+    letter are left out; repeated rows count each; an empty table gives a model of no language.
     """
+    few_rows(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -135,22 +137,21 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     A null text or one without letters, and every text if the model has no language, gets
     ``und`` and score 0. An empty table gives an empty table.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    own = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__lang_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "__lang_text")
+    few_rows(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)  # its size is that of families and pairs, not of rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, scores = [], []
-            texts = b.column(b.num_columns - 1)
-            for i in range(0, len(texts), 256):
-                n, s = told.value.predict(texts.slice(i, 256).to_pylist())
-                names += n
-                scores += s
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
-
-    return own.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    @F.arrow_udf("lang string, score double")
+    def tell(texts: pa.Array) -> pa.Array:
+        names, scores = [], []
+        for i in range(0, len(texts), 256):
+            n, s = told.value.predict(texts.slice(i, 256).to_pylist())
+            names += n
+            scores += s
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
+
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    out = docs.select(*kept, tell(F.col(text_col).cast("string")).alias("__lang_told"))
+    return out.select(*kept, F.col("__lang_told.lang").alias("lang_pred"), F.col("__lang_told.score").alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import few_rows
 from .encoding import WORD, Encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -127,7 +128,7 @@ def pack(
     end_id: int = 1,
     tiers: tuple[int, ...] = (256, 512, 1024, 2048),
     step_tokens: int = 1 << 17,
-    buffer_tokens: int = 1 << 20,
+    buffer_tokens: int = 1 << 19,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -142,8 +143,11 @@ def pack(
 
     * A null or empty text has its end id alone. A null id stays null.
     * Each row is a document of its own, also where rows or ids are repeated.
-    * Other columns are left out. An empty table gives no rows.
+    * A text of any length is cut into windows of the largest tier and a rest; ties in length
+      go by the document's place in its input split.
+    * Other columns are left out, so their names cannot clash. An empty table gives no rows.
     """
+    few_rows(docs.sparkSession)
     path, sizes = tokenizer, sorted(tiers)
     end = int(end_id).to_bytes(4, "little")
 
@@ -168,8 +172,8 @@ def pack(
             step += max(groups, default=-1) + 1
             left = {doc for pool in packer.pools for _, doc, _ in pool.pieces}
             held = {doc: held[doc] for doc in left}
-            for i in range(0, len(rows), 4000):
-                columns = zip(*rows[i : i + 4000], strict=True)
+            for i in range(0, len(rows), 1000):
+                columns = zip(*rows[i : i + 1000], strict=True)
                 kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3 + [pa.int32(), pa.int64()]
                 names = [x.split()[0] for x in SCHEMA.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)

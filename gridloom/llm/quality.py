@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key
+from .common import few_rows, id_key
 from .linear import logistic, ngram_counts, scaled, sigmoid
-from .minhash import word_hashes
+from .minhash import SLICE, word_hashes
 
 BITS, SIZES = 11, (2, 3, 4)
 #: Shares of a text that stand behind the n-grams: repeated neighbours, repeated words, and what is left of each.
@@ -168,17 +168,21 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sampl
     """Count vote patterns over all documents, estimate the labellers, and fit the scorer.
 
     The scorer sees at most about ``sample`` documents, chosen by a seeded hash; their
-    features come to the driver. There are at most 3**9 patterns.
+    features come to the driver. There are at most 3**9 patterns. Null texts and texts
+    without words are left out; repeated rows count each; an empty table gives a model that
+    scores everything at 0.5. Other columns are not read.
     """
+    few_rows(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).where(F.col("text").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                s = shape(t.encode())[0]
-                if s.words:
-                    seen[votes(s)] += 1
+            for i in range(0, b.num_rows, SLICE):
+                for t in b.column(0).slice(i, SLICE).to_pylist():
+                    s = shape(t.encode())[0]
+                    if s.words:
+                        seen[votes(s)] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
     total = rows.select("text").mapInArrow(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
@@ -211,17 +215,17 @@ def rate(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0
     """The input with ``score`` and ``kept`` (score at least ``least``); input columns with these names are replaced.
 
     A null text or one without words has score 0 and is rejected. Repeated rows are rated
-    one by one, alike.
+    one by one, alike. Texts of any length are rated as a whole. An empty table stays empty.
     """
-    kept = [c for c in docs.columns if c not in ("score", "kept")]
-    own = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__quality_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "__quality_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, scores = b.column(b.num_columns - 1), []
-            for i in range(0, len(texts), 256):
-                scores += model.score(texts.slice(i, 256).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array([s >= least for s in scores], pa.bool_())], names=[*kept, "score", "kept"])
-
-    return own.mapInArrow(run, f"{fields}, score double, kept boolean")
+    few_rows(docs.sparkSession)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        out: list[float] = []
+        for i in range(0, len(texts), SLICE):
+            out += model.score(texts.slice(i, SLICE).to_pylist())
+        return pa.array(out, pa.float64())
+
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "kept")]
+    out = docs.select(*kept, score(F.col(text_col).cast("string")).alias("score"))
+    return out.withColumn("kept", F.col("score") >= F.lit(float(least)))

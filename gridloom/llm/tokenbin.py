@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import work_dir
+from .common import few_rows, work_dir
 from .encoding import Encoder, vocabulary_size
 
 SLOT = np.dtype([("mark", "<u4"), ("shard", "<u4"), ("first", "<u8"), ("copies", "<u4")])
@@ -197,6 +197,7 @@ class TokenStore:
         Rows that share an id stand together; equal ids are ordered by text. The smallest
         long is reserved for null ids. An empty table makes a store without shards.
         """
+        few_rows(docs.sparkSession)
         spark, folder = docs.sparkSession, folder or f"{work_dir(docs.sparkSession)}/ids"
         width = 2 if vocabulary_size(tokenizer) <= 1 << 16 and end_id < 1 << 16 else 4
         key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY))

@@ -76,11 +76,45 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
         for _ in range(rng.randrange(0, 7)):
             own[rng.randrange(60)] = f"e{rng.randrange(50)}"
         rows.append((i, " ".join(own)))
-    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 16 * minhash.MEMBER)
     out = minhash.near_duplicates(docs(spark, rows), k=3, num=85).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == groups_by_hand(rows, 3, 85, 100)
 
 
+def test_near_duplicates_around_a_hub(spark, monkeypatch):
+    """Copies that link with their source but seldom with each other, two such groups and a chain, in small blocks."""
+    rng = random.Random(21)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}b{i}" for i in range(120)]
+        for _ in range(40):
+            own = list(base)
+            for _ in range(3):
+                own[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+            rows.append(" ".join(own))
+        rows.append(" ".join(base))
+    chain = [f"c{i}" for i in range(80)]
+    for i in range(12):
+        chain[6 * i % 80] = f"d{i}"
+        rows.append(" ".join(chain))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 8 * minhash.MEMBER)
+    want = groups_by_hand(rows, 3, 85, 100)
+    for exact in (False, True):
+        out = minhash.near_duplicates(docs(spark, rows), k=3, num=85, exact=exact).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    """Texts of one id are decided by their own groups, whatever the order of the rows."""
+    a, b = "the first text has some words of its own", "another one that is near to nothing else here"
+    rows = [(1, a), (5, b), (5, a), (5, b), (6, b), (7, ""), (7, ""), (8, None)]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        kept = sorted((r.doc_id, r.text or "") for r in minhash.near_dedup(docs(spark, order)).collect())
+        assert kept == [(1, a), (5, b), (7, ""), (7, ""), (8, "")]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "same words in here"), (None, "same words in here"), (3, "same words in here"), (3, "same words in here"), (2, None), (9, "same words in here")]
     frame = docs(spark, rows).withColumn("component_id", F.lit("clash"))
