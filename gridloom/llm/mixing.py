@@ -1,14 +1,15 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Whole passes over a source come first. For the budget that is left, documents are
-counted by exact length, every length gives its share, and a bounded-knapsack dynamic
-programme over the remaining counts closes the gap. Which documents of a length are
-taken is decided by a seeded hash.
+counted by exact length, every length gives its rounded share, and a bounded-knapsack
+dynamic programme over the counts closes the gap that rounding leaves. Which documents of
+a length are taken is decided by a seeded hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import id_key, staged
 
-#: Budgets up to this many words go to the dynamic programme; above it, long documents are taken first.
-EXACT_WORDS = 1 << 16
+#: Words on each side of the share, besides four times the longest length, that sums on the way to a budget may reach.
+WINDOW = 1 << 14
 
 
 def word_count(text: Column) -> Column:
@@ -51,40 +52,83 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     return out.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length to take, so that their words come as near to the budget as they can from below."""
-    total = sum(a * c for a, c in zip(lengths, counts, strict=True))
+def spread(counts: Sequence[int], share: float) -> list[int]:
+    """``share`` of each count, rounded so that no count and no run of counts is off by one or more."""
+    out, seen, before = [], 0, 0
+    for c in counts:
+        seen += c
+        now = math.floor(seen * share + 0.5)
+        out.append(now - before)
+        before = now
+    return out
+
+
+def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
+    """How many documents of each length to take, so that their words come as near to the budget as they can from below.
+
+    Every length gives its share, rounded, which misses the budget by less than the longest
+    length. A bounded-knapsack programme over single documents, then pairs, then fours and so
+    on, taken or given back, as far as the counts allow, finds the sum that is wanted. Sums
+    on the way stay within a window around the share that is several lengths wide. What is
+    left then is closed by swaps between neighbouring lengths. Lengths of 0 are never taken.
+    """
+    order = sorted((i for i in range(len(lengths)) if lengths[i] > 0 and counts[i] > 0), key=lambda i: lengths[i])
+    total = sum(lengths[i] * counts[i] for i in order)
+    taken = [0] * len(lengths)
     if budget >= total:
-        return list(counts)
-    if budget <= 0:
-        return [0] * len(counts)
-    taken = [c * budget // total for c in counts]
-    left = budget - sum(a * t for a, t in zip(lengths, taken, strict=True))
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    for i in order:
-        if left <= EXACT_WORDS:
-            break
-        n = min(counts[i] - taken[i], (left - EXACT_WORDS) // lengths[i]) if lengths[i] else 0
-        taken[i] += n
-        left -= n * lengths[i]
-    # Sums that can be reached, as the bits of an integer; a layer for each length and power of two of its count.
-    mask, layers, reach = (1 << (left + 1)) - 1, [], 1
-    for i in reversed(order):
-        room = min(counts[i] - taken[i], left // lengths[i]) if lengths[i] else 0
-        part = 1
-        while room > 0 and not reach >> left & 1:
-            n = min(part, room)
-            layers.append((i, n, reach))
-            reach |= reach << (n * lengths[i]) & mask
-            room, part = room - n, part * 2
-        if reach >> left & 1:
+        return [c if n > 0 else 0 for c, n in zip(counts, lengths, strict=True)]
+    if budget <= 0 or not order:
+        return taken
+    share = budget / total
+    for i, n in zip(order, spread([counts[i] for i in order], share), strict=True):
+        taken[i] = min(n, counts[i])
+    left = _closed(lengths, counts, taken, order, share, budget)
+    while left > 0:
+        # Swaps of neighbouring lengths, which move little for each document, and the programme again.
+        moved = 0
+        for a, b in sorted(zip(order, order[1:], strict=False), key=lambda p: lengths[p[0]] - lengths[p[1]]):
+            step = lengths[b] - lengths[a]
+            n = min((left - moved) // step, taken[a], counts[b] - taken[b]) if step else 0
+            taken[a], taken[b], moved = taken[a] - n, taken[b] + n, moved + n * step
+        if not moved:
             break
-    best = reach.bit_length() - 1
+        left = _closed(lengths, counts, taken, order, share, budget)
+    return taken
+
+
+def _closed(lengths: Sequence[int], counts: Sequence[int], taken: list[int], order: list[int], share: float, budget: int) -> int:
+    """Change ``taken`` so that its words come as near to the budget as the programme can; the words that are left."""
+    unit = math.gcd(*[lengths[i] for i in order])
+    left = budget - sum(lengths[i] * taken[i] for i in order)
+    gap = left // unit
+    width = 4 * lengths[order[-1]] // unit + WINDOW
+    zero, mask = width, (1 << (2 * width + 1)) - 1
+    # Sums that can be reached, as the bits of an integer around ``zero``; a layer for each change that reaches more.
+    reach, layers, part = 1 << zero, [], 1
+    room = {(i, sign): counts[i] - taken[i] if sign > 0 else taken[i] for i in order for sign in (1, -1)}
+    # First what brings a length nearer to its share.
+    error = {i: counts[i] * share - taken[i] for i in order}
+    moves = sorted((m for m in room if room[m] > 0), key=lambda m: abs(error[m[0]] - m[1]))
+    while moves and not reach >> (zero + gap) & 1:
+        for i, sign in moves:
+            n = min(part, room[i, sign])
+            step = n * lengths[i] // unit
+            more = reach if step > 2 * width else reach | (reach << step & mask if sign > 0 else reach >> step)
+            if more != reach:
+                layers.append((i, sign * n, reach))
+                reach = more
+            room[i, sign] -= n
+            if reach >> (zero + gap) & 1:
+                break
+        part *= 2
+        moves = [m for m in moves if room[m] > 0]
+    best = (reach & ((1 << (zero + gap + 1)) - 1)).bit_length() - 1
+    left -= (best - zero) * unit
     for i, n, before in reversed(layers):
         if not before >> best & 1:
             taken[i] += n
-            best -= n * lengths[i]
-    return taken
+            best -= n * lengths[i] // unit
+    return left
 
 
 def mix(
@@ -104,7 +148,10 @@ def mix(
     ``copies`` from 0 to ``most`` and ``taken`` = copies * size.
 
     * Sources are weighted in code-point order, null last; an empty table gives no rows.
-    * A null text has size 0; a document of size 0 is taken in whole passes alone.
+    * A null text has size 0. A document of size 0 is taken as often as there are whole
+      passes over its source; a source without words has no passes.
+    * Texts of any length count as a whole. Other columns are left out, so their names
+      cannot clash.
     * Rows that agree in id, source and text are told apart by no one: ties in the hash
       are broken by the text's hash and then by any order of equal rows.
     * A source whose words are all in one length is split by hash before it is ranked.
@@ -121,8 +168,7 @@ def mix(
     sizes = lengths.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     aims = staged(targets(sizes, weights, share, most), "mix_targets")
 
-    def plan(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        g = batches
+    def plan(g: pd.DataFrame) -> pd.DataFrame:
         size, target = int(g["source_size"].iloc[0]), float(g["target"].iloc[0])
         passes = min(most, int(target // size)) if size else 0
         left = round(target) - passes * size if passes < most else 0
@@ -148,7 +194,11 @@ def mix(
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with the input's columns."""
+    """The mix itself: each row of ``docs`` as often as it is taken, with the input's columns.
+
+    Rows that agree in id, text and source share their copies in any order. Names that begin
+    with ``__mix_`` are reserved. See ``mix`` for nulls, empty texts and empty tables.
+    """
     source = F.col(str(options.get("source_col", "source"))).cast("string")
     keys = ["__mix_id", "__mix_text", "__mix_null", "__mix_source"]
     marks = lambda id_, text, src: dict(zip(keys, (id_key(id_), text, src.isNull(), F.coalesce(src, F.lit(""))), strict=True))
