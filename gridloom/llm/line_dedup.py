@@ -34,7 +34,8 @@ def dedup_lines(
     * A null or empty text is one empty line; a null text stays null.
     * Rows that share an id are one document when documents are counted; each row keeps
       its own text. Rows with a null id are together one document below every other id.
-    * If all lines go, the text is empty. An empty table gives an empty table.
+    * If all lines go, the text is empty. An empty table gives an empty table. Texts of any
+      length are split as a whole; a line that is repeated in a text has all its places.
     * Input columns called ``n_lines`` or ``n_dropped`` are replaced; names that begin
       with ``__line_`` are reserved.
     """
@@ -58,6 +59,8 @@ def dedup_lines(
         .agg(F.countDistinct("__line_doc").alias("__line_n"), F.max("__line_doc").alias("__line_keeper"))
         .where(F.col("__line_n") >= min_docs)
     )
+    # Written, so that both sides of the join are plain shuffles: Spark then splits the partition of a very common line.
+    frequent = staged(frequent, "line_frequent")
     dropped = (
         keyed.join(frequent, ["__line_h1", "__line_h2"])
         .where(F.col("__line_doc") != F.col("__line_keeper"))
