@@ -3,10 +3,13 @@
 Words that look like keys become candidates; a random forest, trained from labelled
 findings, tells secrets from numbers, addresses and other harmless strings by length,
 character transitions, coverage by words of the corpus, the path, and neighbouring words.
+Where nobody has labelled any, a rule on names and marks in front labels some findings;
+the forest then does not see those two, so that it cannot learn the rule back.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -31,8 +34,10 @@ HARMLESS_PATHS = ["demo", "doc", "example", "fixture", "mock", "sample", "test"]
 
 FEATURES = [
     "length", "digits", "uppers", "lowers", "others", "distinct", "letter_digit", "digit_letter", "case_changes", "mark_changes",
-    "longest_letters", "longest_digits", "hexadecimal", "covered", "named", "marked", "quoted", "address", "path_harmless", "path_depth",
+    "longest_letters", "longest_digits", "hexadecimal", "covered", "address", "named", "marked", "quoted", "after_length", "after_letters", "path_harmless", "path_depth",
 ]
+#: What the rule of ``rule_labels`` looks at.
+RULE_FEATURES = ["named", "marked"]
 
 
 def _bare(word: Column) -> Column:
@@ -67,23 +72,22 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
     return rows.select("doc_id", "path", "place", "part", front.alias("front"), F.concat("y.gap", "y.behind").alias("around"), before.alias("before"), before2.alias("before2"), "after", "y.value")
 
 
-def dictionary(docs: DataFrame, text_col: str, least: int) -> DataFrame:
-    """Letter runs of at least three letters that occur ``least`` times in the corpus, counted over all documents."""
-    runs = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[a-z]{3,20}"), F.lit(0))).alias("run"))
+def dictionary(docs: DataFrame, text_col: str, share: float) -> DataFrame:
+    """Letter runs of at least three letters that occur in ``share`` of all documents, and in two at least."""
+    runs = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[a-z]{3,20}"), F.lit(0)))).alias("run"))
+    least = max(2, math.ceil(share * docs.count()))
     return runs.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("run")
 
 
 def described(found: DataFrame, known: DataFrame) -> DataFrame:
-    """The candidates with the forest's features."""
-    runs = found.select("value", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(r"[a-z]{3,20}"), F.lit(0)))).alias("run")).distinct()
-    cover = runs.join(known, "run").groupBy("value").agg(F.sum(F.length("run")).alias("known"))
+    """The candidates with the forest's features; those of the value alone are worked out once for each value."""
+    values = found.select("value").distinct()
+    runs = values.select("value", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(r"[a-z]{3,20}"), F.lit(0)))).alias("run"))
+    cover = runs.join(staged(known, "dictionary"), "run").groupBy("value").agg(F.sum(F.length("run")).alias("known"))
     v, n = F.col("value"), F.length("value").cast("double")
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     longest = lambda pattern: F.coalesce(F.array_max(F.transform(F.regexp_extract_all(v, F.lit(pattern), F.lit(0)), lambda x: F.length(x))), F.lit(0)) / n
-    named = F.array_contains(F.array(*map(F.lit, NAMES)), _bare(F.col("before"))) | F.array_contains(F.array(*map(F.lit, NAMES)), _bare(F.col("before2")))
-    inside = F.lower("value").rlike(ANY_NAME + "[:=]") | F.lower("front").rlike(ANY_NAME + r"""["'`]*(=>|:=|==|=|:)["'`(\[{]*$""")
-    path = F.lower("path")
-    columns = {
+    of_value = {
         "length": n,
         "digits": share("[0-9]"),
         "uppers": share("[A-Z]"),
@@ -98,23 +102,33 @@ def described(found: DataFrame, known: DataFrame) -> DataFrame:
         "longest_digits": longest("[0-9]+"),
         "hexadecimal": v.rlike("^([0-9a-f]{12,}|[0-9A-F]{12,})$").cast("double"),
         "covered": F.coalesce("known", F.lit(0)) / n,
-        "named": (named | inside).cast("double"),
-        "marked": (F.col("before").isin(MARKS) | F.col("before").rlike("[:=]$") | inside).cast("double"),
-        "quoted": F.col("around").rlike("[\"'`]").cast("double"),
         "address": v.rlike(r"@|://|^[0-9.:]+$").cast("double"),
-        "path_harmless": reduce(lambda a, b: a | b, [path.contains(x) for x in HARMLESS_PATHS]).cast("double"),
-        "path_depth": F.regexp_count(path, F.lit("/")).cast("double"),
     }
-    return found.join(cover, "value", "left").select(*found.columns, *[c.cast("double").alias(f) for f, c in columns.items()])
+    # Written, so that Spark can split the join for a value that very many documents hold.
+    valued = staged(values.join(cover, "value", "left").select("value", *[c.cast("double").alias(f) for f, c in of_value.items()]), "values")
+    named = F.array_contains(F.array(*map(F.lit, NAMES)), _bare(F.col("before"))) | F.array_contains(F.array(*map(F.lit, NAMES)), _bare(F.col("before2")))
+    inside = F.lower("value").rlike(ANY_NAME + "[:=]") | F.lower("front").rlike(ANY_NAME + r"""["'`]*(=>|:=|==|=|:)["'`(\[{]*$""")
+    path, after = F.lower("path"), F.coalesce("after", F.lit(""))
+    of_place = {
+        "named": named | inside,
+        "marked": F.col("before").isin(MARKS) | F.col("before").rlike("[:=]$") | inside,
+        "quoted": F.col("around").rlike("[\"'`]"),
+        "after_length": F.length(after),
+        "after_letters": F.regexp_count(after, F.lit("[A-Za-z]")) / F.greatest(F.length(after), F.lit(1)),
+        "path_harmless": reduce(lambda a, b: a | b, [path.contains(x) for x in HARMLESS_PATHS]),
+        "path_depth": F.regexp_count(path, F.lit("/")),
+    }
+    both = found.join(valued, "value")
+    return both.select(*found.columns, *of_value, *[c.cast("double").alias(f) for f, c in of_place.items()])
 
 
-def format_labels(found: DataFrame) -> DataFrame:
-    """Findings labelled by format, for use where nobody has labelled any: 1 for long mixed strings that a name and a mark precede, 0 for numbers, network and mail addresses and plain words, none for the rest."""
+def rule_labels(found: DataFrame) -> DataFrame:
+    """Findings labelled by rule, for use where nobody has labelled any: 1 for mixed strings that a name and a mark precede, 0 for numbers, network and mail addresses and plain words, none for the rest."""
     v = F.col("value")
     own = F.regexp_replace(v, r"^[A-Za-z0-9_.\-]*(?i:" + ANY_NAME + ")[:=]+", "")  # the value without a name in the same run
     named = F.array_contains(F.array(*map(F.lit, NAMES)), _bare(F.col("before2"))) & F.col("before").isin(MARKS)
     mixed = own.rlike("[A-Za-z]") & (own.rlike("[0-9]") | own.rlike("^.+[A-Z]"))
-    yes = (named | (own != v)) & (F.length(own) >= 20) & mixed & ~v.contains("@")
+    yes = (named | (own != v)) & (F.length(own) >= 12) & mixed & ~v.contains("@")
     plain = v.rlike(r"^[A-Z]?[a-z]+([\-./_][A-Z]?[a-z]+)*[\-.:]*$")
     no = v.rlike(r"^[0-9.:\-]+$") | v.rlike(r"^[^@]+@[^@]+\.[a-z]+$") | v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}") | plain
     label = F.when(yes, 1.0).when(no & ~named, 0.0)
@@ -128,7 +142,7 @@ def scan(
     text_col: str = "text",
     path_col: str | None = "source",
     sample: int = 20000,
-    dictionary_least: int = 20,
+    dictionary_share: float = 0.001,
     threshold: float = 0.5,
     seed: int = 13,
 ) -> DataFrame:
@@ -136,18 +150,21 @@ def scan(
 
     Returns ``doc_id``, ``place`` (the number of the word, from 0), ``part`` (the number of the
     run in the word, from 0), ``value``, ``probability`` and ``is_secret``. ``labelled`` has ``value``, ``before``, ``before2`` (the two words in
-    front, null where unknown) and ``label`` 1.0 or 0.0; without it labels come from formats.
-    The forest is trained on about ``sample`` labelled findings, by hash, counted apart for
-    each label, and on as many without a digit; the dictionary counts all documents.
-
-    * A null or empty text has no candidates. A null id stays null; repeated rows are
-      scanned one by one. A null path is an empty path.
+    front, null where unknown) and ``label`` 1.0 or 0.0; without it labels come from
+    ``rule_labels``, and the forest does without ``RULE_FEATURES``. The forest is trained on
+    about ``sample`` labelled findings, by hash, counted apart for each label, and on as many
+    without a digit. The dictionary counts documents, all of them: a run of letters is a
+    word if ``dictionary_share`` of them hold it.
+
+    * A null or empty text has no candidates; texts of any length are scanned as a whole. A
+      null id stays null; repeated rows are scanned one by one. A null path is an empty path.
+      Other columns are left out, so their names cannot clash.
     * Where labels of one kind only are known, that kind is the verdict; without any
       labels, no candidate is a secret.
     """
     found = staged(candidates(docs, id_col, text_col, path_col), "candidates")
-    full = staged(described(found, dictionary(docs, text_col, dictionary_least)), "described")
-    said = (format_labels(found) if labelled is None else labelled.select("value", "before", "before2", F.col("label").cast("double"))).distinct()
+    full = staged(described(found, dictionary(docs, text_col, dictionary_share)), "described")
+    said = (rule_labels(found) if labelled is None else labelled.select("value", "before", "before2", F.col("label").cast("double"))).distinct()
     said = said.groupBy("value", "before", "before2").agg(F.max("label").alias("label"))
     digit = F.col("value").rlike("[0-9]")
     cells = {(r["label"], r["digit"]): r["n"] for r in said.groupBy("label", digit.alias("digit")).agg(F.count("*").alias("n")).collect()}
@@ -165,7 +182,8 @@ def scan(
     if training.select("label").distinct().count() < 2:
         sure = F.lit(float(max(kinds, key=kinds.get)))
         return full.select(*out, sure.alias("probability"), (sure >= threshold).alias("is_secret"))
-    assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    used = [f for f in FEATURES if labelled is not None or f not in RULE_FEATURES]
+    assemble = VectorAssembler(inputCols=used, outputCol="features")
     forest = RandomForestClassifier(numTrees=30, maxDepth=6, seed=seed, featureSubsetStrategy="sqrt").fit(assemble.transform(training))
     rated = forest.transform(assemble.transform(full)).withColumn("probability", vector_to_array("probability")[1])
     return rated.select(*out, "probability", (F.col("probability") >= threshold).alias("is_secret"))
@@ -176,4 +194,4 @@ def masked(value: Column) -> Column:
     return F.sha2(value.cast("binary"), 256)
 
 
-__all__ = ["FEATURES", "candidates", "described", "dictionary", "format_labels", "masked", "scan"]
+__all__ = ["FEATURES", "RULE_FEATURES", "candidates", "described", "dictionary", "masked", "rule_labels", "scan"]
