@@ -2,77 +2,80 @@
 
 Rows are dealt to blocks by nearest pivot, so that a block covers a small region. Each
 task builds a cover tree over its block and one over a group of queries, and walks both
-trees at once: a pair of nodes is left out if no inner product of their regions, bounded
+trees at once: a pair of nodes is left out if no inner product of their points, bounded
 by centres and covering radii, reaches the worst k-th score of the query node. The first
 walk is over each query group's own region; the scores it finds prune the other blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import staged
 
-#: Points of a leaf, which are scored at once.
-LEAF = 64
+#: Points of a data leaf and of a query leaf.
+LEAF, QUERY_LEAF = 64, 8
+#: Children of a node at most. A node whose cover of half the radius would need more stays a leaf and is scored as a whole.
+WIDEST = 64
 
 
 class CoverTree:
-    """Nested balls: a node's children have centres among its points, apart by more than half its radius and covering all of them."""
-
-    def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
-        self.points, self.leaf = points, leaf
-        self.order = np.arange(len(points))
-        self.norms = np.sqrt((points * points).sum(axis=1))
-        # For each node: first and end in order, centre, covering radius, children.
-        self.first, self.end, self.centre, self.radius, self.children = [], [], [], [], []
-        if len(points):
-            self._node(0, len(points), points.mean(axis=0))
-
-    def _node(self, first: int, end: int, centre: np.ndarray) -> int:
-        """Add the node of order[first:end] and, in turn, all below it."""
-        out = len(self.first)
-        stack = [(first, end, centre, -1)]
+    """A cover tree, built from the top.
+
+    A node has one of the points as its centre and covers all its points within its radius,
+    which is at most 2**level. Its children are centred on its points, the first on its own
+    centre; they lie apart by more than 2**(level - 1) and each covers its points within
+    that distance. Points of a node stand next to each other in ``order``, those of a leaf by
+    ascending id.
+    """
+
+    def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> None:
+        self.points, self.ids = points, ids
+        self.order = np.argsort(ids, kind="stable")
+        self.first, self.end, self.centre, self.radius, self.level, self.children = [], [], [], [], [], []
+        if not len(points):
+            return
+        stack = [(0, len(points), int(self.order[0]), -1)]
         while stack:
             a, b, c, above = stack.pop()
             at = len(self.first)
-            own = self.points[self.order[a:b]]
-            gap = np.sqrt(((own - c) ** 2).sum(axis=1))
-            radius = float(gap.max())
-            for x, v in zip((self.first, self.end, self.centre, self.radius, self.children), (a, b, c, radius, []), strict=True):
+            own = self.order[a:b]
+            far = self._from(c, own)
+            radius = float(far.max())
+            level = int(np.ceil(np.log2(radius))) if radius > 0 else -(2**31)
+            for x, v in zip((self.first, self.end, self.centre, self.radius, self.level, self.children), (a, b, c, radius, level, []), strict=True):
                 x.append(v)
             if above >= 0:
                 self.children[above].append(at)
-            if b - a <= self.leaf or radius == 0:
-                continue
-            # Centres for a cover of half the radius: each is the point farthest from those before.
-            far, near = gap, np.full(len(own), np.inf)
-            owner = np.zeros(len(own), np.int64)
-            centres: list[np.ndarray] = []
-            pick = int(far.argmax())
-            while len(centres) < 16:
-                centres.append(own[pick])
-                d = np.sqrt(((own - own[pick]) ** 2).sum(axis=1))
-                closer = d < near
-                owner[closer], near[closer] = len(centres) - 1, d[closer]
-                pick = int(near.argmax())
-                if near[pick] <= radius / 2:
-                    break
-            by = np.argsort(owner, kind="stable")
-            self.order[a:b] = self.order[a:b][by]
-            counts = np.bincount(owner, minlength=len(centres))
-            ends = a + np.cumsum(counts)
-            for i, (m, n) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):
-                if m:
-                    # The ball's centre is the mean of its points, which makes the radius smaller.
-                    stack.append((n - m, n, own[owner == i].mean(axis=0), at))
+            if b - a > leaf and radius > 0 and (parts := self._cover(c, own, far, 2.0 ** (level - 1))):
+                self.order[a:b] = np.concatenate([p for _, p in parts])
+                ends = (a + np.cumsum([len(p) for _, p in parts])).tolist()
+                # The last on the stack comes first.
+                stack += [(e - len(p), e, centre, at) for e, (centre, p) in zip(ends, parts, strict=True)][::-1]
+        self.centres = points[self.centre]
+        self.lengths = np.sqrt((self.centres * self.centres).sum(axis=1))
+        self.radii = np.array(self.radius)
+
+    def _from(self, centre: int, rows: np.ndarray) -> np.ndarray:
+        gap = self.points[rows] - self.points[centre]
+        return np.sqrt(np.einsum("ij,ij->i", gap, gap))
+
+    def _cover(self, centre: int, rows: np.ndarray, far: np.ndarray, reach: float) -> list[tuple[int, np.ndarray]]:
+        """(centre, its rows) of children that cover the rows within ``reach``; none if there would be too many."""
+        out = [(centre, rows[far <= reach])]
+        rows, far = rows[far > reach], far[far > reach]
+        while len(rows):
+            if len(out) == WIDEST:
+                return []
+            pick = int(rows[far.argmax()])
+            gap = self._from(pick, rows)
+            out.append((pick, rows[gap <= reach]))
+            rows, far = rows[gap > reach], far[gap > reach]
         return out
 
 
@@ -85,26 +88,36 @@ class Best:
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Offer each row its scores with the ids of the columns."""
-        s = np.concatenate([self.scores[rows], scores], axis=1)
-        i = np.concatenate([self.ids[rows], np.broadcast_to(ids, scores.shape)], axis=1)
-        by = np.lexsort((i, -s), axis=1)[:, : self.k]
-        self.scores[rows], self.ids[rows] = np.take_along_axis(s, by, 1), np.take_along_axis(i, by, 1)
+        """Offer each row its scores with the ids of the columns, which ascend."""
+        n, k = scores.shape[1], self.k
+        least = self.scores[rows, -1]
+        if n > k:
+            least = np.maximum(least, np.partition(scores, n - k, axis=1)[:, n - k])
+        for r, own, low in zip(rows, scores, least, strict=True):
+            # What is above the least, and of what equals it the smallest ids.
+            at = np.flatnonzero(own >= low)
+            if len(at) > 2 * k:
+                at = np.concatenate([at[own[at] > low], at[own[at] == low][:k]])
+            if len(at):
+                s, i = np.concatenate([self.scores[r], own[at]]), np.concatenate([self.ids[r], ids[at]])
+                by = np.lexsort((i, -s))[:k]
+                self.scores[r], self.ids[r] = s[by], i[by]
 
     def worst(self, rows: np.ndarray) -> float:
         return float(self.scores[rows, -1].min())
 
 
-def product_bound(q: np.ndarray, rq: float, x: np.ndarray, rx: float) -> float:
-    """No inner product of points within rq of q and within rx of x is above this."""
-    return float(q @ x) + rq * float(np.sqrt(x @ x)) + rx * float(np.sqrt(q @ q)) + rq * rx
+def product_bounds(q: CoverTree, at: list[int], x: CoverTree, to: list[int]) -> np.ndarray:
+    """For each pair of nodes a number that no inner product of their points exceeds."""
+    rq, rx, lq, lx = q.radii[at][:, None], x.radii[to][None], q.lengths[at][:, None], x.lengths[to][None]
+    v = q.centres[at] @ x.centres[to].T + rq * lx + rx * lq + rq * rx
+    return v + 1e-9 * (1 + np.abs(v))
 
 
-def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, best: Best) -> None:
-    """Walk both trees, the most promising pairs of nodes first."""
-    if not len(query_ids) or not len(data_ids):
+def dual_search(queries: CoverTree, data: CoverTree, best: Best) -> None:
+    """Walk both trees at once, the most promising pairs of nodes first."""
+    if not len(queries.ids) or not len(data.ids):
         return
-    slack = 1e-9
     stack = [(0, 0, np.inf)]
     while stack:
         a, b, bound = stack.pop()
@@ -115,18 +128,16 @@ def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data
         if not kids_a and not kids_b:
             cols = data.order[data.first[b] : data.end[b]]
             scores = queries.points[rows] @ data.points[cols].T
-            scores = np.where(query_ids[rows][:, None] == data_ids[cols][None, :], -np.inf, scores)
-            best.add(rows, scores, data_ids[cols])
+            scores[queries.ids[rows][:, None] == data.ids[cols][None, :]] = -np.inf
+            best.add(rows, scores, data.ids[cols])
             continue
-        # The wider of the two nodes is opened.
-        open_b = kids_b and (not kids_a or data.radius[b] >= queries.radius[a])
-        pairs = [(a, y) for y in kids_b] if open_b else [(x, b) for x in kids_a]
-        bounds = []
-        for x, y in pairs:
-            v = product_bound(queries.centre[x], queries.radius[x], data.centre[y], data.radius[y])
-            bounds.append(v + slack * (1 + abs(v)))
-        for v, (x, y) in sorted(zip(bounds, pairs, strict=True)):
-            stack.append((x, y, v))
+        # All pairs of children at once; those that the children's own worst scores rule out never come up.
+        left, right = kids_a or [a], kids_b or [b]
+        bounds = product_bounds(queries, left, data, right)
+        worst = [best.worst(queries.order[queries.first[x] : queries.end[x]]) for x in left]
+        open_ = np.argwhere(bounds >= np.array(worst)[:, None])
+        for i, j in open_[np.argsort(bounds[tuple(open_.T)], kind="stable")].tolist():
+            stack.append((left[i], right[j], float(bounds[i, j])))
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -137,8 +148,55 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) ->
     return vectors.where(F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
 
 
-def _vectors(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(x, np.float64) for x in column])
+def _vectors(column: pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _dealt(rows: DataFrame, keys: list[str], block_rows: int, most: int, name: str) -> DataFrame:
+    """Add a number ``name`` to rows (with ``dim``, ``h``, ``v``): that of the nearest of their group's pivots.
+
+    Pivots are rows of a bounded sample of the group, about one for ``block_rows`` rows and
+    at most ``most``. A large group is dealt out by hash with a copy of its pivots for each
+    part, so no task holds a whole group.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    wanted = F.least(F.lit(most), F.ceil(F.col("n") / F.lit(block_rows))).cast("int")
+    counts = staged(counts.withColumn("pivots", wanted).withColumn("parts", F.ceil(F.col("n") / F.lit(8 * block_rows)).cast("int")), "counts")
+    # By hash, some sixteen candidates for a pivot, and at least two of every group.
+    few = F.col("h") / F.lit(2.0**64) + 0.5 <= 16 * F.col("pivots") / F.col("n")
+    own = rows.join(counts, keys)
+    sample = own.where((F.col("pivots") > 1) & few).select(*keys, "pivots", "parts", "h", "v")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def spread(group: pa.Table) -> pa.Table:
+        x = _vectors(group.sort_by("h").column("v"))
+        picked = _spread(x, group.column("pivots")[0].as_py())
+        head = {c: pa.repeat(group.column(c)[0], len(picked)) for c in (*keys, "parts")}
+        return pa.table({**head, "number": pa.array(np.arange(len(picked), dtype=np.int32)), "v": pa.array(list(picked), pa.list_(pa.float64()))})
+
+    pivots = staged(sample.groupBy(*keys).applyInArrow(spread, f"{fields}, parts int, number int, v array<double>"), "pivots")
+    pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", {name} int"
+
+    columns, empty = rows.columns, to_arrow_schema(rows.schema).append(pa.field(name, pa.int32()))
+
+    def nearest(group: pa.Table, near: pa.Table) -> pa.Table:
+        if not len(group):
+            return empty.empty_table()
+        at = np.zeros(len(group), np.int32)
+        if len(near):
+            p = _vectors(near.sort_by("number").column("v"))
+            half = (p * p).sum(axis=1)[None] / 2
+            for i in range(0, len(group), 2048):
+                x = _vectors(group.column("v").slice(i, 2048))
+                at[i : i + 2048] = (half - x @ p.T).argmin(axis=1)
+        return group.select(columns).append_column(name, pa.array(at))
+
+    left = own.withColumn("part", F.pmod(F.shiftright("h", 8), F.col("parts")).cast("int")).select(*rows.columns, "part")
+    right = pivots.select(*keys, "part", "number", "v")
+    by = [*keys, "part"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(nearest, schema)
 
 
 def top_inner_products(
@@ -147,7 +205,7 @@ def top_inner_products(
     k: int = 5,
     scale: float = 256.0,
     block_rows: int = 8192,
-    pivot_sample: int = 4096,
+    most_pivots: int = 256,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     seed: int = 3,
@@ -155,101 +213,103 @@ def top_inner_products(
     """For each row whose id is divisible by ``every``, its k best other rows by integer inner product.
 
     Returns ``query_id``, ``rank`` from 1, ``vec_id``, ``score``; all other rows if there are
-    fewer than k; ties go to the smaller id.
+    fewer than k; ties go to the smaller id. An empty table gives no rows; other columns are
+    left out, so their names cannot clash.
 
     * Vectors that are null, empty or hold a null or non-finite component take no part;
       nor do rows with a null id. Vectors are compared with those of their own length.
-    * Scores are exact while sums stay below 2**53. Rows that share an id are candidates
-      of their own, of which a query shows each; a query does not find rows of its own id.
-    * Pivots come from a bounded sample (``pivot_sample``); they deal rows to blocks and
-      decide nothing about results. A block that is too large is split by hash.
+    * Scores are exact while sums stay below 2**53. Rows that share an id are candidates of
+      their own, and queries of their own where their vectors differ: each vector gets its
+      ranks. A query does not find rows of its own id.
+    * Rows are dealt to cells by pivots and each cell to smaller ones by its own pivots, so
+      that regions shrink as rows grow. Pivots decide nothing about results. Equal vectors
+      are split by hash.
     """
     spark = vectors.sparkSession
-    data = staged(quantised(vectors, id_col, vector_col, scale).withColumn("dim", F.size("v")), "vectors")
-    n = data.count()
-    schema = "query_id long, rank int, vec_id long, score long"
-    if not n:
-        return spark.createDataFrame([], schema)
-    dealt = data.withColumn("h", F.xxhash64(F.lit(seed), "vec_id", "v"))
-    some = dealt.where(F.col("h") / F.lit(2.0**64) + 0.5 < min(1.0, pivot_sample / n)).orderBy("h").limit(pivot_sample).select("dim", "v").toPandas()
-    wanted = max(1, n // block_rows)
-    pivots: dict[int, np.ndarray] = {}
-    for dim, group in some.groupby("dim"):
-        pivots[int(dim)] = _spread(_vectors(group["v"]), min(256, max(1, wanted)))
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, dims = np.zeros(b.num_rows, np.int32), b.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                own = np.flatnonzero(dims == dim)
-                if int(dim) in pivots:
-                    x, p = b.column("v").take(pa.array(own)).flatten().to_numpy().reshape(len(own), -1), pivots[int(dim)]
-                    at[own] = ((p * p).sum(axis=1)[None, :] - 2 * (x @ p.T)).argmin(axis=1)
-            yield b.append_column("cell", pa.array(at))
-
-    celled = dealt.mapInArrow(cells, "vec_id long, v array<double>, dim int, h long, cell int")
-    celled = staged(celled, "cells")
-    counts = celled.groupBy("dim", "cell").agg(F.count("*").alias("n"))
+    data = quantised(vectors, id_col, vector_col, scale).withColumn("dim", F.size("v")).withColumn("h", F.xxhash64(F.lit(seed), "vec_id", "v"))
+    data = staged(data.select("dim", "vec_id", "h", "v"), "vectors")
+    # A task holds a block of bounded bytes: fewer rows where vectors are long.
+    widest = data.agg(F.max("dim")).head()[0]
+    if widest is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    block_rows = max(16, min(block_rows, (1 << 23) // (8 * widest)))
+    top = staged(_dealt(data, ["dim"], block_rows, most_pivots, "top"), "top")
+    celled = staged(_dealt(top, ["dim", "top"], block_rows, most_pivots, "cell"), "cells")
     parts = F.ceil(F.col("n") / F.lit(2 * block_rows)).cast("int")
-    blocks = celled.join(counts, ["dim", "cell"]).withColumn("part", F.pmod("h", parts).cast("int")).select("dim", "cell", "part", "vec_id", "v")
+    counts = staged(celled.groupBy("dim", "top", "cell").agg(F.count("*").alias("n")), "counts")
+    keys = ["dim", "top", "cell", "part"]
+    blocks = celled.join(counts, ["dim", "top", "cell"]).withColumn("part", F.pmod("h", parts).cast("int")).select(*keys, "vec_id", "h", "v")
     blocks = staged(blocks, "blocks")
-    queries = blocks.where(F.pmod("vec_id", F.lit(every)) == 0)
+    queries = blocks.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates([*keys, "vec_id", "h"])
 
     # What a block and its queries cover: centres and covering radii.
     def ball(x: np.ndarray) -> tuple[list[float], float]:
         c = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
         return c.tolist(), float(np.sqrt(((x - c) ** 2).sum(axis=1)).max(initial=0.0))
 
-    def covers(group: pd.DataFrame) -> pd.DataFrame:
-        x = _vectors(group["v"])
-        asked = group["vec_id"].to_numpy(np.int64) % every == 0
+    def covers(group: pa.Table) -> pa.Table:
+        x = _vectors(group.column("v"))
+        asked = group.column("vec_id").to_numpy() % every == 0
         (c, r), (qc, qr) = ball(x), ball(x[asked])
-        return group[["dim", "cell", "part"]].head(1).assign(centre=[c], radius=r, asked=int(asked.sum()), q_centre=[qc], q_radius=qr)
+        head = {n: [group.column(n)[0].as_py()] for n in keys}
+        row = head | {"centre": [c], "radius": [r], "asked": [int(asked.sum())], "q_centre": [qc], "q_radius": [qr]}
+        return pa.table({n: pa.array(v, pa.int32()) if n in keys else v for n, v in row.items()})
 
-    regions = blocks.groupBy("dim", "cell", "part").applyInPandas(covers, "dim int, cell int, part int, centre array<double>, radius double, asked long, q_centre array<double>, q_radius double")
-    regions = staged(regions, "regions")
+    fields = "dim int, top int, cell int, part int"
+    regions = staged(blocks.groupBy(*keys).applyInArrow(covers, f"{fields}, centre array<double>, radius double, asked long, q_centre array<double>, q_radius double"), "regions")
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
         """Queries (with the k-th score that they have so far) against one block."""
+        out = {n: pa.array([], pa.int64()) for n in ("query_id", "query_h", "vec_id", "score")}
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, x = CoverTree(_vectors(left["v"])), CoverTree(_vectors(right["v"]))
+            return pa.table(out)
+        ids, marks = left.column("vec_id").to_numpy(), left.column("h").to_numpy()
+        q, x = CoverTree(_vectors(left.column("v")), ids, QUERY_LEAF), CoverTree(_vectors(right.column("v")), right.column("vec_id").to_numpy())
         best = Best(len(left), k)
-        floor = left["floor"].to_numpy(float)
+        floor = left.column("floor").to_numpy(zero_copy_only=False).astype(float)
         # What is known to be reached elsewhere prunes here; candidates at the floor itself still count.
         best.scores[:, :] = np.where(np.isnan(floor), -np.inf, floor - 0.5)[:, None]
-        ids = right["vec_id"].to_numpy(np.int64)
-        dual_search(q, left["vec_id"].to_numpy(np.int64), x, ids, best)
+        dual_search(q, x, best)
         got = np.isfinite(best.scores) & (best.ids != np.iinfo(np.int64).max)
         rows, _ = np.nonzero(got)
-        return pd.DataFrame({"query_id": left["vec_id"].to_numpy(np.int64)[rows], "vec_id": best.ids[got], "score": best.scores[got].astype(np.int64)})
+        return pa.table({"query_id": ids[rows], "query_h": marks[rows], "vec_id": best.ids[got], "score": best.scores[got].astype(np.int64)})
 
-    out = "query_id long, vec_id long, score long"
-    keys = ["dim", "cell", "part"]
+    out = "query_id long, query_h long, vec_id long, score long"
     # First the queries of each block against their own block.
-    own = queries.select(*keys, "vec_id", "v", F.lit(None).cast("double").alias("floor"))
-    first = staged(own.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(search, out), "first")
-    ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = first.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-    asked = staged(queries.join(kth, "vec_id", "left"), "asked")
+    own = queries.select(*keys, "vec_id", "h", "v", F.lit(None).cast("double").alias("floor"))
+    first = staged(own.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(search, out), "first")
+    ranked = W.partitionBy("query_id", "query_h").orderBy(F.desc("score"), "vec_id")
+    kth = first.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k)
+    kth = kth.select(F.col("query_id").alias("vec_id"), F.col("query_h").alias("h"), F.col("score").cast("double").alias("floor"))
+    asked = staged(queries.join(kth, ["vec_id", "h"], "left"), "asked")
     # The worst k-th score of each group of queries, against the bound of its region and a block's.
     worst = asked.groupBy(*keys).agg(F.when(F.count("floor") == F.count("*"), F.min("floor")).alias("worst"))
-    groups = regions.where("asked > 0").join(worst, keys).select("dim", F.col("cell").alias("q_cell"), F.col("part").alias("q_part"), "q_centre", "q_radius", "worst")
+    groups = regions.where("asked > 0").join(worst, keys).select("dim", *[F.col(c).alias(f"q_{c}") for c in keys[1:]], "q_centre", "q_radius", "worst")
     length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     dot = F.aggregate(F.zip_with("q_centre", "centre", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     bound = dot + F.col("q_radius") * length("centre") + F.col("radius") * length("q_centre") + F.col("q_radius") * F.col("radius")
-    open_ = groups.join(regions.select(*keys, "centre", "radius"), "dim").where("cell <> q_cell or part <> q_part")
-    open_ = open_.where(F.col("worst").isNull() | (bound + F.lit(1e-6) * (1 + F.abs(bound)) >= F.col("worst"))).select(*keys, "q_cell", "q_part")
+    may = F.col("worst").isNull() | (bound + F.lit(1e-6) * (1 + F.abs(bound)) >= F.col("worst"))
+    # Whole cells of the first pivots against each other, a bounded number of pairs; then blocks within the pairs that are left.
+    mean = regions.join(counts.groupBy("dim", "top").agg(F.first("cell").alias("cell")), ["dim", "top", "cell"]).where("part = 0").select("dim", "top", F.col("centre").alias("c"))
+    gap = F.sqrt(F.aggregate(F.zip_with("centre", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    wide = regions.join(mean, ["dim", "top"]).groupBy("dim", "top").agg(F.first("c").alias("centre"), F.max(gap + F.col("radius")).alias("radius"))
+    gap_q = F.sqrt(F.aggregate(F.zip_with("q_centre", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    q_wide = groups.join(mean.withColumnRenamed("top", "q_top"), ["dim", "q_top"]).groupBy("dim", "q_top").agg(F.first("c").alias("q_centre"), F.max(gap_q + F.col("q_radius")).alias("q_radius"), F.when(F.count("worst") == F.count("*"), F.min("worst")).alias("worst"))
+    near = staged(q_wide.join(wide, "dim").where(may).select("dim", "q_top", "top"), "near")
+    open_ = groups.join(near, ["dim", "q_top"]).join(regions.select(*keys, "centre", "radius"), ["dim", "top"])
+    open_ = open_.where("top <> q_top or cell <> q_cell or part <> q_part").where(may).select(*keys, "q_top", "q_cell", "q_part")
     # A task gets one block and one chunk of the queries that are open for it.
-    chunks = max(1, n // every // block_rows)
-    ask = asked.select("dim", F.col("cell").alias("q_cell"), F.col("part").alias("q_part"), "vec_id", "v", "floor")
-    ask = ask.join(open_, ["dim", "q_cell", "q_part"]).withColumn("chunk", F.pmod(F.xxhash64("q_cell", "q_part"), F.lit(chunks)).cast("int"))
-    ask = staged(ask, "open")
-    tasks = staged(ask.select(*keys, "chunk").distinct(), "tasks")
-    held = blocks.join(tasks, keys)
-    second = ask.select(*keys, "chunk", "vec_id", "v", "floor").groupBy(*keys, "chunk").cogroup(held.groupBy(*keys, "chunk")).applyInPandas(search, out)
-    every_ = first.union(staged(second, "second")).withColumn("rank", F.row_number().over(ranked))
-    return every_.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    n_queries = F.ceil(F.sum("asked") / F.lit(block_rows)).cast("int")
+    open_ = staged(open_, "open")
+    load = open_.join(regions.select("dim", *[F.col(c).alias(f"q_{c}") for c in keys[1:]], "asked"), ["dim", "q_top", "q_cell", "q_part"]).groupBy(*keys).agg(n_queries.alias("chunks"))
+    ask = asked.select("dim", *[F.col(c).alias(f"q_{c}") for c in keys[1:]], "vec_id", "h", "v", "floor").join(open_, ["dim", "q_top", "q_cell", "q_part"])
+    load = staged(load, "load")
+    ask = ask.join(load, keys).withColumn("chunk", F.pmod(F.xxhash64("q_top", "q_cell", "q_part"), F.col("chunks")).cast("int"))
+    held = blocks.join(load, keys).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    by = [*keys, "chunk"]
+    second = ask.select(*by, "vec_id", "h", "v", "floor").groupBy(*by).cogroup(held.select(*by, "vec_id", "h", "v").groupBy(*by)).applyInArrow(search, out)
+    all_ = first.union(staged(second, "second")).withColumn("rank", F.row_number().over(ranked))
+    return all_.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _spread(points: np.ndarray, count: int) -> np.ndarray:

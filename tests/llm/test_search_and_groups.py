@@ -181,11 +181,51 @@ def test_trees_prune():
             super().add(rows, scores, ids)
 
     best = Counting(len(q), 3)
-    topk.dual_search(topk.CoverTree(q, 16), np.arange(len(q)) + 10_000, topk.CoverTree(x), np.arange(len(x)), best)
+    asked, data = topk.CoverTree(q, np.arange(len(q)) + 10_000, topk.QUERY_LEAF), topk.CoverTree(x, np.arange(len(x)))
+    assert len(asked.first) > 10 and len(data.first) > 10
+    topk.dual_search(asked, data, best)
     want = np.sort(q @ x.T, axis=1)[:, ::-1][:, :3]
     assert np.allclose(best.scores, want) and seen < q.shape[0] * x.shape[0] / 2
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3, 30])
+def test_cover_tree_holds_its_invariants(dim):
+    rng = np.random.default_rng(dim)
+    x = np.concatenate([rng.normal(size=(700, dim)), np.zeros((50, dim)), rng.normal(5, 1e-3, (200, dim))])
+    ids = rng.permutation(len(x))
+    tree = topk.CoverTree(x, ids, 4)
+    assert sorted(tree.order.tolist()) == list(range(len(x)))
+    gap = lambda i, j: float(np.sqrt(((x[i] - x[j]) ** 2).sum()))
+    for at, kids in enumerate(tree.children):
+        own = tree.order[tree.first[at] : tree.end[at]]
+        assert max(gap(tree.centre[at], i) for i in own) <= tree.radius[at] + 1e-12
+        assert tree.radius[at] == 0 or tree.radius[at] <= 2.0 ** tree.level[at]
+        if not kids:
+            assert (np.diff(ids[own]) > 0).all()
+            continue
+        assert len(kids) <= topk.WIDEST and tree.centre[kids[0]] == tree.centre[at]
+        assert sorted(i for k in kids for i in tree.order[tree.first[k] : tree.end[k]]) == sorted(own)
+        for n, k in enumerate(kids):
+            assert tree.radius[k] <= 2.0 ** (tree.level[at] - 1) and tree.level[k] < tree.level[at] and tree.centre[k] in own
+            assert all(gap(tree.centre[k], tree.centre[j]) > 2.0 ** (tree.level[at] - 1) for j in kids[:n])
+
+
+def test_exact_top_k_of_odd_rows(spark):
+    """Repeated ids and rows, rows of one vector in more than one block, extra columns and pivots at two levels."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    x[::3] = x[0]
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(50, [1.0, 2.0, 3.0]), (50, [1.0, 2.0, 3.0]), (7, x[7].tolist()), (None, [1.0] * 3), (100, [0.5] * 5), (3, [0.5] * 5)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
+    out = topk.top_inner_products(frame, every=50, k=5, block_rows=16, most_pivots=4).collect()
+    want = []
+    every = [(i, np.floor(256 * np.array(v))) for i, v in rows if i is not None]
+    for q, v in {(q, tuple(v.tolist())) for q, v in every if q % 50 == 0}:
+        best = sorted((-int(np.array(v) @ y), i) for i, y in every if i != q and len(y) == len(v))[:5]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, out)) == sorted(want)
+
+
 def test_nearest(spark):
     frame, rows = vectors(spark, 3000, 16)
     rows = [(i, v) for i, v in rows if v.any()]
