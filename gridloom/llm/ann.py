@@ -1,7 +1,8 @@
 """Approximate nearest neighbours with score-aware anisotropic quantisation.
 
-The nearest row has the largest <q, x> - |x|^2 / 2. Half the squared norm is kept exactly
-and the inner product is approximated: x is cut into pairs of components, each coded by
+Rows are dealt to cells by their nearest centre, and a query searches as many of its nearest
+cells as a trial with all cells asks for. The nearest row has the largest <q, x> - |x|^2 / 2.
+Half the squared norm is kept exactly and the inner product is approximated: x is cut into pairs of components, each coded by
 one of 16 codewords, and both codes and codewords minimise a loss in which the residual
 parallel to x weighs more than the rest. A query scans the codes with tables of 16 sums
 for each pair, two codes a byte; the best are ranked by exact distance. Each row also
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -120,14 +120,39 @@ def distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.sqrt((apart * apart).sum(axis=1))
 
 
+def centres(x: np.ndarray, count: int, rounds: int = 8, seed: int = 2) -> np.ndarray:
+    """At most ``count`` centres of rows by k-means; one that loses all its rows stays where it was."""
+    out = np.unique(x[np.random.default_rng(seed).permutation(len(x))[:count]], axis=0)
+    for _ in range(rounds if len(out) > 1 else 0):
+        at = by_nearness(x, out, 1)[:, 0]
+        n = np.bincount(at, minlength=len(out))
+        sums = np.zeros_like(out)
+        np.add.at(sums, at, x)
+        out = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], out)
+    return out
+
+
+def by_nearness(x: np.ndarray, centres_: np.ndarray, most: int) -> np.ndarray:
+    """For each row the numbers of its ``most`` nearest centres, the nearest first."""
+    half, out = (centres_ * centres_).sum(axis=1) / 2, []
+    for i in range(0, len(x), 1024):
+        far = half - x[i : i + 1024] @ centres_.T
+        out.append(far.argmin(axis=1)[:, None] if most == 1 else far.argsort(axis=1, kind="stable")[:, :most])
+    return np.concatenate(out) if out else np.zeros((0, most), np.int64)
+
+
 def nearest(
     vectors: DataFrame,
     every: int = 100,
     k: int = 10,
+    recall: float = 0.98,
+    trial: int = 256,
     candidates: int = 200,
     sample: int = 4096,
+    cell_rows: int = 4096,
+    most_cells: int = 4096,
     block_rows: int = 1 << 14,
-    query_rows: int = 256,
+    query_rows: int = 4096,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     seed: int = 9,
@@ -135,14 +160,22 @@ def nearest(
     """For each row whose id is divisible by ``every``, the k nearest other rows, by Euclidean distance.
 
     Returns ``query_id``, ``rank`` from 1, ``vec_id``, ``score`` (the distance between the
-    original vectors in double precision). All rows are indexed; the codewords of a length
-    are fitted on about ``sample`` rows of it by a seeded hash, fewer where there are many
-    lengths. In each block of rows, a query's ``candidates`` best rows by the code tables are
-    ranked exactly, and then all rows that can be as near as the k-th of them.
+    original vectors in double precision). All rows are indexed: each belongs to the cell of
+    its nearest centre and has its codes. Centres, one for ``cell_rows`` rows and at most
+    ``most_cells``, and codewords are fitted on a bounded sample by a seeded hash (``sample``
+    rows, or 16 for each centre).
+
+    About ``trial`` queries, by hash, search all cells, which is the exact way. Their results
+    show how many of the nearest cells hold ``recall`` of the neighbours; the other queries
+    search as many. With ``recall`` 1 every query searches all cells. In each block of a
+    cell, a query's ``candidates`` best rows by the code tables are ranked exactly, and then
+    all rows that can be as near as the k-th of them.
 
     * Vectors that are null, zero or hold a null or non-finite component take no part, nor
       do rows with a null id. Vectors are compared with those of their own length.
-    * A query does not find rows of its own id. Rows that share an id are rows of their own.
+    * A query does not find rows of its own id. Rows that share an id are rows of their own,
+      and queries of their own where their vectors differ; equal rows are one query.
+    * An empty table gives no rows. Other columns are left out, so their names cannot clash.
     """
     spark = vectors.sparkSession
     rows = sound(vectors, id_col, vector_col)
@@ -150,9 +183,15 @@ def nearest(
     n, kinds = lengths.agg(F.sum("n"), F.count("*")).head()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    share = F.broadcast(lengths.select("dim", (max(sample // kinds, 4 * WORDS) / F.col("n")).alias("share")))
-    some = rows.join(share, "dim").where(F.xxhash64(F.lit(seed), "vec_id", "v") / F.lit(2.0**64) + 0.5 <= F.col("share")).select("dim", "v").toPandas()
-    books = {int(d): Codebook.train(np.stack([np.asarray(v, float) for v in g["v"]])) for d, g in some.groupby("dim")}
+    cells = F.greatest(F.lit(1), F.least(F.lit(max(1, most_cells // kinds)), F.ceil(F.col("n") / F.lit(cell_rows)))).cast("int")
+    wanted = lengths.withColumn("cells", cells)
+    wanted = wanted.withColumn("share", F.greatest(F.lit(max(sample // kinds, 4 * WORDS)), 16 * F.col("cells")) / F.col("n"))
+    mark = F.xxhash64(F.lit(seed), "vec_id", "v").alias("h")
+    some = rows.join(wanted, "dim").where(mark / F.lit(2.0**64) + 0.5 <= F.col("share")).select("dim", "cells", "v").toPandas()
+    books, grid = {}, {}
+    for d, g in some.groupby("dim"):
+        x = np.stack([np.asarray(v, float) for v in g["v"]])
+        books[int(d)], grid[int(d)] = Codebook.train(x[:sample]), centres(x, int(g["cells"].iloc[0]))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,50 +199,62 @@ def nearest(
             for d in np.unique(dims):
                 own = b.take(pa.array(np.flatnonzero(dims == d)))
                 x = matrix(own.column("v"))
-                # A length that the sample lacks has one code, that of 0.
+                # A length that the sample lacks has one code, that of 0, and one cell.
                 code = books[int(d)].packed(x) if int(d) in books else np.zeros((len(x), 1), np.uint8)
                 like = books[int(d)].decode(code) if int(d) in books else np.zeros_like(x)
+                cell = by_nearness(x, grid[int(d)], 1)[:, 0] if int(d) in grid else np.zeros(len(x), np.int64)
                 rest = np.pad(x, ((0, 0), (0, like.shape[1] - x.shape[1]))) - like
                 with np.errstate(over="ignore"):
                     single = x.astype(np.float32)
                 raw = single if (single == x).all() else x
                 binary = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
                 sums = [pa.array(z) for z in ((x * x).sum(axis=1) / 2, (like * like).sum(axis=1) / 2, np.sqrt((rest * rest).sum(axis=1)))]
-                yield pa.RecordBatch.from_arrays([own.column("vec_id"), own.column("dim"), binary(code), *sums, binary(raw)], names=["vec_id", "dim", "code", "half", "code_half", "gap", "x"])
+                yield pa.RecordBatch.from_arrays([own.column("vec_id"), own.column("h"), own.column("dim"), pa.array(cell.astype(np.int32)), binary(code), *sums, binary(raw)], names=["vec_id", "h", "dim", "cell", "code", "half", "code_half", "gap", "x"])
 
-    blocks = max(1, -(-n // block_rows))
-    coded = staged(rows.mapInArrow(index, "vec_id long, dim int, code binary, half double, code_half double, gap double, x binary"), "codes")
-    held = coded.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(blocks)).cast("int"))
-    parts = max(1, -(-n // every // query_rows))
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    # Blocks of rows against parts of the queries; each pair is one task's work.
-    left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    marked = rows.select("vec_id", mark, "dim", "v")
+    coded = staged(marked.mapInArrow(index, "vec_id long, h long, dim int, cell int, code binary, half double, code_half double, gap double, x binary"), "codes")
+    sizes = staged(coded.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks")), "sizes")
+    queries = staged(marked.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "h"]), "queries")
+    first = F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.lit(max(1, round(queries.count() / trial)))) == 0
+
+    def cells_of(most: int | None):  # noqa: ANN202
+        """Each query with each of its nearest cells, all or as many."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                dims = b.column("dim").to_numpy()
+                for d in np.unique(dims):
+                    own = b.take(pa.array(np.flatnonzero(dims == d)))
+                    count = len(grid[int(d)]) if int(d) in grid else 1
+                    for i in range(0, own.num_rows, max(1, 16384 // count)):
+                        part = own.slice(i, max(1, 16384 // count))
+                        near = by_nearness(matrix(part.column("v")), grid[int(d)], min(most or count, count)) if int(d) in grid else np.zeros((part.num_rows, 1), np.int64)
+                        at = np.repeat(np.arange(part.num_rows), near.shape[1])
+                        place = np.tile(np.arange(near.shape[1], dtype=np.int32), part.num_rows)
+                        yield pa.RecordBatch.from_arrays([*part.take(pa.array(at)).columns, pa.array(near.ravel().astype(np.int32)), pa.array(place)], names=["vec_id", "h", "dim", "v", "cell", "place"])
+
+        return run
 
     def scan(asked: pa.Table, codes: pa.Table) -> pa.Table:
-        out_q, out_x, out_s = [], [], []
-        codes = codes.sort_by("vec_id").combine_chunks()
-        asked = asked.combine_chunks()
-        for d in np.unique(asked.column("dim").to_numpy()) if len(asked) and len(codes) else []:
-            own = codes.filter(pa.compute.equal(codes.column("dim"), int(d)))
-            if not len(own):
-                continue
+        out: dict[str, list] = {c: [] for c in ("query_id", "query_h", "place", "vec_id", "score")}
+        if len(asked) and len(codes):
+            d = int(codes.column("dim")[0].as_py())
+            own, asked = codes.sort_by("vec_id").combine_chunks(), asked.combine_chunks()
             raw = np.frombuffer(b"".join(own.column("code").to_pylist()), np.uint8).reshape(len(own), -1).T.copy()
             x = np.stack([np.frombuffer(r, np.float64 if len(r) == 8 * d else np.float32) for r in own.column("x").to_pylist()]).astype(np.float64)
             ids, half, code_half, gap = (own.column(c).to_numpy() for c in ("vec_id", "half", "code_half", "gap"))
-            mine = asked.filter(pa.compute.equal(asked.column("dim"), int(d)))
-            for q, vector in zip(mine.column("vec_id").to_pylist(), mine.column("v").to_pylist(), strict=True):
-                v = np.array(vector)
+            marks = zip(*(asked.column(c).to_pylist() for c in ("vec_id", "h", "place")), strict=True)
+            for (q, h, place), v in zip(marks, matrix(asked.column("v").combine_chunks()), strict=True):
                 vv, others = v @ v, ids != q
                 inner = np.zeros(len(ids))
-                if int(d) in books:
-                    for table, byte in zip(books[int(d)].tables(v), raw, strict=True):
+                if d in books:
+                    for table, byte in zip(books[d].tables(v), raw, strict=True):
                         inner += table[byte]
                 score = np.where(others, inner - half, -np.inf)
                 top = min(candidates, len(score))
-                first = np.argpartition(score, len(score) - top)[len(score) - top :]
-                first = np.sort(distances(x[first[others[first]]], v))
-                limit = first[k - 1] if len(first) >= k else np.inf
+                best = np.argpartition(score, len(score) - top)[len(score) - top :]
+                best = np.sort(distances(x[best[others[best]]], v))
+                limit = best[k - 1] if len(best) >= k else np.inf
                 # Rounding is allowed for: a bound that is too low costs a comparison only.
                 least = np.sqrt(np.maximum(vv + 2 * (code_half - inner) - 1e-12 * (vv + 2 * code_half), 0)) - gap * (1 + 1e-12)
                 may = np.flatnonzero(others & ~(least > limit * (1 + 1e-12)))
@@ -213,12 +264,31 @@ def nearest(
                 far = distances(x[may], v)
                 may, far = may[np.isfinite(far)], far[np.isfinite(far)]
                 best = np.lexsort((ids[may], far))[:k]
-                out_q.append(np.full(len(best), q))
-                out_x.append(ids[may[best]])
-                out_s.append(far[best])
-        flat = lambda xs, kind: pa.array(np.concatenate(xs) if xs else np.zeros(0), kind)
-        return pa.table({"query_id": flat(out_q, pa.int64()), "vec_id": flat(out_x, pa.int64()), "score": flat(out_s, pa.float64())})
-
-    found = left.select("block", "part", "vec_id", "dim", "v").groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(scan, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                for c, value in zip(out, (np.full(len(best), q), np.full(len(best), h), np.full(len(best), place), ids[may[best]], far[best]), strict=True):
+                    out[c].append(value)
+        kinds_ = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
+        return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0), kind) for (c, v), kind in zip(out.items(), kinds_, strict=True)})
+
+    def searched(asked: DataFrame, most: int | None) -> DataFrame:
+        """The k nearest rows of each query in its cells, with the place of the row's cell among the query's."""
+        asked = staged(asked.mapInArrow(cells_of(most), "vec_id long, h long, dim int, v array<double>, cell int, place int"), "asked")
+        # A task gets one block of a cell and a chunk of the queries that ask for the cell.
+        load = staged(asked.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(query_rows)).cast("int").alias("chunks")).join(sizes, ["dim", "cell"]), "load")
+        by = ["dim", "cell", "block", "chunk"]
+        left = asked.join(load, ["dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        right = coded.join(load, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "h"), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        found = left.select(*by, "vec_id", "h", "place", "v").groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(scan, "query_id long, query_h long, place int, vec_id long, score double")
+        rank = F.row_number().over(W.partitionBy("query_id", "query_h").orderBy("score", "vec_id")).cast("int")
+        return staged(found.withColumn("rank", rank).where(F.col("rank") <= k), "found")
+
+    out = searched(queries.where(first), None)
+    places = dict(map(tuple, out.groupBy("place").agg(F.count("*").alias("n")).collect()))  # a row for each cell at most
+    seen, most = 0, 1
+    for place in sorted(places):
+        most = place + 1
+        seen += places[place]
+        if seen >= recall * sum(places.values()) and recall < 1:
+            break
+    most = max(map(len, grid.values()), default=1) if recall >= 1 or not places else most
+    rest = searched(queries.where(~first), most)
+    return out.unionByName(rest).select("query_id", "rank", "vec_id", "score")

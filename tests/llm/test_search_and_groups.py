@@ -229,7 +229,7 @@ def test_exact_top_k_of_odd_rows(spark):
 def test_nearest(spark):
     frame, rows = vectors(spark, 3000, 16)
     rows = [(i, v) for i, v in rows if v.any()]
-    out = ann.nearest(frame, every=100, k=10, block_rows=700, query_rows=9).toPandas()
+    out = ann.nearest(frame, every=100, k=10, trial=8, cell_rows=100, block_rows=70, query_rows=9).toPandas()
     ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
     hit = total = 0
     for q in ids[ids % 100 == 0]:
@@ -252,7 +252,7 @@ def test_nearest_in_a_dense_group(spark):
     x = rng.normal(size=(1500, 16))
     x[::3] = x[0] + rng.normal(size=(500, 16)) * 1e-3
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(10_000 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 5)))], "vec_id long, embedding array<double>")
-    out = ann.nearest(frame, every=50, k=10, candidates=20, block_rows=700, sample=300).toPandas()
+    out = ann.nearest(frame, every=50, k=10, candidates=20, block_rows=200, sample=300, recall=1.0, cell_rows=100, trial=5).toPandas()
     every = [(r.vec_id, np.array(r.embedding)) for r in frame.collect()]
     for q, v in every:
         if q % 50 == 0:
@@ -260,6 +260,26 @@ def test_nearest_in_a_dense_group(spark):
             assert out[out["query_id"] == q].sort_values("rank")["vec_id"].tolist() == [i for _, i in near]
 
 
+def test_trial_says_how_many_cells_are_searched(spark):
+    """In clustered rows few cells are searched, and recall stays high; repeated ids are queries of their own."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 8))[rng.integers(0, 40, 4000)] * 10 + rng.normal(size=(4000, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, (x[1] + 0.5).tolist()), (20, x[20].tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    out = ann.nearest(frame, every=20, k=5, trial=20, cell_rows=100, recall=0.98).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hit = total = 0
+    for q, v in enumerate(x):
+        if q % 20 == 0 and q:
+            gap = np.sqrt(((x - v) ** 2).sum(axis=1))
+            near = {i for _, i in sorted((g, i) for i, g in enumerate(gap) if i != q)[:5]}
+            hit, total = hit + len(near & {i for _, i, _ in got[q]}), total + 5
+            assert [r for r, _, _ in sorted(got[q])] == [1, 2, 3, 4, 5]
+    assert hit / total >= 0.95 and sorted(r for r, _, _ in got[0]) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+
+
 def test_parallel_residuals_are_smaller():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 16))
