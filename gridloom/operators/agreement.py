@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -143,17 +145,28 @@ def kde_overlap(df: DataFrame, section: str, value: str, pairs: DataFrame, point
     span = pairs.join(side("a"), "a").join(side("b"), "b")
     low, high = F.least("low_a", "low_b"), F.greatest("high_a", "high_b")
     span = span.withColumn("__lo", low - 0.05 * (high - low)).withColumn("__hi", high + 0.05 * (high - low))
-    grid = span.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("g", F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("i") / (points - 1))
-
-    def density(x: str) -> DataFrame:
-        h = F.col(f"sd_{x}") * F.pow(F.col(f"n_{x}"), F.lit(-0.2))
-        rows = grid.join(df.select(F.col(section).alias(x), F.col(value).alias("__v")), x)
-        k = F.exp(-0.5 * F.pow((F.col("g") - F.col("__v")) / h, 2)) / (h * F.sqrt(F.lit(2 * 3.141592653589793)) * F.col(f"n_{x}"))
-        return rows.groupBy("a", "b", "i", "g").agg(F.sum(k).alias(f"f_{x}"))
-
-    both = density("a").join(density("b").drop("g"), ["a", "b", "i"]).withColumn("m", F.least("f_a", "f_b"))
+    # Each task adds up the densities of its own values on the whole grid, an array for each pair and side.
+    h = lambda x: F.col(f"sd_{x}") * F.pow(F.col(f"n_{x}"), F.lit(-0.2))
+    sides = [span.select("a", "b", F.col(x).alias("__s"), F.lit(x).alias("x"), "__lo", "__hi", h(x).alias("h"), F.col(f"n_{x}").cast("double").alias("n")) for x in "ab"]
+    rows = sides[0].union(sides[1]).join(df.select(F.col(section).alias("__s"), F.col(value).cast("double").alias("v")).where("v is not null"), "__s").select("a", "b", "x", "__lo", "__hi", "h", "n", "v")
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            for key, g in batch.groupby(["a", "b", "x"]):
+                lo, hi, h, n = (float(g[c].iloc[0]) for c in ("__lo", "__hi", "h", "n"))
+                at, v = lo + (hi - lo) * np.arange(points) / (points - 1), g["v"].to_numpy()
+                own = sum(np.exp(-0.5 * ((at[:, None] - v[None, i : i + 256]) / h) ** 2).sum(axis=1) for i in range(0, len(v), 256)) / (h * np.sqrt(2 * np.pi) * n)
+                held[key] = held[key] + own if key in held else own
+        yield pd.DataFrame({"a": [k[0] for k in held], "b": [k[1] for k in held], "x": [k[2] for k in held], "f": [f.tolist() for f in held.values()]})
+
+    kinds = dict(pairs.dtypes)
+    sums = rows.mapInPandas(part, f"a {kinds['a']}, b {kinds['b']}, x string, f array<double>").select("a", "b", "x", F.posexplode("f").alias("i", "f"))
+    both = sums.groupBy("a", "b", "i").agg(*[F.sum(F.when(F.col("x") == x, F.col("f"))).alias(f"f_{x}") for x in "ab"])
+    step = (F.col("__hi") - F.col("__lo")) / (points - 1)
     w = W.partitionBy("a", "b").orderBy("i")
-    area = (F.col("g") - F.lag("g").over(w)) * (F.col("m") + F.lag("m").over(w)) / 2
+    both = both.join(span.select("a", "b", step.alias("step")), ["a", "b"]).withColumn("m", F.least("f_a", "f_b"))
+    area = F.col("step") * (F.col("m") + F.lag("m").over(w)) / 2
     return both.withColumn("area", area).groupBy("a", "b").agg(F.sum("area").alias("overlap"))
 
 

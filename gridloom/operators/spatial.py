@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.columns import grid_cell, min_max
 from gridloom.functions.stats import corr, mid_rank
+from gridloom.sources.tables import written
 
 
 def _near_cells(side: Column, reach: Column) -> Column:
@@ -24,7 +24,8 @@ def knn(df: DataFrame, k: int = 6, sample: str = "sample_id", spot: str = "spot_
 
     Spots are put in square cells that hold about k of them and meet those of the cells
     around. A spot is done when its k-th distance does not exceed the border of what it has
-    seen; the others go round again with twice the reach, until that covers the sample.
+    seen; the others go round again with twice the reach, until that covers the sample. Each
+    round is written to the shared folder.
     """
     own = df.where(F.col(x).isNotNull() & ~F.isnan(x) & F.col(y).isNotNull() & ~F.isnan(y)).select(F.col(sample).alias("s"), F.col(spot).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
     box = own.groupBy("s").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in "xy" for f, n in ((F.min, "lo"), (F.max, "hi"))])
@@ -34,7 +35,7 @@ def knn(df: DataFrame, k: int = 6, sample: str = "sample_id", spot: str = "spot_
     share = F.least(F.lit(1.0), k / F.col("n"))
     box = box.select("s", "n", "lo_x", "lo_y", span.alias("span"), F.when(span > 0, F.greatest(F.sqrt(area * share), span * share)).otherwise(1.0).alias("side"))
     placed = own.join(box, "s").withColumn("px", (F.col("x") - F.col("lo_x")) / F.col("side")).withColumn("py", (F.col("y") - F.col("lo_y")) / F.col("side"))
-    placed = placed.withColumn("cx", F.floor("px").cast("long")).withColumn("cy", F.floor("py").cast("long")).cache()
+    placed = written(placed.withColumn("cx", F.floor("px").cast("long")).withColumn("cy", F.floor("py").cast("long")))
     other = placed.select(F.col("s"), F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("cx").alias("gx"), F.col("cy").alias("gy"))
     todo, reach, out = placed, 1, None
     while True:
@@ -42,7 +43,7 @@ def knn(df: DataFrame, k: int = 6, sample: str = "sample_id", spot: str = "spot_
         wide = todo.withColumn("gx", F.explode(_near_cells(F.col("px"), r))).withColumn("gy", F.explode(_near_cells(F.col("py"), r)))
         near = wide.join(other, ["s", "gx", "gy"]).where("id <> dst").withColumn("dist", F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)))
         rank = F.row_number().over(W.partitionBy("s", "id").orderBy("dist", "dst"))
-        near = near.withColumn("rank", rank).where(F.col("rank") <= k)
+        near = written(near.withColumn("rank", rank).where(F.col("rank") <= k))
         border = (r + F.least(*[F.least(F.col(p) - F.floor(p), F.floor(p) + 1 - F.col(p)) for p in ("px", "py")])) * F.col("side")
         seen = near.groupBy("s", "id").agg(F.count("*").alias("have"), F.max("dist").alias("kth"))
         state = todo.select("s", "id", "n", "span", "side", border.alias("border")).join(seen, ["s", "id"], "left")
@@ -50,7 +51,7 @@ def knn(df: DataFrame, k: int = 6, sample: str = "sample_id", spot: str = "spot_
         done = state.where(whole | ((F.coalesce("have", F.lit(0)) >= F.least(F.lit(k), F.col("n") - 1)) & (F.coalesce("kth", F.lit(0.0)) <= F.col("border")))).select("s", "id")
         found = near.join(done, ["s", "id"], "left_semi").select(F.col("s").alias(sample), F.col("id").alias("src"), "dst", "dist", "rank")
         out = found if out is None else out.unionByName(found)
-        todo = todo.join(done, ["s", "id"], "left_anti")
+        todo = written(todo.join(done, ["s", "id"], "left_anti"))
         if todo.isEmpty():
             return out
         reach *= 2
@@ -90,44 +91,26 @@ def morans_i(edges: DataFrame, values: DataFrame, value: str, keys: Sequence[str
     return out.select(*keys, sample, "n", F.when(F.col("below") > 0, F.col("n") / F.col("w_sum") * F.col("top") / F.col("below")).otherwise(0.0).alias("morans_i"))
 
 
-def permuted_morans(edges: DataFrame, values: DataFrame, value: str, permutations: int, seed: int = 0, group: str | None = None, sample: str = "sample_id", spot: str = "spot_id", block: int = 50) -> DataFrame:
+def permuted_morans(edges: DataFrame, values: DataFrame, value: str, permutations: int = 999, seed: int = 0, group: str | None = None, sample: str = "sample_id", spot: str = "spot_id") -> DataFrame:
     """Moran's I of each sample under each of P seeded shuffles (0 is as observed), freely or within groups: (sample, perm, morans_i).
 
-    A task has one sample and a block of permutations; a spot's place in shuffle p is that
-    of its hash with p, so any engine draws the same shuffles.
+    In shuffle p the spot at a place by id gets the value of the spot at that place by
+    md5(seed|p|id), so any engine draws the same shuffles. A window holds one sample's (or
+    group's) spots for one shuffle.
     """
-    cols = [sample, spot, value] + ([group] if group else [])
-    blocks = [F.explode(F.sequence(F.lit(0), F.lit(permutations // block))).alias("block")]
-    # New names for the columns of both sides, as they may come from one table.
-    left = values.select(*cols, *blocks).toDF(*cols, "block")
-    right = edges.select(sample, "src", "dst", *blocks).toDF(sample, "src", "dst", "block")
-
-    def run(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        v = v.sort_values(spot).reset_index(drop=True)
-        if not len(v):
-            return v[[sample]].head(0).assign(perm=np.zeros(0, int), morans_i=np.zeros(0))
-        at = {s: i for i, s in enumerate(v[spot])}
-        src, dst = e["src"].map(at).to_numpy(int), e["dst"].map(at).to_numpy(int)
-        degree = np.bincount(src, minlength=len(v))
-        x = v[value].to_numpy(float)
-        groups = v[group].to_numpy() if group else np.zeros(len(v))
-        members = [np.flatnonzero(groups == g) for g in np.unique(groups)]
-        z = x - x.mean()
-        below, b = float(z @ z), int(v["block"].iloc[0])
-        out = []
-        for p in range(b * block, min(permutations, b * block + block - 1) + 1):
-            own = z
-            if p:
-                key = [hashlib.md5(f"{seed}|{p}|{s}".encode()).hexdigest() for s in v[spot]]
-                own = z.copy()
-                for m in members:
-                    own[m] = z[m[np.argsort([key[i] for i in m], kind="stable")]]
-            lag = np.bincount(src, weights=own[dst], minlength=len(v)) / np.maximum(degree, 1)
-            out.append((v[sample].iloc[0], p, len(v) / max(1, int((degree > 0).sum())) * float(own @ lag) / below if below > 0 else 0.0))
-        return pd.DataFrame(out, columns=[sample, "perm", "morans_i"])
-
-    kind = dict(values.dtypes)[sample]
-    return left.groupBy(sample, "block").cogroup(right.groupBy(sample, "block")).applyInPandas(run, f"`{sample}` {kind}, perm int, morans_i double")
+    w = W.partitionBy(sample)
+    own = values.select(F.col(sample).alias("s"), F.col(spot).alias("id"), (F.col(group) if group else F.lit(0)).alias("g"), (F.col(value) - F.avg(value).over(w)).alias("z"))
+    each = own.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    by = W.partitionBy("s", "perm", "g")
+    drawn = F.when(F.col("perm") > 0, F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col("id").cast("string"))))
+    placed = each.withColumn("p", F.row_number().over(by.orderBy("id"))).withColumn("q", F.row_number().over(by.orderBy(drawn, "id")))
+    shuffled = placed.select("s", "perm", "g", "id", "p").join(placed.select("s", "perm", "g", F.col("q").alias("p"), "z"), ["s", "perm", "g", "p"]).select("s", "perm", "id", "z")
+    near = edges.select(F.col(sample).alias("s"), "src", F.col("dst").alias("id")).join(shuffled, ["s", "id"])
+    lag = near.groupBy("s", "perm", "src").agg(F.avg("z").alias("lag")).withColumnRenamed("src", "id")
+    both = shuffled.join(lag, ["s", "perm", "id"], "left")
+    out = both.groupBy("s", "perm").agg(F.count("*").alias("n"), F.sum(F.col("z") * F.coalesce("lag", F.lit(0.0))).alias("top"), F.sum(F.col("z") * F.col("z")).alias("below"), F.count("lag").alias("w_sum"))
+    moran = F.when(F.col("below") > 0, F.col("n") / F.col("w_sum") * F.col("top") / F.col("below")).otherwise(0.0)
+    return out.select(F.col("s").alias(sample), "perm", moran.alias("morans_i"))
 
 
 def permutation_p(null: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -181,12 +181,12 @@ def a32_match_quality(spark: SparkSession, d: str) -> DataFrame:
     return matching.match_quality(matches(spark, d)[1]).select("sample_id", "n_total", "n_matched", *[r6(c) for c in ("tau", "median_nn1", "mean_nn1", "p90_nn1")])
 
 
-_META = _DE + ", meta AS (SELECT CASE WHEN patient IN (SELECT r_name FROM region WHERE r_regionkey < 3) THEN 'discovery' ELSE 'validation' END AS cohort, gene, count(*) FILTER (fdr < 0.5 AND abs(log2fc) > 0.05) AS n_samples_sig, count(*) AS n_samples_tested, quantile_cont(log2fc, 0.5) AS median_log2fc, avg(cohens_d) AS mean_cohens_d FROM de GROUP BY ALL)"
+_META = _DE + ", meta AS (SELECT CASE WHEN patient IN (SELECT r_name FROM region WHERE r_regionkey < 3) THEN 'discovery' ELSE 'validation' END AS cohort, gene, count(*) FILTER (fdr < 0.05 AND abs(log2fc) > 0.25) AS n_samples_sig, count(*) AS n_samples_tested, quantile_cont(log2fc, 0.5) AS median_log2fc, avg(cohens_d) AS mean_cohens_d FROM de GROUP BY ALL)"
 
 
 def metas(spark: SparkSession, d: str) -> DataFrame:
     cohorts = V.sample_dim(spark, d).select("cohort", "patient").distinct()
-    return T.meta(de(spark, d).join(cohorts, "patient"), ["cohort", "gene"], fdr=0.5, effect=0.05)
+    return T.meta(de(spark, d).join(cohorts, "patient"), ["cohort", "gene"])
 
 
 @query(with_views("scores") + _META + " SELECT cohort, gene, CAST(n_samples_sig AS BIGINT) AS n_samples_sig, CAST(n_samples_tested AS BIGINT) AS n_samples_tested, round(n_samples_sig / n_samples_tested, 6) AS reproducibility, round(median_log2fc, 6) AS median_log2fc, round(mean_cohens_d, 6) AS mean_cohens_d FROM meta")
@@ -211,12 +211,12 @@ def a36_top_overlap(spark: SparkSession, d: str) -> DataFrame:
     return T.set_jaccard(T.top_features(de(spark, d), ["patient"], 10), "patient", "gene").select("a", "b", "n_both")
 
 
-@query(with_views("scores") + _META + ", x AS (SELECT a.gene, a.n_samples_sig / a.n_samples_tested AS ra, b.n_samples_sig / b.n_samples_tested AS rb, a.mean_cohens_d AS da, b.mean_cohens_d AS db FROM meta a JOIN meta b ON a.gene = b.gene WHERE a.cohort = 'discovery' AND b.cohort = 'validation') SELECT CAST(count(*) FILTER (ra >= 0.3) AS BIGINT) AS n_a, CAST(count(*) FILTER (rb >= 0.3) AS BIGINT) AS n_b, CAST(count(*) FILTER (ra >= 0.3 AND rb >= 0.3) AS BIGINT) AS n_both, CAST(count(*) FILTER (ra >= 0.3 AND rb >= 0.3 AND sign(da) = sign(db)) AS BIGINT) AS n_same FROM x")
+@query(with_views("scores") + _META + ", x AS (SELECT a.gene, a.n_samples_sig / a.n_samples_tested AS ra, b.n_samples_sig / b.n_samples_tested AS rb, a.mean_cohens_d AS da, b.mean_cohens_d AS db FROM meta a JOIN meta b ON a.gene = b.gene WHERE a.cohort = 'discovery' AND b.cohort = 'validation') SELECT CAST(count(*) FILTER (ra >= 0.5) AS BIGINT) AS n_a, CAST(count(*) FILTER (rb >= 0.5) AS BIGINT) AS n_b, CAST(count(*) FILTER (ra >= 0.5 AND rb >= 0.5) AS BIGINT) AS n_both, CAST(count(*) FILTER (ra >= 0.5 AND rb >= 0.5 AND sign(da) = sign(db)) AS BIGINT) AS n_same FROM x")
 def a37_cohort_overlap(spark: SparkSession, d: str) -> DataFrame:
     m = metas(spark, d)
     side = lambda c, x: m.where(F.col("cohort") == c).select("gene", F.col("reproducibility").alias(f"r{x}"), F.col("mean_cohens_d").alias(f"d{x}"))
     both = side("discovery", "a").join(side("validation", "b"), "gene")
-    ra, rb = F.col("ra") >= 0.3, F.col("rb") >= 0.3
+    ra, rb = F.col("ra") >= 0.5, F.col("rb") >= 0.5
     return both.agg(F.count_if(ra).alias("n_a"), F.count_if(rb).alias("n_b"), F.count_if(ra & rb).alias("n_both"), F.count_if(ra & rb & (F.signum("da") == F.signum("db"))).alias("n_same"))
 
 
@@ -248,12 +248,12 @@ def a40_split_half(spark: SparkSession, d: str) -> DataFrame:
     return A.split_half(V.predictions(spark, d), A.halves(V.panel(spark, d), 42), ["encoder", "sample_id"]).select("encoder", "sample_id", r6("rho"), "n")
 
 
-_SPLITS = "SELECT gene, split, n_genes, CASE WHEN p <= n_genes THEN 'A' ELSE 'B' END AS track FROM (SELECT gene, split, row_number() OVER (PARTITION BY split ORDER BY md5(concat_ws('|', '0', split, gene))) AS p FROM panel CROSS JOIN (SELECT unnest(range(4)) AS split)) CROSS JOIN (SELECT unnest([4, 8, 12]) AS n_genes) WHERE p <= 2 * n_genes"
+_SPLITS = "SELECT gene, split, n_genes, CASE WHEN p <= n_genes THEN 'A' ELSE 'B' END AS track FROM (SELECT gene, split, row_number() OVER (PARTITION BY split ORDER BY md5(concat_ws('|', '0', split, gene))) AS p FROM panel CROSS JOIN (SELECT unnest(range(100)) AS split)) CROSS JOIN (SELECT unnest([4, 8, 12]) AS n_genes) WHERE p <= 2 * n_genes"
 _CURVE = split_sql("patient, n_genes, split", _SPLITS) + ", curve AS (SELECT patient, n_genes, split, corr(ra, rb) AS rho, count(*) AS n FROM sr GROUP BY ALL HAVING count(*) >= 50)"
 
 
 def curve(spark: SparkSession, d: str) -> DataFrame:
-    return A.subsampled(scores.averaged_residuals(V.predictions(spark, d)), V.panel(spark, d), [4, 8, 12], 4, ["patient"])
+    return A.subsampled(scores.averaged_residuals(V.predictions(spark, d)), V.panel(spark, d), [4, 8, 12], 100, ["patient"])
 
 
 _CURVE_SQL = with_views("predictions").replace("predictions AS (", "predictions_all AS (") + ", predictions AS (SELECT cohort, patient, sample_id, spot_id, gene, round(avg(residual), 9) AS residual FROM predictions_all GROUP BY ALL)" + _CURVE
@@ -302,6 +302,13 @@ def a62_visible_genes(spark: SparkSession, d: str) -> DataFrame:
     return wide.crossJoin(F.broadcast(q)).select("gene", (F.col("row_min") > F.col("q75")).alias("visible"), (F.col("row_range") > F.col("q90")).alias("specific"))  # one row of thresholds
 
 
+@query(with_views("predictions") + _GENE_R + ", k AS (SELECT *, rank() OVER (PARTITION BY encoder ORDER BY r) + (count(*) OVER (PARTITION BY encoder, r) - 1) / 2.0 AS k FROM g) SELECT x.encoder AS a, y.encoder AS b, round(corr(x.r, y.r), 6) AS pearson, round(corr(x.k, y.k), 6) AS spearman, CAST(count(*) AS BIGINT) AS n FROM k x JOIN k y ON x.gene = y.gene AND x.encoder < y.encoder GROUP BY ALL")
+def a62_encoder_agreement(spark: SparkSession, d: str) -> DataFrame:
+    g = profile.gene_pearson(V.predictions(spark, d), ["encoder", "gene"]).withColumn("r", F.round("r", 9))
+    p = A.pair_correlations(g, ["gene"], "r", "encoder", ranks=False).select("a", "b", r6("rho", "pearson"))
+    return p.join(A.pair_correlations(g, ["gene"], "r", "encoder").select("a", "b", r6("rho", "spearman"), "n"), ["a", "b"])
+
+
 @query(with_views("predictions") + ", g AS (SELECT cohort, gene, round(avg(abs(residual)) + 3.1e-11, 9) AS m FROM predictions GROUP BY ALL), b AS (SELECT x.gene, x.m AS a, y.m AS b FROM g x JOIN g y ON x.gene = y.gene WHERE x.cohort = 'discovery' AND y.cohort = 'validation'), r AS (SELECT *, rank() OVER (ORDER BY a) AS ra, rank() OVER (ORDER BY b) AS rb FROM b) SELECT round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, CAST(count(*) AS BIGINT) AS n FROM r")
 def a63_cohort_agreement(spark: SparkSession, d: str) -> DataFrame:
     g = A.profiles(V.predictions(spark, d), ["cohort"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "q1_discordance"
+FLAGSHIP = "q1_depth_scores"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

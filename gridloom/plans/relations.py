@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,22 +9,16 @@ from pyspark.sql import functions as F
 from gridloom.functions import columns as C
 from gridloom.functions import stats
 from gridloom.operators import agreement as A
-from gridloom.operators import expression_tests as T
 from gridloom.operators import linear, profile
 from gridloom.operators import spatial as S
 from gridloom.plans import differential as D
 from gridloom.plans import spatial as P
 from gridloom.plans import views as V
 from gridloom.plans.registry import query
-from gridloom.plans.scores import edges_sql, r6
+from gridloom.plans.scores import r6
 from gridloom.plans.views import with_views
-from gridloom.sources import files, tables
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared folder, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+from gridloom.sources import files
+from gridloom.sources.tables import scratch
 
 
 @query(with_views("points", "expression") + "SELECT p.sample_id, e.spot_id, CAST(count(*) AS BIGINT) AS n_genes FROM expression e JOIN points p ON p.spot_id = e.spot_id WHERE len(list_filter(p.vector, lambda v: isnan(v))) = 0 GROUP BY ALL")
@@ -95,7 +86,7 @@ def j13_dimension(spark: SparkSession, d: str) -> DataFrame:
     return V.spots(spark, d).select("spot_id", "sample_id", "patient", "cohort")
 
 
-@query()
+@query(with_views("points") + P.HULL + " SELECT sample_id, spot_id, round(edge_dist, 6) AS edge_dist FROM far")
 def j18_hull_distance(spark: SparkSession, d: str) -> DataFrame:
     p = V.points(spark, d)
     return S.edge_distance(p, S.hulls(p)).select("sample_id", "spot_id", r6("edge_dist"))
@@ -262,58 +253,35 @@ def s14_locations(spark: SparkSession, d: str) -> DataFrame:
     return files.locations(rows).select("gene", "all_localizations")
 
 
-@query(with_views("predictions") + ", g AS (SELECT gene, round(avg(r), 9) AS pearson FROM (SELECT encoder, gene, coalesce(corr(y, yhat), 0) AS r FROM predictions GROUP BY ALL) GROUP BY ALL), e AS (SELECT gene, sum(m * n) / sum(n) AS mean FROM (SELECT sample_id, gene, avg(y) AS m, count(*) AS n FROM cells GROUP BY ALL) GROUP BY ALL) SELECT gene, round(pearson, 6) AS mean_pearson, round(mean, 6) AS mean_expression FROM g JOIN e USING (gene)")
-def r9_gene_features(spark: SparkSession, d: str) -> DataFrame:
-    r = profile.gene_pearson(V.predictions(spark, d), ["encoder", "gene"]).groupBy("gene").agg(r6(F.avg("r"), "mean_pearson"))
-    return r.join(profile.gene_statistics(V.cells(spark, d)).select("gene", r6("mean", "mean_expression")), "gene")
+_ONE = ", one AS (SELECT c.sample_id, c.spot_id, c.y, coalesce(p.yhat, 0) AS yhat FROM cells c LEFT JOIN predictions p ON p.spot_id = c.spot_id AND p.gene = c.gene AND p.encoder = 'm2' WHERE c.gene = 'Brand#7')"
 
 
-@query(with_views("predictions") + "SELECT p.sample_id, p.spot_id, round(p.y, 6) AS observed, round(p.yhat, 6) AS predicted FROM predictions p WHERE gene = 'Brand#7' AND encoder = 'm2'")
+@query(with_views("predictions") + _ONE + ", r AS (SELECT sample_id, corr(y, yhat) AS r FROM one GROUP BY ALL) SELECT sample_id, spot_id, round(y, 6) AS observed, round(yhat, 6) AS predicted, round(r, 6) AS r FROM one JOIN r USING (sample_id)")
 def a75_one_gene_predictions(spark: SparkSession, d: str) -> DataFrame:
-    own = V.predictions(spark, d).where("gene = 'Brand#7' and encoder = 'm2'")
-    return own.select("sample_id", "spot_id", r6("y", "observed"), r6("yhat", "predicted"))
-
-
-@query(with_views("scores", "gene_sets") + D._TYPES + ", k AS (SELECT cell_type, avg(cohens_d) FILTER (patient IN (SELECT r_name FROM region WHERE r_regionkey < 3)) AS da, avg(cohens_d) FILTER (patient NOT IN (SELECT r_name FROM region WHERE r_regionkey < 3)) AS db FROM types_de GROUP BY ALL) SELECT cell_type, round(da, 6) AS da, round(db, 6) AS db, round(greatest(abs(da), abs(db)), 6) AS top FROM k")
-def a76_direction_table(spark: SparkSession, d: str) -> DataFrame:
-    own = D.type_de(spark, d).join(V.sample_dim(spark, d).select("cohort", "patient").distinct(), "patient")
-    side = lambda c, n: own.where(F.col("cohort") == c).groupBy("cell_type").agg(F.avg("cohens_d").alias(n))
-    both = side("discovery", "da").join(side("validation", "db"), "cell_type", "full")
-    return both.select("cell_type", r6("da"), r6("db"), r6(F.greatest(F.abs("da"), F.abs("db")), "top"))
+    """Every spot's value of one gene and its prediction, 0 where there is none, with the sample's correlation."""
+    own = V.cells(spark, d).where("gene = 'Brand#7'").select("sample_id", "spot_id", "y")
+    p = V.predictions(spark, d).where("gene = 'Brand#7' and encoder = 'm2'").select("spot_id", "yhat")
+    both = own.join(p, "spot_id", "left").withColumn("yhat", F.coalesce("yhat", F.lit(0.0)))
+    r = both.groupBy("sample_id").agg(stats.corr("y", "yhat").alias("r"))
+    return both.join(r, "sample_id").select("sample_id", "spot_id", r6("y", "observed"), r6("yhat", "predicted"), r6("r"))
 
 
-_INNER = ", inner_ AS (SELECT c.* FROM cond c JOIN (SELECT patient, quantile_cont(total, 0.5) AS m FROM (SELECT patient, spot_id, max(total) AS total FROM scores GROUP BY ALL) GROUP BY ALL) q USING (patient) JOIN (SELECT spot_id, max(total) AS total FROM scores GROUP BY ALL) t USING (spot_id) WHERE t.total > q.m)"
+_SIDE = "patient IN (SELECT r_name FROM region WHERE r_regionkey < 3)"
 
 
-@query(with_views("scores") + D._DE + " , top AS (SELECT patient, gene, fdr < 0.5 AS found FROM de) SELECT patient, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (found) AS BIGINT) AS n_found FROM top GROUP BY ALL")
-def q3_tests_by_sample(spark: SparkSession, d: str) -> DataFrame:
-    return D.de(spark, d).groupBy("patient").agg(F.count("*").alias("n"), F.count_if(F.col("fdr") < 0.5).alias("n_found"))
-
-
-@query()
-def a71_interior_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """Tests on spots above the median depth against tests on all: correlation of effects, and features found by both or one."""
-    scored = V.spot_scores(spark, d).groupBy("patient", "spot_id").agg(F.max("total").alias("total"))
-    mid = scored.groupBy("patient").agg(F.percentile("total", F.lit(0.5)).alias("m"))
-    inner = scored.join(mid, "patient").where("total > m").select("patient", "spot_id")
-    rows = T.sides(T.tails(D.cond(spark, d).join(inner, ["patient", "spot_id"], "left_semi"), "d_cond", ["patient"])).select("patient", "spot_id", "side")
-    own = T.de_table(rows.join(V.cells(spark, d).select("spot_id", "gene", "y"), "spot_id"), ["patient"], exact=False)
-    both = D.de(spark, d).select("patient", "gene", F.col("cohens_d").alias("full_d"), (F.col("fdr") < 0.5).alias("full")).join(own.select("patient", "gene", F.col("cohens_d").alias("inner_d"), (F.col("fdr") < 0.5).alias("inner")), ["patient", "gene"])
-    return both.groupBy("patient").agg(stats.corr("full_d", "inner_d").alias("r"), F.count_if(F.col("full") & F.col("inner")).alias("n_both"), F.count_if(F.col("full") & ~F.col("inner")).alias("n_full_only"), F.count_if(~F.col("full") & F.col("inner")).alias("n_inner_only"))
-
-
-@query(with_views("scores") + ", " + edges_sql("scores", "total", "cohort, encoder", 10) + " SELECT 'spots' AS metric, cohort, CAST(count(DISTINCT spot_id) AS DOUBLE) AS value FROM scores GROUP BY ALL UNION ALL SELECT 'mean d_raw', cohort, round(avg(d_raw), 6) FROM scores GROUP BY ALL UNION ALL SELECT 'bins', cohort, CAST(count(DISTINCT bin) AS DOUBLE) FROM binned GROUP BY ALL")
-def a72_summary(spark: SparkSession, d: str) -> DataFrame:
-    from gridloom.operators.scores import quantile_bins
-
-    own = V.spot_scores(spark, d)
-    rows = [("spots", own, F.countDistinct("spot_id")), ("mean d_raw", own, F.round(F.avg("d_raw"), 6)), ("bins", quantile_bins(own, "total", ["cohort", "encoder"], 10, 0), F.countDistinct("bin"))]
-    parts = [df.groupBy("cohort").agg(v.cast("double").alias("value")).select(F.lit(n).alias("metric"), "cohort", "value") for n, df, v in rows]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+@query(with_views("scores", "gene_sets") + D._TYPES + f", k AS (SELECT cell_type, avg(cohens_d) FILTER ({_SIDE}) AS da, avg(cohens_d) FILTER (NOT {_SIDE}) AS db, avg(CAST(fdr < 0.05 AS DOUBLE)) FILTER ({_SIDE}) > 0.5 AS sa, avg(CAST(fdr < 0.05 AS DOUBLE)) FILTER (NOT {_SIDE}) > 0.5 AS sb FROM types_de GROUP BY ALL), t AS (SELECT *, round(greatest(abs(da), abs(db)), 6) AS top FROM k) SELECT cell_type, round(da, 6) AS da, round(db, 6) AS db, sa, sb, top, CAST(row_number() OVER (ORDER BY top DESC, cell_type) AS INTEGER) AS place FROM t")
+def a76_direction_table(spark: SparkSession, d: str) -> DataFrame:
+    """Effects of every cell type of either cohort, whether most of its samples find it, and its place by effect."""
+    own = D.type_de(spark, d).join(V.sample_dim(spark, d).select("cohort", "patient").distinct(), "patient")
+    found = F.avg((F.col("fdr") < 0.05).cast("double")) > 0.5
+    side = lambda c, x: own.where(F.col("cohort") == c).groupBy("cell_type").agg(F.avg("cohens_d").alias(f"d{x}"), found.alias(f"s{x}"))
+    both = side("discovery", "a").join(side("validation", "b"), "cell_type", "full").withColumn("top", F.round(F.greatest(F.abs("da"), F.abs("db")), 6))
+    place = F.row_number().over(W.orderBy(F.desc("top"), "cell_type"))  # a row for each cell type
+    return both.select("cell_type", r6("da"), r6("db"), "sa", "sb", "top", place.alias("place"))
 
 
-@query()
+@query(with_views("predictions") + f", g AS (SELECT encoder, gene, count(*) AS n, CASE WHEN stddev_pop(y) < 1e-10 OR stddev_pop(yhat) < 1e-10 THEN 0 ELSE coalesce(corr(y, yhat), 0) END AS r FROM predictions GROUP BY ALL) SELECT encoder, gene, round(r, 6) AS r, round({stats.student_p_sql('r * sqrt((n - 2) / greatest(1 - r * r, 1e-300))', 'n - 2')}, 6) AS pval FROM g")
 def m1_correlation_p(spark: SparkSession, d: str) -> DataFrame:
     """Correlations of each gene and encoder with their p-values."""
     g = profile.gene_pearson(V.predictions(spark, d), ["encoder", "gene"])
-    return g.select("encoder", "gene", r6("r"), stats.correlation_p(F.col("r"), F.col("n")).alias("pval"))
+    return g.select("encoder", "gene", r6("r"), r6(stats.correlation_p(F.col("r"), F.col("n")), "pval"))

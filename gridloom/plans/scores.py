@@ -220,10 +220,10 @@ _PEARSON = """, g AS (SELECT cohort, patient, encoder, gene, CASE WHEN stddev_po
 _PEARSON_ALL = """, g AS (SELECT encoder, gene, CASE WHEN stddev_pop(y) < 1e-10 OR stddev_pop(yhat) < 1e-10 THEN 0 ELSE coalesce(corr(y, yhat), 0) END AS r, count(*) AS n FROM predictions GROUP BY ALL)"""
 
 
-@query(with_views("predictions") + _PEARSON + " SELECT cohort, patient, encoder, gene, round(r, 6) + 0 AS r, CAST(n AS BIGINT) AS n FROM g WHERE encoder <> 'm1'")
+@query(with_views("predictions") + _PEARSON + " SELECT cohort, patient, encoder, gene, round(r, 6) + 0 AS r, CAST(n AS BIGINT) AS n FROM g")
 def a9_gene_pearson(spark: SparkSession, d: str) -> DataFrame:
-    # Within a patient the predictions of m1 are constant up to rounding, so only the others have a correlation.
-    return profile.gene_pearson(V.predictions(spark, d).where("encoder <> 'm1'"), ["cohort", "patient", "encoder", "gene"]).withColumn("r", F.round("r", 6))
+    # Within a patient the predictions of m1 are constant, which counts as no correlation.
+    return profile.gene_pearson(V.predictions(spark, d), ["cohort", "patient", "encoder", "gene"]).withColumn("r", F.round("r", 6))
 
 
 @query(with_views("predictions") + _PEARSON_ALL + ", a AS (SELECT gene, avg(r) AS r FROM g GROUP BY ALL) SELECT gene, round(r, 6) AS r FROM a")
@@ -266,14 +266,30 @@ def a13_conditional_score(spark: SparkSession, d: str) -> DataFrame:
     return out.select("sample_id", "spot_id", "encoder", "bin", r6("d_cond"))
 
 
-@query()
+def merged_sql(source: str, keys: str, least: int, left_always: bool = False, out: str = "merged") -> str:
+    """SQL that adds ``new_bin`` to binned rows: a bin under ``least`` rows joins its smaller neighbour, again and again, down to two bins. Goes behind WITH RECURSIVE."""
+    left = "true" if left_always else "size[i - 1] <= size[i + 1]"
+    return f"""{out}_h AS (SELECT {keys}, bin, count(*) AS n FROM {source} GROUP BY ALL),
+{out}_r AS (
+  SELECT {keys}, list(bin ORDER BY bin) AS bins, list(n ORDER BY bin) AS size, range(1, count(*) + 1) AS grp FROM {out}_h GROUP BY ALL
+  UNION ALL
+  SELECT {keys}, bins, size[1:a - 1] || [size[a] + size[a + 1]] || size[a + 2:], list_transform(grp, lambda g: CASE WHEN g > a THEN g - 1 ELSE g END)
+  FROM (SELECT *, CASE WHEN i > 1 AND (i = len(size) OR {left}) THEN i - 1 ELSE i END AS a FROM (SELECT *, list_position(list_transform(size, lambda s: s < {least}), true) AS i FROM {out}_r WHERE len(size) > 2) WHERE i > 0)),
+{out}_f AS (SELECT {keys}, arg_min(bins, len(size)) AS bins, arg_min(grp, len(size)) AS grp FROM {out}_r GROUP BY ALL),
+{out} AS (SELECT s.*, CAST(f.grp[list_position(f.bins, s.bin)] - 1 AS INTEGER) AS new_bin FROM {source} s JOIN {out}_f f USING ({keys}))"""
+
+
+_BINNED = with_views("scores").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + edges_sql("scores", "total", "cohort, encoder", 10) + ", "
+
+
+@query(_BINNED + merged_sql("binned", "cohort, encoder", 120) + " SELECT cohort, encoder, new_bin AS bin, CAST(count(*) AS BIGINT) AS n, min(total) AS low, max(total) AS high FROM merged GROUP BY ALL")
 def a14_merged_bins(spark: SparkSession, d: str) -> DataFrame:
     """Bins of at least 120 spots, by cohort and encoder."""
     binned = scores.quantile_bins(V.spot_scores(spark, d), "total", ["cohort", "encoder"], 10, 0)
     return scores.merge_bins(binned, ["cohort", "encoder"], 120).groupBy("cohort", "encoder", "bin").agg(F.count("*").alias("n"), F.min("total").alias("low"), F.max("total").alias("high"))
 
 
-@query()
+@query(_BINNED + merged_sql("binned", "cohort, encoder", 120, True) + " SELECT cohort, encoder, new_bin AS bin, CAST(count(*) AS BIGINT) AS n FROM merged GROUP BY ALL")
 def a15_left_merged_bins(spark: SparkSession, d: str) -> DataFrame:
     binned = scores.quantile_bins(V.spot_scores(spark, d), "total", ["cohort", "encoder"], 10, 0)
     return scores.merge_bins(binned, ["cohort", "encoder"], 120, left_always=True).groupBy("cohort", "encoder", "bin").agg(F.count("*").alias("n"))
@@ -343,7 +359,7 @@ def a22_cell_type_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views("scores") + ", " + edges_sql("scores", "total", "cohort, encoder", 10) + """, c AS (SELECT *, d_raw - avg(d_raw) OVER (PARTITION BY cohort, encoder, bin) AS d_cond FROM binned)
 SELECT cohort, sample_id, spot_id, round(avg(d_raw), 6) AS d_raw, round(avg(d_cond), 6) AS d_cond, round(max(total), 6) AS total FROM c GROUP BY ALL""")
-def q1_discordance(spark: SparkSession, d: str) -> DataFrame:
+def q1_depth_scores(spark: SparkSession, d: str) -> DataFrame:
     """Depth-corrected scores of each spot, averaged over encoders."""
     out = scores.conditional_scores(V.spot_scores(spark, d), ["cohort", "encoder"], merge=False, least=0)
     return out.groupBy("cohort", "sample_id", "spot_id").agg(r6(F.avg("d_raw"), "d_raw"), r6(F.avg("d_cond"), "d_cond"), r6(F.max("total"), "total"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.stats import student_p_sql
 from gridloom.operators import agreement as A
 from gridloom.operators import linear, profile
 from gridloom.operators import spatial as S
 from gridloom.plans import views as V
+from gridloom.plans.differential import mwu_sql
 from gridloom.plans.registry import query
-from gridloom.plans.scores import r6
+from gridloom.plans.scores import edges_sql, merged_sql, r6
 from gridloom.plans.views import with_views
 
 _KNN = """, knn AS (SELECT * FROM (SELECT a.sample_id, a.spot_id AS src, b.spot_id AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist,
@@ -67,7 +69,7 @@ def a45_morans_by_gene(spark: SparkSession, d: str) -> DataFrame:
     return S.morans_i(edges(spark, d), long, "v", ["gene"]).groupBy("gene").agg(r6(F.avg("morans_i"), "morans_i"))
 
 
-_NULL = _KNN + """, pm AS (SELECT unnest(range(20)) AS perm),
+_NULL = _KNN + """, pm AS (SELECT unnest(range(1000)) AS perm),
 ord AS (SELECT perm, sample_id, spot_id, z, row_number() OVER (PARTITION BY perm, sample_id ORDER BY spot_id) AS p1, row_number() OVER (PARTITION BY perm, sample_id ORDER BY CASE WHEN perm = 0 THEN NULL ELSE md5(concat_ws('|', '0', perm, spot_id)) END, spot_id) AS p2 FROM points CROSS JOIN pm),
 sh AS (SELECT a.perm, a.sample_id, a.spot_id, b.z - avg(b.z) OVER (PARTITION BY a.perm, a.sample_id) AS c FROM ord a JOIN ord b ON a.perm = b.perm AND a.sample_id = b.sample_id AND a.p1 = b.p2),
 lg AS (SELECT s.perm, k.sample_id, k.src, avg(s.c) AS l FROM knn k JOIN sh s ON s.sample_id = k.sample_id AND s.spot_id = k.dst GROUP BY ALL),
@@ -75,7 +77,7 @@ null_ AS (SELECT s.perm, s.sample_id, round(sum(s.c * l) / sum(s.c * s.c), 9) AS
 
 
 def null(spark: SparkSession, d: str) -> DataFrame:
-    return S.permuted_morans(edges(spark, d), V.points(spark, d), "z", 19, 0).withColumn("morans_i", F.round("morans_i", 9))
+    return S.permuted_morans(edges(spark, d), V.points(spark, d), "z", 999, 0).withColumn("morans_i", F.round("morans_i", 9))
 
 
 @query(with_views("points") + _NULL + " SELECT o.sample_id, round(max(o.i), 6) AS observed, (1 + count(*) FILTER (n.i >= o.i)) / (1.0 + count(*)) AS p FROM null_ n JOIN null_ o ON o.sample_id = n.sample_id AND o.perm = 0 WHERE n.perm > 0 GROUP BY ALL")
@@ -88,17 +90,17 @@ def a47_permutation_null(spark: SparkSession, d: str) -> DataFrame:
     return null(spark, d).select("sample_id", "perm", r6("morans_i"))
 
 
-@query()
-def a48_boundary_rings(spark: SparkSession, d: str) -> DataFrame:
-    return S.rings(V.points(spark, d)).select("sample_id", "spot_id", r6("edge_dist"), "ring")
+#: Hull edges are the pairs of points with no point to their right; no hull, no distance.
+HULL = """, hull AS (SELECT a.sample_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM points a JOIN points b ON a.sample_id = b.sample_id AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM points c WHERE c.sample_id = a.sample_id AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0)),
+tt AS (SELECT p.sample_id, p.spot_id, p.x, p.y, p.z, h.*, least(1.0, greatest(0.0, ((p.x - ax) * (bx - ax) + (p.y - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) AS t FROM points p JOIN hull h ON h.sample_id = p.sample_id),
+far AS (SELECT sample_id, spot_id, any_value(z) AS z, round(min(sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (by_ - ay), 2))), 9) AS edge_dist FROM tt GROUP BY ALL)"""
+RINGS = HULL + ", " + edges_sql("far", "edge_dist", "sample_id", 10, "rb") + ", " + merged_sql("rb", "sample_id", 10, True, "ring_")
 
 
-@query()
-def q2_ring_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Moran's I against shuffles within boundary rings."""
-    own = S.rings(V.points(spark, d)).select("sample_id", "spot_id", "z", "ring")
-    null_ = S.permuted_morans(edges(spark, d), own, "z", 99, 1, group="ring")
-    return S.permutation_p(null_, ["sample_id"], "morans_i").withColumn("passed", F.col("p") < 0.05)
+@query(with_views("points").replace("WITH ", "WITH RECURSIVE ", 1) + RINGS + " SELECT sample_id, spot_id, round(edge_dist, 6) AS edge_dist, new_bin AS ring FROM ring_")
+def a48_boundary_rings(spark: SparkSession, d: str) -> DataFrame:
+    return S.rings(V.points(spark, d)).select("sample_id", "spot_id", r6("edge_dist"), "ring")
 
 
 _GRID = """, b AS (SELECT sample_id, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM points GROUP BY ALL),
@@ -168,9 +170,9 @@ def a55_nearest_section(spark: SparkSession, d: str) -> DataFrame:
     return nearest(spark, d).select("sample_id", "neighbour", "true_label", "pred_label")
 
 
-@query(with_views("predictions") + _Z + ", pm AS (SELECT unnest(range(20)) AS perm), ord AS (SELECT perm, sample_id, patient, row_number() OVER (PARTITION BY perm ORDER BY sample_id) AS p1, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm = 0 THEN NULL ELSE md5(concat_ws('|', '0', perm, sample_id)) END, sample_id) AS p2 FROM sample_dim CROSS JOIN pm), sh AS (SELECT a.perm, a.sample_id, b.patient AS label FROM ord a JOIN ord b ON a.perm = b.perm AND a.p1 = b.p2) SELECT CAST(x.perm AS INTEGER) AS perm, round(avg(CASE WHEN x.label = y.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM nn n JOIN sh x ON x.sample_id = n.sample_id JOIN sh y ON y.perm = x.perm AND y.sample_id = neighbour GROUP BY ALL")
+@query(with_views("predictions") + _Z + ", pm AS (SELECT unnest(range(10001)) AS perm), ord AS (SELECT perm, sample_id, patient, row_number() OVER (PARTITION BY perm ORDER BY sample_id) AS p1, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm = 0 THEN NULL ELSE md5(concat_ws('|', '0', perm, sample_id)) END, sample_id) AS p2 FROM sample_dim CROSS JOIN pm), sh AS (SELECT a.perm, a.sample_id, b.patient AS label FROM ord a JOIN ord b ON a.perm = b.perm AND a.p1 = b.p2) SELECT CAST(x.perm AS INTEGER) AS perm, round(avg(CASE WHEN x.label = y.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM nn n JOIN sh x ON x.sample_id = n.sample_id JOIN sh y ON y.perm = x.perm AND y.sample_id = neighbour GROUP BY ALL")
 def a56_label_null(spark: SparkSession, d: str) -> DataFrame:
-    return A.label_null(nearest(spark, d), labels(spark, d), "sample_id", 19).select("perm", r6("accuracy"))
+    return A.label_null(nearest(spark, d), labels(spark, d), "sample_id", 10_000).select("perm", r6("accuracy"))
 
 
 @query("WITH t AS (SELECT p_type AS a, p_brand AS b, CAST(count(*) AS DOUBLE) AS n FROM part GROUP BY ALL), s AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS n FROM t), r AS (SELECT sum(n * (n - 1) / 2) AS r FROM (SELECT sum(n) AS n FROM t GROUP BY a)), c AS (SELECT sum(n * (n - 1) / 2) AS c FROM (SELECT sum(n) AS n FROM t GROUP BY b)) SELECT round((s - r * c / (n * (n - 1) / 2)) / ((r + c) / 2 - r * c / (n * (n - 1) / 2)), 6) AS ari FROM s, r, c")
@@ -202,24 +204,40 @@ def a58_ks_statistic(spark: SparkSession, d: str) -> DataFrame:
     return A.ks_pairs(own, "sample_id", "v", pairs).select("a", "b", r6("d"), "n_a", "n_b")
 
 
-@query()
+_KS = with_views("scores").replace("WITH ", "WITH RECURSIVE ", 1) + _SECTIONS + """, pr AS (SELECT x.sample_id AS a, y.sample_id AS b FROM sample_dim x JOIN sample_dim y ON x.patient = y.patient AND x.sample_id < y.sample_id),
+st AS (SELECT a, b, v, sum(ca) AS ca, sum(cb) AS cb FROM (SELECT a, b, v, 1 AS ca, 0 AS cb FROM pr JOIN sv ON sample_id = a UNION ALL SELECT a, b, v, 0, 1 FROM pr JOIN sv ON sample_id = b) GROUP BY ALL),
+gp AS (SELECT a, b, ca, cb, abs(sum(ca) OVER o / sum(ca) OVER w - sum(cb) OVER o / sum(cb) OVER w) AS gap FROM st WINDOW o AS (PARTITION BY a, b ORDER BY v), w AS (PARTITION BY a, b)),
+ks AS (SELECT a, b, max(gap) AS d, CAST(sum(ca) AS BIGINT) AS n_a, CAST(sum(cb) AS BIGINT) AS n_b FROM gp GROUP BY ALL),
+far AS (SELECT *, CAST(round(d * n_a * n_b) AS BIGINT) AS far FROM ks),
+path AS (
+  SELECT a, b, n_a, n_b, far, CAST(0 AS BIGINT) AS i, list_transform(range(0, n_b + 1), lambda j: CASE WHEN j * n_a < far THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS f FROM far
+  UNION ALL
+  SELECT a, b, n_a, n_b, far, i + 1, list_transform(range(0, n_b + 1), lambda j: CASE WHEN abs((i + 1) * n_b - j * n_a) < far THEN list_sum(list_transform(range(0, j + 1), lambda m: CASE WHEN abs((i + 1) * n_b - m * n_a) < far THEN f[m + 1] ELSE 0.0::DOUBLE END)) ELSE 0.0::DOUBLE END)
+  FROM path WHERE i < n_a)
+SELECT a, b, round(d, 6) AS d, n_a, n_b, round(least(1.0, greatest(0.0, 1 - f[n_b + 1] / exp(lgamma(n_a + n_b + 1) - lgamma(n_a + 1) - lgamma(n_b + 1)))), 6) AS pval FROM path JOIN ks USING (a, b, n_a, n_b) WHERE i = n_a"""
+
+
+@query(_KS)
 def a58_ks_p(spark: SparkSession, d: str) -> DataFrame:
     from gridloom.functions.stats import ks_p_column
 
     own, pairs = section_values(spark, d)
-    return A.ks_pairs(own, "sample_id", "v", pairs).withColumn("pval", ks_p_column("d", "n_a", "n_b"))
+    return A.ks_pairs(own, "sample_id", "v", pairs).select("a", "b", r6("d"), "n_a", "n_b", r6(ks_p_column("d", "n_a", "n_b"), "pval"))
 
 
 @query(with_views("scores") + _SECTIONS + """, pr AS (SELECT x.sample_id AS a, y.sample_id AS b FROM sample_dim x JOIN sample_dim y ON x.patient = y.patient AND x.sample_id < y.sample_id),
 s AS (SELECT sample_id, count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi FROM sv GROUP BY ALL),
-g AS (SELECT pr.a, pr.b, i, l0 - 0.05 * (h0 - l0) + ((h0 + 0.05 * (h0 - l0)) - (l0 - 0.05 * (h0 - l0))) * i / 99 AS g FROM (SELECT a, b, least(x.lo, y.lo) AS l0, greatest(x.hi, y.hi) AS h0 FROM pr JOIN s x ON x.sample_id = a JOIN s y ON y.sample_id = b) pr CROSS JOIN (SELECT unnest(range(100)) AS i)),
+g AS (SELECT pr.a, pr.b, i, l0 - 0.05 * (h0 - l0) + ((h0 + 0.05 * (h0 - l0)) - (l0 - 0.05 * (h0 - l0))) * i / 999 AS g FROM (SELECT a, b, least(x.lo, y.lo) AS l0, greatest(x.hi, y.hi) AS h0 FROM pr JOIN s x ON x.sample_id = a JOIN s y ON y.sample_id = b) pr CROSS JOIN (SELECT unnest(range(1000)) AS i)),
 fa AS (SELECT a, b, i, g, sum(exp(-0.5 * pow((g - v) / (sd * pow(n, -0.2)), 2)) / (sd * pow(n, -0.2) * sqrt(2 * 3.141592653589793) * n)) AS f FROM g JOIN sv ON sv.sample_id = a JOIN s ON s.sample_id = a GROUP BY ALL),
 fb AS (SELECT a, b, i, sum(exp(-0.5 * pow((g - v) / (sd * pow(n, -0.2)), 2)) / (sd * pow(n, -0.2) * sqrt(2 * 3.141592653589793) * n)) AS f FROM g JOIN sv ON sv.sample_id = b JOIN s ON s.sample_id = b GROUP BY ALL),
 m AS (SELECT fa.a, fa.b, fa.i, g, least(fa.f, fb.f) AS m FROM fa JOIN fb USING (a, b, i))
 SELECT a, b, round(sum(area), 6) AS overlap FROM (SELECT a, b, (g - lag(g) OVER w) * (m + lag(m) OVER w) / 2 AS area FROM m WINDOW w AS (PARTITION BY a, b ORDER BY i)) GROUP BY ALL""")
 def a59_density_overlap(spark: SparkSession, d: str) -> DataFrame:
     own, pairs = section_values(spark, d)
-    return A.kde_overlap(own, "sample_id", "v", pairs, 100).select("a", "b", r6("overlap"))
+    return A.kde_overlap(own, "sample_id", "v", pairs, 1000).select("a", "b", r6("overlap"))
+
+
+_WITHIN = ", rows_ AS (SELECT 1 AS one, CASE WHEN pa = pb THEN 1 ELSE 0 END AS side, round(r, 9) AS v FROM pairs), " + mwu_sql("rows_", "one", "v") + ", sds AS (SELECT stddev_pop(v) FILTER (side = 1) AS sd_1, stddev_pop(v) FILTER (side = 0) AS sd_0 FROM rows_)"
 
 
 def _within(spark: SparkSession, d: str) -> DataFrame:
@@ -229,9 +247,9 @@ def _within(spark: SparkSession, d: str) -> DataFrame:
     return own.withColumn("within", F.col("pa") == F.col("pb"))
 
 
-@query(with_views("predictions") + _PROFILE + ", x AS (SELECT round(r, 9) AS r, pa = pb AS within FROM pairs) SELECT CAST(count(*) FILTER (within) AS BIGINT) AS n_1, CAST(count(*) FILTER (NOT within) AS BIGINT) AS n_0, round(avg(r) FILTER (within), 6) AS mean_1, round(avg(r) FILTER (NOT within), 6) AS mean_0, round(stddev_pop(r) FILTER (within), 6) AS sd_1, round(stddev_pop(r) FILTER (NOT within), 6) AS sd_0 FROM x")
+@query(with_views("predictions") + _PROFILE + _WITHIN + " SELECT CAST(n_disc AS BIGINT) AS n_1, CAST(n_conc AS BIGINT) AS n_0, round(mean_disc, 6) AS mean_1, round(mean_conc, 6) AS mean_0, round(sd_1, 6) AS sd_1, round(sd_0, 6) AS sd_0, round(u, 6) AS u, round(pval, 6) AS pval, round(1 - 2 * u / (n_disc * n_conc), 6) AS rank_biserial FROM mwu, sds")
 def a60_within_between(spark: SparkSession, d: str) -> DataFrame:
-    return A.grouped_comparison(_within(spark, d), "r", "within").select("n_1", "n_0", *[r6(c) for c in ("mean_1", "mean_0", "sd_1", "sd_0")])
+    return A.grouped_comparison(_within(spark, d), "r", "within").select("n_1", "n_0", *[r6(c) for c in ("mean_1", "mean_0", "sd_1", "sd_0", "u", "pval", "rank_biserial")])
 
 
 @query(with_views("predictions", "gene_sets") + ", m AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY pathway) AS n FROM gene_sets) WHERE n >= 3), pw AS (SELECT sample_id, pathway, round(avg(residual), 9) AS score FROM predictions JOIN m USING (gene) GROUP BY ALL) SELECT x.sample_id AS a, y.sample_id AS b, round(corr(x.score, y.score), 5) AS r, CAST(count(*) AS BIGINT) AS n FROM pw x JOIN pw y ON x.pathway = y.pathway AND x.sample_id < y.sample_id GROUP BY ALL")
@@ -286,11 +304,22 @@ def r11_line(spark: SparkSession, d: str) -> DataFrame:
     return V.read_table(spark, d, "part").agg(r6(F.regr_slope("p_retailprice", "p_size"), "slope"), r6(F.regr_intercept("p_retailprice", "p_size"), "intercept"), r6(F.corr("p_retailprice", "p_size"), "r"), r6(F.regr_r2("p_retailprice", "p_size"), "r2"))
 
 
-@query("SELECT round(regr_intercept(p_retailprice, p_size), 4) AS intercept, round(regr_slope(p_retailprice, p_size), 6) AS slope, round(regr_r2(p_retailprice, p_size), 6) AS r2, CAST(count(*) AS BIGINT) AS n FROM part")
+_OLS = """WITH f AS (SELECT l_extendedprice / 1000 AS y, CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE) * 100 AS b FROM lineitem),
+m AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, covar_pop(a, a) * count(*) AS saa, covar_pop(b, b) * count(*) AS sbb, covar_pop(a, b) * count(*) AS sab, covar_pop(a, y) * count(*) AS say, covar_pop(b, y) * count(*) AS sby, covar_pop(y, y) * count(*) AS syy FROM f),
+c AS (SELECT *, saa * sbb - sab * sab AS det, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS ba, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS bb FROM m),
+v AS (SELECT *, my - ba * ma - bb * mb AS b0, (syy - ba * say - bb * sby) / (n - 3) AS s2, 1 - (syy - ba * say - bb * sby) / syy AS r2 FROM c),
+t AS (
+  SELECT 'intercept' AS feature, b0 AS coefficient, sqrt(s2 * (1.0 / n + (ma * ma * sbb - 2 * ma * mb * sab + mb * mb * saa) / det)) AS std_error, r2, n FROM v
+  UNION ALL SELECT 'quantity', ba, sqrt(s2 * sbb / det), r2, n FROM v UNION ALL SELECT 'discount', bb, sqrt(s2 * saa / det), r2, n FROM v)
+"""
+
+
+@query(_OLS + f"SELECT feature, round(coefficient, 6) AS coefficient, round(std_error, 6) AS std_error, round(coefficient / std_error, 4) AS t_statistic, round({student_p_sql('coefficient / std_error', 'n - 3')}, 6) AS p_value, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 3), 6) AS adj_r2, CAST(n AS BIGINT) AS n FROM t")
 def r7_least_squares(spark: SparkSession, d: str) -> DataFrame:
-    out = linear.ols(V.read_table(spark, d, "part"), "p_retailprice", ["p_size"]).set_index("feature")
-    one = out.loc["p_size"]
-    return spark.createDataFrame([(round(float(out.loc["intercept", "coefficient"]), 4), round(float(one["coefficient"]), 6), round(float(one["r2"]), 6), int(one["n"]))], "intercept double, slope double, r2 double, n long")
+    """Price on quantity and discount: a row for each coefficient."""
+    own = V.read_table(spark, d, "lineitem").select((F.col("l_extendedprice") / 1000).alias("price"), F.col("l_quantity").cast("double").alias("quantity"), (F.col("l_discount").cast("double") * 100).alias("discount"))
+    out = spark.createDataFrame(linear.ols(own, "price", ["quantity", "discount"]))
+    return out.select("feature", r6("coefficient"), r6("std_error"), F.round("t_statistic", 4).alias("t_statistic"), r6("p_value"), r6("r2"), r6("adj_r2"), F.col("n").cast("long").alias("n"))
 
 
 @query("SELECT round(1 / (1 - pow(corr(p_retailprice, p_size), 2)), 6) AS vif FROM part")
@@ -322,4 +351,4 @@ def r13_silhouette(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def r5_boosted_trees(spark: SparkSession, d: str) -> DataFrame:
     own = V.points(spark, d).select("spot_id", "x", "y", "z", "w")
-    return linear.gene_trees(own, ["x", "y", "z"], "w", rounds=10).select("spot_id", "w", "yhat")
+    return linear.gene_trees(own, ["x", "y", "z"], "w", rounds=100).select("spot_id", "w", "yhat")

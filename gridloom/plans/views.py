@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.stats import HAIR
-from gridloom.sources.tables import densified, read_table
+from gridloom.sources.tables import densified, read_table, written
 
 
 def sample_dim(spark: SparkSession, d: str) -> DataFrame:
@@ -42,14 +42,14 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
     return dense.withColumn("y", F.round(F.log1p("value"), 9))
 
 
-def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Leave-one-patient-out means by gene; encoders m2 and m3 also by segment and side."""
+def predictions(spark: SparkSession, d: str, unit: str = "patient") -> DataFrame:
+    """Leave-one-out means by gene, a patient or a section at a time; encoders m2 and m3 also by segment and side."""
     encoders = F.explode(F.array(F.struct(F.lit("m1").alias("encoder"), F.lit("").alias("grp")), F.struct(F.lit("m2").alias("encoder"), F.col("segment").alias("grp")), F.struct(F.lit("m3").alias("encoder"), F.col("side").alias("grp"))))
-    keyed = cells(spark, d).withColumn("e", encoders).select("cohort", "patient", "sample_id", "spot_id", "gene", "y", "e.encoder", "e.grp")
-    own = keyed.groupBy("cohort", "patient", "encoder", "gene", "grp").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+    keyed = written(cells(spark, d).select("cohort", "patient", "sample_id", "spot_id", "segment", "side", "gene", "y")).withColumn("e", encoders).select("cohort", "patient", "sample_id", "spot_id", "gene", "y", "e.encoder", "e.grp")
+    own = keyed.groupBy("cohort", unit, "encoder", "gene", "grp").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
     every = own.groupBy("cohort", "encoder", "gene", "grp").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
-    model = own.join(every, ["cohort", "encoder", "gene", "grp"]).where("all_n > n").select("patient", "encoder", "gene", "grp", F.round((F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")) + HAIR, 9).alias("yhat"))
-    out = keyed.join(model, ["patient", "encoder", "gene", "grp"])
+    model = own.join(every, ["cohort", "encoder", "gene", "grp"]).where("all_n > n").select(unit, "encoder", "gene", "grp", F.round((F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")) + HAIR, 9).alias("yhat"))
+    out = keyed.join(model, [unit, "encoder", "gene", "grp"])
     return out.select("cohort", "patient", "sample_id", "spot_id", "encoder", "gene", "y", "yhat", F.round(F.col("y") - F.col("yhat"), 9).alias("residual"))
 
 

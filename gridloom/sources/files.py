@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.functions.columns import NUCLEUS_CLASSES, mapped, ring_centroid
+from gridloom.functions.columns import NUCLEUS_CLASSES, mapped, polygon_area, ring_centroid
 
 
 def gene_sets(spark: SparkSession, path: str) -> DataFrame:
@@ -28,7 +28,7 @@ DICT = f"nuc map<string, struct<centroid: {POINT}, type: string, contour: array<
 
 
 def geojson_nuclei(spark: SparkSession, path: str) -> DataFrame:
-    """Nuclei of GeoJSON features: the centroid property, else the point, else the mean of the outer ring; others are skipped."""
+    """Nuclei of GeoJSON features: the centroid property, else the point, else the mean of the outer ring; others are skipped. The area is the property, else that of the ring."""
     files = spark.read.schema(GEO).option("multiLine", True).json(path).select(F.col("_metadata.file_name").alias("file"), F.explode("features").alias("f"))
     p, g = F.col("f.properties"), F.col("f.geometry")
     point = F.when(g["type"] == "Point", F.from_json(g["coordinates"], POINT))
@@ -38,7 +38,7 @@ def geojson_nuclei(spark: SparkSession, path: str) -> DataFrame:
     x = F.when(has(p["centroid"]), p["centroid"][0]).when(has(point), point[0]).otherwise(mean["x"])
     y = F.when(has(p["centroid"]), p["centroid"][1]).when(has(point), point[1]).otherwise(mean["y"])
     label = F.coalesce(p["type_tissue"], p["class"], p["classification"], F.lit("unknown"))
-    return files.select("file", x.alias("x"), y.alias("y"), label.alias("class_label"), p["area"].alias("area"), ring.alias("ring")).where("x is not null and y is not null")
+    return files.select("file", x.alias("x"), y.alias("y"), label.alias("class_label"), F.coalesce(p["area"], F.when(F.size(ring) > 0, polygon_area(ring))).alias("area"), ring.alias("ring")).where("x is not null and y is not null")
 
 
 def dict_nuclei(spark: SparkSession, path: str) -> DataFrame:
@@ -92,10 +92,19 @@ def cached_annotations(spark: SparkSession, path: str, genes: DataFrame) -> Data
     return spark.read.option("header", True).csv(path).join(genes.select("gene").distinct(), "gene", "left_semi")
 
 
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, length) of all files below a folder, empty ones among them, which Spark's own sources leave out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found, rows = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        f = found.next()
+        rows.append((f.getPath().getName(), f.getLen()))
+    return spark.createDataFrame(rows, "name string, length long")
+
+
 def completeness(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
     """Expected files (sample_id, kind, name) below a folder: whether each exists and has bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
-    out = expected.join(files, "name", "left")
+    out = expected.join(listed(spark, folder), "name", "left")
     return out.withColumn("exists", F.col("length").isNotNull()).withColumn("complete", F.coalesce(F.col("length") > 0, F.lit(False)))
 
 

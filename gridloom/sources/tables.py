@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
+from fnmatch import fnmatchcase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,24 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the cluster's shared folder, ``spark.checkpoint.dir``; in local mode below a temporary one where that is not set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="gridloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame, written to the shared folder and read again: worked out once, and safe from lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def densified(spots: DataFrame, expression: DataFrame, panel: DataFrame, keys: Sequence[str], gene: str = "gene", value: str = "value") -> DataFrame:
     """Every spot with every gene of the panel, missing values as 0.
 
@@ -34,6 +55,24 @@ def one_gene(spots: DataFrame, expression: DataFrame, name: str, keys: Sequence[
     return spots.join(own, list(keys), "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
+def columns_like(df: DataFrame, pattern: str) -> list[str]:
+    """Columns whose names match a pattern with * for any letters, in their order."""
+    return [c for c in df.columns if fnmatchcase(c, pattern)]
+
+
+def row_mean(df: DataFrame, columns: Sequence[str], out: str) -> DataFrame:
+    """Add the mean over columns, of those that are not null."""
+    have = F.array_compact(F.array(*[F.col(f"`{c}`") for c in columns]))
+    return df.withColumn(out, F.when(F.size(have) > 0, F.aggregate(have, F.lit(0.0), lambda s, x: s + x) / F.size(have)))
+
+
+def strict_lookup(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each row with its row of ``table``; a key that the table lacks is an error when the rows are read."""
+    found = df.join(table.withColumn("__found", F.lit(True)), list(keys), "left")
+    missing = F.raise_error(F.concat(F.lit("no row for key "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+    return found.where(F.when(F.col("__found"), True).otherwise(missing.cast("boolean"))).drop("__found")
+
+
 def coordinates(spots: DataFrame, keys: Sequence[str]) -> DataFrame:
     return spots.select(*keys, "x", "y")
 

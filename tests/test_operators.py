@@ -136,7 +136,7 @@ def test_morans_i(spark):
         w[r.src, r.dst] = 1 / 4
     z = np.array([r[4] for r in rows]) - 2.5
     assert spatial.morans_i(edges, df, "slope").head().morans_i == pytest.approx(36 / w.sum() * (z @ w @ z) / (z @ z))
-    null = spatial.permuted_morans(edges, df, "slope", 19, block=7)
+    null = spatial.permuted_morans(edges, df, "slope", 19)
     assert null.count() == 20 and spatial.permutation_p(null, ["sample_id"], "morans_i").head().p == 0.05
     # Within rows of equal values nothing is moved.
     same = spatial.permuted_morans(edges, df.withColumn("g", F.col("x")), "slope", 5, group="g").select("morans_i").collect()
