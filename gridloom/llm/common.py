@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,23 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+#: Folders that this process has given out.
+_MADE: list[str] = []
+
+
+@contextmanager
+def parts_removed(spark: SparkSession) -> Iterator[None]:
+    """Remove the folders of intermediate tables that are given out inside, once their results are written elsewhere."""
+    before = len(_MADE)
+    yield
+    for path in _MADE[before:]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _MADE[before:]
 
 
 def few_rows(spark: SparkSession, rows: int = 1000) -> None:

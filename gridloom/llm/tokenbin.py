@@ -11,10 +11,13 @@ The index has one file for each bucket of keys:
 
     magic "GLIX", version u32, keys u64, levels u32, 0 u32, for each level its 64-bit words u64
     the levels' bits, u64 words
+    for each word the bits before it, u32
     slots, one for each key: fingerprint u32, shard u32, first document u64, documents u32
 
-A key's slot is the rank of its first free bit, so a lookup reads a constant number of
-places. The stored fingerprint rejects keys that were never written.
+A key's slot is the rank of its first free bit. ``get`` reads one word for each level down
+to that bit, less than two on average, then its rank, the slot and the ids; ``lookup``, for
+many keys, reads the files of the buckets it needs as a whole. The stored fingerprint
+rejects keys that were never written. Rows of one key may go on in the next shards.
 """
 
 from __future__ import annotations
@@ -104,8 +107,8 @@ class HashIndex:
         return (rank >= 0) & (slots["mark"] == (scrambled(keys, 1 << 20) & U(0xFFFFFFFF))), slots
 
     def to_bytes(self) -> bytes:
-        head = b"GLIX" + np.array([1], "<u4").tobytes() + np.array([len(self.slots)], "<u8").tobytes() + np.array([len(self.levels), 0], "<u4").tobytes()
-        return b"".join([head, np.array([len(x) for x in self.levels], "<u8").tobytes(), *[x.astype("<u8").tobytes() for x in self.levels], self.slots.tobytes()])
+        head = b"GLIX" + np.array([2], "<u4").tobytes() + np.array([len(self.slots)], "<u8").tobytes() + np.array([len(self.levels), 0], "<u4").tobytes()
+        return b"".join([head, np.array([len(x) for x in self.levels], "<u8").tobytes(), *[x.astype("<u8").tobytes() for x in self.levels], self.before.astype("<u4").tobytes(), self.slots.tobytes()])
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> HashIndex:
@@ -116,7 +119,36 @@ class HashIndex:
         for size in sizes.tolist():
             levels.append(np.frombuffer(raw, "<u8", size, at).astype(np.uint64))
             at += 8 * size
-        return cls(levels, np.frombuffer(raw, SLOT, n, at))
+        return cls(levels, np.frombuffer(raw, SLOT, n, at + 4 * sum(sizes.tolist())))
+
+
+class IndexFile:
+    """One index file, open for looking up single keys."""
+
+    def __init__(self, path: str) -> None:
+        system, name = opened(path)
+        self.file = system.open_input_file(name)
+        head = self.file.read_at(24, 0)
+        if head[:4] != b"GLIX":
+            raise ValueError(f"not an index file: {path}")
+        levels = int(np.frombuffer(head, "<u4", 1, 16)[0])
+        self.sizes = np.frombuffer(self.file.read_at(8 * levels, 24), "<u8").tolist()
+        self.words = 24 + 8 * levels
+
+    def find(self, key: int) -> np.void | None:
+        """The slot of a key, or None if it was never written."""
+        one, before = np.array([key], np.int64).view(np.uint64), 0
+        for i, size in enumerate(self.sizes):
+            at = int(place(scrambled(one, i), 64 * size)[0])
+            word, bit = before + (at >> 6), at & 63
+            held = int(np.frombuffer(self.file.read_at(8, self.words + 8 * word), "<u8")[0])
+            if held >> bit & 1:
+                ranks = self.words + 8 * sum(self.sizes)
+                rank = int(np.frombuffer(self.file.read_at(4, ranks + 4 * word), "<u4")[0]) + (held & ((1 << bit) - 1)).bit_count()
+                (slot,) = np.frombuffer(self.file.read_at(SLOT.itemsize, ranks + 4 * sum(self.sizes) + SLOT.itemsize * rank), SLOT)
+                return slot if slot["mark"] == (scrambled(one, 1 << 20) & U(0xFFFFFFFF))[0] else None
+            before += size
+        return None
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -195,14 +227,18 @@ class TokenStore:
         """Encode all documents and write them in ascending id order, rows with a null id first.
 
         Rows that share an id stand together; equal ids are ordered by text. The smallest
-        long is reserved for null ids. An empty table makes a store without shards.
+        long is reserved for null ids. An empty table makes a store without shards. Texts of
+        any length are encoded as a whole; other columns are left out, so their names cannot
+        clash. The rows of an id that very many share are dealt out by the beginnings of
+        their texts, so that they need not stand in one shard.
         """
         few_rows(docs.sparkSession)
         spark, folder = docs.sparkSession, folder or f"{work_dir(docs.sparkSession)}/ids"
         width = 2 if vocabulary_size(tokenizer) <= 1 << 16 and end_id < 1 << 16 else 4
         key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY))
         rows = docs.select(key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-        rows = (rows.repartitionByRange(shards, "key") if shards else rows.repartitionByRange("key")).sortWithinPartitions("key", "text")
+        by = ["key", F.substring("text", 1, 16)]  # in the order of the texts
+        rows = (rows.repartitionByRange(shards, *by) if shards else rows.repartitionByRange(*by)).sortWithinPartitions("key", "text")
         end = np.array([end_id], f"<u{width}").tobytes()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,14 +270,21 @@ class TokenStore:
                 n = len(starts)
                 last = np.zeros(n, np.int64)
                 last[-1] = places[-1]
-                yield pa.RecordBatch.from_arrays([pa.array(at[starts]), pa.array(np.full(n, shard, np.int32)), pa.array(starts.astype(np.int64)), pa.array(copies.astype(np.int32)), pa.array(last)], names=["key", "shard", "first", "copies", "tokens"])
+                edge = np.zeros(n, bool)
+                edge[[0, -1]] = True
+                yield pa.RecordBatch.from_arrays([pa.array(at[starts]), pa.array(np.full(n, shard, np.int32)), pa.array(starts.astype(np.int64)), pa.array(copies.astype(np.int32)), pa.array(last), pa.array(edge)], names=["key", "shard", "first", "copies", "tokens", "edge"])
 
-        rows.mapInArrow(run, "key long, shard int, first long, copies int, tokens long").write.parquet(f"{folder}/entries")
+        rows.mapInArrow(run, "key long, shard int, first long, copies int, tokens long, edge boolean").write.parquet(f"{folder}/entries")
         entries = spark.read.parquet(f"{folder}/entries")
         # A shard's ids before it: one row for each shard, so the running sum is over few rows.
         bases = entries.groupBy("shard").agg(F.sum("tokens").alias("tokens"))
         before = F.sum("tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
         bases.select("shard", F.coalesce(before, F.lit(0)).alias("base")).write.parquet(f"{folder}/bases")
+        # A key that goes on in other shards stands at their edges, of which each shard has two.
+        edges = entries.where("edge").groupBy("key").agg(F.min(F.struct("shard", "first")).alias("at"), F.sum("copies").cast("int").alias("copies"), F.count("*").alias("n"))
+        entries.where("edge").join(edges.where("n > 1").select("key"), "key").select("key", "shard", "first", "copies").write.parquet(f"{folder}/runs")
+        heads = edges.select("key", "at.shard", "at.first", "copies")
+        heads = entries.where("not edge").select("key", "shard", "first", "copies").unionByName(heads)
         buckets = max(1, -(-entries.count() // keys_per_bucket))
 
         def index(group: pd.DataFrame) -> pd.DataFrame:
@@ -253,7 +296,7 @@ class TokenStore:
             put(index_name(folder, b), iter([raw]))
             return pd.DataFrame({"bucket": [b], "keys": [len(group)], "bytes": [len(raw)]})
 
-        cls._bucketed(entries, buckets).groupBy("bucket").applyInPandas(index, "bucket int, keys long, bytes long").write.parquet(f"{folder}/buckets")
+        cls._bucketed(heads, buckets).groupBy("bucket").applyInPandas(index, "bucket int, keys long, bytes long").write.parquet(f"{folder}/buckets")
         spark.createDataFrame([(buckets, width, end_id)], "buckets long, width int, end_id long").write.json(f"{folder}/info")
         return cls(spark, folder)
 
@@ -303,7 +346,9 @@ class TokenStore:
                 for i in range(0, len(out), 2000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 2000], strict=True), kinds, strict=True)], names=names)
 
-        found = self.lookup(keys).repartition("shard").sortWithinPartitions("shard", "first")
+        runs = self.spark.read.parquet(f"{self.folder}/runs").select("key", *[F.col(c).alias(f"run_{c}") for c in ("shard", "first", "copies")])
+        found = self.lookup(keys).join(runs, "key", "left").select("key", *[F.coalesce(f"run_{c}", c).alias(c) for c in ("shard", "first", "copies")])
+        found = found.repartition("shard").sortWithinPartitions("shard", "first")
         rows = found.mapInArrow(run, "doc_id long, shard int, place long, n_tokens long, ids binary")
         bases = self.spark.read.parquet(f"{self.folder}/bases")
         return rows.join(bases, "shard").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids")
@@ -311,13 +356,19 @@ class TokenStore:
     def get(self, key: int | None) -> list[list[int]]:
         """The ids of the documents with one key, read directly; empty if there are none."""
         at = np.array([NULL_KEY if key is None else key], np.int64)
-        system, name = opened(index_name(self.folder, int(bucket_of(at, self.buckets)[0])))
-        if system.get_file_info(name).type == fs.FileType.NotFound:
-            return []
-        with system.open_input_file(name) as f:
-            (found,), (slot,) = HashIndex.from_bytes(f.read()).find(at.view(np.uint64))
-        if not found:
-            return []
-        shard = Shard(shard_name(self.folder, int(slot["shard"])))
-        spans = shard.spans(int(slot["first"]), int(slot["copies"])).tolist()
-        return [shard.ids(a, b).tolist() for a, b in zip(spans, spans[1:], strict=False)]
+        path = index_name(self.folder, int(bucket_of(at, self.buckets)[0]))
+        exists = lambda p: (lambda system, name: system.get_file_info(name).type != fs.FileType.NotFound)(*opened(p))
+        slot = IndexFile(path).find(int(at[0])) if exists(path) else None
+        out: list[list[int]] = []
+        if slot is None:
+            return out
+        number, first, left = int(slot["shard"]), int(slot["first"]), int(slot["copies"])
+        while left:
+            if exists(shard_name(self.folder, number)):  # an empty partition has no shard
+                shard = Shard(shard_name(self.folder, number))
+                n = min(left, shard.n - first)
+                spans = shard.spans(first, n).tolist()
+                out += [shard.ids(a, b).tolist() for a, b in zip(spans, spans[1:], strict=False)]
+                left, first = left - n, 0
+            number += 1
+        return out

@@ -403,3 +403,70 @@ def test_pipeline(spark, tmp_path):
     assert abs(sum(size(r.text) for r in seen["mixing"]) - 1.5 * all_words) <= min(size(r.text) for r in seen["near_dedup"])
     assert {r.doc_id for r in seen["packing"]} == {r.doc_id for r in seen["mixing"]}
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).head()[0] == sum(r.length for r in seen["packing"])
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on odd rows: nulls, empty and very long texts, repeated rows, a clashing column, and empty tables."""
+    from test_text_operators import dedup_by_hand
+    from tokenizers import Tokenizer
+
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice(["an", "er", "th", "on", "re"]) for _ in range(rng.randrange(1, 5)))
+    prose = lambda n: " ".join(word() + rng.choice(["", "", ","]) for _ in range(n)) + "."
+    line = "this line stands in many documents and goes from all"
+    rows = [(i, prose(rng.randrange(30, 90)) + (f"\n{line}" if i % 3 == 0 else ""), "ab"[i % 2] if i % 7 else None) for i in range(40)]
+    rows += [(50 + i, rows[i][1], "a") for i in range(4)] + [(60, prose(20_000), "b"), (2, rows[2][1], "a"), (2, prose(50), "a"), (None, prose(40), None), (None, None, "a"), (70, "", "b"), (71, None, None)]
+    frame = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS).withColumn("kept", F.lit("clash")).withColumn("score", F.lit(1))
+    stage = dict(corpus_pipeline.STAGES)
+    out = {name: f(spark, frame, "").collect() for name, f in stage.items()}
+    pairs = lambda rs: sorted(((r.doc_id, r.text) for r in rs), key=str)
+    # Quality: all prose stays, texts without words go.
+    assert pairs(out["quality"]) == sorted(((i, t) for i, t, _ in rows if t), key=str)
+    # Line dedup: as by hand, without those that lose everything.
+    want = [(i, None if t is None else kept) for (i, t, _), (_, n, gone, kept) in zip(rows, dedup_by_hand(rows), strict=True) if gone < n or not gone]
+    assert pairs(out["line_dedup"]) == sorted(want, key=str)
+    # Near dedup: one row of each group by hand over distinct texts of an id.
+    known = list(dict.fromkeys((i, t) for i, t, _ in rows if i is not None and t))
+    groups = groups_by_hand(list(enumerate(t for _, t in known)), 5, 80, 100)
+    best = {}
+    for n, (i, _) in enumerate(known):
+        best[groups[n][1]] = min(best.get(groups[n][1], i), i)
+    kept = pairs(out["near_dedup"])
+    assert len([1 for i, t in kept if i is not None and t]) == len(best) and sorted(i for i, t in kept if i is not None and t) == sorted(best.values())
+    assert [x for x in kept if x[0] is None or not x[1]] == sorted(((i, t) for i, t, _ in rows if i is None or not t), key=str)
+    # Mixing: each source's words against its target.
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    have, got = {}, {}
+    for _, t, s in rows:
+        have[s] = have.get(s, 0) + size(t)
+    for r in out["mixing"]:
+        got[r.source] = got.get(r.source, 0) + size(r.text)
+    weights = dict(zip(sorted(have, key=lambda s: (s is None, s)), (3, 1, 2), strict=True))
+    left, open_, target = 1.5 * sum(have.values()), set(have), {}
+    while open_:
+        level = left / sum(weights[s] for s in open_)
+        over = {s for s in open_ if level * weights[s] > 2 * have[s]}
+        target |= {s: 2.0 * have[s] for s in over} or {s: level * weights[s] for s in open_}
+        left, open_ = left - sum(2.0 * have[s] for s in over), open_ - over if over else set()
+    for s in have:
+        passes = min(2, int(target[s] // have[s]))
+        rest, sums = (round(target[s]) - passes * have[s] if passes < 2 else 0), 1
+        for _, t, x in rows:
+            sums |= sums << size(t) if x == s else 0
+        # The best that whole documents, each once more at most, can make of what is left.
+        assert got[s] == passes * have[s] + (sums & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    # Packing: all ids of all documents, each once, gapless in sequences of at most 2048.
+    tokenizer = Tokenizer.from_file(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json"))
+    lengths = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, _ in rows]
+    assert sum(r.length for r in out["packing"]) == sum(lengths)
+    by_doc, by_sequence = {}, {}
+    for r in out["packing"]:
+        by_doc.setdefault(r.doc_id, []).append(r.length)
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, _, _ in rows:
+        assert sum(by_doc[i]) == sum(n for n, (j, _, _) in zip(lengths, rows, strict=True) if j == i)
+    for own in by_sequence.values():
+        ends = [a + n for a, n in sorted(own)]
+        assert [a for a, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    for f in stage.values():
+        assert f(spark, frame.limit(0), "").count() == 0

@@ -203,6 +203,39 @@ def test_token_files(spark):
     assert empty.read(keys).count() == 0 and empty.get(1) == []
 
 
+def test_token_files_of_one_id(spark):
+    """Rows of one id (here null) that go on in several shards, and what clashes by name."""
+    rng, whole = random.Random(5), plain(WORD)
+    rows = [(None, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randrange(1, 9))), "a") for _ in range(300)] + [(i, f"text {i}", "a") for i in range(40)] + [(3, "long " * 9000, "b")]
+    frame = docs(spark, rows).withColumn("key", F.lit("clash")).withColumn("shard", F.lit("clash"))
+    store = tokenbin.TokenStore.write(frame, WORD, keys_per_bucket=8, shards=6)
+    found = store.read(frame.select(F.coalesce("doc_id", F.lit(tokenbin.NULL_KEY)).alias("key"))).collect()
+    order = sorted(rows, key=lambda r: (tokenbin.NULL_KEY if r[0] is None else r[0], r[1].encode()))
+    start = 0
+    for (i, t, _), r in zip(order, sorted(found, key=lambda r: r.start), strict=True):
+        ids = [*whole.encode(t, add_special_tokens=False).ids, 2]
+        assert (r.doc_id, r.start, np.frombuffer(bytes(r.ids), "<u4").tolist()) == (i, start, ids)
+        start += len(ids)
+    assert spark.read.parquet(f"{store.folder}/runs").count() > 1
+    assert store.get(None) == [[*whole.encode(t, add_special_tokens=False).ids, 2] for i, t, _ in order if i is None]
+    assert len(store.get(3)) == 2 and store.get(12) == [[*whole.encode("text 12", add_special_tokens=False).ids, 2]] and store.get(99) == []
+
+
+def test_shares_of_many_lengths():
+    """Of 20,000 lengths each is within a document of its share, and the budget is met."""
+    rng = random.Random(3)
+    lengths = rng.sample(range(1, 60_000), 20_000)
+    counts = [rng.randrange(1, 4) for _ in lengths]
+    total = sum(a * c for a, c in zip(lengths, counts, strict=True))
+    for budget in (total // 3, total // 2 + 1, total - 7):
+        taken = mixing.fit_budget(lengths, counts, budget)
+        assert sum(a * t for a, t in zip(lengths, taken, strict=True)) == budget
+        assert max(abs(t - c * budget / total) for t, c in zip(taken, counts, strict=True)) < 1
+    assert mixing.fit_budget([0, 5], [9, 4], 10) == [0, 2] and mixing.fit_budget([0], [3], 5) == [0]
+    taken = mixing.fit_budget([1000, 1001], [10**6, 10**6], 667_000_123)
+    assert 0 <= 667_000_123 - sum(a * t for a, t in zip([1000, 1001], taken, strict=True)) < 1000
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=300))
 def test_hash_index_is_minimal_and_perfect(keys):
