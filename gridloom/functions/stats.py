@@ -206,6 +206,62 @@ def seeded(seed: int | str, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def quantile_edges(df: DataFrame, value: str, keys: Sequence[str], shares: Sequence[float], out: str = "edges") -> DataFrame:
-    """Exact interpolated quantiles of ``value`` for each key."""
-    return df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(s)) for s in shares])).alias(out))
+def in_parts(df: DataFrame, value: str, keys: Sequence[str], parts: int = 64) -> DataFrame:
+    """Add ``__part``: rows of a key dealt to ranges of values, by cuts that a sketch of the key's values gives; equal values share one.
+
+    So a key that holds much of a table is ranked by many tasks. The cuts decide nothing but the ranges' sizes.
+    """
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, shares, 10_000).alias("__cuts"))
+    cuts = cuts.select(*[F.col(k).alias(f"__cut_{k}") for k in keys], "__cuts")
+    same = [F.col(k).eqNullSafe(F.col(f"__cut_{k}")) for k in keys]
+    out = df.join(cuts, same, "left").withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(value))))
+    return out.drop("__cuts", *[f"__cut_{k}" for k in keys])
+
+
+def ahead_of_parts(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, ``__part``, ``__ahead``, ``__in``, ``__all``): rows in the parts before, in the part, and in the key; a row for each part."""
+    counts = placed.groupBy(*keys, "__part").agg(F.count("*").alias("__in"))
+    w = W.partitionBy(*keys)
+    before = F.coalesce(F.sum("__in").over(w.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("__ahead", before).withColumn("__all", F.sum("__in").over(w))
+
+
+def spread_ranks(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """Add ``__r``, the mid-rank of ``value`` within ``keys``, and ``__t``, t^2 - 1 of its t tied rows, without a task that holds a whole key."""
+    placed = in_parts(df, value, keys)
+    ahead = ahead_of_parts(placed, keys).drop("__in", "__all").withColumnsRenamed({k: f"__a_{k}" for k in keys} | {"__part": "__a_part"})
+    same = [F.col(k).eqNullSafe(F.col(f"__a_{k}")) for k in keys] + [F.col("__part") == F.col("__a_part")]
+    both = placed.join(ahead, same)
+    out = both.withColumn("__r", mid_rank(value, [*keys, "__part"]) + F.col("__ahead")).withColumn("__t", tie_sum(value, [*keys, "__part"]))
+    return out.drop("__part", "__a_part", "__ahead", *[f"__a_{k}" for k in keys])
+
+
+def quantiles(df: DataFrame, value: str, keys: Sequence[str], shares: Sequence[float], out: str = "edges") -> DataFrame:
+    """Exact interpolated quantiles of ``value`` for each key: (keys, ``out``, an array in the order of ``shares``, ``__n``).
+
+    Rows are counted by ranges of values; only ranges that hold a wanted rank are sorted, each
+    by its own task. Nulls are left out; a key of nulls alone is absent.
+    """
+    from gridloom.sources.tables import written
+
+    by = [*keys] or ["__one"]
+    own = df if keys else df.withColumn("__one", F.lit(0))
+    own = written(own.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull()))
+    placed = in_parts(own, "__v", by)
+    ahead = ahead_of_parts(placed, by)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("s")) for i, s in enumerate(shares)]))
+    at = ahead.withColumn("__e", each).withColumn("__pos", F.col("__e.s") * (F.col("__all") - 1))
+    at = at.withColumn("__side", F.explode(F.array(F.lit(0), F.lit(1))))
+    rank = F.when(F.col("__side") == 0, F.floor("__pos")).otherwise(F.ceil("__pos"))
+    at = at.withColumn("__place", rank - F.col("__ahead")).where("__place >= 0 and __place < __in")
+    at = written(at.select(*by, "__part", "__place", F.col("__e.i").alias("__i"), "__side", "__pos", "__all"))
+    name = lambda d, *more: d.withColumnsRenamed({c: f"__w_{c}" for c in (*by, "__part", *more)})
+    same = lambda *more: [F.col(c).eqNullSafe(F.col(f"__w_{c}")) for c in (*by, "__part", *more)]
+    some = placed.join(name(at.select(*by, "__part").distinct()), same(), "left_semi")
+    ranked = some.withColumn("__place", F.row_number().over(W.partitionBy(*by, "__part").orderBy("__v")) - 1)
+    picked = ranked.join(name(at, "__place"), same("__place")).groupBy(*by, "__i", "__pos", "__all").agg(F.max(F.when(F.col("__side") == 0, F.col("__v"))).alias("low"), F.max(F.when(F.col("__side") == 1, F.col("__v"))).alias("high"))
+    pos = F.col("__pos")
+    mixed = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.ceil(pos) - pos) * F.col("low") + (pos - F.floor(pos)) * F.col("high"))
+    rows = picked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__i", mixed.alias("q")))).alias("__q"), F.max("__all").alias("__n"))
+    return rows.select(*keys, F.transform("__q", lambda x: x["q"]).alias(out), "__n")

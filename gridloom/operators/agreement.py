@@ -175,7 +175,7 @@ def grouped_comparison(df: DataFrame, value: str, group: str, keys: Sequence[str
     from gridloom.operators.expression_tests import rank_sums
 
     own = df.withColumn("side", F.col(group).cast("int"))
-    t = rank_sums(own, value, list(keys)) if keys else rank_sums(own.withColumn("__all", F.lit(0)), value, ["__all"])
+    t = rank_sums(own, value, list(keys)) if keys else rank_sums(own.withColumn("__one", F.lit(0)), value, ["__one"], spread=True)
     sd = own.groupBy(*keys).agg(F.stddev_pop(F.when(F.col("side") == 1, F.col(value))).alias("sd_1"), F.stddev_pop(F.when(F.col("side") == 0, F.col(value))).alias("sd_0"))
     out = t.join(sd, list(keys)) if keys else t.join(sd, F.lit(True))  # one row each
     return out.select(*keys, F.col("n_disc").alias("n_1"), F.col("n_conc").alias("n_0"), F.col("mean_disc").alias("mean_1"), F.col("mean_conc").alias("mean_0"), "sd_1", "sd_0", "u", "pval", (1 - 2 * F.col("u") / (F.col("n_disc") * F.col("n_conc"))).alias("rank_biserial"))

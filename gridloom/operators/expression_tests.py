@@ -13,7 +13,7 @@ from gridloom.functions import stats
 
 def tails(df: DataFrame, value: str, keys: Sequence[str], low: float = 0.25, high: float = 0.75) -> DataFrame:
     """Add ``disc`` (value at or above the upper quantile) and ``conc`` (at or below the lower one); a row can be both."""
-    edges = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__q"))
+    edges = stats.quantiles(df, value, keys, [low, high], "__q").drop("__n")
     out = df.join(edges, list(keys))
     return out.withColumn("disc", F.col(value) >= F.col("__q")[1]).withColumn("conc", F.col(value) <= F.col("__q")[0]).drop("__q")
 
@@ -24,9 +24,12 @@ def sides(df: DataFrame) -> DataFrame:
     return df.where("disc or conc").withColumn("side", side)
 
 
-def rank_sums(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Mann-Whitney statistics of side 1 against side 0: n1, n0, rank sum, U of side 1, ties and the asymptotic p."""
-    ranked = df.withColumn("__r", stats.mid_rank(value, keys)).withColumn("__t", stats.tie_sum(value, keys))
+def rank_sums(df: DataFrame, value: str, keys: Sequence[str], spread: bool = False) -> DataFrame:
+    """Mann-Whitney statistics of side 1 against side 0: n1, n0, rank sum, U of side 1, ties and the asymptotic p.
+
+    With ``spread`` keys that hold much of the table are ranked by many tasks.
+    """
+    ranked = stats.spread_ranks(df, value, keys) if spread else df.withColumn("__r", stats.mid_rank(value, keys)).withColumn("__t", stats.tie_sum(value, keys))
     one = F.col("side") == 1
     out = ranked.groupBy(*keys).agg(
         F.count_if(one).alias("n_disc"),
@@ -62,9 +65,9 @@ def de_table(df: DataFrame, keys: Sequence[str], feature: str = "gene", value: s
     return stats.bh(out, "pval", keys).select(*keys, feature, "pval", "log2fc", "cohens_d", "frac_disc", "frac_conc", "mean_disc", "mean_conc", "n_disc", "n_conc", "fdr")
 
 
-def score_test(df: DataFrame, keys: Sequence[str], feature: str, value: str, exact: bool = True, fdr: bool = True, least: int = 1) -> DataFrame:
+def score_test(df: DataFrame, keys: Sequence[str], feature: str, value: str, exact: bool = True, fdr: bool = True, least: int = 1, spread: bool = False) -> DataFrame:
     """The same tests on scores: delta, Cohen's d (deviation 1e-6 where there is none), p and q; sides need ``least`` values."""
-    out = rank_sums(df, value, [*keys, feature]).where((F.col("n_disc") >= least) & (F.col("n_conc") >= least))
+    out = rank_sums(df, value, [*keys, feature], spread).where((F.col("n_disc") >= least) & (F.col("n_conc") >= least))
     if exact:
         out = out.withColumn("pval", stats.mwu_p("u", "n_disc", "n_conc", "ties", "pval"))
     sd = F.expr(pooled())

@@ -197,12 +197,21 @@ def ols_folds(df: DataFrame, y: str, xs: Sequence[str], fold: str, keys: Sequenc
 
 
 def fold_numbers(df: DataFrame, key: str, folds: int, seed: int, out: str = "fold") -> DataFrame:
-    """Folds of equal size by a seeded order of the key."""
+    """Folds of equal size by a seeded order of the key.
+
+    Rows are counted by the first three digits of their hash; a row's number is its place
+    among those that share them, behind all that come before.
+    """
     from pyspark.sql import Window as W
 
     from gridloom.functions.stats import seeded
 
-    return df.withColumn(out, F.pmod(F.row_number().over(W.orderBy(seeded(seed, key))) - 1, F.lit(folds)))
+    rows = df.withColumn("__h", seeded(seed, key)).withColumn("__b", F.substring("__h", 1, 3))
+    before = F.sum("n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
+    ahead = rows.groupBy("__b").agg(F.count("*").alias("n")).select(F.col("__b").alias("__a"), F.coalesce(before, F.lit(0)).alias("__ahead"))
+    place = F.row_number().over(W.partitionBy("__b").orderBy("__h")) - 1 + F.col("__ahead")
+    both = rows.join(F.broadcast(ahead), F.col("__b") == F.col("__a"))  # 4096 rows at most
+    return both.withColumn(out, F.pmod(place, F.lit(folds)).cast("int")).drop("__h", "__b", "__a", "__ahead")
 
 
 def components(df: DataFrame, vector: str, keys: Sequence[str], k: int = 5) -> tuple[DataFrame, list[float]]:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import is_control_probe
-from gridloom.functions.stats import corr
+from gridloom.functions.stats import corr, quantiles
 
 
 def sample_qc(expression: DataFrame, prefixes: Sequence[str], keys: Sequence[str] = ("sample_id",)) -> DataFrame:
@@ -99,13 +99,13 @@ def gene_statistics(expression: DataFrame, value: str = "y") -> DataFrame:
 def value_limits(df: DataFrame, columns: Sequence[str], low: float = 0.02, high: float = 0.98, keys: Sequence[str] = ()) -> DataFrame:
     """Robust limits over several columns stacked."""
     long = df.select(*keys, F.explode(F.array(*columns)).alias("v"))
-    q = long.groupBy(*keys).agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("q"))
+    q = quantiles(long, "v", keys, [low, high], "q")
     return q.select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def box_statistics(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Quartiles, and the outermost values within 1.5 interquartile ranges of them."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(df, value, keys, [0.25, 0.5, 0.75], "q").drop("__n")
     own = df.join(q, list(keys))
     span = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = (F.col(value) >= F.col("q")[0] - span) & (F.col(value) <= F.col("q")[2] + span)
@@ -120,7 +120,7 @@ def top_and_bottom(df: DataFrame, by: str, n: int, tie: str) -> DataFrame:
 
 def quartile_label(df: DataFrame, value: str, keys: Sequence[str] = (), right_closed: bool = True) -> DataFrame:
     """Add ``quartile`` 0 to 3: edges above which (right-closed) or from which (left-closed) a value lies."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
+    q = quantiles(df, value, keys, [0.25, 0.5, 0.75], "__q").drop("__n")
     own = df.join(q, list(keys)) if keys else df.crossJoin(q)  # one row of edges
     return own.withColumn("quartile", F.size(F.filter("__q", lambda e: F.col(value) > e if right_closed else F.col(value) >= e))).drop("__q")
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.functions.stats import quantiles
+
 
 def raw_scores(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean absolute residual and total expression of each spot."""
@@ -20,14 +22,17 @@ def bins_for(n: Column, n_bins: int, least: int) -> Column:
     return F.when(n < n_bins * least, F.greatest(F.lit(2), F.floor(n / least))).otherwise(n_bins).cast("int")
 
 
-def quantile_bins(df: DataFrame, value: str, keys: Sequence[str], n_bins: int = 10, least: int = 30) -> DataFrame:
-    """Add ``bin``: the number of inner quantile edges of the group that are not above the value. Ties stay together."""
-    inner = lambda k: F.array(*[F.lit(i / k) for i in range(1, k)]) if k > 1 else F.array().cast("array<double>")
-    # One exact quantile pass for every number of bins that may be wanted.
+def quantile_bins(df: DataFrame, value: str, keys: Sequence[str], n_bins: int = 10, least: int = 30, spread: bool = True) -> DataFrame:
+    """Add ``bin``: the number of inner quantile edges of the group that are not above the value. Ties stay together.
+
+    Without ``spread`` a task counts the distinct values of a whole group, which is less work for many small groups.
+    """
+    # One pass for every number of bins that may be wanted.
     grid = sorted({i / k for k in range(2, n_bins + 1) for i in range(1, k)})
-    edges = df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, grid))).alias("__all"), F.count(value).alias("__n")).withColumn("__k", bins_for(F.col("__n"), n_bins, least))
+    edges = quantiles(df, value, keys, grid, "__edges_all") if spread else df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, grid))).alias("__edges_all"), F.count(value).alias("__n"))
+    edges = edges.withColumn("__k", bins_for(F.col("__n"), n_bins, least))
     place = F.map_from_arrays(F.array(*map(F.lit, range(2, n_bins + 1))), F.array(*[F.array(*[F.lit(grid.index(i / k)) for i in range(1, k)]) for k in range(2, n_bins + 1)]))
-    picked = F.transform(F.element_at(place, F.col("__k")), lambda i: F.element_at(F.col("__all"), i + 1))
+    picked = F.transform(F.element_at(place, F.col("__k")), lambda i: F.element_at(F.col("__edges_all"), i + 1))
     edges = edges.select(*[F.col(k).alias(f"__{k}") for k in keys], picked.alias("__edges"))
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     out = df.join(edges, same)
@@ -89,8 +94,8 @@ def studentised(df: DataFrame, keys: Sequence[str], residual: str = "residual",
     grid = [i / n_bins for i in range(1, n_bins)]
     many = sized.where(F.col("__bins") == n_bins)
     few = sized.where(F.col("__bins") < n_bins)
-    parts = [quantile_bins(many.drop("__n", "__bins"), value, keys, n_bins, 0)] if grid else []
-    parts.append(quantile_bins(few.drop("__n", "__bins"), value, keys, n_bins - 1, 10))
+    parts = [quantile_bins(many.drop("__n", "__bins"), value, keys, n_bins, 0, spread=False)] if grid else []
+    parts.append(quantile_bins(few.drop("__n", "__bins"), value, keys, n_bins - 1, 10, spread=False))
     binned = parts[0].unionByName(parts[1])
     own = W.partitionBy(*keys, "bin")
     spread = F.when((F.count("*").over(own) >= 3) & (F.stddev_pop(F.abs(residual)).over(own) > 0), F.stddev_pop(F.abs(residual)).over(own))

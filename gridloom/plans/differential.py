@@ -111,7 +111,7 @@ def a27_cell_type_tests(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH rows_ AS (SELECT l_shipmode_ AS mode, side, v FROM (SELECT l_returnflag AS l_shipmode_, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS side, l_quantity AS v FROM lineitem)), " + mwu_sql("rows_", "mode", "v") + " SELECT mode, round(mean_disc - mean_conc, 6) AS delta, round(pval, 6) AS pval, CAST(n_disc AS BIGINT) AS n_disc, CAST(n_conc AS BIGINT) AS n_conc FROM mwu WHERE n_disc >= 10 AND n_conc >= 10 AND n_disc + n_conc > 100")
 def a28_guarded_tests(spark: SparkSession, d: str) -> DataFrame:
     rows = V.read_table(spark, d, "lineitem").select(F.col("l_returnflag").alias("mode"), (F.col("l_linestatus") == "O").cast("int").alias("side"), F.col("l_quantity").alias("v"))
-    out = T.score_test(rows.withColumn("one", F.lit("all")), ["one"], "mode", "v", exact=False, fdr=False, least=10).where("n_disc + n_conc > 100")
+    out = T.score_test(rows.withColumn("one", F.lit("all")), ["one"], "mode", "v", exact=False, fdr=False, least=10, spread=True).where("n_disc + n_conc > 100")
     return out.select("mode", r6("delta"), r6("pval"), "n_disc", "n_conc")
 
 
