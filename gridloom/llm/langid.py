@@ -86,8 +86,8 @@ def family_groups(langs: list[str]) -> list[list[str]]:
     return list(groups.values())
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1000, seed: int = 11) -> Model:
-    """Fit a model on rows with a language and a letter: at most ``per_language`` of each language, chosen by a seeded hash of id and text.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1000, most: int = 20_000, seed: int = 11) -> Model:
+    """Fit a model on rows with a language and a letter: at most ``per_language`` of each language and ``most`` in all, chosen by a seeded hash of id and text.
 
     The rows of a language are counted over all rows; features of the chosen ones come to
     the driver, ``2 * 2**BITS`` numbers for each at most. Rows without language, text or
@@ -98,6 +98,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     # A margin over the wanted share, and the exact number by order of the hash.
+    per_language = max(1, min(per_language, most // max(1, len(counts))))
     share = {x: min(1.0, (per_language + 4 * per_language**0.5) / n) for x, n in counts.items()}
     if not share:
         return Model([], np.zeros((0, len(SIZES) << BITS)), [], np.zeros((0, len(SIZES) << BITS)))
