@@ -110,3 +110,60 @@ def test_mid_ranks(spark):
     df = spark.createDataFrame([(v,) for v in (5.0, 1.0, 5.0, 2.0, 5.0)], "v double").withColumn("k", F.lit(1))
     assert sorted(r.r for r in df.select(stats.mid_rank("v", ["k"]).alias("r")).collect()) == [1, 2, 4, 4, 4]
     assert one(spark, stats.empirical_p(F.lit(0), F.lit(19))) == 0.05
+
+
+def test_quantiles_and_spread_ranks(spark):
+    """Against NumPy: ties, nulls, a null key, a group of one value and one hot group."""
+    rng = np.random.default_rng(8)
+    rows = [("hot", float(v)) for v in np.round(rng.normal(size=3000), 2)] + [("small", 1.5), ("small", None), (None, 4.0), (None, 6.0), ("flat", 2.0), ("flat", 2.0), ("none", None)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    shares = [0.0, 0.02, 0.25, 0.5, 0.9, 1.0]
+    got = {r.k: (r.q, r["__n"]) for r in stats.quantiles(frame, "v", ["k"], shares, "q").collect()}
+    own = {}
+    for k, v in rows:
+        if v is not None:
+            own.setdefault(k, []).append(v)
+    assert set(got) == set(own)
+    for k, vs in own.items():
+        assert got[k][1] == len(vs) and np.allclose(got[k][0], np.quantile(vs, shares), atol=1e-12)
+    assert np.allclose(stats.quantiles(frame, "v", [], [0.5], "q").head().q, [np.quantile([v for _, v in rows if v is not None], 0.5)])
+    ranked = stats.spread_ranks(frame.where("v is not null"), "v", ["k"]).collect()
+    for k, vs in own.items():
+        a = np.array(vs)
+        want = sorted((v, (a < v).sum() + ((a == v).sum() + 1) / 2, float((a == v).sum() ** 2 - 1)) for v in vs)
+        assert sorted((r.v, r["__r"], r["__t"]) for r in ranked if r.k == k) == want
+
+
+def test_exact_two_sample_law():
+    """Against all orders of small samples, and near the series for larger ones."""
+    from itertools import combinations
+
+    for n1, n2 in ((2, 3), (4, 4), (5, 3)):
+        seen = []
+        for first in combinations(range(n1 + n2), n1):
+            a = np.isin(np.arange(n1 + n2), first)
+            seen.append(round(np.abs(np.cumsum(a) * n2 - np.cumsum(~a) * n1).max()))
+        for far in set(seen):
+            assert stats.exact_ks_p(far / (n1 * n2), n1, n2) == pytest.approx(np.mean([s >= far for s in seen]))
+    assert stats.exact_ks_p(0.05, 1500, 1500) == pytest.approx(stats.asymptotic_ks_p(0.05, 1500, 1500), abs=5e-3)
+    assert stats.ks_p(0.0, 5, 5) == 1.0
+
+
+def test_folds_are_even(spark):
+    from gridloom.operators import linear
+
+    out = [r.fold for r in linear.fold_numbers(spark.range(1003), "id", 5, 3).collect()]
+    assert sorted(out.count(i) for i in range(5)) == [200, 200, 201, 201, 201]
+
+
+def test_table_helpers(spark):
+    from gridloom.sources import tables
+
+    wide = spark.createDataFrame([(1, 2.0, 4.0, 9.0), (2, None, 6.0, 9.0), (3, None, None, 9.0)], "id int, D_cond_a_ridge double, D_cond_b_ridge double, D_raw_a_ridge double")
+    names = tables.columns_like(wide, "D_cond_*_ridge")
+    assert names == ["D_cond_a_ridge", "D_cond_b_ridge"]
+    assert [r.m for r in tables.row_mean(wide, names, "m").orderBy("id").collect()] == [3.0, 6.0, None]
+    known = spark.createDataFrame([(1, "x"), (2, "y")], "id int, name string")
+    assert tables.strict_lookup(wide.where("id < 3"), known, ["id"]).count() == 2
+    with pytest.raises(Exception, match="no row for key 3"):
+        tables.strict_lookup(wide, known, ["id"]).collect()
