@@ -151,7 +151,7 @@ def nearest(
     sample: int = 4096,
     cell_rows: int = 4096,
     most_cells: int = 4096,
-    block_rows: int = 1 << 14,
+    block_rows: int = 1 << 12,
     query_rows: int = 4096,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
