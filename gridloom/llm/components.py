@@ -11,10 +11,11 @@ from .common import staged
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(``node``, ``component``) for every node of a link; a component is named by its smallest node.
 
-    Each round every node joins its neighbour of the least hash, if that is less than its
-    own, and links are drawn between the joined nodes. A constant share of the nodes goes
-    in each round, whatever the shape, so the rounds grow with the logarithm. Links with a
-    null end and loops are left out. Each round is written to the shared folder.
+    Each round every node joins its neighbour of the highest degree, ties by a hash, if that
+    comes before itself, and links are drawn between the joined nodes. Nodes that none joins
+    leave the graph: all of a star but its hub in one round, and a constant share of a chain,
+    where runs of falling hashes are short. Degrees and hashes are new in each round. Links
+    with a null end and loops are left out. Each round is written to the shared folder.
     """
     both = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     edges = staged(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
@@ -23,9 +24,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not edges.isEmpty():
         turn += 1
         out = edges.select("a", "b").union(edges.select("b", "a"))
-        order = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
-        best = out.groupBy("a").agg(F.min(order("b")).alias("m"))
-        to = staged(best.select(F.col("a").alias("node"), F.least(F.col("m"), order("a"))["id"].alias("to")).where("node <> to"), "joined")
+        degrees = out.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("n"))
+        order = lambda n, c: F.struct((-F.col(n)).alias("n"), F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
+        best = out.join(degrees, "b").groupBy("a").agg(F.min(order("n", "b")).alias("m"), F.count("*").alias("own"))
+        to = staged(best.select(F.col("a").alias("node"), F.least(F.col("m"), order("own", "a"))["id"].alias("to")).where("node <> to"), "joined")
         x, y = to.select(F.col("node").alias("a"), F.col("to").alias("to_a")), to.select(F.col("node").alias("b"), F.col("to").alias("to_b"))
         moved = edges.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")).where("a <> b")
         edges = staged(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
