@@ -20,9 +20,9 @@ from tokenizers import Tokenizer
 WORD = np.dtype("<u4")
 U = np.uint64
 #: Slots of the memory of pieces, and ids that it holds at most before it is emptied.
-SLOTS, POOL = 1 << 18, 1 << 20
+SLOTS, POOL = 1 << 20, 1 << 22
 #: Bytes of text that are worked on together, besides one longer text.
-BATCH = 1 << 17
+BATCH = 1 << 19
 _OPEN: dict[str, Encoder] = {}
 _OTHER_BLANKS = re.compile("[\x85\xa0 ᠎ -     　]")
 _ODD = re.compile("[0\x00-\x1f\x7f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
