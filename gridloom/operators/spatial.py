@@ -19,13 +19,19 @@ def _near_cells(side: Column, reach: Column) -> Column:
     return F.sequence(F.floor(side).cast("long") - reach, F.floor(side).cast("long") + reach)
 
 
+#: Halvings of the first cell side that a dense place may have.
+LEVELS = 12
+
+
 def knn(df: DataFrame, k: int = 6, sample: str = "sample_id", spot: str = "spot_id", x: str = "x", y: str = "y") -> DataFrame:
     """The k nearest other spots of each spot of a sample, by Euclidean distance, ties to the smaller id: (sample, src, dst, dist, rank).
 
-    Spots are put in square cells that hold about k of them and meet those of the cells
-    around. A spot is done when its k-th distance does not exceed the border of what it has
-    seen; the others go round again with twice the reach, until that covers the sample. Each
-    round is written to the shared folder.
+    Spots meet those in square cells around. The side is that of cells which hold about k
+    spots at the sample's mean density, halved as often as a dense place asks for. Of spots
+    in one place only the k + 1 with the smallest ids can be neighbours. A spot is done when
+    its k-th distance does not exceed the border of what it has seen; the others go round
+    again with twice the side, until that covers the sample. Each round is written to the
+    shared folder.
     """
     own = df.where(F.col(x).isNotNull() & ~F.isnan(x) & F.col(y).isNotNull() & ~F.isnan(y)).select(F.col(sample).alias("s"), F.col(spot).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
     box = own.groupBy("s").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in "xy" for f, n in ((F.min, "lo"), (F.max, "hi"))])
@@ -35,26 +41,40 @@ def knn(df: DataFrame, k: int = 6, sample: str = "sample_id", spot: str = "spot_
     share = F.least(F.lit(1.0), k / F.col("n"))
     box = box.select("s", "n", "lo_x", "lo_y", span.alias("span"), F.when(span > 0, F.greatest(F.sqrt(area * share), span * share)).otherwise(1.0).alias("side"))
     placed = own.join(box, "s").withColumn("px", (F.col("x") - F.col("lo_x")) / F.col("side")).withColumn("py", (F.col("y") - F.col("lo_y")) / F.col("side"))
-    placed = written(placed.withColumn("cx", F.floor("px").cast("long")).withColumn("cy", F.floor("py").cast("long")))
-    other = placed.select(F.col("s"), F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("cx").alias("gx"), F.col("cy").alias("gy"))
-    todo, reach, out = placed, 1, None
+    placed = written(placed.select("s", "id", "x", "y", "n", "span", "side", "px", "py"))
+    first = placed.withColumn("__n", F.row_number().over(W.partitionBy("s", "x", "y").orderBy("id"))).where(F.col("__n") <= k + 1)
+    first = written(first.select("s", F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), "px", "py"))
+
+    def gridded_at(points: DataFrame, levels: Column) -> DataFrame:
+        """Points with their cell at each level: a level's cells have half the side of those at the level before."""
+        out = points.withColumn("level", F.explode(levels))
+        return out.withColumns({f"g{c}": F.floor(F.col(f"p{c}") * F.pow(F.lit(2.0), F.col("level"))).cast("long") for c in "xy"})
+
+    every = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    held = gridded_at(first, every).groupBy("s", "level", "gx", "gy").agg(F.count("*").alias("held"))
+    at = gridded_at(placed, every).join(held, ["s", "level", "gx", "gy"], "left")
+    at = at.groupBy("s", "id").agg(F.coalesce(F.min(F.when(F.coalesce("held", F.lit(0)) <= 4 * k, F.col("level"))), F.lit(LEVELS - 1)).alias("level"))
+    todo, out = written(placed.join(at, ["s", "id"])), None
     while True:
-        r = F.lit(reach).cast("long")
-        wide = todo.withColumn("gx", F.explode(_near_cells(F.col("px"), r))).withColumn("gy", F.explode(_near_cells(F.col("py"), r)))
-        near = wide.join(other, ["s", "gx", "gy"]).where("id <> dst").withColumn("dist", F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)))
+        low, high = todo.agg(F.min("level"), F.max("level")).head()
+        if low is None:
+            return out if out is not None else placed.select(F.col("s").alias(sample), F.col("id").alias("src"), F.col("id").alias("dst"), F.col("x").alias("dist"), F.lit(1).alias("rank")).limit(0)
+        scale = F.pow(F.lit(2.0), F.col("level"))
+        now = todo.withColumn("px", F.col("px") * scale).withColumn("py", F.col("py") * scale).withColumn("side", F.col("side") / scale)
+        one = F.lit(1).cast("long")
+        wide = now.withColumn("gx", F.explode(_near_cells(F.col("px"), one))).withColumn("gy", F.explode(_near_cells(F.col("py"), one)))
+        other = gridded_at(first, F.sequence(F.lit(low), F.lit(high))).drop("px", "py")
+        near = wide.join(other, ["s", "level", "gx", "gy"]).where("id <> dst").withColumn("dist", F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)))
         rank = F.row_number().over(W.partitionBy("s", "id").orderBy("dist", "dst"))
-        near = written(near.withColumn("rank", rank).where(F.col("rank") <= k))
-        border = (r + F.least(*[F.least(F.col(p) - F.floor(p), F.floor(p) + 1 - F.col(p)) for p in ("px", "py")])) * F.col("side")
+        near = written(near.withColumn("rank", rank).where(F.col("rank") <= k).select("s", "id", "dst", "dist", "rank"))
+        border = (1 + F.least(*[F.least(F.col(p) - F.floor(p), F.floor(p) + 1 - F.col(p)) for p in ("px", "py")])) * F.col("side")
         seen = near.groupBy("s", "id").agg(F.count("*").alias("have"), F.max("dist").alias("kth"))
-        state = todo.select("s", "id", "n", "span", "side", border.alias("border")).join(seen, ["s", "id"], "left")
-        whole = F.col("side") * r >= F.col("span")
+        state = now.select("s", "id", "n", "span", "side", border.alias("border")).join(seen, ["s", "id"], "left")
+        whole = F.col("side") >= F.col("span")
         done = state.where(whole | ((F.coalesce("have", F.lit(0)) >= F.least(F.lit(k), F.col("n") - 1)) & (F.coalesce("kth", F.lit(0.0)) <= F.col("border")))).select("s", "id")
         found = near.join(done, ["s", "id"], "left_semi").select(F.col("s").alias(sample), F.col("id").alias("src"), "dst", "dist", "rank")
         out = found if out is None else out.unionByName(found)
-        todo = written(todo.join(done, ["s", "id"], "left_anti"))
-        if todo.isEmpty():
-            return out
-        reach *= 2
+        todo = written(todo.join(done, ["s", "id"], "left_anti").withColumn("level", F.col("level") - 1))
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, r: float, keys: Sequence[str] = (), left_id: str = "spot_id", right_id: str = "nucleus_id") -> DataFrame:
