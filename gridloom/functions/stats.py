@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-#: Added to means before they are rounded to nine places: exact halves of the next place round alike in all engines.
-HAIR = 3.1e-11
-
-
 def mid_rank(value: str, keys: Sequence[str]) -> Column:
     """Rank within ``keys``, ties sharing the mean of their ranks."""
     return F.rank().over(W.partitionBy(*keys).orderBy(value)) + (F.count(F.lit(1)).over(W.partitionBy(*keys, value)) - 1) / 2

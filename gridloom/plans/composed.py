@@ -73,7 +73,7 @@ def q2_gates(spark: SparkSession, d: str) -> DataFrame:
     """Samples that pass each of the three gates: encoders agree, structure within rings, and gene halves agree."""
     one = A.agreement_summary(D.encoder_pairs(spark, d), ["cohort", "sample_id"], AGREEMENT)
     two = ring_p(spark, d).select(F.lit("points").alias("cohort"), (F.col("p") < RING_P).alias("passed"))
-    halves = A.split_half(V.predictions(spark, d), A.halves(V.panel(spark, d), 42), ["cohort", "encoder", "sample_id"])
+    halves = A.split_half(V.predictions(spark, d), A.halves(V.panel(spark, d), 42), ["cohort", "encoder", "sample_id"], shift=V.HAIR)
     three = halves.groupBy("cohort", "sample_id").agg((F.percentile("rho", F.lit(0.5)) > HALVES).alias("passed"))
     parts = [T.gate(df, ["cohort"], "passed", least).withColumn("gate", F.lit(name)) for name, df, least in (("agreement", one, AGREEMENT_SHARE), ("structure", two, RING_SHARE), ("halves", three, 0.5))]
     return stacked(parts).select("gate", "cohort", "n_pass", "n_total", r6("fraction"), "gate_pass")
@@ -342,7 +342,7 @@ def a72_summary(spark: SparkSession, d: str) -> DataFrame:
     """One table of the main figures of all phases."""
     own = V.spot_scores(spark, d)
     by = lambda df, c: df.groupBy("cohort").agg(c.alias("v"))
-    halves = A.split_half(V.predictions(spark, d), A.halves(V.panel(spark, d), 42), ["cohort", "encoder", "sample_id"])
+    halves = A.split_half(V.predictions(spark, d), A.halves(V.panel(spark, d), 42), ["cohort", "encoder", "sample_id"], shift=V.HAIR)
     agree = by(halves.groupBy("cohort", "sample_id").agg((F.percentile("rho", F.lit(0.5)) > HALVES).alias("passed")), F.count_if("passed"))
     found = lambda df, c: df.agg(F.countDistinct(F.when(F.col("fdr") < 0.05, F.col(c))).alias("v"))
     rings = ring_p(spark, d).agg(F.count_if(F.col("p") < RING_P).alias("v")).withColumn("c", F.lit("points"))

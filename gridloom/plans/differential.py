@@ -245,7 +245,7 @@ sr AS (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY a) + (count(*) OVER (
 
 @query(with_views("predictions") + split_sql("encoder, sample_id", "SELECT gene, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('|', '42', gene))) <= (SELECT count(*) FROM panel) // 2 THEN 'A' ELSE 'B' END AS track FROM panel") + " SELECT encoder, sample_id, round(corr(ra, rb), 6) AS rho, CAST(count(*) AS BIGINT) AS n FROM sr GROUP BY ALL HAVING count(*) >= 10")
 def a40_split_half(spark: SparkSession, d: str) -> DataFrame:
-    return A.split_half(V.predictions(spark, d), A.halves(V.panel(spark, d), 42), ["encoder", "sample_id"]).select("encoder", "sample_id", r6("rho"), "n")
+    return A.split_half(V.predictions(spark, d), A.halves(V.panel(spark, d), 42), ["encoder", "sample_id"], shift=V.HAIR).select("encoder", "sample_id", r6("rho"), "n")
 
 
 _SPLITS = "SELECT gene, split, n_genes, CASE WHEN p <= n_genes THEN 'A' ELSE 'B' END AS track FROM (SELECT gene, split, row_number() OVER (PARTITION BY split ORDER BY md5(concat_ws('|', '0', split, gene))) AS p FROM panel CROSS JOIN (SELECT unnest(range(100)) AS split)) CROSS JOIN (SELECT unnest([4, 8, 12]) AS n_genes) WHERE p <= 2 * n_genes"
@@ -253,7 +253,7 @@ _CURVE = split_sql("patient, n_genes, split", _SPLITS) + ", curve AS (SELECT pat
 
 
 def curve(spark: SparkSession, d: str) -> DataFrame:
-    return A.subsampled(scores.averaged_residuals(V.predictions(spark, d)), V.panel(spark, d), [4, 8, 12], 100, ["patient"])
+    return A.subsampled(scores.averaged_residuals(V.predictions(spark, d)), V.panel(spark, d), [4, 8, 12], 100, ["patient"], shift=V.HAIR)
 
 
 _CURVE_SQL = with_views("predictions").replace("predictions AS (", "predictions_all AS (") + ", predictions AS (SELECT cohort, patient, sample_id, spot_id, gene, round(avg(residual), 9) AS residual FROM predictions_all GROUP BY ALL)" + _CURVE
@@ -272,7 +272,7 @@ def a42_subsampling_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views("predictions") + split_sql("sample_id", "SELECT gene, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('|', '42', gene))) <= (SELECT count(*) FROM panel) // 2 THEN 'A' ELSE 'B' END AS track FROM panel") + " SELECT sample_id, spot_id, round(a, 6) AS a, round(b, 6) AS b FROM sp")
 def a43_tracks(spark: SparkSession, d: str) -> DataFrame:
     own = V.predictions(spark, d).join(A.halves(V.panel(spark, d), 42), "gene")
-    return own.groupBy("sample_id", "spot_id").pivot("track", ["A", "B"]).agg(F.round(F.avg(F.abs("residual")) + stats.HAIR, 9)).select("sample_id", "spot_id", r6("A", "a"), r6("B", "b"))
+    return own.groupBy("sample_id", "spot_id").pivot("track", ["A", "B"]).agg(F.round(F.avg(F.abs("residual")) + V.HAIR, 9)).select("sample_id", "spot_id", r6("A", "a"), r6("B", "b"))
 
 
 @query(with_views("scores") + ", " + edges_sql("scores", "total", "cohort, encoder", 10) + """, c AS (SELECT *, round(d_raw - avg(d_raw) OVER (PARTITION BY cohort, encoder, bin), 9) AS d_cond FROM binned),
@@ -311,7 +311,7 @@ def a62_encoder_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views("predictions") + ", g AS (SELECT cohort, gene, round(avg(abs(residual)) + 3.1e-11, 9) AS m FROM predictions GROUP BY ALL), b AS (SELECT x.gene, x.m AS a, y.m AS b FROM g x JOIN g y ON x.gene = y.gene WHERE x.cohort = 'discovery' AND y.cohort = 'validation'), r AS (SELECT *, rank() OVER (ORDER BY a) AS ra, rank() OVER (ORDER BY b) AS rb FROM b) SELECT round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, CAST(count(*) AS BIGINT) AS n FROM r")
 def a63_cohort_agreement(spark: SparkSession, d: str) -> DataFrame:
-    g = A.profiles(V.predictions(spark, d), ["cohort"])
+    g = A.profiles(V.predictions(spark, d), ["cohort"], V.HAIR)
     p = A.pair_correlations(g, ["gene"], "mar", "cohort", ranks=False).select("a", "b", r6("rho", "pearson"))
     s = A.pair_correlations(g, ["gene"], "mar", "cohort").select("a", "b", r6("rho", "spearman"), "n")
     return p.join(s, ["a", "b"]).select("pearson", "spearman", "n")

@@ -174,7 +174,7 @@ def j6_scores_and_types(spark: SparkSession, d: str) -> DataFrame:
     """Corrected scores with the cell-type scores of the same spot."""
     sets = V.gene_sets(spark, d).withColumnRenamed("pathway", "cell_type")
     own = scores.set_scores(V.cells(spark, d), sets, ["sample_id", "spot_id"], "y", name="cell_type", least=2)
-    return D.cond(spark, d).join(own, ["sample_id", "spot_id"]).select("sample_id", "spot_id", "cell_type", r6("d_cond"), r6(F.col("score") + stats.HAIR, "score"))
+    return D.cond(spark, d).join(own, ["sample_id", "spot_id"]).select("sample_id", "spot_id", "cell_type", r6("d_cond"), r6(F.col("score") + V.HAIR, "score"))
 
 
 @query(with_views("scores", "gene_sets") + D._SCORES + ", s AS (SELECT pathway, min(fdr) AS f, round(avg(abs(cohens_d)), 9) AS m FROM sets_de GROUP BY ALL), k AS (SELECT *, row_number() OVER (ORDER BY m DESC, pathway) AS place, count(*) FILTER (f < 0.05) OVER () AS found FROM s) SELECT pathway, round(m, 6) AS mean_abs_d, f < 0.05 AS significant FROM k WHERE found >= 5 AND f < 0.05 OR found < 5 AND place <= 15")

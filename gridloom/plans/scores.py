@@ -300,14 +300,14 @@ _AVERAGED = ", averaged AS (SELECT cohort, patient, sample_id, spot_id, gene, ro
 
 @query(with_views("predictions") + _AVERAGED + " SELECT sample_id, gene, round(avg(residual) + 3.1e-11, 6) AS mean_residual, round(avg(abs(residual)) + 3.1e-11, 6) AS mar FROM averaged GROUP BY ALL")
 def a16_averaged_residuals(spark: SparkSession, d: str) -> DataFrame:
-    return scores.averaged_residuals(V.predictions(spark, d)).groupBy("sample_id", "gene").agg(r6(F.avg("residual") + stats.HAIR, "mean_residual"), r6(F.avg(F.abs("residual")) + stats.HAIR, "mar"))
+    return scores.averaged_residuals(V.predictions(spark, d)).groupBy("sample_id", "gene").agg(r6(F.avg("residual") + V.HAIR, "mean_residual"), r6(F.avg(F.abs("residual")) + V.HAIR, "mar"))
 
 
 @query(with_views("predictions") + "SELECT patient, sample_id, encoder, gene, round(round(avg(abs(residual)) + 3.1e-11, 9), 6) AS mar FROM predictions GROUP BY ALL")
 def a17_section_profiles(spark: SparkSession, d: str) -> DataFrame:
     from gridloom.operators.agreement import profiles
 
-    return profiles(V.predictions(spark, d), ["patient", "sample_id", "encoder"]).withColumn("mar", F.round("mar", 6))
+    return profiles(V.predictions(spark, d), ["patient", "sample_id", "encoder"], V.HAIR).withColumn("mar", F.round("mar", 6))
 
 
 @query(with_views("cells") + """, o AS (SELECT sample_id, gene, avg(y) AS m, var_pop(y) AS v, count(*) AS n FROM cells GROUP BY ALL),
@@ -323,7 +323,7 @@ _MEMBERS = ", members AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY p
 @query(with_views("predictions", "gene_sets") + _AVERAGED + _MEMBERS + " SELECT sample_id, spot_id, pathway, round(avg(residual) + 3.1e-11, 6) AS score FROM averaged JOIN members USING (gene) GROUP BY ALL")
 def a19_set_residuals(spark: SparkSession, d: str) -> DataFrame:
     out = scores.set_scores(scores.averaged_residuals(V.predictions(spark, d)), V.gene_sets(spark, d), ["sample_id", "spot_id"], "residual", least=5)
-    return out.withColumn("score", F.round(F.col("score") + stats.HAIR, 6))
+    return out.withColumn("score", F.round(F.col("score") + V.HAIR, 6))
 
 
 _STUDENT = (
@@ -354,7 +354,7 @@ def a21_set_studentised(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views("cells", "gene_sets") + " SELECT sample_id, spot_id, pathway AS cell_type, round(avg(y) + 3.1e-11, 6) AS score FROM cells JOIN gene_sets USING (gene) GROUP BY ALL HAVING count(*) >= 2")
 def a22_cell_type_scores(spark: SparkSession, d: str) -> DataFrame:
     sets = V.gene_sets(spark, d).withColumnRenamed("pathway", "cell_type")
-    return scores.set_scores(V.cells(spark, d), sets, ["sample_id", "spot_id"], "y", name="cell_type", least=2).withColumn("score", F.round(F.col("score") + stats.HAIR, 6))
+    return scores.set_scores(V.cells(spark, d), sets, ["sample_id", "spot_id"], "y", name="cell_type", least=2).withColumn("score", F.round(F.col("score") + V.HAIR, 6))
 
 
 @query(with_views("scores") + ", " + edges_sql("scores", "total", "cohort, encoder", 10) + """, c AS (SELECT *, d_raw - avg(d_raw) OVER (PARTITION BY cohort, encoder, bin) AS d_cond FROM binned)

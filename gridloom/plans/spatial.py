@@ -131,7 +131,7 @@ _PROFILE = ", prof AS (SELECT patient, sample_id, gene, round(avg(abs(residual))
 
 
 def section_profiles(spark: SparkSession, d: str) -> DataFrame:
-    return A.profiles(V.predictions(spark, d), ["patient", "sample_id"])
+    return A.profiles(V.predictions(spark, d), ["patient", "sample_id"], V.HAIR)
 
 
 @query(with_views("predictions") + _PROFILE + " SELECT a, b, round(r, 6) AS r FROM pairs")
