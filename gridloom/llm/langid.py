@@ -117,6 +117,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     for row, at, v in zip(x, got["at"], got["x"], strict=True):
         row[at] = v
     lang = got["lang"].to_numpy()
+    del got
     families = family_groups(sorted(set(lang)))
     if len(families) > 1:
         family = np.stack([machine(x, np.where(np.isin(lang, f), 1.0, -1.0)) for f in families])

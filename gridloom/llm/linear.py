@@ -33,7 +33,7 @@ def descend(x: np.ndarray, slope, decay: float, steps: int) -> np.ndarray:  # no
     """Accelerated gradient descent on a mean loss with quadratic decay; ``slope(scores)`` is the loss's derivative."""
     n, d = x.shape
     w = np.zeros(d, np.float32)
-    momentum, rate = w.copy(), 1.0 / (0.25 * 4 * float((x * x).sum(axis=1).max()) + decay)
+    momentum, rate = w.copy(), 1.0 / (0.25 * 4 * float(np.einsum("ij,ij->i", x, x).max()) + decay)
     for t in range(steps):
         look = w + (t / (t + 3)) * (w - momentum)
         grad = x.T @ slope(x @ look).astype(np.float32) / n + decay * look
