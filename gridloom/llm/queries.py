@@ -53,6 +53,26 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the mix SQL can say: sizes and targets, without the choice of documents."""
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target")
+
+
+MIXING_TARGETS_SQL = r"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM z),
+r AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / weight AS ratio FROM w),
+l AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
+  FROM r WINDOW o AS (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, level >= ratio AS capped FROM l),
+u AS (SELECT *, (SELECT level FROM t WHERE NOT capped ORDER BY ratio, place LIMIT 1) AS water FROM t)
+SELECT s.doc_id, s.size, u.source_size, CASE WHEN capped THEN cap ELSE least(cap, water * weight) END AS target
+FROM s JOIN u ON s.source IS NOT DISTINCT FROM u.source
+"""
+
+
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     store = tokenbin.TokenStore.write(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -149,5 +169,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_binary": op8_token_binary,
     "op9_minhash": op9_minhash,
     "op10_language_id": op10_language_id,
+    "mixing_targets": mixing_targets,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op9_minhash": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op9_minhash": OP9_SQL, "mixing_targets": MIXING_TARGETS_SQL}
