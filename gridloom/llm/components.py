@@ -24,7 +24,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not edges.isEmpty():
         turn += 1
         out = edges.select("a", "b").union(edges.select("b", "a"))
-        degrees = out.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("n"))
+        # Written, so that Spark can split the join for a node with very many links.
+        degrees = staged(out.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("n")), "degrees")
         order = lambda n, c: F.struct((-F.col(n)).alias("n"), F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
         best = out.join(degrees, "b").groupBy("a").agg(F.min(order("n", "b")).alias("m"), F.count("*").alias("own"))
         to = staged(best.select(F.col("a").alias("node"), F.least(F.col("m"), order("own", "a"))["id"].alias("to")).where("node <> to"), "joined")
