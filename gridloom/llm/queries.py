@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, line_dedup, minhash, mixing, packing, quality, secret_scan, tokenbin, topk
+from . import ann, importance, langid, line_dedup, minhash, mixing, packing, quality, secret_scan, tokenbin, topk
 from .common import read_table
 
 
@@ -158,6 +158,64 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), share=(5, 100))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: The table of CRC-32 is worked out from its polynomial; each distinct feature is hashed once.
+OP13_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS step FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, step + 1 FROM bits WHERE step < 8
+),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8),
+texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+),
+w AS (
+  SELECT kind, id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM texts
+),
+x AS (
+  SELECT kind, id, unnest(ws) AS a, unnest(ws[2:]) AS b, unnest(ws[3:]) AS c FROM w
+),
+f AS (
+  SELECT kind, id, a AS feature FROM x
+  UNION ALL SELECT kind, id, a || ' ' || b FROM x WHERE b IS NOT NULL
+  UNION ALL SELECT kind, id, a || ' ' || b || ' ' || c FROM x WHERE b IS NOT NULL AND c IS NOT NULL
+),
+g AS (SELECT kind, id, feature, count(*) AS n FROM f GROUP BY ALL),
+h AS (
+  SELECT feature, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, 1 + strlen(feature)), lambda p: CAST(('0x' || substr(hex(encode(feature)), CAST(2 * p - 1 AS BIGINT), 2)) AS BIGINT))),
+    lambda c, o: xor(c // 256, t[1 + xor(c % 256, o)])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM g), crc
+),
+k AS (SELECT kind, id, bucket, n FROM g JOIN h USING (feature)),
+n AS (
+  SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 'b'), 0) AS t FROM k GROUP BY bucket
+),
+v AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * ((SELECT sum(s) FROM n) + 10000) AS DOUBLE) / CAST((s + 1) * ((SELECT sum(t) FROM n) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM n
+),
+weights AS (
+  SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM k JOIN v USING (bucket) WHERE kind = 'd' GROUP BY id
+),
+r AS (
+  SELECT id AS doc_id, len(ws) >= 20 AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('42:' || id), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN weights USING (id) WHERE kind = 'd'
+),
+o AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= (SELECT count(*) FROM r WHERE fit) * 5 // 100 THEN place END AS rank FROM o
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -169,6 +227,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_binary": op8_token_binary,
     "op9_minhash": op9_minhash,
     "op10_language_id": op10_language_id,
+    "op13_importance": op13_importance,
     "mixing_targets": mixing_targets,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op9_minhash": OP9_SQL, "mixing_targets": MIXING_TARGETS_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op9_minhash": OP9_SQL, "op13_importance": OP13_SQL, "mixing_targets": MIXING_TARGETS_SQL}
