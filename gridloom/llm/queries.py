@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, importance, langid, line_dedup, minhash, mixing, packing, quality, secret_scan, tokenbin, topk
+from . import ann, importance, langid, line_dedup, minhash, mixing, packing, quality, secret_scan, substrings, tokenbin, topk
 from .common import read_table
 
 
@@ -158,6 +158,33 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(read_table(spark, sf_dir, "documents"), width=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+s AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 18)) AS pos,
+    unnest(list_transform(range(1, len(ws) - 18), lambda i: sha256(array_to_string(ws[i:i + 19], ' ')))) AS passage
+  FROM d WHERE len(ws) >= 20
+),
+w AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY passage ORDER BY doc_id, pos) > 1 AS again FROM s),
+c AS (
+  SELECT p.doc_id, p.pos, p.word,
+    coalesce(bool_or(w.again) OVER (PARTITION BY p.doc_id ORDER BY p.pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM p LEFT JOIN w ON w.doc_id = p.doc_id AND w.pos = p.pos
+),
+k AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), share=(5, 100))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
@@ -227,7 +254,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_binary": op8_token_binary,
     "op9_minhash": op9_minhash,
     "op10_language_id": op10_language_id,
+    "op12_substrings": op12_substrings,
     "op13_importance": op13_importance,
     "mixing_targets": mixing_targets,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op9_minhash": OP9_SQL, "op13_importance": OP13_SQL, "mixing_targets": MIXING_TARGETS_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op9_minhash": OP9_SQL, "op12_substrings": OP12_SQL, "op13_importance": OP13_SQL, "mixing_targets": MIXING_TARGETS_SQL}
