@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, importance, langid, line_dedup, minhash, mixing, packing, quality, secret_scan, substrings, tokenbin, topk
+from . import ann, importance, langid, line_dedup, minhash, mixing, negatives, packing, quality, secret_scan, substrings, tokenbin, topk
 from .common import read_table
 
 
@@ -158,6 +158,37 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), every=100, positives=5, negatives=5, low=(80, 100), scale=256.0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256.0 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same, CAST(list_inner_product(a.v, x.v) AS BIGINT) AS score
+  FROM v a JOIN v x ON a.vec_id <> x.vec_id WHERE a.vec_id % 100 = 0
+),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same
+),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+  WHERE p.place <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
 def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(read_table(spark, sf_dir, "documents"), width=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -254,8 +285,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_binary": op8_token_binary,
     "op9_minhash": op9_minhash,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_substrings": op12_substrings,
     "op13_importance": op13_importance,
     "mixing_targets": mixing_targets,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op9_minhash": OP9_SQL, "op12_substrings": OP12_SQL, "op13_importance": OP13_SQL, "mixing_targets": MIXING_TARGETS_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op9_minhash": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_substrings": OP12_SQL, "op13_importance": OP13_SQL, "mixing_targets": MIXING_TARGETS_SQL}

@@ -140,12 +140,12 @@ def dual_search(queries: CoverTree, data: CoverTree, best: Best) -> None:
             stack.append((left[i], right[j], float(bounds[i, j])))
 
 
-def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """(``vec_id``, ``v``): floor(scale * x) of each component, for vectors without null or non-finite components."""
+def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float, *more: str) -> DataFrame:
+    """(``more``, ``vec_id``, ``v``): floor(scale * x) of each component, for vectors without null or non-finite components."""
     v = F.col(vector_col)
     sound = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("double"))
-    return vectors.where(F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
+    return vectors.where(F.col(id_col).isNotNull() & sound).select(*more, F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
