@@ -256,7 +256,7 @@ def remove_repeats(
         for b in batches:
             for part, texts in sliced(b, 2):
                 x = Anchored(texts, width, k)
-                head = part.take(pa.array(x.doc))
+                head = part.select([0, 1]).take(pa.array(x.doc))  # without the text
                 place = (x.anchor - x.begins[x.doc]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(x.grams[x.anchor].view(np.int64)), head.column(0), head.column(1), pa.array(place)], names=["key", "id", "t", "place"])
 
@@ -273,7 +273,7 @@ def remove_repeats(
                 doc, low, n = x.doc[pick], x.low[pick], x.high[pick] - x.low[pick] + 1
                 raw, ends = x.codes.tobytes(), low + n + width - 1
                 codes = pa.array([raw[8 * i : 8 * j] for i, j in zip(low.tolist(), ends.tolist(), strict=True)], pa.binary())
-                head = part.take(pa.array(doc))
+                head = part.select([0, 1]).take(pa.array(doc))
                 ints = [pa.array(v.astype(np.int32)) for v in (x.anchor[pick] - low, n, low - x.begins[doc])]
                 yield pa.RecordBatch.from_arrays([pa.array(x.grams[x.anchor[pick]].view(np.int64)), ints[0], ints[1], codes, head.column(0), head.column(1), ints[2]], names=["key", "off", "n", "codes", "id", "t", "start"])
 
