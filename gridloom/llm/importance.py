@@ -28,9 +28,9 @@ from .common import staged
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Runs between blanks that a task keeps with their words; beyond that it starts again.
-KEPT = 1 << 18
-#: Bytes of text that are worked on together.
-SLICE = 1 << 22
+KEPT = 1 << 17
+#: Bytes of text that are worked on together, and rows of a batch.
+SLICE, ROWS = 1 << 20, 256
 
 
 def _shift_tables(length: int) -> np.ndarray:
@@ -177,7 +177,7 @@ def featured(texts: DataFrame, n: int = 3, buckets: int = 10_000) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(n, buckets)
-        for b in batches:
+        for b in _small(batches):
             at = 0
             for words, owner, found in features.of(b.column(len(keys)).to_pylist()):
                 many = np.bincount(owner, minlength=len(words))
@@ -192,6 +192,13 @@ def featured(texts: DataFrame, n: int = 3, buckets: int = 10_000) -> DataFrame:
     return texts.mapInArrow(run, f"{kinds}{', ' if kinds else ''}n_words long, n_features long, found binary")
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded rows, as a batch is held several times over while it is worked on."""
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
+
+
 def _found(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(number of the row, bucket) of all features of a column."""
     kind = np.dtype("<u2" if buckets <= 1 << 16 else "<u4")
@@ -204,7 +211,7 @@ def histogram(features: DataFrame, buckets: int = 10_000) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(buckets, np.int64)
-        for b in batches:
+        for b in _small(batches):
             out += np.bincount(_found(b.column(0), buckets)[1], minlength=buckets)
         held = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(out[held])], names=["bucket", "n"])
@@ -279,7 +286,7 @@ def resample(
     gain = gains(histogram(own, buckets), histogram(featured(target.select(text(target_col)), n, buckets), buckets))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small(batches):
             row, found = _found(b.column(3), buckets)
             total = np.zeros(b.num_rows, np.int64)
             np.add.at(total, row, gain[found])
