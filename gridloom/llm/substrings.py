@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import id_key, settled
 
 U = np.uint64
-#: Bytes of text that are worked on together.
-SLICE = 1 << 22
+#: Bytes of text that are worked on together, and rows of a batch.
+SLICE, ROWS = 1 << 21, 512
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -93,13 +93,14 @@ class Anchored:
 
 
 def sliced(b: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of a batch of bounded bytes of text (one text at least) and their texts; a null is empty."""
-    raw = [(t or "").encode() for t in b.column(text).to_pylist()]
-    sizes = np.cumsum([len(r) for r in raw])
-    part = sizes // SLICE if len(raw) else sizes
-    edge = np.flatnonzero(np.r_[True, np.diff(part) > 0]).tolist() if len(raw) else []
-    for i, j in zip(edge, [*edge[1:], len(raw)], strict=True):
-        yield b.slice(i, j - i), raw[i:j]
+    """Parts of a batch of bounded rows and bytes of text (one text at least) and their texts; a null is empty."""
+    for at in range(0, b.num_rows, ROWS):
+        own = b.slice(at, ROWS)
+        raw = [(t or "").encode() for t in own.column(text).to_pylist()]
+        part = np.cumsum([len(r) for r in raw]) // SLICE
+        edge = np.flatnonzero(np.r_[True, np.diff(part) > 0]).tolist()
+        for i, j in zip(edge, [*edge[1:], len(raw)], strict=True):
+            yield own.slice(i, j - i), raw[i:j]
 
 
 def equal_windows(key: np.ndarray, off: np.ndarray, n: np.ndarray, codes: list[bytes], order: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +279,7 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays([pa.array(x.grams[x.anchor[pick]].view(np.int64)), ints[0], ints[1], codes, head.column(0), head.column(1), ints[2]], names=["key", "off", "n", "codes", "id", "t", "start"])
 
     held = own.select("id", "t", "text").join(places, ["id", "t"]).select("id", "t", "text", "places")
-    firsts = first_windows(settled(held.mapInArrow(runs, ROW), "runs"), width, k, most, task_rows)
+    firsts = first_windows(held.mapInArrow(runs, ROW), width, k, most, task_rows)
     firsts = firsts.groupBy("id", "t").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     marks = settled(places.join(firsts, ["id", "t"], "left"), "marks")
 
