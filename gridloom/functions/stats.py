@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -193,6 +193,35 @@ def ks_p_column(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series([ks_p(float(a), int(m), int(n)) for a, m, n in zip(d, n1, n2, strict=True)], dtype=float)
 
 
+def exact_sum(x: Column) -> Column:
+    """The sum of values of nine places, as decimals: the same in whatever order rows are added."""
+    return F.sum(x.cast("decimal(20,9)")).cast("double")
+
+
+def exact_mean(x: Column, over: WindowSpec | None = None) -> Column:
+    """The mean by ``exact_sum``; null over no values."""
+    total, n = F.sum(x.cast("decimal(20,9)")), F.count(x)
+    return (total.over(over) if over else total).cast("double") / (n.over(over) if over else n)
+
+
+def fixed(x: Column, places: int = 9) -> Column:
+    """Rounded half up by plain double arithmetic, which every engine does alike, at halves too."""
+    return F.floor(x * float(10**places) + 0.5) / float(10**places)
+
+
+def exact_sum_sql(x: str, rest: str = "") -> str:
+    """DuckDB SQL of ``exact_sum``; ``rest`` is a filter or window behind the aggregate."""
+    return f"CAST(sum(CAST({x} AS DECIMAL(20, 9))){rest} AS DOUBLE)"
+
+
+def exact_mean_sql(x: str, rest: str = "") -> str:
+    return f"({exact_sum_sql(x, rest)} / count({x}){rest})"
+
+
+def fixed_sql(x: str, places: int = 9) -> str:
+    return f"(floor(({x}) * 1e{places} + 0.5) / 1e{places})"
+
+
 def empirical_p(at_least: Column, permutations: Column) -> Column:
     return (1 + at_least) / (1 + permutations)
 

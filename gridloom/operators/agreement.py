@@ -45,21 +45,21 @@ def halves(genes: DataFrame, seed: int, gene: str = "gene", keys: Sequence[str]
     return genes.withColumn("track", F.when(place <= F.floor(n / 2), "A").otherwise("B"))
 
 
-def split_half(predictions: DataFrame, tracks: DataFrame, keys: Sequence[str], least: int = 10, shift: float = 0.0) -> DataFrame:
-    """Spearman's rho over spots of the mean absolute residuals of the two gene halves; ``shift`` is added to them before they are rounded."""
+def split_half(predictions: DataFrame, tracks: DataFrame, keys: Sequence[str], least: int = 10) -> DataFrame:
+    """Spearman's rho over spots of the mean absolute residuals of the two gene halves."""
     own = predictions.join(F.broadcast(tracks.select("gene", "track")), "gene")  # a row for each gene of the panel
-    spots = own.groupBy(*keys, "spot_id").agg(*[F.round(F.avg(F.when(F.col("track") == t, F.abs("residual"))) + shift, 9).alias(t.lower()) for t in "AB"])
+    spots = own.groupBy(*keys, "spot_id").agg(*[stats.fixed(stats.exact_mean(F.when(F.col("track") == t, F.abs("residual")))).alias(t.lower()) for t in "AB"])
     return rank_correlation(spots, "a", "b", keys).where(F.col("n") >= least)
 
 
-def subsampled(predictions: DataFrame, genes: DataFrame, sizes: Sequence[int], splits: int, keys: Sequence[str], seed: int = 0, least: int = 50, shift: float = 0.0) -> DataFrame:
+def subsampled(predictions: DataFrame, genes: DataFrame, sizes: Sequence[int], splits: int, keys: Sequence[str], seed: int = 0, least: int = 50) -> DataFrame:
     """Split-half rho for 2n genes out of the panel, for each n and split: (keys, n_genes, split, rho)."""
     plan = genes.select("gene").withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     plan = plan.withColumn("__p", F.row_number().over(W.partitionBy("split").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("split").cast("string"), "gene")))))
     plan = plan.withColumn("n_genes", F.explode(F.array(*map(F.lit, sizes)))).where(F.col("__p") <= 2 * F.col("n_genes"))
     plan = plan.withColumn("track", F.when(F.col("__p") <= F.col("n_genes"), "A").otherwise("B")).drop("__p")
     own = predictions.join(F.broadcast(plan), "gene")  # splits x genes, whatever the spots
-    spots = own.groupBy(*keys, "n_genes", "split", "spot_id").agg(*[F.round(F.avg(F.when(F.col("track") == t, F.abs("residual"))) + shift, 9).alias(t.lower()) for t in "AB"])
+    spots = own.groupBy(*keys, "n_genes", "split", "spot_id").agg(*[stats.fixed(stats.exact_mean(F.when(F.col("track") == t, F.abs("residual")))).alias(t.lower()) for t in "AB"])
     return rank_correlation(spots, "a", "b", [*keys, "n_genes", "split"]).where(F.col("n") >= least)
 
 
@@ -70,9 +70,9 @@ def distribution(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     return out.select(*keys, "n", "mean", "sd", *[F.col("__q")[i].alias(x) for i, x in enumerate(("q25", "median", "q75"))])
 
 
-def profiles(predictions: DataFrame, keys: Sequence[str], shift: float = 0.0) -> DataFrame:
+def profiles(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean absolute residual of each section and gene."""
-    return predictions.groupBy(*keys, "gene").agg(F.round(F.avg(F.abs("residual")) + shift, 9).alias("mar"))
+    return predictions.groupBy(*keys, "gene").agg(stats.fixed(stats.exact_mean(F.abs("residual"))).alias("mar"))
 
 
 def profile_pairs(profile: DataFrame, section: str, value: str = "mar", feature: str = "gene", keys: Sequence[str] = ()) -> DataFrame:

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.functions.stats import quantiles
+from gridloom.functions.stats import exact_mean, exact_sum, fixed, quantiles
 
 
 def raw_scores(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean absolute residual and total expression of each spot."""
-    return predictions.groupBy(*keys).agg(F.round(F.avg(F.abs("residual")), 9).alias("d_raw"), F.round(F.sum("y"), 9).alias("total"))
+    return predictions.groupBy(*keys).agg(fixed(exact_mean(F.abs("residual"))).alias("d_raw"), exact_sum(F.col("y")).alias("total"))
 
 
 def bins_for(n: Column, n_bins: int, least: int) -> Column:
@@ -76,11 +76,11 @@ def merge_bins(df: DataFrame, keys: Sequence[str], least: int, left_always: bool
 
 
 def conditional_scores(df: DataFrame, keys: Sequence[str], score: str = "d_raw", covariate: str = "total", n_bins: int = 10, least: int = 30, merge: bool = True) -> DataFrame:
-    """Add ``bin`` of the covariate within ``keys`` and ``d_cond``, the score less its bin's mean."""
+    """Add ``bin`` of the covariate within ``keys`` and ``d_cond``, the score (of nine places) less its bin's mean."""
     binned = quantile_bins(df, covariate, keys, n_bins, least)
     if merge:
         binned = merge_bins(binned, keys, least)
-    return binned.withColumn("d_cond", F.col(score) - F.avg(score).over(W.partitionBy(*keys, "bin")))
+    return binned.withColumn("d_cond", F.col(score) - exact_mean(F.col(score), W.partitionBy(*keys, "bin")))
 
 
 def studentised(df: DataFrame, keys: Sequence[str], residual: str = "residual", value: str = "y", n_bins: int = 20, floor: float = 1.0) -> DataFrame:
@@ -113,11 +113,11 @@ def members(sets: DataFrame, panel: DataFrame, least: int = 3, name: str = "path
 
 
 def set_scores(df: DataFrame, sets: DataFrame, keys: Sequence[str], value: str, name: str = "pathway", least: int = 3) -> DataFrame:
-    """Mean of ``value`` over each set's genes, for each of ``keys``."""
+    """Mean of ``value``, to nine places, over each set's genes, for each of ``keys``."""
     own = members(sets, df.select("gene").distinct(), least, name)
-    return df.join(own, "gene").groupBy(*keys, name).agg(F.avg(value).alias("score"))
+    return df.join(own, "gene").groupBy(*keys, name).agg(exact_mean(F.col(value)).alias("score"))
 
 
 def averaged_residuals(predictions: DataFrame) -> DataFrame:
     """Residuals averaged over encoders."""
-    return predictions.groupBy("cohort", "patient", "sample_id", "spot_id", "gene").agg(F.round(F.avg("residual"), 9).alias("residual"), F.max("y").alias("y"))
+    return predictions.groupBy("cohort", "patient", "sample_id", "spot_id", "gene").agg(fixed(exact_mean(F.col("residual"))).alias("residual"), F.max("y").alias("y"))

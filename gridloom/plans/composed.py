@@ -73,7 +73,7 @@ def q2_gates(spark: SparkSession, d: str) -> DataFrame:
     """Samples that pass each of the three gates: encoders agree, structure within rings, and gene halves agree."""
     one = A.agreement_summary(D.encoder_pairs(spark, d), ["cohort", "sample_id"], AGREEMENT)
     two = ring_p(spark, d).select(F.lit("points").alias("cohort"), (F.col("p") < RING_P).alias("passed"))
-    halves = A.split_half(V.predictions(spark, d), A.halves(V.panel(spark, d), 42), ["cohort", "encoder", "sample_id"], shift=V.HAIR)
+    halves = A.split_half(V.predictions(spark, d), A.halves(V.panel(spark, d), 42), ["cohort", "encoder", "sample_id"])
     three = halves.groupBy("cohort", "sample_id").agg((F.percentile("rho", F.lit(0.5)) > HALVES).alias("passed"))
     parts = [T.gate(df, ["cohort"], "passed", least).withColumn("gate", F.lit(name)) for name, df, least in (("agreement", one, AGREEMENT_SHARE), ("structure", two, RING_SHARE), ("halves", three, 0.5))]
     return stacked(parts).select("gate", "cohort", "n_pass", "n_total", r6("fraction"), "gate_pass")
@@ -114,7 +114,7 @@ def q3_tests_by_sample(spark: SparkSession, d: str) -> DataFrame:
 _BY_ENCODER = (
     ", "
     + edges_sql("scores", "total", "cohort, encoder", 10)
-    + """, c AS (SELECT patient, encoder, spot_id, round(d_raw - avg(d_raw) OVER (PARTITION BY cohort, encoder, bin), 9) AS d_cond FROM binned),
+    + """, c AS (SELECT patient, encoder, spot_id, d_raw - """ + V.BIN_MEAN + """ AS d_cond FROM binned),
 q AS (SELECT patient, encoder, quantile_cont(d_cond, [0.25, 0.75]) AS q FROM c GROUP BY ALL),
 sd AS (SELECT c.patient, c.encoder, spot_id, 1 AS side FROM c JOIN q USING (patient, encoder) WHERE d_cond >= q[2] UNION ALL SELECT c.patient, c.encoder, spot_id, 0 FROM c JOIN q USING (patient, encoder) WHERE d_cond <= q[1]),
 rows_ AS (SELECT s.patient, s.encoder, s.side, c.gene, c.y FROM sd s JOIN cells c USING (spot_id)), """
@@ -126,7 +126,7 @@ rows_ AS (SELECT s.patient, s.encoder, s.side, c.gene, c.y FROM sd s JOIN cells
 @query(with_views("scores") + _BY_ENCODER + ", n AS (SELECT patient, encoder, count(*) AS n FROM top GROUP BY ALL), b AS (SELECT x.patient, x.encoder AS a, y.encoder AS b, count(*) AS n_both FROM top x JOIN top y ON x.patient = y.patient AND x.gene = y.gene AND x.encoder < y.encoder GROUP BY ALL) SELECT x.patient, x.encoder AS a, y.encoder AS b, CAST(coalesce(n_both, 0) AS BIGINT) AS n_both, round(coalesce(n_both, 0) / (x.n + y.n - coalesce(n_both, 0)), 6) AS jaccard FROM n x JOIN n y ON x.patient = y.patient AND x.encoder < y.encoder LEFT JOIN b ON b.patient = x.patient AND b.a = x.encoder AND b.b = y.encoder")
 def q3_encoder_overlap(spark: SparkSession, d: str) -> DataFrame:
     """How far the ten first features of a sample agree between encoders."""
-    own = scores.conditional_scores(V.spot_scores(spark, d), ["cohort", "encoder"], merge=False, least=0).withColumn("d_cond", F.round("d_cond", 9))
+    own = scores.conditional_scores(V.spot_scores(spark, d), ["cohort", "encoder"], merge=False, least=0)
     rows = T.sides(T.tails(own, "d_cond", ["patient", "encoder"])).select("patient", "encoder", "spot_id", "side")
     tests = T.de_table(rows.join(V.cells(spark, d).select("spot_id", "gene", "y"), "spot_id"), ["patient", "encoder"], exact=False).withColumn("pval", F.round("pval", 9))
     out = T.set_jaccard(T.top_features(tests, ["patient", "encoder"], 10), "encoder", "gene", ["patient"])
@@ -261,7 +261,7 @@ def q8_encoders_and_cohorts(spark: SparkSession, d: str) -> DataFrame:
 
 # Generalisation: leave one section out.
 
-_LOSO = with_views("predictions").replace("GROUP BY ALL),\nevery_ AS", "GROUP BY ALL),\nevery_ AS").replace("SELECT cohort, patient, encoder, gene, grp, sum(y) AS s", "SELECT cohort, sample_id, encoder, gene, grp, sum(y) AS s").replace("SELECT o.patient, o.encoder", "SELECT o.sample_id, o.encoder").replace("JOIN model USING (patient, encoder, gene, grp)", "JOIN model USING (sample_id, encoder, gene, grp)")
+_LOSO = with_views("predictions", unit="sample_id")
 
 
 @query(_LOSO + ", g AS (SELECT cohort, encoder, gene, CASE WHEN stddev_pop(y) < 1e-10 OR stddev_pop(yhat) < 1e-10 THEN 0 ELSE coalesce(corr(y, yhat), 0) END AS r, count(*) AS n, avg(abs(residual)) AS mar FROM predictions GROUP BY ALL) SELECT cohort, encoder, round(avg(r), 6) AS mean_r, round(quantile_cont(r, 0.5), 6) AS median_r, CAST(count(*) FILTER (r > 0) AS BIGINT) AS n_positive, CAST(count(*) AS BIGINT) AS n_genes, CAST(max(n) AS BIGINT) AS n_spots, round(avg(mar), 6) AS mean_residual FROM g GROUP BY ALL")
@@ -342,7 +342,7 @@ def a72_summary(spark: SparkSession, d: str) -> DataFrame:
     """One table of the main figures of all phases."""
     own = V.spot_scores(spark, d)
     by = lambda df, c: df.groupBy("cohort").agg(c.alias("v"))
-    halves = A.split_half(V.predictions(spark, d), A.halves(V.panel(spark, d), 42), ["cohort", "encoder", "sample_id"], shift=V.HAIR)
+    halves = A.split_half(V.predictions(spark, d), A.halves(V.panel(spark, d), 42), ["cohort", "encoder", "sample_id"])
     agree = by(halves.groupBy("cohort", "sample_id").agg((F.percentile("rho", F.lit(0.5)) > HALVES).alias("passed")), F.count_if("passed"))
     found = lambda df, c: df.agg(F.countDistinct(F.when(F.col("fdr") < 0.05, F.col(c))).alias("v"))
     rings = ring_p(spark, d).agg(F.count_if(F.col("p") < RING_P).alias("v")).withColumn("c", F.lit("points"))

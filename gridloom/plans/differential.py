@@ -16,7 +16,7 @@ from gridloom.plans.views import with_views
 
 #: Samples of the tests are regions (patients), whose tails hold enough spots.
 _COND = ", " + edges_sql("scores", "total", "cohort, encoder", 10) + """, cond AS (
-  SELECT cohort, patient, sample_id, spot_id, round(avg(d), 9) AS d_cond FROM (SELECT *, d_raw - avg(d_raw) OVER (PARTITION BY cohort, encoder, bin) AS d FROM binned) GROUP BY ALL),
+  SELECT cohort, patient, sample_id, spot_id, """ + stats.exact_mean_sql('d') + """ AS d_cond FROM (SELECT *, d_raw - """ + V.BIN_MEAN + """ AS d FROM binned) GROUP BY ALL),
 tq AS (SELECT patient, quantile_cont(d_cond, [0.25, 0.75]) AS q FROM cond GROUP BY ALL),
 tails AS (SELECT cond.*, d_cond >= q[2] AS disc, d_cond <= q[1] AS conc FROM cond JOIN tq USING (patient)),
 sides AS (SELECT patient, spot_id, 1 AS side FROM tails WHERE disc UNION ALL SELECT patient, spot_id, 0 FROM tails WHERE conc)"""
@@ -24,7 +24,7 @@ sides AS (SELECT patient, spot_id, 1 AS side FROM tails WHERE disc UNION ALL SEL
 
 def cond(spark: SparkSession, d: str) -> DataFrame:
     out = scores.conditional_scores(V.spot_scores(spark, d), ["cohort", "encoder"], merge=False, least=0)
-    return out.groupBy("cohort", "patient", "sample_id", "spot_id").agg(F.round(F.avg("d_cond"), 9).alias("d_cond"))
+    return out.groupBy("cohort", "patient", "sample_id", "spot_id").agg(stats.exact_mean(F.col("d_cond")).alias("d_cond"))
 
 
 def sided(spark: SparkSession, d: str) -> DataFrame:
@@ -239,13 +239,13 @@ def a38_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_sql(keys: str, tracks: str) -> str:
-    return f""", tracks AS ({tracks}), sp AS (SELECT {keys}, spot_id, round(avg(abs(residual)) FILTER (track = 'A') + 3.1e-11, 9) AS a, round(avg(abs(residual)) FILTER (track = 'B') + 3.1e-11, 9) AS b FROM predictions JOIN tracks USING (gene) GROUP BY ALL),
+    return f""", tracks AS ({tracks}), sp AS (SELECT {keys}, spot_id, {stats.fixed_sql(stats.exact_mean_sql('abs(residual)', " FILTER (track = 'A')"))} AS a, {stats.fixed_sql(stats.exact_mean_sql('abs(residual)', " FILTER (track = 'B')"))} AS b FROM predictions JOIN tracks USING (gene) GROUP BY ALL),
 sr AS (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY a) + (count(*) OVER (PARTITION BY {keys}, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY {keys} ORDER BY b) + (count(*) OVER (PARTITION BY {keys}, b) - 1) / 2.0 AS rb FROM sp)"""
 
 
 @query(with_views("predictions") + split_sql("encoder, sample_id", "SELECT gene, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('|', '42', gene))) <= (SELECT count(*) FROM panel) // 2 THEN 'A' ELSE 'B' END AS track FROM panel") + " SELECT encoder, sample_id, round(corr(ra, rb), 6) AS rho, CAST(count(*) AS BIGINT) AS n FROM sr GROUP BY ALL HAVING count(*) >= 10")
 def a40_split_half(spark: SparkSession, d: str) -> DataFrame:
-    return A.split_half(V.predictions(spark, d), A.halves(V.panel(spark, d), 42), ["encoder", "sample_id"], shift=V.HAIR).select("encoder", "sample_id", r6("rho"), "n")
+    return A.split_half(V.predictions(spark, d), A.halves(V.panel(spark, d), 42), ["encoder", "sample_id"]).select("encoder", "sample_id", r6("rho"), "n")
 
 
 _SPLITS = "SELECT gene, split, n_genes, CASE WHEN p <= n_genes THEN 'A' ELSE 'B' END AS track FROM (SELECT gene, split, row_number() OVER (PARTITION BY split ORDER BY md5(concat_ws('|', '0', split, gene))) AS p FROM panel CROSS JOIN (SELECT unnest(range(100)) AS split)) CROSS JOIN (SELECT unnest([4, 8, 12]) AS n_genes) WHERE p <= 2 * n_genes"
@@ -253,10 +253,10 @@ _CURVE = split_sql("patient, n_genes, split", _SPLITS) + ", curve AS (SELECT pat
 
 
 def curve(spark: SparkSession, d: str) -> DataFrame:
-    return A.subsampled(scores.averaged_residuals(V.predictions(spark, d)), V.panel(spark, d), [4, 8, 12], 100, ["patient"], shift=V.HAIR)
+    return A.subsampled(scores.averaged_residuals(V.predictions(spark, d)), V.panel(spark, d), [4, 8, 12], 100, ["patient"])
 
 
-_CURVE_SQL = with_views("predictions").replace("predictions AS (", "predictions_all AS (") + ", predictions AS (SELECT cohort, patient, sample_id, spot_id, gene, round(avg(residual), 9) AS residual FROM predictions_all GROUP BY ALL)" + _CURVE
+_CURVE_SQL = with_views("predictions").replace("predictions AS (", "predictions_all AS (") + ", predictions AS (SELECT cohort, patient, sample_id, spot_id, gene, " + stats.fixed_sql(stats.exact_mean_sql('residual')) + " AS residual FROM predictions_all GROUP BY ALL)" + _CURVE
 
 
 @query(_CURVE_SQL + " SELECT patient, CAST(n_genes AS INTEGER) AS n_genes, CAST(split AS INTEGER) AS split, round(rho, 6) AS rho, CAST(n AS BIGINT) AS n FROM curve")
@@ -272,14 +272,14 @@ def a42_subsampling_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views("predictions") + split_sql("sample_id", "SELECT gene, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('|', '42', gene))) <= (SELECT count(*) FROM panel) // 2 THEN 'A' ELSE 'B' END AS track FROM panel") + " SELECT sample_id, spot_id, round(a, 6) AS a, round(b, 6) AS b FROM sp")
 def a43_tracks(spark: SparkSession, d: str) -> DataFrame:
     own = V.predictions(spark, d).join(A.halves(V.panel(spark, d), 42), "gene")
-    return own.groupBy("sample_id", "spot_id").pivot("track", ["A", "B"]).agg(F.round(F.avg(F.abs("residual")) + V.HAIR, 9)).select("sample_id", "spot_id", r6("A", "a"), r6("B", "b"))
+    return own.groupBy("sample_id", "spot_id").pivot("track", ["A", "B"]).agg(stats.fixed(stats.exact_mean(F.abs("residual")))).select("sample_id", "spot_id", r6("A", "a"), r6("B", "b"))
 
 
-@query(with_views("scores") + ", " + edges_sql("scores", "total", "cohort, encoder", 10) + """, c AS (SELECT *, round(d_raw - avg(d_raw) OVER (PARTITION BY cohort, encoder, bin), 9) AS d_cond FROM binned),
+@query(with_views("scores") + ", " + edges_sql("scores", "total", "cohort, encoder", 10) + """, c AS (SELECT *, d_raw - """ + V.BIN_MEAN + """ AS d_cond FROM binned),
 r AS (SELECT *, rank() OVER (PARTITION BY cohort, encoder ORDER BY total) + (count(*) OVER (PARTITION BY cohort, encoder, total) - 1) / 2.0 AS rt, rank() OVER (PARTITION BY cohort, encoder ORDER BY d_raw) + (count(*) OVER (PARTITION BY cohort, encoder, d_raw) - 1) / 2.0 AS rr, rank() OVER (PARTITION BY cohort, encoder ORDER BY d_cond) + (count(*) OVER (PARTITION BY cohort, encoder, d_cond) - 1) / 2.0 AS rc FROM c)
 SELECT cohort, encoder, round(corr(rt, rr), 6) AS rho_raw, round(corr(rt, rc), 6) AS rho_cond FROM r GROUP BY ALL""")
 def a68_covariate_check(spark: SparkSession, d: str) -> DataFrame:
-    own = scores.conditional_scores(V.spot_scores(spark, d), ["cohort", "encoder"], merge=False, least=0).withColumn("d_cond", F.round("d_cond", 9))
+    own = scores.conditional_scores(V.spot_scores(spark, d), ["cohort", "encoder"], merge=False, least=0)
     keys = ["cohort", "encoder"]
     raw, con = (A.rank_correlation(own, "total", c, keys).select(*keys, r6("rho", n)) for c, n in (("d_raw", "rho_raw"), ("d_cond", "rho_cond")))
     return raw.join(con, keys)
@@ -309,9 +309,9 @@ def a62_encoder_agreement(spark: SparkSession, d: str) -> DataFrame:
     return p.join(A.pair_correlations(g, ["gene"], "r", "encoder").select("a", "b", r6("rho", "spearman"), "n"), ["a", "b"])
 
 
-@query(with_views("predictions") + ", g AS (SELECT cohort, gene, round(avg(abs(residual)) + 3.1e-11, 9) AS m FROM predictions GROUP BY ALL), b AS (SELECT x.gene, x.m AS a, y.m AS b FROM g x JOIN g y ON x.gene = y.gene WHERE x.cohort = 'discovery' AND y.cohort = 'validation'), r AS (SELECT *, rank() OVER (ORDER BY a) AS ra, rank() OVER (ORDER BY b) AS rb FROM b) SELECT round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, CAST(count(*) AS BIGINT) AS n FROM r")
+@query(with_views("predictions") + ", g AS (SELECT cohort, gene, " + stats.fixed_sql(stats.exact_mean_sql('abs(residual)')) + " AS m FROM predictions GROUP BY ALL), b AS (SELECT x.gene, x.m AS a, y.m AS b FROM g x JOIN g y ON x.gene = y.gene WHERE x.cohort = 'discovery' AND y.cohort = 'validation'), r AS (SELECT *, rank() OVER (ORDER BY a) AS ra, rank() OVER (ORDER BY b) AS rb FROM b) SELECT round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, CAST(count(*) AS BIGINT) AS n FROM r")
 def a63_cohort_agreement(spark: SparkSession, d: str) -> DataFrame:
-    g = A.profiles(V.predictions(spark, d), ["cohort"], V.HAIR)
+    g = A.profiles(V.predictions(spark, d), ["cohort"])
     p = A.pair_correlations(g, ["gene"], "mar", "cohort", ranks=False).select("a", "b", r6("rho", "pearson"))
     s = A.pair_correlations(g, ["gene"], "mar", "cohort").select("a", "b", r6("rho", "spearman"), "n")
     return p.join(s, ["a", "b"]).select("pearson", "spearman", "n")

@@ -32,12 +32,12 @@ def named(df: DataFrame, folder: str, name: str, form: str = "text", **options:
             fs.rename(s.getPath(), path(f"{folder}/{name}"))
 
 
-_WIDE = with_views("scores") + ", " + edges_sql("scores", "total", "cohort, encoder", 10) + ", c AS (SELECT sample_id, spot_id, encoder, round(d_raw - avg(d_raw) OVER (PARTITION BY cohort, encoder, bin), 9) AS v FROM binned)"
+_WIDE = with_views("scores") + ", " + edges_sql("scores", "total", "cohort, encoder", 10) + ", c AS (SELECT sample_id, spot_id, encoder, d_raw - " + V.BIN_MEAN + " AS v FROM binned)"
 
 
 def wide_scores(spark: SparkSession, d: str) -> DataFrame:
     """A file as wide as its encoders: raw and corrected scores of each."""
-    own = scores.conditional_scores(V.spot_scores(spark, d), ["cohort", "encoder"], merge=False, least=0).withColumn("d_cond", F.round("d_cond", 9))
+    own = scores.conditional_scores(V.spot_scores(spark, d), ["cohort", "encoder"], merge=False, least=0)
     out = own.groupBy("sample_id", "spot_id").pivot("encoder", ["m1", "m2", "m3"]).agg(F.max("d_raw").alias("raw"), F.max("d_cond").alias("cond"))
     return out.toDF("sample_id", "spot_id", *[f"{k}_{e}_ridge" for e in ("m1", "m2", "m3") for k in ("D_raw", "D_cond")])
 
@@ -59,7 +59,7 @@ def p11_columns_by_pattern(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_WIDE + ", k AS (SELECT sample_id, spot_id, avg(v) AS v FROM c GROUP BY ALL) SELECT sample_id, spot_id, round(v, 6) AS mean_score FROM k")
 def p12_mean_over_encoders(spark: SparkSession, d: str) -> DataFrame:
-    own = scores.conditional_scores(V.spot_scores(spark, d), ["cohort", "encoder"], merge=False, least=0).withColumn("d_cond", F.round("d_cond", 9))
+    own = scores.conditional_scores(V.spot_scores(spark, d), ["cohort", "encoder"], merge=False, least=0)
     return own.groupBy("sample_id", "spot_id").agg(r6(F.avg("d_cond"), "mean_score"))
 
 
@@ -169,12 +169,12 @@ def j5_strict_lookup(spark: SparkSession, d: str) -> DataFrame:
     return tables.strict_lookup(V.read_table(spark, d, "lineitem"), part, ["l_partkey"]).select("l_orderkey", "l_linenumber", "p_brand")
 
 
-@query(with_views("scores", "gene_sets") + D._COND + ", t AS (SELECT spot_id, pathway AS cell_type, round(avg(y) + 3.1e-11, 6) AS score FROM cells JOIN gene_sets USING (gene) GROUP BY ALL HAVING count(*) >= 2) SELECT c.sample_id, spot_id, cell_type, round(d_cond, 6) AS d_cond, score FROM cond c JOIN t USING (spot_id)")
+@query(with_views("scores", "gene_sets") + D._COND + ", t AS (SELECT spot_id, pathway AS cell_type, " + stats.fixed_sql(stats.exact_mean_sql('y'), 6) + " AS score FROM cells JOIN gene_sets USING (gene) GROUP BY ALL HAVING count(*) >= 2) SELECT c.sample_id, spot_id, cell_type, round(d_cond, 6) AS d_cond, score FROM cond c JOIN t USING (spot_id)")
 def j6_scores_and_types(spark: SparkSession, d: str) -> DataFrame:
     """Corrected scores with the cell-type scores of the same spot."""
     sets = V.gene_sets(spark, d).withColumnRenamed("pathway", "cell_type")
     own = scores.set_scores(V.cells(spark, d), sets, ["sample_id", "spot_id"], "y", name="cell_type", least=2)
-    return D.cond(spark, d).join(own, ["sample_id", "spot_id"]).select("sample_id", "spot_id", "cell_type", r6("d_cond"), r6(F.col("score") + V.HAIR, "score"))
+    return D.cond(spark, d).join(own, ["sample_id", "spot_id"]).select("sample_id", "spot_id", "cell_type", r6("d_cond"), stats.fixed(F.col("score"), 6).alias("score"))
 
 
 @query(with_views("scores", "gene_sets") + D._SCORES + ", s AS (SELECT pathway, min(fdr) AS f, round(avg(abs(cohens_d)), 9) AS m FROM sets_de GROUP BY ALL), k AS (SELECT *, row_number() OVER (ORDER BY m DESC, pathway) AS place, count(*) FILTER (f < 0.05) OVER () AS found FROM s) SELECT pathway, round(m, 6) AS mean_abs_d, f < 0.05 AS significant FROM k WHERE found >= 5 AND f < 0.05 OR found < 5 AND place <= 15")
@@ -194,10 +194,10 @@ def p3_log1p(spark: SparkSession, d: str) -> DataFrame:
     return V.read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.log1p("l_quantity"), 9).alias("y"))
 
 
-@query(with_views("predictions") + "SELECT spot_id, encoder, gene, round(residual - avg(residual) OVER (PARTITION BY sample_id, encoder, gene), 6) AS centred FROM predictions")
+@query(with_views("predictions") + "SELECT spot_id, encoder, gene, " + stats.fixed_sql("residual - " + stats.exact_mean_sql("residual", " OVER (PARTITION BY sample_id, encoder, gene)"), 6) + " AS centred FROM predictions")
 def p7_centred_residuals(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("sample_id", "encoder", "gene")
-    return V.predictions(spark, d).select("spot_id", "encoder", "gene", r6(F.col("residual") - F.avg("residual").over(w), "centred"))
+    return V.predictions(spark, d).select("spot_id", "encoder", "gene", stats.fixed(F.col("residual") - stats.exact_mean(F.col("residual"), w), 6).alias("centred"))
 
 
 @query(with_views("cells") + "SELECT sample_id, spot_id, round(sum(y), 6) AS total FROM cells GROUP BY ALL")

@@ -70,10 +70,10 @@ def p2_spot_keys(spark: SparkSession, d: str) -> DataFrame:
     return V.spots(spark, d).withColumn("key", key).select("spot_id", "key", C.barcode_of(F.col("key"), F.col("sample_id")).alias("barcode"))
 
 
-@query(with_views("predictions") + "SELECT spot_id, encoder, gene, residual, round(y - residual, 6) AS yhat_back, round(residual - avg(residual) OVER (PARTITION BY encoder, gene), 6) AS centred FROM predictions")
+@query(with_views("predictions") + "SELECT spot_id, encoder, gene, residual, round(y - residual, 6) AS yhat_back, " + stats.fixed_sql("residual - " + stats.exact_mean_sql("residual", " OVER (PARTITION BY encoder, gene)"), 6) + " AS centred FROM predictions")
 def p6_residuals(spark: SparkSession, d: str) -> DataFrame:
     own = V.predictions(spark, d)
-    return own.select("spot_id", "encoder", "gene", "residual", r6(F.col("y") - F.col("residual"), "yhat_back"), r6(F.col("residual") - F.avg("residual").over(W.partitionBy("encoder", "gene")), "centred"))
+    return own.select("spot_id", "encoder", "gene", "residual", r6(F.col("y") - F.col("residual"), "yhat_back"), stats.fixed(F.col("residual") - stats.exact_mean(F.col("residual"), W.partitionBy("encoder", "gene")), 6).alias("centred"))
 
 
 @query(with_views("scores") + "SELECT cohort, patient, sample_id, spot_id, encoder, d_raw, total FROM scores")
@@ -260,7 +260,7 @@ def edges_sql(source: str, value: str, keys: str, n: int, out: str = "binned") -
 {out} AS (SELECT s.*, CAST(len(list_filter(edges, lambda x: s.{value} >= x)) AS INTEGER) AS bin FROM {source} s JOIN {out}_e USING ({keys}))"""
 
 
-@query(with_views("scores") + ", " + edges_sql("scores", "total", "cohort, encoder", 10) + " SELECT sample_id, spot_id, encoder, bin, round(d_raw - avg(d_raw) OVER (PARTITION BY cohort, encoder, bin), 6) AS d_cond FROM binned")
+@query(with_views("scores") + ", " + edges_sql("scores", "total", "cohort, encoder", 10) + " SELECT sample_id, spot_id, encoder, bin, round(d_raw - " + V.BIN_MEAN + ", 6) AS d_cond FROM binned")
 def a13_conditional_score(spark: SparkSession, d: str) -> DataFrame:
     out = scores.conditional_scores(V.spot_scores(spark, d), ["cohort", "encoder"], merge=False, least=0)
     return out.select("sample_id", "spot_id", "encoder", "bin", r6("d_cond"))
@@ -295,19 +295,19 @@ def a15_left_merged_bins(spark: SparkSession, d: str) -> DataFrame:
     return scores.merge_bins(binned, ["cohort", "encoder"], 120, left_always=True).groupBy("cohort", "encoder", "bin").agg(F.count("*").alias("n"))
 
 
-_AVERAGED = ", averaged AS (SELECT cohort, patient, sample_id, spot_id, gene, round(avg(residual), 9) AS residual, max(y) AS y FROM predictions GROUP BY ALL)"
+_AVERAGED = ", averaged AS (SELECT cohort, patient, sample_id, spot_id, gene, " + stats.fixed_sql(stats.exact_mean_sql('residual')) + " AS residual, max(y) AS y FROM predictions GROUP BY ALL)"
 
 
-@query(with_views("predictions") + _AVERAGED + " SELECT sample_id, gene, round(avg(residual) + 3.1e-11, 6) AS mean_residual, round(avg(abs(residual)) + 3.1e-11, 6) AS mar FROM averaged GROUP BY ALL")
+@query(with_views("predictions") + _AVERAGED + " SELECT sample_id, gene, " + stats.fixed_sql(stats.exact_mean_sql('residual'), 6) + " AS mean_residual, " + stats.fixed_sql(stats.exact_mean_sql('abs(residual)'), 6) + " AS mar FROM averaged GROUP BY ALL")
 def a16_averaged_residuals(spark: SparkSession, d: str) -> DataFrame:
-    return scores.averaged_residuals(V.predictions(spark, d)).groupBy("sample_id", "gene").agg(r6(F.avg("residual") + V.HAIR, "mean_residual"), r6(F.avg(F.abs("residual")) + V.HAIR, "mar"))
+    return scores.averaged_residuals(V.predictions(spark, d)).groupBy("sample_id", "gene").agg(stats.fixed(stats.exact_mean(F.col("residual")), 6).alias("mean_residual"), stats.fixed(stats.exact_mean(F.abs("residual")), 6).alias("mar"))
 
 
-@query(with_views("predictions") + "SELECT patient, sample_id, encoder, gene, round(round(avg(abs(residual)) + 3.1e-11, 9), 6) AS mar FROM predictions GROUP BY ALL")
+@query(with_views("predictions") + "SELECT patient, sample_id, encoder, gene, round(" + stats.fixed_sql(stats.exact_mean_sql('abs(residual)')) + ", 6) AS mar FROM predictions GROUP BY ALL")
 def a17_section_profiles(spark: SparkSession, d: str) -> DataFrame:
     from gridloom.operators.agreement import profiles
 
-    return profiles(V.predictions(spark, d), ["patient", "sample_id", "encoder"], V.HAIR).withColumn("mar", F.round("mar", 6))
+    return profiles(V.predictions(spark, d), ["patient", "sample_id", "encoder"]).withColumn("mar", F.round("mar", 6))
 
 
 @query(with_views("cells") + """, o AS (SELECT sample_id, gene, avg(y) AS m, var_pop(y) AS v, count(*) AS n FROM cells GROUP BY ALL),
@@ -320,10 +320,10 @@ def a18_gene_statistics(spark: SparkSession, d: str) -> DataFrame:
 _MEMBERS = ", members AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY pathway) AS n FROM gene_sets) WHERE n >= 5)"
 
 
-@query(with_views("predictions", "gene_sets") + _AVERAGED + _MEMBERS + " SELECT sample_id, spot_id, pathway, round(avg(residual) + 3.1e-11, 6) AS score FROM averaged JOIN members USING (gene) GROUP BY ALL")
+@query(with_views("predictions", "gene_sets") + _AVERAGED + _MEMBERS + " SELECT sample_id, spot_id, pathway, " + stats.fixed_sql(stats.exact_mean_sql('residual'), 6) + " AS score FROM averaged JOIN members USING (gene) GROUP BY ALL")
 def a19_set_residuals(spark: SparkSession, d: str) -> DataFrame:
     out = scores.set_scores(scores.averaged_residuals(V.predictions(spark, d)), V.gene_sets(spark, d), ["sample_id", "spot_id"], "residual", least=5)
-    return out.withColumn("score", F.round(F.col("score") + V.HAIR, 6))
+    return out.withColumn("score", stats.fixed(F.col("score"), 6))
 
 
 _STUDENT = (
@@ -351,13 +351,13 @@ def a21_set_studentised(spark: SparkSession, d: str) -> DataFrame:
     return scores.set_scores(student_rows(spark, d), V.gene_sets(spark, d), ["sample_id", "spot_id"], "studentised", least=5).withColumn("score", F.round("score", 5))
 
 
-@query(with_views("cells", "gene_sets") + " SELECT sample_id, spot_id, pathway AS cell_type, round(avg(y) + 3.1e-11, 6) AS score FROM cells JOIN gene_sets USING (gene) GROUP BY ALL HAVING count(*) >= 2")
+@query(with_views("cells", "gene_sets") + " SELECT sample_id, spot_id, pathway AS cell_type, " + stats.fixed_sql(stats.exact_mean_sql('y'), 6) + " AS score FROM cells JOIN gene_sets USING (gene) GROUP BY ALL HAVING count(*) >= 2")
 def a22_cell_type_scores(spark: SparkSession, d: str) -> DataFrame:
     sets = V.gene_sets(spark, d).withColumnRenamed("pathway", "cell_type")
-    return scores.set_scores(V.cells(spark, d), sets, ["sample_id", "spot_id"], "y", name="cell_type", least=2).withColumn("score", F.round(F.col("score") + V.HAIR, 6))
+    return scores.set_scores(V.cells(spark, d), sets, ["sample_id", "spot_id"], "y", name="cell_type", least=2).withColumn("score", stats.fixed(F.col("score"), 6))
 
 
-@query(with_views("scores") + ", " + edges_sql("scores", "total", "cohort, encoder", 10) + """, c AS (SELECT *, d_raw - avg(d_raw) OVER (PARTITION BY cohort, encoder, bin) AS d_cond FROM binned)
+@query(with_views("scores") + ", " + edges_sql("scores", "total", "cohort, encoder", 10) + """, c AS (SELECT *, d_raw - """ + V.BIN_MEAN + """ AS d_cond FROM binned)
 SELECT cohort, sample_id, spot_id, round(avg(d_raw), 6) AS d_raw, round(avg(d_cond), 6) AS d_cond, round(max(total), 6) AS total FROM c GROUP BY ALL""")
 def q1_depth_scores(spark: SparkSession, d: str) -> DataFrame:
     """Depth-corrected scores of each spot, averaged over encoders."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import stats
 from gridloom.functions.stats import student_p_sql
 from gridloom.operators import agreement as A
 from gridloom.operators import linear, profile
@@ -127,11 +128,11 @@ def a51_grid_dice(spark: SparkSession, d: str) -> DataFrame:
     return S.grid_dice(grid(spark, d)).select("a", "b", r6("dice"))
 
 
-_PROFILE = ", prof AS (SELECT patient, sample_id, gene, round(avg(abs(residual)) + 3.1e-11, 9) AS mar FROM predictions GROUP BY ALL), pairs AS (SELECT x.sample_id AS a, y.sample_id AS b, x.patient AS pa, y.patient AS pb, corr(x.mar, y.mar) AS r FROM prof x JOIN prof y ON x.gene = y.gene AND x.sample_id < y.sample_id GROUP BY ALL)"
+_PROFILE = ", prof AS (SELECT patient, sample_id, gene, " + stats.fixed_sql(stats.exact_mean_sql('abs(residual)')) + " AS mar FROM predictions GROUP BY ALL), pairs AS (SELECT x.sample_id AS a, y.sample_id AS b, x.patient AS pa, y.patient AS pb, corr(x.mar, y.mar) AS r FROM prof x JOIN prof y ON x.gene = y.gene AND x.sample_id < y.sample_id GROUP BY ALL)"
 
 
 def section_profiles(spark: SparkSession, d: str) -> DataFrame:
-    return A.profiles(V.predictions(spark, d), ["patient", "sample_id"], V.HAIR)
+    return A.profiles(V.predictions(spark, d), ["patient", "sample_id"])
 
 
 @query(with_views("predictions") + _PROFILE + " SELECT a, b, round(r, 6) AS r FROM pairs")

@@ -1,7 +1,8 @@
 """The roles of the data model, read from the given tables: spots, expression, predictions, points.
 
-Each view has DuckDB SQL beside it. Values are rounded to nine places, so that both
-engines rank and bin the same numbers.
+Each view has DuckDB SQL beside it. Values are rounded to nine places and added as decimals,
+and means are rounded once, by the same arithmetic in both engines, so that both rank and
+bin the same numbers in whatever order rows are added.
 """
 
 from __future__ import annotations
@@ -9,13 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.stats import exact_mean_sql, exact_sum_sql, fixed, fixed_sql
 from gridloom.sources.tables import densified, read_table, written
 
 
-#: Added to means in queries before they are rounded: exact halves of the next place round alike in all engines.
-HAIR = 3.1e-11
-
-
 def sample_dim(spark: SparkSession, d: str) -> DataFrame:
     cohort = F.when(F.col("r_regionkey") < 3, "discovery").otherwise("validation")
     both = read_table(spark, d, "nation").join(read_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -49,11 +47,11 @@ def predictions(spark: SparkSession, d: str, unit: str = "patient") -> DataFrame
     """Leave-one-out means by gene, a patient or a section at a time; encoders m2 and m3 also by segment and side."""
     encoders = F.explode(F.array(F.struct(F.lit("m1").alias("encoder"), F.lit("").alias("grp")), F.struct(F.lit("m2").alias("encoder"), F.col("segment").alias("grp")), F.struct(F.lit("m3").alias("encoder"), F.col("side").alias("grp"))))
     keyed = written(cells(spark, d).select("cohort", "patient", "sample_id", "spot_id", "segment", "side", "gene", "y")).withColumn("e", encoders).select("cohort", "patient", "sample_id", "spot_id", "gene", "y", "e.encoder", "e.grp")
-    own = keyed.groupBy("cohort", unit, "encoder", "gene", "grp").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
-    every = own.groupBy("cohort", "encoder", "gene", "grp").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
-    model = own.join(every, ["cohort", "encoder", "gene", "grp"]).where("all_n > n").select(unit, "encoder", "gene", "grp", F.round((F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")) + HAIR, 9).alias("yhat"))
+    own = keyed.groupBy("cohort", unit, "encoder", "gene", "grp").agg(F.sum(F.col("y").cast("decimal(20,9)")).alias("s"), F.count("*").alias("n"))
+    every = own.groupBy("cohort", "encoder", "gene", "grp").agg(F.sum("s").cast("decimal(30,9)").alias("all_s"), F.sum("n").alias("all_n"))
+    model = own.join(every, ["cohort", "encoder", "gene", "grp"]).where("all_n > n").select(unit, "encoder", "gene", "grp", fixed((F.col("all_s") - F.col("s")).cast("double") / (F.col("all_n") - F.col("n"))).alias("yhat"))
     out = keyed.join(model, [unit, "encoder", "gene", "grp"])
-    return out.select("cohort", "patient", "sample_id", "spot_id", "encoder", "gene", "y", "yhat", F.round(F.col("y") - F.col("yhat"), 9).alias("residual"))
+    return out.select("cohort", "patient", "sample_id", "spot_id", "encoder", "gene", "y", "yhat", fixed(F.col("y") - F.col("yhat")).alias("residual"))
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +71,22 @@ def gene_sets(spark: SparkSession, d: str, least: int = 12) -> DataFrame:
     return rows.groupBy("pathway", "gene").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("pathway", "gene")
 
 
+def predictions_sql(unit: str) -> str:
+    """SQL of ``predictions``."""
+    return f"""keyed AS (
+  SELECT cohort, patient, sample_id, spot_id, gene, y, 'm1' AS encoder, '' AS grp FROM cells
+  UNION ALL SELECT cohort, patient, sample_id, spot_id, gene, y, 'm2', segment FROM cells
+  UNION ALL SELECT cohort, patient, sample_id, spot_id, gene, y, 'm3', side FROM cells),
+own AS (SELECT cohort, {unit}, encoder, gene, grp, sum(CAST(y AS DECIMAL(20, 9))) AS s, count(*) AS n FROM keyed GROUP BY ALL),
+every_ AS (SELECT cohort, encoder, gene, grp, sum(s) AS s, sum(n) AS n FROM own GROUP BY ALL),
+model AS (
+  SELECT o.{unit}, o.encoder, o.gene, o.grp, {fixed_sql('CAST(e.s - o.s AS DOUBLE) / (e.n - o.n)')} AS yhat
+  FROM own o JOIN every_ e USING (cohort, encoder, gene, grp) WHERE e.n > o.n),
+predictions AS (
+  SELECT cohort, patient, sample_id, spot_id, encoder, gene, y, yhat, {fixed_sql('y - yhat')} AS residual
+  FROM keyed JOIN model USING ({unit}, encoder, gene, grp))"""
+
+
 #: Common table expressions with the same rows, to be put behind WITH.
 SQL = {
     "sample_dim": """sample_dim AS (
@@ -88,20 +102,9 @@ SQL = {
     "cells": """cells AS (
   SELECT s.*, g.gene, coalesce(e.value, 0) AS value, round(ln(1 + coalesce(e.value, 0)), 9) AS y
   FROM spots s CROSS JOIN panel g LEFT JOIN expression e ON e.spot_id = s.spot_id AND e.gene = g.gene)""",
-    "predictions": """keyed AS (
-  SELECT cohort, patient, sample_id, spot_id, gene, y, 'm1' AS encoder, '' AS grp FROM cells
-  UNION ALL SELECT cohort, patient, sample_id, spot_id, gene, y, 'm2', segment FROM cells
-  UNION ALL SELECT cohort, patient, sample_id, spot_id, gene, y, 'm3', side FROM cells),
-own AS (SELECT cohort, patient, encoder, gene, grp, sum(y) AS s, count(*) AS n FROM keyed GROUP BY ALL),
-every_ AS (SELECT cohort, encoder, gene, grp, sum(s) AS s, sum(n) AS n FROM own GROUP BY ALL),
-model AS (
-  SELECT o.patient, o.encoder, o.gene, o.grp, round((e.s - o.s) / (e.n - o.n) + 3.1e-11, 9) AS yhat
-  FROM own o JOIN every_ e USING (cohort, encoder, gene, grp) WHERE e.n > o.n),
-predictions AS (
-  SELECT cohort, patient, sample_id, spot_id, encoder, gene, y, yhat, round(y - yhat, 9) AS residual
-  FROM keyed JOIN model USING (patient, encoder, gene, grp))""",
-    "scores": """scores AS (
-  SELECT cohort, patient, sample_id, spot_id, encoder, round(avg(abs(residual)), 9) AS d_raw, round(sum(y), 9) AS total
+    "predictions": predictions_sql("patient"),
+    "scores": f"""scores AS (
+  SELECT cohort, patient, sample_id, spot_id, encoder, {fixed_sql(exact_mean_sql('abs(residual)'))} AS d_raw, {exact_sum_sql('y')} AS total
   FROM predictions GROUP BY ALL)""",
     "points": """points AS (
   SELECT 's' || CAST(label % 2 AS VARCHAR) AS sample_id, vec_id AS spot_id, round(CAST(embedding[1] AS DOUBLE), 9) AS x, round(CAST(embedding[2] AS DOUBLE), 9) AS y,
@@ -110,11 +113,13 @@ predictions AS (
     "gene_sets": """gene_sets AS (
   SELECT string_split(p_name, ' ')[1] AS pathway, p_brand AS gene FROM part GROUP BY ALL HAVING count(*) >= 12)""",
 }
+#: Mean raw score of a depth bin.
+BIN_MEAN = exact_mean_sql("d_raw", " OVER (PARTITION BY cohort, encoder, bin)")
 _NEEDS = {"spots": ["sample_dim"], "cells": ["spots", "expression", "panel"], "predictions": ["cells"], "scores": ["predictions"]}
 
 
-def with_views(*names: str) -> str:
-    """WITH and the views' expressions, each after those that it needs; a comma at the end."""
+def with_views(*names: str, unit: str = "patient") -> str:
+    """WITH and the views' expressions, each after those that it needs; predictions leave out one ``unit`` at a time."""
     out: list[str] = []
 
     def add(name: str) -> None:
@@ -125,4 +130,4 @@ def with_views(*names: str) -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ",\n".join(SQL[n] for n in out) + "\n"
+    return "WITH " + ",\n".join(predictions_sql(unit) if n == "predictions" else SQL[n] for n in out) + "\n"
