@@ -199,9 +199,10 @@ def exact_sum(x: Column) -> Column:
 
 
 def exact_mean(x: Column, over: WindowSpec | None = None) -> Column:
-    """The mean by ``exact_sum``; null over no values."""
-    total, n = F.sum(x.cast("decimal(20,9)")), F.count(x)
-    return (total.over(over) if over else total).cast("double") / (n.over(over) if over else n)
+    """The mean by ``exact_sum``; null over no values. What values have beyond nine places is added in floating point."""
+    own = (lambda c: c.over(over)) if over else (lambda c: c)
+    whole = x.cast("decimal(20,9)")
+    return own(F.sum(whole)).cast("double") / own(F.count(x)) + own(F.avg(x - whole.cast("double")))
 
 
 def fixed(x: Column, places: int = 9) -> Column:
