@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -116,20 +117,45 @@ def permuted_morans(edges: DataFrame, values: DataFrame, value: str, permutation
 
     In shuffle p the spot at a place by id gets the value of the spot at that place by
     md5(seed|p|id), so any engine draws the same shuffles. A window holds one sample's (or
-    group's) spots for one shuffle.
+    group's) spots for one shuffle, as (place, value) alone. Each spot then has one array of
+    its values under all shuffles, and an edge meets the arrays of its two ends: the products
+    of the arrays, divided by the source's number of neighbours, add up to all shuffles'
+    numerators in one pass. Tasks add their own edges; a row for each task, sample and shuffle
+    is added by Spark. The variance of a sample is the same under every shuffle. A sample
+    without variance or without edges has 0 throughout.
     """
     w = W.partitionBy(sample)
-    own = values.select(F.col(sample).alias("s"), F.col(spot).alias("id"), (F.col(group) if group else F.lit(0)).alias("g"), (F.col(value) - F.avg(value).over(w)).alias("z"))
-    each = own.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    by = W.partitionBy("s", "perm", "g")
-    drawn = F.when(F.col("perm") > 0, F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col("id").cast("string"))))
-    placed = each.withColumn("p", F.row_number().over(by.orderBy("id"))).withColumn("q", F.row_number().over(by.orderBy(drawn, "id")))
-    shuffled = placed.select("s", "perm", "g", "id", "p").join(placed.select("s", "perm", "g", F.col("q").alias("p"), "z"), ["s", "perm", "g", "p"]).select("s", "perm", "id", "z")
-    near = edges.select(F.col(sample).alias("s"), "src", F.col("dst").alias("id")).join(shuffled, ["s", "id"])
-    lag = near.groupBy("s", "perm", "src").agg(F.avg("z").alias("lag")).withColumnRenamed("src", "id")
-    both = shuffled.join(lag, ["s", "perm", "id"], "left")
-    out = both.groupBy("s", "perm").agg(F.count("*").alias("n"), F.sum(F.col("z") * F.coalesce("lag", F.lit(0.0))).alias("top"), F.sum(F.col("z") * F.col("z")).alias("below"), F.count("lag").alias("w_sum"))
-    moran = F.when(F.col("below") > 0, F.col("n") / F.col("w_sum") * F.col("top") / F.col("below")).otherwise(0.0)
+    own = values.select(F.col(sample).alias("s"), F.col(spot).alias("id"), F.struct(F.col(group) if group else F.lit(0)).alias("g"), (F.col(value) - F.avg(value).over(w)).alias("z"))
+    own = written(own.withColumn("p", F.row_number().over(W.partitionBy("s", "g").orderBy("id"))))
+    each = own.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))) if permutations else own.withColumn("perm", F.lit(1)).limit(0)
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col("id").cast("string")))
+    placed = each.select("s", "g", "perm", "z", F.row_number().over(W.partitionBy("s", "perm", "g").orderBy(drawn, "id")).alias("p"))
+    arrays = placed.groupBy("s", "g", "p").agg(F.array_sort(F.collect_list(F.struct("perm", "z")))["z"].alias("zs"))
+    whole = F.concat(F.array("z"), F.coalesce("zs", F.array().cast("array<double>")))
+    spots = written(own.join(arrays, ["s", "g", "p"], "left").select("s", "id", whole.alias("zs")))
+    near = edges.select(F.col(sample).alias("s"), "src", "dst", F.count("*").over(W.partitionBy(sample, "src")).alias("k"))
+    met = near.join(spots.select("s", F.col("id").alias("dst"), F.col("zs").alias("there")), ["s", "dst"])
+    met = met.join(spots.select("s", F.col("id").alias("src"), F.col("zs").alias("here")), ["s", "src"]).select("s", "k", "here", "there")
+    kind = dict(own.dtypes)["s"]
+
+    def numerators(batches):  # noqa: ANN001, ANN202
+        sums: dict = {}
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                here, there = (part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1) for c in (2, 3))
+                each_ = here * there / part.column(1).to_numpy()[:, None]
+                names = np.array(part.column(0).to_pylist(), object)
+                for name in set(names.tolist()):
+                    sums[name] = sums.get(name, 0.0) + each_[names == name].sum(axis=0)
+        for name, top in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(top), part.schema.field(0).type), pa.array(np.arange(len(top), dtype=np.int32)), pa.array(top)], names=["s", "perm", "top"])
+
+    tops = met.mapInArrow(numerators, f"s {kind}, perm int, top double").groupBy("s", "perm").agg(F.sum("top").alias("top"))
+    base = own.groupBy("s").agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("z")).alias("below"))
+    base = base.join(near.groupBy("s").agg(F.countDistinct("src").alias("w_sum")), "s", "left").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    out = base.join(tops, ["s", "perm"], "left")
+    moran = F.when((F.col("below") > 0) & F.col("top").isNotNull(), F.col("n") / F.col("w_sum") * F.col("top") / F.col("below")).otherwise(0.0)
     return out.select(F.col("s").alias(sample), "perm", moran.alias("morans_i"))
 
 

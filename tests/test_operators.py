@@ -272,3 +272,29 @@ def test_dense_expression(spark):
     out = sorted(map(tuple, tables.densified(spots, expression, panel, ["spot_id"]).collect()))
     assert out == [(1, "a", 3.0), (1, "b", 0.0), (2, "a", 0.0), (2, "b", 0.0)]
     assert sorted(map(tuple, tables.one_gene(spots, expression, "a", ["spot_id"]).collect())) == [(1, 3.0), (2, 0.0)]
+
+
+def test_permuted_morans_by_hand(spark):
+    """Every shuffle against a plain loop, freely and within groups (a null is one); samples without edges or spread have 0."""
+    import hashlib
+
+    rng = np.random.default_rng(8)
+    n = 40
+    rows = [("a", i, float(rng.normal()), ["x", "y", None][i % 3]) for i in range(n)] + [("flat", i, 2.0, "x") for i in range(5)] + [("alone", 1, 1.0, "x"), ("alone", 2, 3.0, "x")]
+    df = spark.createDataFrame(rows, "sample_id string, spot_id int, v double, g string")
+    pairs = [(i, int(j)) for i in range(n - 2) for j in rng.choice([x for x in range(n) if x != i], rng.integers(1, 5), replace=False)]
+    edges = spark.createDataFrame([("a", i, j) for i, j in pairs] + [("flat", 0, 1)], "sample_id string, src int, dst int")
+    z = np.array([r[2] for r in rows[:n]])
+    z -= z.mean()
+    for group in (None, "g"):
+        got = {(r.sample_id, r.perm): r.morans_i for r in spatial.permuted_morans(edges, df, "v", 7, 3, group).collect()}
+        assert len(got) == 3 * 8 and all(v == 0 for (s, _), v in got.items() if s != "a")
+        for perm in range(8):
+            own = z.copy()
+            if perm:
+                for members in [list(range(n))] if group is None else [[i for i in range(n) if i % 3 == m] for m in range(3)]:
+                    drawn = sorted(members, key=lambda i, perm=perm: (hashlib.md5(f"3|{perm}|{i}".encode()).hexdigest(), i))
+                    own[members] = z[drawn]
+            lag = {i: np.mean([own[j] for a, j in pairs if a == i]) for i in {a for a, _ in pairs}}
+            want = n / len(lag) * sum(own[i] * v for i, v in lag.items()) / (own @ own)
+            assert got["a", perm] == pytest.approx(want, abs=1e-12)
