@@ -216,8 +216,8 @@ def first_windows(rows: DataFrame, width: int, k: int, most: int, task_rows: int
             part = within.mapInArrow(_halves(low, high, width), ROW)
             halves = part if halves is None else halves.union(part)
         rows, ranges = halves, [x for low, high in ranges for x in ((low, (low + high) // 2), ((low + high) // 2 + 1, high)) if x[0] <= x[1]]
-    out = found[0]
-    for f in found[1:]:
+    out = rows.sparkSession.createDataFrame([], "id long, t long, starts array<int>")
+    for f in found:
         out = out.unionByName(f)
     return out
 
