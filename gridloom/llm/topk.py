@@ -17,66 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import staged
+from .covertree import CoverTree
 
-#: Points of a data leaf and of a query leaf.
-LEAF, QUERY_LEAF = 64, 8
-#: Children of a node at most. A node whose cover of half the radius would need more stays a leaf and is scored as a whole.
-WIDEST = 64
-
-
-class CoverTree:
-    """A cover tree, built from the top.
-
-    A node has one of the points as its centre and covers all its points within its radius,
-    which is at most 2**level. Its children are centred on its points, the first on its own
-    centre; they lie apart by more than 2**(level - 1) and each covers its points within
-    that distance. Points of a node stand next to each other in ``order``, those of a leaf by
-    ascending id.
-    """
-
-    def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> None:
-        self.points, self.ids = points, ids
-        self.order = np.argsort(ids, kind="stable")
-        self.first, self.end, self.centre, self.radius, self.level, self.children = [], [], [], [], [], []
-        if not len(points):
-            return
-        stack = [(0, len(points), int(self.order[0]), -1)]
-        while stack:
-            a, b, c, above = stack.pop()
-            at = len(self.first)
-            own = self.order[a:b]
-            far = self._from(c, own)
-            radius = float(far.max())
-            level = int(np.ceil(np.log2(radius))) if radius > 0 else -(2**31)
-            for x, v in zip((self.first, self.end, self.centre, self.radius, self.level, self.children), (a, b, c, radius, level, []), strict=True):
-                x.append(v)
-            if above >= 0:
-                self.children[above].append(at)
-            if b - a > leaf and radius > 0 and (parts := self._cover(c, own, far, 2.0 ** (level - 1))):
-                self.order[a:b] = np.concatenate([p for _, p in parts])
-                ends = (a + np.cumsum([len(p) for _, p in parts])).tolist()
-                # The last on the stack comes first.
-                stack += [(e - len(p), e, centre, at) for e, (centre, p) in zip(ends, parts, strict=True)][::-1]
-        self.centres = points[self.centre]
-        self.lengths = np.sqrt((self.centres * self.centres).sum(axis=1))
-        self.radii = np.array(self.radius)
-
-    def _from(self, centre: int, rows: np.ndarray) -> np.ndarray:
-        gap = self.points[rows] - self.points[centre]
-        return np.sqrt(np.einsum("ij,ij->i", gap, gap))
-
-    def _cover(self, centre: int, rows: np.ndarray, far: np.ndarray, reach: float) -> list[tuple[int, np.ndarray]]:
-        """(centre, its rows) of children that cover the rows within ``reach``; none if there would be too many."""
-        out = [(centre, rows[far <= reach])]
-        rows, far = rows[far > reach], far[far > reach]
-        while len(rows):
-            if len(out) == WIDEST:
-                return []
-            pick = int(rows[far.argmax()])
-            gap = self._from(pick, rows)
-            out.append((pick, rows[gap <= reach]))
-            rows, far = rows[gap > reach], far[gap > reach]
-        return out
+#: Queries of a query leaf, and data leaves that are scored before bounds are looked at again.
+QUERY_LEAF, AT_ONCE = 8, 32
 
 
 class Best:
@@ -107,37 +51,62 @@ class Best:
         return float(self.scores[rows, -1].min())
 
 
-def product_bounds(q: CoverTree, at: list[int], x: CoverTree, to: list[int]) -> np.ndarray:
+def product_bounds(q: CoverTree, at: np.ndarray, x: CoverTree, to: np.ndarray) -> np.ndarray:
     """For each pair of nodes a number that no inner product of their points exceeds."""
-    rq, rx, lq, lx = q.radii[at][:, None], x.radii[to][None], q.lengths[at][:, None], x.lengths[to][None]
+    length = lambda c: np.sqrt(np.einsum("ij,ij->i", c, c))
+    rq, rx, lq, lx = q.radius[at][:, None], x.radius[to][None], length(q.centres[at])[:, None], length(x.centres[to])[None]
     v = q.centres[at] @ x.centres[to].T + rq * lx + rx * lq + rq * rx
     return v + 1e-9 * (1 + np.abs(v))
 
 
-def dual_search(queries: CoverTree, data: CoverTree, best: Best) -> None:
-    """Walk both trees at once, the most promising pairs of nodes first."""
-    if not len(queries.ids) or not len(data.ids):
-        return
+def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, ids: np.ndarray, best: Best) -> int:
+    """Walk both trees at once, the most promising pairs of nodes first; how many pairs of points were scored.
+
+    A query node is split before a data node unless it is less than half as wide. Below a query
+    leaf each query has a bound of its own for every child of a data node, by the child's
+    covering radius and the query's norm, against its own k-th score.
+    """
+    scored = 0
+    if not len(query_ids) or not len(ids):
+        return scored
+    norms = np.sqrt(np.einsum("ij,ij->i", queries.points, queries.points))
+    root = np.zeros(1, np.int64)
     stack = [(0, 0, np.inf)]
     while stack:
         a, b, bound = stack.pop()
-        rows = queries.order[queries.first[a] : queries.end[a]]
+        rows = queries.members(np.array([a]))
         if bound < best.worst(rows):
             continue
-        kids_a, kids_b = queries.children[a], data.children[b]
-        if not kids_a and not kids_b:
-            cols = data.order[data.first[b] : data.end[b]]
-            scores = queries.points[rows] @ data.points[cols].T
-            scores[queries.ids[rows][:, None] == data.ids[cols][None, :]] = -np.inf
-            best.add(rows, scores, data.ids[cols])
+        if queries.kid_count[a] and (2 * queries.radius[a] >= data.radius[b] or not data.kid_count[b]):
+            kids = queries.children(root + a)
+            bounds = product_bounds(queries, kids, data, root + b)[:, 0]
+            stack += [(int(kids[i]), b, float(bounds[i])) for i in np.argsort(bounds, kind="stable")]
+            continue
+        kids = data.children(root + b) if data.kid_count[b] else root + b
+        if queries.kid_count[a]:
+            bounds = product_bounds(queries, root + a, data, kids)[0]
+            worst = best.worst(rows)
+            stack += [(a, int(kids[i]), float(bounds[i])) for i in np.argsort(bounds, kind="stable") if bounds[i] >= worst]
             continue
-        # All pairs of children at once; those that the children's own worst scores rule out never come up.
-        left, right = kids_a or [a], kids_b or [b]
-        bounds = product_bounds(queries, left, data, right)
-        worst = [best.worst(queries.order[queries.first[x] : queries.end[x]]) for x in left]
-        open_ = np.argwhere(bounds >= np.array(worst)[:, None])
-        for i, j in open_[np.argsort(bounds[tuple(open_.T)], kind="stable")].tolist():
-            stack.append((left[i], right[j], float(bounds[i, j])))
+        high = queries.points[rows] @ data.centres[kids].T + norms[rows][:, None] * data.radius[kids][None]
+        high += 1e-9 * (1 + np.abs(high))
+        top = high.max(axis=0)
+        leaf = data.kid_count[kids] == 0
+        last = np.flatnonzero(leaf)
+        last = last[np.argsort(-top[last], kind="stable")]
+        for i in range(0, len(last), AT_ONCE):
+            part = last[i : i + AT_ONCE]
+            part = part[(high[:, part] >= best.scores[rows, -1][:, None]).any(axis=0)]
+            if len(part):
+                cols = data.members(kids[part])
+                cols = cols[np.argsort(ids[cols], kind="stable")]
+                scores = queries.points[rows] @ data.points[cols].T
+                scored += scores.size
+                scores[query_ids[rows][:, None] == ids[cols][None, :]] = -np.inf
+                best.add(rows, scores, ids[cols])
+        more = np.flatnonzero(~leaf & (high >= best.scores[rows, -1][:, None]).any(axis=0))
+        stack += [(a, int(kids[i]), float(top[i])) for i in more[np.argsort(top[more], kind="stable")]]
+    return scored
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float, *more: str) -> DataFrame:
@@ -264,12 +233,12 @@ def top_inner_products(
         if not len(left) or not len(right):
             return pa.table(out)
         ids, marks = left.column("vec_id").to_numpy(), left.column("h").to_numpy()
-        q, x = CoverTree(_vectors(left.column("v")), ids, QUERY_LEAF), CoverTree(_vectors(right.column("v")), right.column("vec_id").to_numpy())
+        q, x = CoverTree(_vectors(left.column("v")), QUERY_LEAF), CoverTree(_vectors(right.column("v")))
         best = Best(len(left), k)
         floor = left.column("floor").to_numpy(zero_copy_only=False).astype(float)
         # What is known to be reached elsewhere prunes here; candidates at the floor itself still count.
         best.scores[:, :] = np.where(np.isnan(floor), -np.inf, floor - 0.5)[:, None]
-        dual_search(q, x, best)
+        dual_search(q, ids, x, right.column("vec_id").to_numpy(), best)
         got = np.isfinite(best.scores) & (best.ids != np.iinfo(np.int64).max)
         rows, _ = np.nonzero(got)
         return pa.table({"query_id": ids[rows], "query_h": marks[rows], "vec_id": best.ids[got], "score": best.scores[got].astype(np.int64)})

@@ -168,46 +168,44 @@ def test_exact_top_k(spark, block):
     assert topk.top_inner_products(frame.limit(0)).count() == 0
 
 
-def test_trees_prune():
-    rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(c, 0.01, (500, 4)) for c in (-10, 0, 10)])
-    q = x[::5] + 0.001
-    seen = 0
-
-    class Counting(topk.Best):
-        def add(self, rows, scores, ids):
-            nonlocal seen
-            seen += scores.size
-            super().add(rows, scores, ids)
-
-    best = Counting(len(q), 3)
-    asked, data = topk.CoverTree(q, np.arange(len(q)) + 10_000, topk.QUERY_LEAF), topk.CoverTree(x, np.arange(len(x)))
-    assert len(asked.first) > 10 and len(data.first) > 10
-    topk.dual_search(asked, data, best)
-    want = np.sort(q @ x.T, axis=1)[:, ::-1][:, :3]
-    assert np.allclose(best.scores, want) and seen < q.shape[0] * x.shape[0] / 2
+@pytest.mark.parametrize(("clusters", "most"), [(0, 1.0), (30, 0.2)])
+def test_trees_prune(clusters, most):
+    """Exact scores with all ties; few pairs are scored where unit vectors of 64 components stand in clusters."""
+    rng = np.random.default_rng(1 + clusters)
+    x = rng.normal(size=(3000, 64))
+    if clusters:
+        x = 4 * rng.normal(size=(clusters, 64))[rng.integers(0, clusters, 3000)] + 0.2 * x
+    x = np.floor(256 * x / np.sqrt((x * x).sum(axis=1, keepdims=True)))
+    x[1000:1040] = x[7]
+    ids, at = np.arange(3000)[::-1] * 2, np.arange(0, 3000, 50)
+    asked, data = topk.CoverTree(x[at], topk.QUERY_LEAF), topk.CoverTree(x)
+    assert len(asked.first) > 5 and len(data.first) > 200
+    best = topk.Best(len(at), 3)
+    scored = topk.dual_search(asked, ids[at], data, ids, best)
+    for n, q in enumerate(at):
+        want = sorted((-s, i) for s, i in zip(x @ x[q], ids.tolist(), strict=True) if i != ids[q])[:3]
+        assert [(-s, i) for s, i in zip(best.scores[n].tolist(), best.ids[n].tolist(), strict=True)] == want
+    assert scored <= most * len(at) * len(x)
 
 
 @pytest.mark.parametrize("dim", [1, 2, 3, 30])
 def test_cover_tree_holds_its_invariants(dim):
     rng = np.random.default_rng(dim)
     x = np.concatenate([rng.normal(size=(700, dim)), np.zeros((50, dim)), rng.normal(5, 1e-3, (200, dim))])
-    ids = rng.permutation(len(x))
-    tree = topk.CoverTree(x, ids, 4)
+    tree = topk.CoverTree(x, 4)
     assert sorted(tree.order.tolist()) == list(range(len(x)))
     gap = lambda i, j: float(np.sqrt(((x[i] - x[j]) ** 2).sum()))
-    for at, kids in enumerate(tree.children):
+    for at in range(len(tree.first)):
         own = tree.order[tree.first[at] : tree.end[at]]
         assert max(gap(tree.centre[at], i) for i in own) <= tree.radius[at] + 1e-12
-        assert tree.radius[at] == 0 or tree.radius[at] <= 2.0 ** tree.level[at]
+        kids = tree.children(np.array([at])).tolist()
         if not kids:
-            assert (np.diff(ids[own]) > 0).all()
+            assert len(own) <= 4 or tree.radius[at] == 0
             continue
-        assert len(kids) <= topk.WIDEST and tree.centre[kids[0]] == tree.centre[at]
-        assert sorted(i for k in kids for i in tree.order[tree.first[k] : tree.end[k]]) == sorted(own)
-        for n, k in enumerate(kids):
-            assert tree.radius[k] <= 2.0 ** (tree.level[at] - 1) and tree.level[k] < tree.level[at] and tree.centre[k] in own
-            assert all(gap(tree.centre[k], tree.centre[j]) > 2.0 ** (tree.level[at] - 1) for j in kids[:n])
+        assert tree.centre[kids[0]] == tree.centre[at] and sorted(i for k in kids for i in tree.order[tree.first[k] : tree.end[k]]) == sorted(own)
+        reach = max(tree.radius[k] for k in kids)
+        assert reach <= tree.radius[at] / 1.0000001 and all(tree.centre[k] in own for k in kids)
+        assert all(gap(tree.centre[k], tree.centre[j]) > reach * (1 - 1e-6) for n, k in enumerate(kids) for j in kids[:n])
 
 
 def test_exact_top_k_of_odd_rows(spark):
