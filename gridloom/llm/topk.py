@@ -88,7 +88,8 @@ def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, ids:
             worst = best.worst(rows)
             stack += [(a, int(kids[i]), float(bounds[i])) for i in np.argsort(bounds, kind="stable") if bounds[i] >= worst]
             continue
-        high = queries.points[rows] @ data.centres[kids].T + norms[rows][:, None] * data.radius[kids][None]
+        side = slice(int(kids[0]), int(kids[-1]) + 1)  # children stand next to each other: no copy
+        high = queries.points[rows] @ data.centres[side].T + norms[rows][:, None] * data.radius[side][None]
         high += 1e-9 * (1 + np.abs(high))
         top = high.max(axis=0)
         leaf = data.kid_count[kids] == 0
