@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, settled
+from .common import id_key, removed, settled
 
 U = np.uint64
 #: Bytes of text that are worked on together, and rows of a batch.
@@ -265,6 +265,7 @@ def remove_repeats(
     repeated = settled(at.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "repeated")
     # Both sides are written, so that Spark can split the join for an anchor that very many documents hold.
     places = settled(at.join(repeated, "key").groupBy("id", "t").agg(F.collect_list("place").alias("places")), "places")
+    removed(at, repeated)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,7 +280,7 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays([pa.array(x.grams[x.anchor[pick]].view(np.int64)), ints[0], ints[1], codes, head.column(0), head.column(1), ints[2]], names=["key", "off", "n", "codes", "id", "t", "start"])
 
     held = own.select("id", "t", "text").join(places, ["id", "t"]).select("id", "t", "text", "places")
-    firsts = first_windows(held.mapInArrow(runs, ROW), width, k, most, task_rows)
+    firsts = first_windows(settled(held.mapInArrow(runs, ROW), "runs"), width, k, most, task_rows)
     firsts = firsts.groupBy("id", "t").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     marks = settled(places.join(firsts, ["id", "t"], "left"), "marks")
 
