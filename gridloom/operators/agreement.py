@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import stats
+from gridloom.sources.tables import written
 
 
 def pair_correlations(df: DataFrame, item: Sequence[str], value: str, group: str, keys: Sequence[str] = (), ranks: bool = True) -> DataFrame:
@@ -127,37 +129,91 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(F.when(most == expected, 1.0).otherwise((F.col("s") - expected) / (most - expected)).alias("ari"))
 
 
-def ks_pairs(df: DataFrame, section: str, value: str, pairs: DataFrame) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic of pairs (a, b) of sections: (a, b, d, n_a, n_b)."""
-    own = df.groupBy(section, value).agg(F.count("*").alias("c"))
-    x = pairs.join(own.withColumnRenamed(section, "a"), "a").select("a", "b", value, F.col("c").alias("ca"), F.lit(0).cast("long").alias("cb"))
-    y = pairs.join(own.withColumnRenamed(section, "b"), "b").select("a", "b", value, F.lit(0).cast("long").alias("ca"), F.col("c").alias("cb"))
-    steps = x.union(y).groupBy("a", "b", value).agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
-    upto, w = W.partitionBy("a", "b").orderBy(value), W.partitionBy("a", "b")
-    gap = F.abs(F.sum("ca").over(upto) / F.sum("ca").over(w) - F.sum("cb").over(upto) / F.sum("cb").over(w))
-    return steps.withColumn("gap", gap).groupBy("a", "b").agg(F.max("gap").alias("d"), F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"))
+def ks_pairs(df: DataFrame, section: str, value: str, pairs: DataFrame, range_rows: int = 1 << 20) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic of pairs (a, b) of sections: (a, b, d, n_a, n_b).
+
+    Values are counted by section and value and dealt once to ranges of about ``range_rows``
+    such counts, however many pairs a section is in. A task has one range, the pairs with a
+    value in it and how many values of their sections are below it, and gives each pair's
+    widest gap there.
+
+    Nulls are left out; pairs with a section without values are absent; equal pairs count once.
+    """
+    own = written(df.where(F.col(value).isNotNull()).groupBy(F.col(section).alias("s"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")))
+    ranges = max(1, -(-own.count() // range_rows))
+    placed = written(own.repartitionByRange(ranges, "v").withColumn("part", F.spark_partition_id()))
+    inside = placed.groupBy("s", "part").agg(F.sum("c").alias("here"))
+    total = placed.groupBy("s").agg(F.sum("c").alias("n"))
+    each = total.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))).join(inside, ["s", "part"], "left")
+    below = W.partitionBy("s").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    each = written(each.withColumn("ahead", F.coalesce(F.sum("here").over(below), F.lit(0))))
+    side = lambda x: each.select(F.col("s").alias(x), "part", *[F.col(c).alias(f"{c}_{x}") for c in ("here", "ahead", "n")])
+    asked = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), ["b", "part"]).where("here_a is not null or here_b is not null")
+    asked = asked.select("a", "b", "part", "ahead_a", "ahead_b", "n_a", "n_b")
+
+    def run(x: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        none = (np.zeros(0), np.zeros(1, np.int64))
+        held = {s: (g["v"].to_numpy(), np.append(0, g["c"].to_numpy().cumsum())) for s, g in x.sort_values("v").groupby("s")}
+        far = []
+        for a, b, ahead_a, ahead_b, n_a, n_b in p[["a", "b", "ahead_a", "ahead_b", "n_a", "n_b"]].itertuples(index=False):
+            (va, ca), (vb, cb) = held.get(a, none), held.get(b, none)
+            at = np.concatenate([va, vb])
+            upto_a = (ahead_a + ca[va.searchsorted(at, "right")]) / n_a
+            upto_b = (ahead_b + cb[vb.searchsorted(at, "right")]) / n_b
+            far.append(np.abs(upto_a - upto_b).max())
+        return p[["a", "b", "n_a", "n_b"]].assign(d=np.array(far, float))
+
+    kinds = dict(pairs.dtypes)
+    widest = placed.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(run, f"a {kinds['a']}, b {kinds['b']}, n_a long, n_b long, d double")
+    return widest.groupBy("a", "b").agg(F.max("d").alias("d"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+
+
+#: Terms of the expansion and bins to a bandwidth in ``kde_overlap``.
+TERMS, FINE = 8, 8
 
 
 def kde_overlap(df: DataFrame, section: str, value: str, pairs: DataFrame, points: int = 1000) -> DataFrame:
-    """Overlap of the Gaussian densities (Scott's bandwidth) of two sections on a grid with a margin of 5 %, by trapezoids."""
-    one = df.groupBy(section).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"))
-    side = lambda x: one.select(F.col(section).alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sd", "low", "high")])
-    span = pairs.join(side("a"), "a").join(side("b"), "b")
+    """Overlap of the Gaussian densities (Scott's bandwidth h) of two sections on a grid with a margin of 5 %, by trapezoids.
+
+    A section's values become one fine histogram, with bins of h / 8 that hold the sums of the
+    first 8 powers of (value - middle) / h; pairs meet bins, not values. By the expansion of
+    the kernel in Hermite polynomials He_k around the middle of a bin, a value's kernel is off
+    by at most 1.09 / 16 ** 8 / sqrt(8!) < 2e-12 of its peak, and so an overlap by less than
+    1e-12 times the grid's length in bandwidths.
+
+    Nulls are left out; pairs with a section of one value or without spread are absent.
+    """
+    one = df.groupBy(section).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high")).where("sd > 0")
+    one = written(one.select(F.col(section).alias("__s"), F.col("n").cast("double").alias("n"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), (F.col("sd") * F.pow("n", F.lit(-0.2))).alias("h")))
+    own = df.select(F.col(section).alias("__s"), F.col(value).cast("double").alias("v")).where("v is not null").join(one, "__s")
+    own = own.withColumn("t", (F.col("v") - F.col("low")) / F.col("h")).withColumn("bin", F.floor(F.col("t") * FINE))
+    u = F.col("t") - (F.col("bin") + 0.5) / FINE
+    moments = [(F.sum(F.pow(u, F.lit(float(i)))) / math.factorial(i)).alias(f"m{i}") for i in range(TERMS)]
+    bins = written(own.groupBy("__s", "bin").agg(*moments))
+    side = lambda x: one.select(F.col("__s").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "low", "high", "h")])
+    span = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     low, high = F.least("low_a", "low_b"), F.greatest("high_a", "high_b")
-    span = span.withColumn("__lo", low - 0.05 * (high - low)).withColumn("__hi", high + 0.05 * (high - low))
-    # Each task adds up the densities of its own values on the whole grid, an array for each pair and side.
-    h = lambda x: F.col(f"sd_{x}") * F.pow(F.col(f"n_{x}"), F.lit(-0.2))
-    sides = [span.select("a", "b", F.col(x).alias("__s"), F.lit(x).alias("x"), "__lo", "__hi", h(x).alias("h"), F.col(f"n_{x}").cast("double").alias("n")) for x in "ab"]
-    rows = sides[0].union(sides[1]).join(df.select(F.col(section).alias("__s"), F.col(value).cast("double").alias("v")).where("v is not null"), "__s").select("a", "b", "x", "__lo", "__hi", "h", "n", "v")
+    span = written(span.withColumn("__lo", low - 0.05 * (high - low)).withColumn("__hi", high + 0.05 * (high - low)))
+    sides = [span.select("a", "b", F.lit(x).alias("x"), F.col(x).alias("__s"), "__lo", "__hi", *[F.col(f"{c}_{x}").alias(c) for c in ("n", "low", "h")]) for x in "ab"]
+    rows = sides[0].union(sides[1]).join(bins, "__s").drop("__s")
 
+    # Each task adds up the densities of its own bins on the whole grid, an array for each pair and side.
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
         for batch in batches:
             for key, g in batch.groupby(["a", "b", "x"]):
-                lo, hi, h, n = (float(g[c].iloc[0]) for c in ("__lo", "__hi", "h", "n"))
-                at, v = lo + (hi - lo) * np.arange(points) / (points - 1), g["v"].to_numpy()
-                own = sum(np.exp(-0.5 * ((at[:, None] - v[None, i : i + 256]) / h) ** 2).sum(axis=1) for i in range(0, len(v), 256)) / (h * np.sqrt(2 * np.pi) * n)
-                held[key] = held[key] + own if key in held else own
+                lo, hi, h, n, start = (float(g[c].iloc[0]) for c in ("__lo", "__hi", "h", "n", "low"))
+                at = (lo + (hi - lo) * np.arange(points) / (points - 1) - start) / h
+                middle, sums = (g["bin"].to_numpy() + 0.5) / FINE, g[[f"m{i}" for i in range(TERMS)]].to_numpy()
+                f = np.zeros(points)
+                for i in range(0, len(middle), 256):
+                    z, m = at[:, None] - middle[None, i : i + 256], sums[i : i + 256]
+                    before, he = np.zeros_like(z), np.exp(-0.5 * z * z)
+                    for order in range(TERMS):
+                        f += he @ m[:, order]
+                        before, he = he, z * he - order * before
+                f /= h * np.sqrt(2 * np.pi) * n
+                held[key] = held[key] + f if key in held else f
         yield pd.DataFrame({"a": [k[0] for k in held], "b": [k[1] for k in held], "x": [k[2] for k in held], "f": [f.tolist() for f in held.values()]})
 
     kinds = dict(pairs.dtypes)

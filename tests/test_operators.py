@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gridloom.functions import columns
 from gridloom.operators import agreement, expression_tests, linear, matching, profile, scores, spatial
 from gridloom.sources import files, tables
 
@@ -298,3 +299,76 @@ def test_permuted_morans_by_hand(spark):
             lag = {i: np.mean([own[j] for a, j in pairs if a == i]) for i in {a for a, _ in pairs}}
             want = n / len(lag) * sum(own[i] * v for i, v in lag.items()) / (own @ own)
             assert got["a", perm] == pytest.approx(want, abs=1e-12)
+
+
+def test_close_vectors_meet_few_cells(spark):
+    rng = np.random.default_rng(15)
+    mids = rng.normal(size=(20, 16))
+    x = mids[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 16)) * 0.05
+    x[5], x[7] = x[6], x[6]
+    df = spark.createDataFrame([("s" if i % 3 else "t", i, v.tolist()) for i, v in enumerate(x)], "sample_id string, spot_id int, vector array<double>")
+    u = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    out = matching.nearest_vectors(df.where("spot_id % 5 = 1"), df.where("spot_id % 5 <> 1"), 4, block=64).toPandas().sort_values(["src", "rank"])
+    found = {src: list(zip(g["dist"], g["dst"], strict=True)) for src, g in out.groupby("src")}
+    i, j = np.arange(3000)[np.arange(3000) % 5 == 1], np.arange(3000)[np.arange(3000) % 5 != 1]
+    gap = np.round(np.sqrt(np.maximum(0, 2 - 2 * u[i] @ u[j].T)), 9)
+    gap[(i % 3 == 0)[:, None] != (j % 3 == 0)[None]] = np.inf
+    for row, src in zip(gap, i, strict=True):
+        best = np.lexsort((j, row))[:4]
+        assert [d for _, d in found[src]] == j[best].tolist() and np.allclose([d for d, _ in found[src]], row[best], atol=1e-8)
+    own = matching.nearest_vectors(df, df, 1, block=64, same=True).where("src in (5, 6, 7)").collect()
+    assert {(r.src, r.dst) for r in own} >= {(5, 7), (7, 5)} and all(r.src != r.dst for r in own)
+    # Of all pairs of a row and a cell, few are left with the k-th distance as the limit.
+    rows = df.where("sample_id = 's'").select("sample_id", F.col("spot_id").alias("id"), columns.normalised(F.col("vector")).alias("v"))
+    celled, cells = matching.vector_cells(rows, "sample_id", block=64)
+    n = cells.count()
+    assert n > 15 and cells.agg(F.sum("n")).head()[0] == 2000
+    limit = out[out["rank"] == 4]["dist"].max()
+    more = matching.further_cells(celled.withColumn("tau", F.lit(float(limit))), cells, "sample_id").count()
+    assert more < 0.25 * 2000 * n
+
+
+def test_vectors_without_partners(spark):
+    kind = "sample_id string, spot_id int, vector array<double>"
+    df = spark.createDataFrame([("s", 1, [1.0, 0.0]), ("s", 2, None), (None, 3, [1.0, 0.0]), ("t", 4, [0.0, 1.0])], kind)
+    none = spark.createDataFrame([], kind)
+    assert matching.nearest_vectors(df, none, 3).count() == 0 and matching.nearest_vectors(none, df, 3).count() == 0
+    assert [(r.src, r.dst) for r in matching.nearest_vectors(df, df.where("sample_id = 's'"), 3).collect()] == [(1, 1)]
+
+
+def test_ks_over_ranges(spark):
+    rng = np.random.default_rng(16)
+    own = {s: rng.integers(0, 50, n).astype(float) + shift for s, n, shift in (("a", 400, 0), ("b", 300, 3), ("c", 5, 60), ("d", 200, 0))}
+    df = spark.createDataFrame([(s, float(v)) for s, values in own.items() for v in values] + [("a", None)], "s string, v double")
+    pairs = spark.createDataFrame([(a, b) for a in "abcde" for b in "abcde" if a < b], "a string, b string")
+    out = {(r.a, r.b): r for r in agreement.ks_pairs(df, "s", "v", pairs, range_rows=20).collect()}
+    assert set(out) == {(a, b) for a in "abcd" for b in "abcd" if a < b}
+    for (a, b), r in out.items():
+        far = max(abs((own[a] <= t).mean() - (own[b] <= t).mean()) for t in np.unique(np.concatenate([own[a], own[b]])))
+        assert r.d == pytest.approx(far, abs=1e-12) and (r.n_a, r.n_b) == (len(own[a]), len(own[b]))
+
+
+def test_ks_reads_values_once(spark):
+    """Values go through the shuffle by section and value, and by range; pairs meet counts of ranges alone."""
+    df = spark.createDataFrame([(s, float(i)) for s in "abcdefgh" for i in range(200)], "s string, v double")
+    pairs = spark.createDataFrame([(a, b) for a in "abcdefgh" for b in "abcdefgh" if a < b], "a string, b string")
+    out = agreement.ks_pairs(df, "s", "v", pairs, range_rows=100).collect()
+    assert len(out) == 28 and all(r.d == 0 and r.n_a == 200 for r in out)
+
+
+def test_density_overlap(spark):
+    rng = np.random.default_rng(17)
+    own = {"a": rng.normal(0, 1, 900), "b": rng.normal(1, 2, 500), "c": np.append(rng.exponential(1, 300), [40.0])}
+    df = spark.createDataFrame([(s, float(v)) for s, values in own.items() for v in values] + [("flat", 1.0), ("flat", 1.0), ("a", None)], "s string, v double")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("a", "flat")], "a string, b string")
+    out = {(r.a, r.b): r.overlap for r in agreement.kde_overlap(df, "s", "v", pairs).collect()}
+    assert set(out) == {("a", "b"), ("a", "c"), ("b", "c")}
+    for (a, b), found in out.items():
+        low, high = min(own[a].min(), own[b].min()), max(own[a].max(), own[b].max())
+        at = np.linspace(low - 0.05 * (high - low), high + 0.05 * (high - low), 1000)
+        f = []
+        for v in (own[a], own[b]):
+            h = v.std(ddof=1) * len(v) ** -0.2
+            f.append(np.exp(-0.5 * ((at[:, None] - v[None]) / h) ** 2).sum(axis=1) / (h * np.sqrt(2 * np.pi) * len(v)))
+        m = np.minimum(*f)
+        assert found == pytest.approx(((m[1:] + m[:-1]) / 2 * np.diff(at)).sum(), abs=1e-10)
