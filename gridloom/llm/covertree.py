@@ -54,21 +54,26 @@ class CoverTree:
         """(centre, its points) of children that cover all points within ``reach``, centres farther apart than that."""
         near = far <= reach
         out = [(centre, own[near])]
-        rest, far = own[~near], far[~near]
-        held, size = self.points[rest], squares[rest]
-        while len(rest):
-            pick = int(far.argmax())
-            square = size + size[pick] - 2 * (held @ held[pick])
-            near = square <= reach * reach
-            near[pick] = True
-            near &= far >= 0
-            out.append((int(rest[pick]), rest[near]))
-            far[near] = -1
-            if (left := int((far >= 0).sum())) <= 3 * len(rest) // 4:
-                stay = far >= 0
-                rest, far, held, size = rest[stay], far[stay], held[stay], size[stay]
-            elif not left:
-                break
+        rest = own[~near][np.argsort(-far[~near], kind="stable")]  # the farthest first
+        held, size, free = self.points[rest], squares[rest], np.ones(len(rest), bool)
+        some = 1
+        # Distances of some candidates at once, more of them as long as none is covered by another.
+        while free.any():
+            now = np.flatnonzero(free)[:some]
+            square = size[None] + size[now][:, None] - 2 * (held[now] @ held.T)
+            apart = True
+            for pick, row in zip(now, square, strict=True):
+                if not free[pick]:
+                    apart = False
+                    continue
+                near = free & (row <= reach * reach)
+                near[pick] = True
+                out.append((int(rest[pick]), rest[near]))
+                free[near] = False
+            some = min(2 * some, 64) if apart else 1
+            if free.sum() <= 3 * len(rest) // 4:
+                rest, held, size = rest[free], held[free], size[free]
+                free = np.ones(len(rest), bool)
         return out
 
     def children(self, nodes: np.ndarray) -> np.ndarray:

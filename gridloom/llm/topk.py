@@ -19,8 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import staged
 from .covertree import CoverTree
 
-#: Queries of a query leaf, and data leaves that are scored before bounds are looked at again.
-QUERY_LEAF, AT_ONCE = 8, 32
+#: Queries of a query leaf, and of a pack of leaves.
+QUERY_LEAF, PACK = 8, 32
 
 
 class Best:
@@ -62,51 +62,72 @@ def product_bounds(q: CoverTree, at: np.ndarray, x: CoverTree, to: np.ndarray) -
 def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, ids: np.ndarray, best: Best) -> int:
     """Walk both trees at once, the most promising pairs of nodes first; how many pairs of points were scored.
 
-    A query node is split before a data node unless it is less than half as wide. Below a query
-    leaf each query has a bound of its own for every child of a data node, by the child's
-    covering radius and the query's norm, against its own k-th score.
+    A query node is split before a data node unless it is less than half as wide; its leaves go on
+    in packs. In a pack each query has a bound of its own for every child of a data node, by
+    the child's covering radius and the query's norm, and goes on only to children that reach
+    its own k-th score. The product with the centre of a child of one point is that point's
+    score, and is taken as such.
     """
     scored = 0
     if not len(query_ids) or not len(ids):
         return scored
     norms = np.sqrt(np.einsum("ij,ij->i", queries.points, queries.points))
+    alone = data.end - data.first == 1
     root = np.zeros(1, np.int64)
-    stack = [(0, 0, np.inf)]
+    everyone = queries.members(root)
+    # A query node or, from its leaves on, rows of queries; a data node; the bound or the rows' bounds.
+    stack: list[tuple] = [(0, everyone, 0, np.full(len(everyone), np.inf))]
     while stack:
-        a, b, bound = stack.pop()
-        rows = queries.members(np.array([a]))
-        if bound < best.worst(rows):
+        a, rows, b, bound = stack.pop()
+        open_ = bound >= best.scores[rows, -1]
+        if not open_.any():
             continue
-        if queries.kid_count[a] and (2 * queries.radius[a] >= data.radius[b] or not data.kid_count[b]):
-            kids = queries.children(root + a)
-            bounds = product_bounds(queries, kids, data, root + b)[:, 0]
-            stack += [(int(kids[i]), b, float(bounds[i])) for i in np.argsort(bounds, kind="stable")]
+        if a is not None and queries.kid_count[a]:
+            if 2 * queries.radius[a] >= data.radius[b] or not data.kid_count[b]:
+                kids = queries.children(root + a)
+                bounds = product_bounds(queries, kids, data, root + b)[:, 0]
+                size, leaf = queries.end[kids] - queries.first[kids], queries.kid_count[kids] == 0
+                parts = [kids[x : x + 1] for x in np.flatnonzero(~leaf)]
+                parts += [p for p in np.array_split(kids[leaf], max(1, -(-int(size[leaf].sum()) // PACK))) if len(p)]
+                fresh = [(int(p[0]) if queries.kid_count[p[0]] else None, queries.members(p), b, np.repeat(bounds[p - kids[0]], size[p - kids[0]])) for p in parts]
+            else:
+                kids = data.children(root + b)
+                bounds = product_bounds(queries, root + a, data, kids)[0]
+                fresh = [(a, rows, int(kid), np.full(len(rows), x)) for kid, x in zip(kids, bounds, strict=True) if x >= best.worst(rows)]
+            stack += sorted(fresh, key=lambda f: f[3].max())
             continue
+        rows = rows[open_]
         kids = data.children(root + b) if data.kid_count[b] else root + b
-        if queries.kid_count[a]:
-            bounds = product_bounds(queries, root + a, data, kids)[0]
-            worst = best.worst(rows)
-            stack += [(a, int(kids[i]), float(bounds[i])) for i in np.argsort(bounds, kind="stable") if bounds[i] >= worst]
-            continue
         side = slice(int(kids[0]), int(kids[-1]) + 1)  # children stand next to each other: no copy
-        high = queries.points[rows] @ data.centres[side].T + norms[rows][:, None] * data.radius[side][None]
+        dots = queries.points[rows] @ data.centres[side].T
+        single = np.flatnonzero(alone[side])
+        if len(single):
+            single = single[np.argsort(ids[data.centre[kids[single]]], kind="stable")]
+            own = ids[data.centre[kids[single]]]
+            scores = dots[:, single]
+            scored += scores.size
+            scores[query_ids[rows][:, None] == own[None, :]] = -np.inf
+            best.add(rows, scores, own)
+        more = np.flatnonzero(~alone[side])
+        if not len(more):
+            continue
+        high = dots[:, more] + norms[rows][:, None] * data.radius[side][more][None]
         high += 1e-9 * (1 + np.abs(high))
-        top = high.max(axis=0)
-        leaf = data.kid_count[kids] == 0
+        leaf = data.kid_count[kids[more]] == 0
         last = np.flatnonzero(leaf)
-        last = last[np.argsort(-top[last], kind="stable")]
-        for i in range(0, len(last), AT_ONCE):
-            part = last[i : i + AT_ONCE]
-            part = part[(high[:, part] >= best.scores[rows, -1][:, None]).any(axis=0)]
-            if len(part):
-                cols = data.members(kids[part])
+        for at in last[np.argsort(-high[:, last].max(axis=0), kind="stable")] if len(last) else last:
+            need = np.flatnonzero(high[:, at] >= best.scores[rows, -1])
+            if len(need):
+                some, cols = rows[need], data.members(kids[more[at : at + 1]])
                 cols = cols[np.argsort(ids[cols], kind="stable")]
-                scores = queries.points[rows] @ data.points[cols].T
+                scores = queries.points[some] @ data.points[cols].T
                 scored += scores.size
-                scores[query_ids[rows][:, None] == ids[cols][None, :]] = -np.inf
-                best.add(rows, scores, ids[cols])
-        more = np.flatnonzero(~leaf & (high >= best.scores[rows, -1][:, None]).any(axis=0))
-        stack += [(a, int(kids[i]), float(top[i])) for i in more[np.argsort(top[more], kind="stable")]]
+                scores[query_ids[some][:, None] == ids[cols][None, :]] = -np.inf
+                best.add(some, scores, ids[cols])
+        may = high >= best.scores[rows, -1][:, None]
+        inner = np.flatnonzero(~leaf & may.any(axis=0))
+        inner = inner[np.argsort(high[:, inner].max(axis=0), kind="stable")] if len(inner) else inner
+        stack += [(None, rows[may[:, i]], int(kids[more[i]]), high[may[:, i], i]) for i in inner]
     return scored
 
 
