@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 BLANK = r"[\x20\x09-\x0D]+"
-#: Each such run of a word is a candidate.
-CORE = r"[A-Za-z0-9][A-Za-z0-9+/=_.@:\-]{11,}"
+#: Characters of the shortest candidate, where the caller says nothing else.
+LEAST = 12
 # Names that stand before secrets, and marks between name and value.
 NAMES = ["api", "apikey", "auth", "bearer", "credential", "key", "passwd", "password", "private", "pwd", "secret", "token"]
 MARKS = ["=", ":", ":=", "=>", "==", "is"]
@@ -44,8 +44,18 @@ def _bare(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"[^A-Za-z0-9]", ""))
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
+def core(least: int) -> str:
+    """Each such run of a word, of ``least`` characters or more, is a candidate."""
+    return rf"[A-Za-z0-9][A-Za-z0-9+/=_.@:\-]{{{least - 1},}}"
+
+
+#: The pattern at that length.
+CORE = core(LEAST)
+
+
+def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None, least: int = LEAST) -> DataFrame:
     """Candidates with their place (number of the word) and part (number of the run in it), neighbours and path."""
+    run = core(least)
     words = F.split(F.coalesce(F.col(text_col), F.lit("")), BLANK)
     before = lambda n: F.concat(F.array(*[F.lit("")] * n), words)
     zipped = F.arrays_zip(
@@ -55,11 +65,11 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
         F.slice(words, F.lit(2), F.size(words)).alias("after"),
         F.sequence(F.lit(0), F.size(words)).alias("place"),
     )
-    likely = F.filter(zipped, lambda x: (F.length(x["word"]) >= 12) & x["word"].rlike(CORE))
+    likely = F.filter(zipped, lambda x: (F.length(x["word"]) >= least) & x["word"].rlike(run))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.explode(likely).alias("x"))
     # The runs of a word, and what stands in front of each and behind the last.
-    rows = rows.select("doc_id", "path", "x.*", F.regexp_extract_all("x.word", F.lit(CORE), F.lit(0)).alias("runs"), F.split("x.word", CORE, -1).alias("gaps"))
+    rows = rows.select("doc_id", "path", "x.*", F.regexp_extract_all("x.word", F.lit(run), F.lit(0)).alias("runs"), F.split("x.word", run, -1).alias("gaps"))
     ahead = lambda n: F.concat(F.array(*[F.lit("")] * n), F.col("runs"))
     parts = F.arrays_zip(F.col("runs").alias("value"), F.col("gaps").alias("gap"), F.slice("gaps", F.lit(2), F.size("gaps")).alias("behind"), ahead(1).alias("run"), ahead(2).alias("run2"))
     rows = rows.select("doc_id", "path", "place", "before", "before2", "after", F.posexplode(parts).alias("part", "y")).where("y.value is not null")
@@ -74,7 +84,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
 
 def dictionary(docs: DataFrame, text_col: str, share: float) -> DataFrame:
     """Letter runs of at least three letters that occur in ``share`` of all documents, and in two at least."""
-    runs = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[a-z]{3,20}"), F.lit(0)))).alias("run"))
+    runs = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[a-z]{3,}"), F.lit(0)))).alias("run"))
     least = max(2, math.ceil(share * docs.count()))
     return runs.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("run")
 
@@ -82,7 +92,7 @@ def dictionary(docs: DataFrame, text_col: str, share: float) -> DataFrame:
 def described(found: DataFrame, known: DataFrame) -> DataFrame:
     """The candidates with the forest's features; those of the value alone are worked out once for each value."""
     values = found.select("value").distinct()
-    runs = values.select("value", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(r"[a-z]{3,20}"), F.lit(0)))).alias("run"))
+    runs = values.select("value", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(r"[a-z]{3,}"), F.lit(0)))).alias("run"))
     cover = runs.join(staged(known, "dictionary"), "run").groupBy("value").agg(F.sum(F.length("run")).alias("known"))
     v, n = F.col("value"), F.length("value").cast("double")
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
@@ -141,6 +151,7 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
     path_col: str | None = "source",
+    least: int = LEAST,
     sample: int = 20000,
     dictionary_share: float = 0.001,
     threshold: float = 0.5,
@@ -153,16 +164,19 @@ def scan(
     front, null where unknown) and ``label`` 1.0 or 0.0; without it labels come from
     ``rule_labels``, and the forest does without ``RULE_FEATURES``. The forest is trained on
     about ``sample`` labelled findings, by hash, counted apart for each label, and on as many
-    without a digit. The dictionary counts documents, all of them: a run of letters is a
-    word if ``dictionary_share`` of them hold it.
+    without a digit, in an order and in partitions that their features decide, so reruns
+    agree on any cluster. A finding that stands in several places is trained on once, with the
+    smallest of its features in their order. The dictionary counts documents, all of them: a run of letters is a
+    word if ``dictionary_share`` of them hold it. Runs of fewer than ``least`` characters are no candidates.
 
     * A null or empty text has no candidates; texts of any length are scanned as a whole. A
       null id stays null; repeated rows are scanned one by one. A null path is an empty path.
       Other columns are left out, so their names cannot clash.
+    * An empty table gives no rows. A probability equal to ``threshold`` is a secret.
     * Where labels of one kind only are known, that kind is the verdict; without any
       labels, no candidate is a secret.
     """
-    found = staged(candidates(docs, id_col, text_col, path_col), "candidates")
+    found = staged(candidates(docs, id_col, text_col, path_col, least), "candidates")
     full = staged(described(found, dictionary(docs, text_col, dictionary_share)), "described")
     said = (rule_labels(found) if labelled is None else labelled.select("value", "before", "before2", F.col("label").cast("double"))).distinct()
     said = said.groupBy("value", "before", "before2").agg(F.max("label").alias("label"))
@@ -175,16 +189,19 @@ def scan(
         return full.select(*out, sure.alias("probability"), (sure >= threshold).alias("is_secret"))
     where = F.xxhash64(F.lit(seed), "value", "before", "before2") / F.lit(2.0**64) + 0.5
     few = reduce(lambda a, b: a | b, [(F.col("label") == k) & (digit == d) & (where < min(1.0, sample / 2 / n)) for (k, d), n in cells.items()])
-    # One described candidate for each labelled finding: equal neighbours give equal features.
-    one = full.groupBy("value", "before", "before2").agg(*[F.first(f).alias(f) for f in FEATURES])
-    known = one.alias("o").join(said.where(few).alias("s"), (F.col("o.value") == F.col("s.value")) & F.col("o.before").eqNullSafe(F.coalesce("s.before", "o.before")) & F.col("o.before2").eqNullSafe(F.coalesce("s.before2", "o.before2")))
-    training = staged(known.select("s.label", *[F.col(f"o.{f}") for f in FEATURES]), "training")
+    # The chosen findings first, a bounded number, so that few candidates are grouped.
+    chosen = staged(said.where(few), "chosen")
+    same = (F.col("o.value") == F.col("s.value")) & F.col("o.before").eqNullSafe(F.coalesce("s.before", "o.before")) & F.col("o.before2").eqNullSafe(F.coalesce("s.before2", "o.before2"))
+    known = full.alias("o").join(chosen.alias("s"), same).select("o.value", "o.before", "o.before2", "s.label", F.struct(*[F.col(f"o.{f}") for f in FEATURES]).alias("f"))
+    training = staged(known.groupBy("value", "before", "before2", "label").agg(F.min("f").alias("f")).select("label", "f.*"), "training")
     if training.select("label").distinct().count() < 2:
         sure = F.lit(float(max(kinds, key=kinds.get)))
         return full.select(*out, sure.alias("probability"), (sure >= threshold).alias("is_secret"))
     used = [f for f in FEATURES if labelled is not None or f not in RULE_FEATURES]
+    # The forest draws by partition and place.
+    ordered = training.repartition(8, *FEATURES).sortWithinPartitions("label", *FEATURES)
     assemble = VectorAssembler(inputCols=used, outputCol="features")
-    forest = RandomForestClassifier(numTrees=30, maxDepth=6, seed=seed, featureSubsetStrategy="sqrt").fit(assemble.transform(training))
+    forest = RandomForestClassifier(numTrees=30, maxDepth=6, seed=seed, featureSubsetStrategy="sqrt").fit(assemble.transform(ordered))
     rated = forest.transform(assemble.transform(full)).withColumn("probability", vector_to_array("probability")[1])
     return rated.select(*out, "probability", (F.col("probability") >= threshold).alias("is_secret"))
 

@@ -197,3 +197,21 @@ def test_hard_negatives(spark, rows, block):
     assert len(want) > 100
     if block != 16:
         assert negatives.hard_negatives(df.limit(0)).count() == 0
+
+
+def test_secret_scan_is_repeatable(spark):
+    """Probabilities are equal to the last digit whatever the partitions of the input are, and ``least`` bounds candidates."""
+    from gridloom.llm import secret_scan
+
+    rng = np.random.default_rng(21)
+    signs = list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789")
+    rows = []
+    for i in range(120):
+        key = "".join(rng.choice(signs, 20))
+        rows += [(2 * i, f'api_key = {key} after {"x" * (i % 7)}', "a/b"), (2 * i + 1, f"call 2024-01-{i % 28 + 1:02d}-{i:05d} or {key} by test/path{i % 9}/example.txt", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, other = (sorted(map(tuple, secret_scan.scan(frame.repartition(n)).collect())) for n in (2, 7))
+    assert first == other and len({r[4] for r in first}) > 2
+    short = spark.createDataFrame([(1, "key: abcd1234", None)], "doc_id long, text string, source string")
+    assert secret_scan.candidates(short, "doc_id", "text", "source").count() == 0
+    assert [r.value for r in secret_scan.candidates(short, "doc_id", "text", "source", least=8).collect()] == ["abcd1234"]
