@@ -2,7 +2,8 @@
 
 One scan sums outer products for each fold unit. The sums of a training set are those of
 all units less the held-out one, so that no fold reads the rows again. The sums are d x d
-numbers for each unit and are bounded by the width of the vectors, not by the rows.
+numbers for each unit (``moments``) and are bounded by the width of the vectors, not by the
+rows; models are fitted in tasks, one for each unit.
 """
 
 from __future__ import annotations
@@ -18,58 +19,29 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.stats import incomplete_beta
 
+from .moments import Sums, moments
 
-@dataclass
-class Sums:
-    """n, sums and products of [x, y] columns."""
-
-    n: float
-    s: np.ndarray
-    p: np.ndarray
-
-    def __add__(self, o: Sums) -> Sums:
-        return Sums(self.n + o.n, self.s + o.s, self.p + o.p)
-
-    def __sub__(self, o: Sums) -> Sums:
-        return Sums(self.n - o.n, self.s - o.s, self.p - o.p)
 
-    def centred(self) -> np.ndarray:
-        return self.p - np.outer(self.s, self.s) / self.n
-
-
-def unit_sums(df: DataFrame, vector: str, unit: str) -> dict:
-    """Sums of a vector column for each unit: one partial sum for each task and unit, added by Spark, then one row for each unit."""
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
-        for b in batches:
-            for u, g in b.groupby("u"):
-                x = np.stack([np.asarray(v, float) for v in g["v"]])
-                own = Sums(len(x), x.sum(axis=0), x.T @ x)
-                held[u] = held[u] + own if u in held else own
-        yield pd.DataFrame([(u, [s.n, *s.s, *s.p.ravel()]) for u, s in held.items()], columns=["u", "t"])
-
-    rows = df.select(F.col(unit).cast("string").alias("u"), F.col(vector).alias("v")).where(F.col("v").isNotNull()).mapInPandas(part, "u string, t array<double>")
-    added = rows.select("u", F.posexplode("t")).groupBy("u", "pos").agg(F.sum("col").alias("t")).groupBy("u").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("t"))
-    out = {}
-    for r in added.select("u", F.transform("t", lambda x: x["t"]).alias("t")).collect():
-        t = np.array(r["t"])
-        d = round((-1 + math.sqrt(1 + 4 * (len(t) - 1))) / 2)
-        out[r["u"]] = Sums(t[0], t[1 : d + 1], t[d + 1 :].reshape(d, d))
-    return out
+def unit_sums(df: DataFrame, vector: str, unit: str) -> dict[str, Sums]:
+    """Sums of a narrow vector column for each of few units."""
+    return moments(df, vector, unit).collected()
 
 
 @dataclass
 class Ridge:
-    """Scaling by population deviations, principal components, and coefficients without an intercept."""
+    """Coefficients of x as it is, and what is added: scaling and components are folded in."""
 
-    mean: np.ndarray
-    sd: np.ndarray
-    axes: np.ndarray
     beta: np.ndarray
+    start: np.ndarray
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.sd @ self.axes @ self.beta
+        return x @ self.beta + self.start
+
+    def error(self, s: Sums) -> float:
+        """Sum of squared errors over the rows behind sums of [x, y]."""
+        d, b, c = len(self.beta), self.beta, self.start
+        yy, xy, xx, sy, sx = np.diag(s.p)[d:], s.p[:d, d:], s.p[:d, :d], s.s[d:], s.s[:d]
+        return float(yy.sum() - 2 * (xy * b).sum() - 2 * c @ sy + ((xx @ b) * b).sum() + 2 * (sx @ b) @ c + s.n * c @ c)
 
 
 def principal_axes(c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,35 +51,57 @@ def principal_axes(c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])]), w
 
 
-def ridge(sums: Sums, d: int, components: int | None = None, alpha: float | None = None, intercept: bool = False) -> Ridge:
-    """Fit y (columns from d on) on x (the first d); alpha is 100 / (components * outputs) unless given."""
+def ridges(sums: Sums, d: int, alphas: Sequence[float | None], components: int | None = None, intercept: bool = False) -> list[Ridge]:
+    """Fit y (columns from d on) on x (the first d) for each alpha, from one decomposition.
+
+    x is scaled by population deviations; an alpha of None is 100 / (components * outputs).
+    """
     mean, c = sums.s / sums.n, sums.centred()
-    sd = np.sqrt(np.diag(c)[:d] / sums.n)
+    sd = np.sqrt(np.maximum(np.diag(c)[:d], 0) / sums.n)
     sd = np.where(sd > 0, sd, 1.0)
     cx = c[:d, :d] / np.outer(sd, sd)
-    k = min(components or d, d)
-    axes, _ = principal_axes(cx / sums.n, k) if components else (np.eye(d), None)
-    gram, outputs = axes.T @ cx @ axes, sums.p.shape[0] - d
+    k, outputs = min(components or d, d), sums.p.shape[0] - d
+    axes, w = principal_axes(cx, k)
     # Scaled x is centred, so its products with y are those with centred y.
     xy = axes.T @ (c[:d, d:] / sd[:, None])
-    a = 100.0 / (k * outputs) if alpha is None else alpha
-    return Ridge(mean[:d], sd, axes, np.linalg.solve(gram + a * np.eye(k), xy))
+    out = []
+    for a in alphas:
+        a = 100.0 / (k * outputs) if a is None else a
+        beta = axes @ (xy / (np.maximum(w, 0) + a)[:, None]) / sd[:, None]
+        out.append(Ridge(beta, (mean[d:] if intercept else 0.0) - mean[:d] @ beta))
+    return out
+
+
+def width(df: DataFrame, vector: str) -> int | None:
+    """The length of the first vector that is not empty."""
+    head = df.select(F.size(vector).alias("d")).where("d > 0").head()
+    return head["d"] if head else None
 
 
 def leave_out(df: DataFrame, x: str, y: str, unit: str, keys: Sequence[str], components: int | None = None, alpha: float | None = None) -> DataFrame:
-    """Predictions of every row by the model of all other units: (keys, unit, y, yhat, residual), arrays over outputs."""
-    both = df.withColumn("__v", F.concat(F.col(x), F.col(y)))
-    sums = unit_sums(both, "__v", unit)
-    head = df.select(F.size(x).alias("d")).where("d > 0").head()
-    if head is None or len(sums) < 2:
+    """Predictions of every row by the model of all other units: (keys, unit, y, yhat, residual), arrays over outputs.
+
+    Models are fitted in tasks; x times outputs numbers for each unit are broadcast to the
+    rows. A null x, y or unit leaves the row out. Less than two units give no rows.
+    """
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(unit).isNotNull())
+    own = moments(df.withColumn("__v", F.concat(F.col(x), F.col(y))), "__v", unit)
+    d, total = width(df, x), own.total()
+
+    def fit(u: str, s: Sums) -> list[tuple]:
+        m = ridges(total - s, d, [alpha], components)[0]
+        return [(u, m.beta.tobytes(), m.start.tobytes())]
+
+    models = {r["u"]: (r["beta"], r["start"]) for r in own.by_unit(fit, "u string, beta binary, start binary").collect()} if total and own.table.select("u").distinct().count() > 1 else {}
+    if not models:
         return df.select(*keys, unit, y, F.col(y).alias("yhat"), F.col(y).alias("residual")).limit(0)
-    d, total = head["d"], sum(list(sums.values())[1:], next(iter(sums.values())))
-    models = {u: ridge(total - s, d, components, alpha) for u, s in sums.items()}
+    shared = df.sparkSession.sparkContext.broadcast(models)  # units x width x outputs numbers
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for u, g in b.groupby(unit):
-                yhat = models[str(u)].predict(np.stack([np.asarray(v, float) for v in g[x]]))
+                beta, start = (np.frombuffer(t) for t in shared.value[str(u)])
+                yhat = np.stack([np.asarray(v, float) for v in g[x]]) @ beta.reshape(d, -1) + start
                 own = np.stack([np.asarray(v, float) for v in g[y]])
                 yield g[[*keys, unit]].assign(y=list(own), yhat=list(yhat), residual=list(own - yhat))
 
@@ -116,23 +110,26 @@ def leave_out(df: DataFrame, x: str, y: str, unit: str, keys: Sequence[str], com
     return df.select(*keys, unit, x, y).mapInPandas(score, f"{fields}, y array<double>, yhat array<double>, residual array<double>")
 
 
-def ridge_grid(df: DataFrame, x: str, y: str, fold: str, alphas: Sequence[float]) -> dict[float, float]:
-    """Mean squared error of each alpha over folds, from the folds' sums alone."""
-    sums = unit_sums(df.withColumn("__v", F.concat(F.col(x), F.col(y))), "__v", fold)
-    d = df.select(F.size(x).alias("d")).head()["d"]
-    total, out = sum(list(sums.values())[1:], next(iter(sums.values()))), {}
-    for a in alphas:
-        error = n = 0.0
-        for s in sums.values():
-            m = ridge(total - s, d, None, a)
-            b = m.beta / m.sd[:, None]
-            c = -m.mean @ b
-            # Sum of squares of y - c - x b from the fold's products.
-            yy, xy, xx, sy, sx = s.p[d:, d:], s.p[:d, d:], s.p[:d, :d], s.s[d:], s.s[:d]
-            error += np.trace(yy) - 2 * (xy * b).sum() - 2 * c @ sy + np.trace(b.T @ xx @ b) + 2 * (sx @ b) @ c + s.n * c @ c
-            n += s.n * len(c)
-        out[a] = error / n
-    return out
+#: Twenty alphas from 0.001 to 1000, evenly spaced on a log scale.
+ALPHAS = tuple(10.0 ** (-3 + 6 * i / 19) for i in range(20))
+
+
+def ridge_grid(df: DataFrame, x: str, y: str, fold: str, alphas: Sequence[float] = ALPHAS, components: int | None = None, intercept: bool = False) -> dict[float, float]:
+    """Mean squared error of each alpha over folds, from the folds' sums alone; a task takes a fold and decomposes once for all alphas.
+
+    A null x, y or fold leaves the row out. Less than two folds give no errors.
+    """
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(fold).isNotNull())
+    own = moments(df.withColumn("__v", F.concat(F.col(x), F.col(y))), "__v", fold)
+    d, total = width(df, x), own.total()
+
+    def errors(u: str, s: Sums) -> list[tuple]:
+        if s.n == total.n:
+            return []
+        return [(u, k, m.error(s), s.n * len(m.start)) for k, m in enumerate(ridges(total - s, d, alphas, components, intercept))]
+
+    rows = sorted(own.by_unit(errors, "u string, k int, error double, n double").collect()) if total else []
+    return {a: math.fsum(r["error"] for r in rows if r["k"] == k) / math.fsum(r["n"] for r in rows if r["k"] == k) for k, a in enumerate(alphas)} if rows else {}
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str]) -> pd.DataFrame:
@@ -239,13 +236,3 @@ def silhouette(df: DataFrame, vector: str, label: str, item: str) -> DataFrame:
     own = means.groupBy("ia").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("m"))).alias("a"), F.min(F.when(F.col("la") != F.col("lb"), F.col("m"))).alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return own.agg(F.avg(s).alias("silhouette"))
-
-
-def gene_trees(df: DataFrame, x: Sequence[str], y: str, rounds: int = 20, depth: int = 3, seed: int = 1) -> DataFrame:
-    """Gradient-boosted trees for one output, by Spark's own learner; adds ``yhat``."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    both = VectorAssembler(inputCols=list(x), outputCol="__x").transform(df)
-    model = GBTRegressor(featuresCol="__x", labelCol=y, predictionCol="yhat", maxIter=rounds, maxDepth=depth, seed=seed).fit(both)
-    return model.transform(both).drop("__x")

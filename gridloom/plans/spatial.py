@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import stats
 from gridloom.functions.stats import student_p_sql
 from gridloom.operators import agreement as A
-from gridloom.operators import linear, profile
+from gridloom.operators import linear, profile, trees
 from gridloom.operators import spatial as S
 from gridloom.plans import views as V
 from gridloom.plans.differential import mwu_sql
@@ -285,18 +285,24 @@ def r6_leave_one_out_ridge(spark: SparkSession, d: str) -> DataFrame:
     return out.select("spot_id", r6(F.col("yhat")[0], "yhat"), r6(F.col("residual")[0], "residual"))
 
 
+def spot_models(spark: SparkSession, d: str) -> DataFrame:
+    """Spots with their whole vector (``px``), all genes of the panel (``py``) and labels modulo five as patients (``fold``)."""
+    genes = V.cells(spark, d).groupBy("spot_id").agg(F.array_sort(F.collect_list(F.struct("gene", "y"))).alias("g"))
+    own = V.points(spark, d).select("spot_id", (F.col("label") % 5).cast("string").alias("fold"), F.col("vector").alias("px"))
+    return own.join(genes, "spot_id").select("spot_id", "fold", "px", F.transform("g", lambda x: x["y"]).alias("py"))
+
+
 @query()
 def r3_multi_output_ridge(spark: SparkSession, d: str) -> DataFrame:
-    """Sixteen predictors, eight components, two outputs; labels modulo five as patients."""
-    own = V.points(spark, d).withColumn("fold", (F.col("label") % 5).cast("string")).withColumn("px", F.slice("vector", 1, 16)).withColumn("py", F.slice("vector", 17, 2))
-    out = linear.leave_out(own, "px", "py", "fold", ["spot_id"], components=8)
-    return out.select("spot_id", "fold", *[F.col(c)[i].alias(f"{c}_{i}") for c in ("yhat", "residual") for i in (0, 1)])
+    """All genes on the first 32 principal components of the whole vector, a patient left out at a time."""
+    out = linear.leave_out(spot_models(spark, d), "px", "py", "fold", ["spot_id"], components=32)
+    return out.select("spot_id", "fold", "yhat", "residual")
 
 
 @query()
 def r4_ridge_grid(spark: SparkSession, d: str) -> DataFrame:
-    own = V.points(spark, d).withColumn("fold", (F.col("label") % 5).cast("string")).withColumn("px", F.slice("vector", 1, 16)).withColumn("py", F.slice("vector", 17, 2))
-    errors = linear.ridge_grid(own, "px", "py", "fold", [10.0 ** (i / 2) for i in range(-6, 9)])
+    """The error of twenty alphas over five folds, all components and genes, with an intercept."""
+    errors = linear.ridge_grid(spot_models(spark, d), "px", "py", "fold", intercept=True)
     return spark.createDataFrame([(float(a), float(e)) for a, e in errors.items()], "alpha double, mse double")
 
 
@@ -336,20 +342,26 @@ def r10_fold_predictions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", "fold", "actual", F.round("predicted", 4).alias("predicted"))
 
 
+def section_means(spark: SparkSession, d: str) -> DataFrame:
+    """Sections with the mean of every gene (``v``)."""
+    own = V.cells(spark, d).groupBy("patient", "sample_id", "gene").agg(F.round(F.avg("y"), 9).alias("m"))
+    wide = own.groupBy("patient", "sample_id").agg(F.array_sort(F.collect_list(F.struct("gene", "m"))).alias("g"))
+    return wide.select("patient", "sample_id", F.transform("g", lambda x: x["m"]).alias("v"))
+
+
 @query()
 def r12_components(spark: SparkSession, d: str) -> DataFrame:
-    pc, shares = linear.components(V.points(spark, d), "vector", ["spot_id", "label"], 5)
-    return pc.select("spot_id", *[F.col("pc")[i].alias(f"pc{i + 1}") for i in range(5)], F.lit(float(sum(shares))).alias("explained"))
+    """Five principal components of the sections' mean expression."""
+    pc, shares = linear.components(section_means(spark, d), "v", ["sample_id", "patient"], 5)
+    return pc.select("sample_id", "patient", *[F.col("pc")[i].alias(f"pc{i + 1}") for i in range(5)], F.lit(float(sum(shares))).alias("explained"))
 
 
 @query(with_views("predictions") + ", pb AS (SELECT patient, sample_id, list(m ORDER BY gene) AS v FROM (SELECT patient, sample_id, gene, round(avg(y), 9) AS m FROM cells GROUP BY ALL) GROUP BY ALL), pr AS (SELECT a.sample_id AS i, a.patient AS la, b.patient AS lb, avg(list_distance(a.v, b.v)) AS m FROM pb a JOIN pb b ON a.sample_id <> b.sample_id GROUP BY ALL), s AS (SELECT i, max(m) FILTER (la = lb) AS a, min(m) FILTER (la <> lb) AS b FROM pr GROUP BY ALL) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s")
 def r13_silhouette(spark: SparkSession, d: str) -> DataFrame:
-    own = V.cells(spark, d).groupBy("patient", "sample_id", "gene").agg(F.round(F.avg("y"), 9).alias("m"))
-    wide = own.groupBy("patient", "sample_id").agg(F.array_sort(F.collect_list(F.struct("gene", "m"))).alias("g")).withColumn("v", F.transform("g", lambda x: x["m"]))
-    return linear.silhouette(wide, "v", "patient", "sample_id").select(r6("silhouette"))
+    return linear.silhouette(section_means(spark, d), "v", "patient", "sample_id").select(r6("silhouette"))
 
 
 @query()
 def r5_boosted_trees(spark: SparkSession, d: str) -> DataFrame:
-    own = V.points(spark, d).select("spot_id", "x", "y", "z", "w")
-    return linear.gene_trees(own, ["x", "y", "z"], "w", rounds=100).select("spot_id", "w", "yhat")
+    """Held-out predictions of every gene by boosted trees on the whole vector, a patient left out at a time."""
+    return trees.boosted(spot_models(spark, d), "px", "py", "fold", ["spot_id"], trees.Boosting(rounds=10))
