@@ -1,11 +1,13 @@
 """Approximate nearest neighbours with score-aware anisotropic quantisation.
 
-Rows are dealt to cells by their nearest centre, and a query searches as many of its nearest
-cells as a trial with all cells asks for. The nearest row has the largest <q, x> - |x|^2 / 2.
+Rows are dealt to cells by their nearest centre. A query searches as many of its nearest cells
+and ranks as many rows of a block exactly as a trial with other queries asks for. The nearest row has the largest <q, x> - |x|^2 / 2.
 Half the squared norm is kept exactly and the inner product is approximated: x is cut into pairs of components, each coded by
 one of 16 codewords, and both codes and codewords minimise a loss in which the residual
 parallel to x weighs more than the rest. A query scans the codes with tables of 16 sums
-for each pair, two codes a byte; the best are ranked by exact distance. Each row also
+for each pair, two codes a byte; the best are ranked by exact distance.
+
+The trial, and a search that may lose nothing, go on from there. Each row also
 keeps how far it is from what its code stands for. By the triangle inequality no row is nearer
 than its code less that gap, so every row whose bound does not exceed the k-th exact distance
 is ranked exactly too, and none that is nearer is lost.
@@ -160,16 +162,18 @@ def nearest(
     """For each row whose id is divisible by ``every``, the k nearest other rows, by Euclidean distance.
 
     Returns ``query_id``, ``rank`` from 1, ``vec_id``, ``score`` (the distance between the
-    original vectors in double precision). All rows are indexed: each belongs to the cell of
+    original vectors in double precision), ``ranked`` (how many rows the query's last search ranked exactly). All rows are indexed: each belongs to the cell of
     its nearest centre and has its codes. Centres, one for ``cell_rows`` rows and at most
     ``most_cells``, and codewords are fitted on a bounded sample by a seeded hash (``sample``
     rows, or 16 for each centre).
 
-    About ``trial`` queries, by hash, search all cells, which is the exact way. Their results
-    show how many of the nearest cells hold ``recall`` of the neighbours; the other queries
-    search as many. With ``recall`` 1 every query searches all cells. In each block of a
-    cell, a query's ``candidates`` best rows by the code tables are ranked exactly, and then
-    all rows that can be as near as the k-th of them.
+    About ``trial`` rows, by hash, are searched for in all cells in the exact way: the
+    ``candidates`` best rows of a block by the code tables are ranked, and then all that can
+    be as near as the k-th of them. They are not among the queries (unless every row is one), and
+    show how many of the nearest cells, and how many of the best rows of a block by code,
+    hold ``recall`` of the neighbours. The queries search as many cells and rank as many
+    rows of each block. A query that finds less than k rows, and every query where ``recall`` is 1
+    or no row is left for a trial, takes the exact way. Equal distances go to the smaller id.
 
     * Vectors that are null, zero or hold a null or non-finite component take no part, nor
       do rows with a null id. Vectors are compared with those of their own length.
@@ -182,7 +186,7 @@ def nearest(
     lengths = rows.groupBy("dim").agg(F.count("*").alias("n"))
     n, kinds = lengths.agg(F.sum("n"), F.count("*")).head()
     if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, ranked long")
     cells = F.greatest(F.lit(1), F.least(F.lit(max(1, most_cells // kinds)), F.ceil(F.col("n") / F.lit(cell_rows)))).cast("int")
     wanted = lengths.withColumn("cells", cells)
     wanted = wanted.withColumn("share", F.greatest(F.lit(max(sample // kinds, 4 * WORDS)), 16 * F.col("cells")) / F.col("n"))
@@ -215,7 +219,8 @@ def nearest(
     coded = staged(marked.mapInArrow(index, "vec_id long, h long, dim int, cell int, code binary, half double, code_half double, gap double, x binary"), "codes")
     sizes = staged(coded.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks")), "sizes")
     queries = staged(marked.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "h"]), "queries")
-    first = F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.lit(max(1, round(queries.count() / trial)))) == 0
+    apart = marked.where(F.pmod("vec_id", F.lit(every)) != 0) if every > 1 else marked
+    tried = apart.where(F.xxhash64(F.lit(seed + 1), "h") / F.lit(2.0**64) + 0.5 <= trial / n).dropDuplicates(["vec_id", "h"])
 
     def cells_of(most: int | None):  # noqa: ANN202
         """Each query with each of its nearest cells, all or as many."""
@@ -235,8 +240,8 @@ def nearest(
 
         return run
 
-    def scan(asked: pa.Table, codes: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("query_id", "query_h", "place", "vec_id", "score")}
+    def scan(asked: pa.Table, codes: pa.Table, most_ranked: int | None) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in ("query_id", "query_h", "place", "vec_id", "score", "depth", "ranked")}
         if len(asked) and len(codes):
             d = int(codes.column("dim")[0].as_py())
             own, asked = codes.sort_by("vec_id").combine_chunks(), asked.combine_chunks()
@@ -251,44 +256,70 @@ def nearest(
                     for table, byte in zip(books[d].tables(v), raw, strict=True):
                         inner += table[byte]
                 score = np.where(others, inner - half, -np.inf)
-                top = min(candidates, len(score))
-                best = np.argpartition(score, len(score) - top)[len(score) - top :]
-                best = np.sort(distances(x[best[others[best]]], v))
-                limit = best[k - 1] if len(best) >= k else np.inf
-                # Rounding is allowed for: a bound that is too low costs a comparison only.
-                least = np.sqrt(np.maximum(vv + 2 * (code_half - inner) - 1e-12 * (vv + 2 * code_half), 0)) - gap * (1 + 1e-12)
-                may = np.flatnonzero(others & ~(least > limit * (1 + 1e-12)))
-                dots = (x @ v)[may] if 2 * len(may) > len(x) else x[may] @ v
-                square = vv + 2 * (half[may] - dots)
-                may = may[~(square > limit * limit * (1 + 1e-12) + 1e-12 * (vv + 2 * half[may]))]
+                order = np.argsort(-score, kind="stable")  # ties go to the smaller id
+                if most_ranked is None or d not in books:
+                    best = order[:candidates]
+                    best = np.sort(distances(x[best[others[best]]], v))
+                    limit = best[k - 1] if len(best) >= k else np.inf
+                    # Rounding is allowed for: a bound that is too low costs a comparison only.
+                    least = np.sqrt(np.maximum(vv + 2 * (code_half - inner) - 1e-12 * (vv + 2 * code_half), 0)) - gap * (1 + 1e-12)
+                    may = np.flatnonzero(others & ~(least > limit * (1 + 1e-12)))
+                    ranked = len(may)
+                    dots = (x @ v)[may] if 2 * len(may) > len(x) else x[may] @ v
+                    square = vv + 2 * (half[may] - dots)
+                    may = may[~(square > limit * limit * (1 + 1e-12) + 1e-12 * (vv + 2 * half[may]))]
+                else:
+                    may = order[:most_ranked]
+                    may = may[others[may]]
+                    ranked = len(may)
                 far = distances(x[may], v)
                 may, far = may[np.isfinite(far)], far[np.isfinite(far)]
                 best = np.lexsort((ids[may], far))[:k]
-                for c, value in zip(out, (np.full(len(best), q), np.full(len(best), h), np.full(len(best), place), ids[may[best]], far[best]), strict=True):
+                depth = np.empty(len(order), np.int32)
+                depth[order] = np.arange(len(order), dtype=np.int32)
+                # What a block ranks stands on its first row.
+                ranks = np.where(np.arange(len(best)) == 0, ranked, 0)
+                for c, value in zip(out, (np.full(len(best), q), np.full(len(best), h), np.full(len(best), place), ids[may[best]], far[best], depth[may[best]], ranks), strict=True):
                     out[c].append(value)
-        kinds_ = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
+        kinds_ = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.int64()]
         return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0), kind) for (c, v), kind in zip(out.items(), kinds_, strict=True)})
 
-    def searched(asked: DataFrame, most: int | None) -> DataFrame:
-        """The k nearest rows of each query in its cells, with the place of the row's cell among the query's."""
+    def searched(asked: DataFrame, most: int | None, most_ranked: int | None) -> DataFrame:
+        """The k nearest rows of each query in its cells, with the place of the row's cell among the query's and of the row in its block."""
         asked = staged(asked.mapInArrow(cells_of(most), "vec_id long, h long, dim int, v array<double>, cell int, place int"), "asked")
         # A task gets one block of a cell and a chunk of the queries that ask for the cell.
         load = staged(asked.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(query_rows)).cast("int").alias("chunks")).join(sizes, ["dim", "cell"]), "load")
         by = ["dim", "cell", "block", "chunk"]
         left = asked.join(load, ["dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         right = coded.join(load, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "h"), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        found = left.select(*by, "vec_id", "h", "place", "v").groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(scan, "query_id long, query_h long, place int, vec_id long, score double")
-        rank = F.row_number().over(W.partitionBy("query_id", "query_h").orderBy("score", "vec_id")).cast("int")
-        return staged(found.withColumn("rank", rank).where(F.col("rank") <= k), "found")
-
-    out = searched(queries.where(first), None)
-    places = dict(map(tuple, out.groupBy("place").agg(F.count("*").alias("n")).collect()))  # a row for each cell at most
-    seen, most = 0, 1
-    for place in sorted(places):
-        most = place + 1
-        seen += places[place]
-        if seen >= recall * sum(places.values()) and recall < 1:
-            break
-    most = max(map(len, grid.values()), default=1) if recall >= 1 or not places else most
-    rest = searched(queries.where(~first), most)
-    return out.unionByName(rest).select("query_id", "rank", "vec_id", "score")
+        found = left.select(*by, "vec_id", "h", "place", "v").groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(lambda a, c: scan(a, c, most_ranked), "query_id long, query_h long, place int, vec_id long, score double, depth int, ranked long")
+        query = W.partitionBy("query_id", "query_h")
+        rank = F.row_number().over(query.orderBy("score", "vec_id")).cast("int")
+        return staged(found.withColumn("ranked", F.sum("ranked").over(query)).withColumn("rank", rank).where(F.col("rank") <= k), "found")
+
+    def reaching(counts: DataFrame, share: float) -> int | None:
+        """How many of the first places hold a share of the rows counted; None without rows."""
+        each = sorted(map(tuple, counts.collect()))  # a row for each cell, or place in a block, at most
+        seen, every_ = 0, sum(c for _, c in each)
+        for at, c in each:
+            seen += c
+            if seen >= share * every_:
+                return at + 1
+        return None
+
+    most = most_ranked = None
+    if recall < 1:
+        exact = searched(tried, None, None)
+        # Half of what may be lost goes to cells, the rest to codes.
+        most = reaching(exact.groupBy("place").agg(F.count("*")), 1 - (1 - recall) / 2)
+        if most is not None:
+            within = exact.where(F.col("place") < most)
+            most_ranked = max(k + 1, reaching(within.groupBy("depth").agg(F.count("*")), recall / (1 - (1 - recall) / 2)))
+    out = searched(queries, most, most_ranked)
+    if most is not None:
+        full = out.groupBy("query_id", "query_h").agg(F.count("*").alias("c")).where(F.col("c") >= k).select(F.col("query_id").alias("vec_id"), F.col("query_h").alias("h"))
+        short = staged(queries.join(full, ["vec_id", "h"], "left_anti"), "short")
+        again = searched(short, None, None)
+        rest = short.select(F.col("vec_id").alias("query_id"), F.col("h").alias("query_h"))
+        out = out.join(rest, ["query_id", "query_h"], "left_anti").select(again.columns).unionByName(again)
+    return out.select("query_id", "rank", "vec_id", "score", "ranked")

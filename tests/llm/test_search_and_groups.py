@@ -241,7 +241,38 @@ def test_nearest(spark):
     assert hit / total >= 0.9
     assert ann.nearest(frame.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0], 0), (7, [2.0, 0.0], 0), (8, [1.0], 0)], "vec_id long, embedding array<float>, label int")
-    assert list(map(tuple, ann.nearest(few).collect())) == [(0, 1, 7, 1.0)]
+    assert [tuple(r)[:4] for r in ann.nearest(few).collect()] == [(0, 1, 7, 1.0)]
+
+
+@pytest.mark.parametrize("clusters", [0, 25])
+def test_nearest_ranks_few_rows(spark, clusters):
+    """Codes decide which rows are ranked: a fifth at most, with a recall of 0.9, in rows without structure and in clusters."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(2000, 64))
+    if clusters:
+        x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, 2000)] * 3 + x
+    x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = ann.nearest(frame, every=50, k=10).toPandas()
+    hit = 0
+    for q, g in out.groupby("query_id"):
+        gap = np.sqrt(((x.astype(float) - x[q]) ** 2).sum(axis=1))
+        hit += len(set(g["vec_id"]) & set(sorted((i for i in range(2000) if i != q), key=lambda i: (gap[i], i))[:10]))
+        assert g["ranked"].iloc[0] < 2000 / 5
+    assert out["query_id"].nunique() == 40 and hit >= 0.9 * 400
+
+
+def test_nearest_finds_enough_rows(spark):
+    """A query whose cells hold too few rows is searched for in all; without rows for a trial all queries are."""
+    rng = np.random.default_rng(18)
+    far = rng.normal(size=(3, 4)) * 0.1 + 50
+    x = np.vstack([far, rng.normal(size=(997, 4))])
+    frame = spark.createDataFrame([(i * 10, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for every, trial in ((1000, 300), (10, 50), (10, 0)):
+        out = ann.nearest(frame, every=every, k=10, cell_rows=50, recall=0.5, trial=trial).toPandas()
+        assert (out.groupby("query_id").size() == 10).all() and out["query_id"].nunique() == 10_000 // every
+        gap = np.sqrt(((x - x[0]) ** 2).sum(axis=1))
+        assert out[out["query_id"] == 0].sort_values("rank")["vec_id"].tolist()[:2] == [10 * i for i in np.argsort(gap)[1:3]]
 
 
 def test_nearest_in_a_dense_group(spark):
