@@ -205,3 +205,22 @@ def test_exact_means_and_fixed_rounding(spark):
     assert got == want
     empty = df.where("v > 1e9").agg(stats.exact_mean(F.col("v")).alias("m")).head()
     assert empty[0] is None
+
+
+def test_ranges_of_ranks_are_cut_once(spark, monkeypatch):
+    """A sketch may give other cuts each time it is read; quantiles and ranks stay exact."""
+    import random
+
+    sketch = F.percentile_approx
+    moved = F.udf(lambda cuts: sorted(c + random.uniform(-20, 20) for c in cuts), "array<double>")
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: moved(sketch(*a)))
+    rng = np.random.default_rng(4)
+    rows = [(i % 2, float(v)) for i, v in enumerate(rng.integers(0, 500, 3000))]
+    frame = spark.createDataFrame(rows, "k int, v double")
+    shares = [i / 10 for i in range(1, 10)]
+    for r in stats.quantiles(frame, "v", ["k"], shares, "q").collect():
+        assert np.allclose(r.q, np.quantile([v for k, v in rows if k == r.k], shares)) and r["__n"] == 1500
+    for k in (0, 1):
+        own = sorted(v for j, v in rows if j == k)
+        for r in stats.spread_ranks(frame.where(F.col("k") == k), "v", ["k"]).collect():
+            assert r["__r"] == (np.searchsorted(own, r.v, "left") + np.searchsorted(own, r.v, "right") + 1) / 2
