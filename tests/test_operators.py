@@ -372,3 +372,38 @@ def test_density_overlap(spark):
             f.append(np.exp(-0.5 * ((at[:, None] - v[None]) / h) ** 2).sum(axis=1) / (h * np.sqrt(2 * np.pi) * len(v)))
         m = np.minimum(*f)
         assert found == pytest.approx(((m[1:] + m[:-1]) / 2 * np.diff(at)).sum(), abs=1e-10)
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plans_send_small_sides_only(spark):
+    """Estimates take a compressed file for a small table, so the sides to send are named: cells and arrays of shuffles are none."""
+    from gridloom.operators import spatial
+    from gridloom.plans import views
+
+    d = "/root/testdata/sf0.001"
+    model = optimized(views.predictions(spark, d))
+    assert "rightHint=(strategy=broadcast)" in model.split("Join")[1]
+    p = views.points(spark, d)
+    null = optimized(spatial.permuted_morans(spatial.knn(p, 3), p, "z", 5))
+    assert null.count("rightHint=(strategy=merge)") == 2
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 3.0)], "i int, gene string, v double")
+    sets = spark.createDataFrame([("s", "a"), ("s", "b"), ("t", "a")], "pathway string, gene string")
+    out = scores.set_scores(df, sets, ["i"], "v", least=2, panel=df.select("gene"))
+    assert "rightHint=(strategy=broadcast)" in optimized(out) and out.collect() == scores.set_scores(df, sets, ["i"], "v", least=2).collect()
+
+
+def test_dense_cells_of_a_spot_stay_together(spark):
+    """Spots are shuffled and not cells: genes are laid out above the join, and no exchange lies above that."""
+    spots = spark.createDataFrame([(i, i % 2) for i in range(50)], "spot_id int, side int").repartition(3)
+    expression = spark.createDataFrame([(i, g, float(i)) for i in range(0, 50, 3) for g in "abx"], "spot_id int, gene string, value double")
+    panel = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "gene string")
+    out = tables.densified(spots, expression, panel, ["spot_id"])
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate explode(") < plan.index("Join")
+    parts = out.withColumn("p", F.spark_partition_id()).groupBy("spot_id").agg(F.countDistinct("p").alias("n"), F.count("*").alias("c"))
+    assert [tuple(r) for r in parts.select("n", "c").distinct().collect()] == [(1, 3)]
+    want = [(i, g, i % 2, float(i) if i % 3 == 0 and g != "c" else 0.0) for i in range(50) for g in "abc"]
+    assert sorted(map(tuple, out.collect())) == want
