@@ -169,8 +169,9 @@ def nearest(
 
     About ``trial`` rows, by hash, are searched for in all cells in the exact way: the
     ``candidates`` best rows of a block by the code tables are ranked, and then all that can
-    be as near as the k-th of them. They are not among the queries (unless every row is one), and
-    show how many of the nearest cells, and how many of the best rows of a block by code,
+    be as near as the k-th of them. They are not among the queries (unless every row is one). As
+    queries may lie where other rows do not, a tenth of them, ``trial`` / 2 at most, is tried too;
+    these are answered like all others. Whichever of the two sets asks for more shows how many of the nearest cells, and how many of the best rows of a block by code,
     hold ``recall`` of the neighbours. The queries search as many cells and rank as many
     rows of each block. A query that finds less than k rows, and every query where ``recall`` is 1
     or no row is left for a trial, takes the exact way. Equal distances go to the smaller id.
@@ -307,14 +308,20 @@ def nearest(
                 return at + 1
         return None
 
+    def asks(exact: DataFrame) -> tuple[int, int] | None:
+        """How many cells, and rows of a block, hold ``recall`` of rows found exactly: half of what may be lost goes to cells, the rest to codes."""
+        cells_ = reaching(exact.groupBy("place").agg(F.count("*")), 1 - (1 - recall) / 2)
+        if cells_ is None:
+            return None
+        return cells_, max(k + 1, reaching(exact.where(F.col("place") < cells_).groupBy("depth").agg(F.count("*")), recall / (1 - (1 - recall) / 2)))
+
     most = most_ranked = None
     if recall < 1:
-        exact = searched(tried, None, None)
-        # Half of what may be lost goes to cells, the rest to codes.
-        most = reaching(exact.groupBy("place").agg(F.count("*")), 1 - (1 - recall) / 2)
-        if most is not None:
-            within = exact.where(F.col("place") < most)
-            most_ranked = max(k + 1, reaching(within.groupBy("depth").agg(F.count("*")), recall / (1 - (1 - recall) / 2)))
+        some = min(trial // 2, -(-queries.count() // 10))
+        own = staged(queries.orderBy(F.xxhash64(F.lit(seed + 2), "h"), "vec_id", "h").limit(some), "own")
+        wanted_ = [a for a in (asks(searched(tried, None, None)), asks(searched(own, None, None))) if a]
+        if wanted_:
+            most, most_ranked = (max(a) for a in zip(*wanted_, strict=True))
     out = searched(queries, most, most_ranked)
     if most is not None:
         full = out.groupBy("query_id", "query_h").agg(F.count("*").alias("c")).where(F.col("c") >= k).select(F.col("query_id").alias("vec_id"), F.col("query_h").alias("h"))

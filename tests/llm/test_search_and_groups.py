@@ -224,6 +224,22 @@ def test_exact_top_k_of_odd_rows(spark):
     assert sorted(map(tuple, out)) == sorted(want)
 
 
+def test_nearest_of_queries_unlike_other_rows(spark):
+    """Queries in a group of near copies that few other rows belong to: what other rows ask for is too little for them."""
+    rng = np.random.default_rng(3)
+    n, d = 3000, 32
+    x = rng.normal(size=(n, d))
+    group = np.flatnonzero(np.arange(n) % 50 < 3)
+    x[group] = x[7] + 1e-3 * rng.normal(size=(len(group), d))
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hits, rows = 0, ann.nearest(frame, every=50, k=10, sample=1024).toPandas()
+    for q, own in rows.groupby("query_id"):
+        far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        hits += len(set(own["vec_id"]) & set(np.argsort(far, kind="stable")[:10]))
+    assert len(rows) == 600 and hits >= 0.9 * 600
+
+
 def test_nearest(spark):
     frame, rows = vectors(spark, 3000, 16)
     rows = [(i, v) for i, v in rows if v.any()]
