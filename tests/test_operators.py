@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -407,3 +409,31 @@ def test_dense_cells_of_a_spot_stay_together(spark):
     assert [tuple(r) for r in parts.select("n", "c").distinct().collect()] == [(1, 3)]
     want = [(i, g, i % 2, float(i) if i % 3 == 0 and g != "c" else 0.0) for i in range(50) for g in "abc"]
     assert sorted(map(tuple, out.collect())) == want
+
+
+def test_subsampled_halves(spark):
+    """Every split by hand; a spot is never copied for a split, so no window ranks rows of spots and splits."""
+    rng = np.random.default_rng(21)
+    genes = [f"g{i}" for i in range(7)]
+    cells = [(None if s < 3 else "pq"[s % 2], s, g, float(np.round(rng.normal(), 1 if s % 5 else 9))) for s in range(63) for g in genes if (s + int(g[1])) % 11]
+    df = spark.createDataFrame(cells, "patient string, spot_id int, gene string, residual double").repartition(3)
+    panel = spark.createDataFrame([(g,) for g in genes], "gene string")
+    out = agreement.subsampled(df, panel, [1, 3], 4, ["patient"], seed=2, least=4)
+    assert "Window" not in optimized(out) and out.columns == ["patient", "n_genes", "split", "rho", "n"]
+    plan = {}
+    for split in range(4):
+        order = sorted(genes, key=lambda g: hashlib.md5(f"2|{split}|{g}".encode()).hexdigest())
+        plan |= {(n, split): (order[:n], order[n : 2 * n]) for n in (1, 3)}
+    want = {}
+    for p in "pq":
+        own = {s: {g: abs(v) for q, t, g, v in cells if t == s} for q, s, _, _ in cells if q == p}
+        for key, sides in plan.items():
+            there = [v for v in own.values() if any(g in v for side in sides for g in side)]
+            means = [[round(sum(v[g] for g in side if g in v) / len([g for g in side if g in v]), 9) if any(g in v for g in side) else -1.0 for v in there] for side in sides]
+            ranks = [pd.Series(m).rank() for m in means]
+            want[p, *key] = (np.corrcoef(*ranks)[0, 1], len(there))
+    got = {(r.patient, r.n_genes, r.split): (r.rho, r.n) for r in out.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=1e-9) for k in want)
+    assert agreement.subsampled(df, panel, [1, 3], 4, ["patient"], seed=2, least=3).where("patient is null").count() <= 8
+    assert agreement.subsampled(df, panel.limit(0), [1], 2, ["patient"]).count() == 0
