@@ -437,3 +437,9 @@ def test_subsampled_halves(spark):
     assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=1e-9) for k in want)
     assert agreement.subsampled(df, panel, [1, 3], 4, ["patient"], seed=2, least=3).where("patient is null").count() <= 8
     assert agreement.subsampled(df, panel.limit(0), [1], 2, ["patient"]).count() == 0
+
+
+def test_profiles_without_spread(spark):
+    df = spark.createDataFrame([(s, p, v) for s, v in (("a", 1.0), ("b", 2.0)) for p in "xyz"], "s string, gene string, mar double")
+    assert agreement.profile_pairs(df, "s").head()["r"] == 0
+    assert np.isnan(agreement.profile_pairs(df, "s", without=float("nan")).head()["r"])
