@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -443,3 +444,20 @@ def test_profiles_without_spread(spark):
     df = spark.createDataFrame([(s, p, v) for s, v in (("a", 1.0), ("b", 2.0)) for p in "xyz"], "s string, gene string, mar double")
     assert agreement.profile_pairs(df, "s").head()["r"] == 0
     assert np.isnan(agreement.profile_pairs(df, "s", without=float("nan")).head()["r"])
+
+
+def test_blocks_are_compared_in_slices():
+    """Two blocks of 2,000 vectors by hand; all distances at once would be 32 MB, and their order as much again."""
+    rng = np.random.default_rng(22)
+    x, y = (pd.DataFrame({"id": rng.permutation(2000), "v": list(rng.normal(size=(2000, 16)))}) for _ in "xy")
+    for df in (x, y):
+        df["v"] = [v / np.sqrt(v @ v) for v in df["v"]]
+    tracemalloc.start()
+    src, dst, dist = matching.nearest_in_block(x, y, 3, same=True)
+    assert tracemalloc.get_traced_memory()[1] < 30e6
+    tracemalloc.stop()
+    u, w = np.stack(x["v"]), np.stack(y["v"])
+    gap = np.round(np.sqrt(np.maximum(0, 2 - 2 * u @ w.T)), 9)
+    gap[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None]] = np.inf
+    want = [(i, j, g) for i, row in zip(x["id"], gap, strict=True) for g, j in sorted(zip(row, y["id"], strict=True))[:3]]
+    assert [v[:2] for v in want] == list(zip(src, dst, strict=True)) and np.allclose(dist, [v[2] for v in want], atol=1e-8)
