@@ -238,6 +238,22 @@ def test_least_squares(spark):
     assert v["a"] == float("inf") and v["b"] == pytest.approx(1 / (1 - np.corrcoef(x.T)[0, 1] ** 2))
 
 
+def test_predictors_without_spread(spark):
+    from gridloom.plans.composed import predictors
+
+    rng = np.random.default_rng(12)
+    a = rng.normal(2, 3, 20)
+    y = 0.5 * a + rng.normal(0, 0.1, 20)
+    df = spark.createDataFrame([(f"g{i}", float(v), float(x), 8) for i, (v, x) in enumerate(zip(y, a, strict=True))], "gene string, y double, a double, sets long")
+    own = predictors(df, "y", ["a", "sets"])
+    z = (a - a.mean()) / a.std()
+    assert {r.gene: (r.a, r.sets) for r in own.collect()} == {f"g{i}": (pytest.approx(x), 0) for i, x in enumerate(z)}
+    fit = linear.ols(own, "y", ["a", "sets"])
+    assert fit["coefficient"].to_numpy() == pytest.approx([*np.linalg.lstsq(np.c_[np.ones(20), z], y, rcond=None)[0], 0]) and fit["std_error"].isna().all()
+    held = linear.ols_folds(linear.fold_numbers(own, "gene", 5, 3), "y", ["a", "sets"], "fold", ["gene"]).toPandas()
+    assert len(held) == 20 and (held["actual"] - held["predicted"]).abs().max() < 0.5
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.sets(st.integers(0, 9)), st.sets(st.integers(0, 9)))
 def test_jaccard(spark, a, b):
