@@ -60,6 +60,12 @@ def test_grid_cells_at_edges(spark):
     assert got == [0, 19, 0, 19, *range(20)]
 
 
+def test_grid_cells_beside_their_rounded_places(spark):
+    df = spark.createDataFrame([(0.6499997879881964,), (0.65,), (None,)], "x double")
+    got = df.select(F.round("x", 6).alias("x"), C.grid_cell(F.col("x"), 20).alias("c"))
+    assert [(r.x, r.c) for r in got.collect()] == [(0.65, 12), (0.65, 13), (None, 0)]
+
+
 def test_z_scores_of_a_constant(spark):
     df = spark.createDataFrame([("a", 2.0), ("a", 2.0), ("b", 1.0), ("b", 3.0)], "k string, v double")
     assert sorted((r.k, r.z) for r in C.standardised(df, "v", ["k"]).collect()) == [("a", 0), ("a", 0), ("b", -1), ("b", 1)]
