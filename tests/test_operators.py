@@ -147,6 +147,31 @@ def test_morans_i(spark):
     assert np.ptp([r[0] for r in same]) < 1e-12
 
 
+def test_shuffles_within_tasks(spark):
+    from pathlib import Path
+
+    rng = np.random.default_rng(13)
+    rows = [("ab"[i % 3 == 0], i, float(x), float(y), float(z), i % 4) for i, (x, y, z) in enumerate(rng.random((900, 3)))] + [("one", 2000, 0.0, 0.0, 1.0, 0)]
+    df = spark.createDataFrame(rows, "sample_id string, spot_id int, x double, y double, z double, ring int")
+    near = spatial.knn(df, 6)
+    edges = spark.createDataFrame(near.collect(), near.schema)
+    size = lambda: sum(p.stat().st_size for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).rglob("*") if p.is_file())
+    for group in (None, "ring"):
+        before = size()
+        got = {(r.sample_id, r.perm): r.morans_i for r in spatial.permuted_morans(edges, df, "z", 299, 5, group).collect()}
+        assert size() - before < 1e5  # 375 kB with an array of every spot's values under all shuffles
+        want = {(r.sample_id, r.perm): r.morans_i for r in spatial.permuted_morans(edges, df, "z", 299, 5, group, held=400).collect()}  # the larger sample is sorted as rows
+        assert len(got) == 900 and got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()} and got["one", 0] == 0
+    # One shuffle by hand.
+    z = np.array([r[4] for r in rows if r[0] == "b"])
+    ids = [r[1] for r in rows if r[0] == "b"]
+    order = sorted(range(len(ids)), key=lambda j: hashlib.md5(f"5|7|{ids[j]}".encode()).hexdigest())
+    at = {i: v for i, v in zip(ids, (z - z.mean())[order], strict=True)}
+    top = sum(at[r.src] * at[r.dst] / 6 for r in edges.where("sample_id = 'b'").collect())
+    free = {r.perm: r.morans_i for r in spatial.permuted_morans(edges, df.where("sample_id = 'b'"), "z", 9, 5).collect()}
+    assert free[7] == pytest.approx(top / ((z - z.mean()) ** 2).sum())
+
+
 def test_rings(spark):
     rng = np.random.default_rng(4)
     p = rng.random((300, 2))
