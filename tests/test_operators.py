@@ -279,6 +279,19 @@ def test_predictors_without_spread(spark):
     assert len(held) == 20 and (held["actual"] - held["predicted"]).abs().max() < 0.5
 
 
+def test_summary_works_cells_out_once(spark, monkeypatch):
+    from gridloom.plans import composed, views
+
+    d, plain, calls = "/root/testdata/sf0.001", views.cells, []
+    monkeypatch.setattr(views, "cells", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    composed.a72_summary(spark, d)
+    assert len(calls) == 1
+    tracks, seen, keys = agreement.halves(views.panel(spark, d), 42), views.predicted(spark, d), ["cohort", "encoder"]
+    plainly = agreement.split_half(views.predictions(spark, d, dense=seen), tracks, keys).select(*keys, "rho", "n").collect()
+    shared = agreement.halves_agree(views.half_scores(spark, d, tracks, seen), keys).select(*keys, "rho", "n").collect()
+    assert len(shared) == 6 and {tuple(r)[:2]: (pytest.approx(r.rho), r.n) for r in shared} == {tuple(r)[:2]: (r.rho, r.n) for r in plainly}
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.sets(st.integers(0, 9)), st.sets(st.integers(0, 9)))
 def test_jaccard(spark, a, b):
